@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .op1_language import op1_language_id
+from .op2_license import op2_license_scan
+from .op7_quality import op7_quality_rules
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_license_scan": op2_license_scan,
+        "op7_quality_rules": op7_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
