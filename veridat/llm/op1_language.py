@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ def train(labelled: DataFrame, docs_per_language: int = 1500) -> tuple[list[str]
         return [], Model([])
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, docs_per_language / n) * 1_000_000)))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
-    found = gram_counts(chosen, "lang").toPandas()  # bounded, as the sample is
-    langs = sorted(set(found["label"]))
-    by = {lang: part for lang, part in found.groupby("label")}
-    return langs, Model([(by[x]["gram"].to_numpy(np.int64), by[x]["n"].to_numpy(np.int64)) for x in langs])
+    found = gram_counts(chosen, "lang").toArrow()  # bounded, as the sample is
+    langs = sorted(set(found["label"].unique().to_pylist()))
+    by = [found.filter(pc.equal(found["label"], x)) for x in langs]
+    return langs, Model([(x["gram"].to_numpy(), x["n"].to_numpy()) for x in by])
 
 
 def identify(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:

@@ -23,6 +23,7 @@ END = 256  # the boundary symbol
 SYMBOLS = 257
 BITS = 9
 _MASK = (1 << BITS) - 1
+DROPPED = _MASK  # stands for the far bytes of a context that was too light to be kept
 
 
 def stream(text: Flat) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,8 @@ class Model:
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], max_cells: int = 12_000_000):
         every = np.concatenate([g for g, _ in grams]) if grams else np.zeros(0, np.int64)
-        seen = np.unique(np.concatenate([(every >> (BITS * j)) & _MASK for j in range(ORDER + 1)] + [[END]]))
+        seen = np.unique(np.concatenate([(every >> (BITS * j)) & _MASK for j in range(ORDER + 1)] + [np.array([END])]))
+        seen = seen[seen <= END]
         self.width = w = len(seen) + 1  # the last one: a byte that was never seen
         self.dense = np.full(SYMBOLS, w - 1, np.int32)
         self.dense[seen] = np.arange(len(seen))
@@ -106,7 +108,8 @@ class Model:
         for order in range(1, ORDER + 1):
             ctx = np.concatenate([(g >> BITS) & ((1 << (BITS * order)) - 1) for g, _ in grams]) if grams else every
             keys, ns = merged([ctx], [np.concatenate([n for _, n in grams])]) if grams else (every, every)
-            good = np.flatnonzero((ns >= 2) & (ns * most >= total))  # at most ``most`` contexts can be as heavy
+            whole = (keys >> (BITS * (order - 1))) <= END
+            good = np.flatnonzero((ns >= 2) & (ns * most >= total) & whole)  # at most ``most`` contexts can be as heavy
             kept.append(keys[good])
         self.nodes = 1 + sum(map(len, kept))
         base = np.cumsum([1] + [len(k) for k in kept])

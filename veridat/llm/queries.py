@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_language import op1_language_id
 from .op2_license import op2_license_scan
+from .op4_lm_score import op4_lm_score
 from .op7_quality import op7_quality_rules
 
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_license_scan": op2_license_scan,
+        "op4_lm_score": op4_lm_score,
         "op7_quality_rules": op7_quality_rules,
     }
 
