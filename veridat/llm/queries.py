@@ -8,6 +8,8 @@ from .op4_lm_score import op4_lm_score
 from .op6_jaccard import op6_ngram_jaccard
 from .op7_quality import op7_quality_rules
 
+from .op9_warc import OP9_SQL, op9_warc_revisit
+
 
 def queries() -> dict:
     return {
@@ -16,8 +18,9 @@ def queries() -> dict:
         "op4_lm_score": op4_lm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality_rules": op7_quality_rules,
+        "op9_warc_revisit": op9_warc_revisit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_revisit": OP9_SQL}
