@@ -8,6 +8,7 @@ from .op4_lm_score import op4_lm_score
 from .op6_jaccard import op6_ngram_jaccard
 from .op7_quality import op7_quality_rules
 
+from .op8_secrets import op8_secret_scan
 from .op9_warc import OP9_SQL, op9_warc_revisit
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_lm_score": op4_lm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality_rules": op7_quality_rules,
+        "op8_secret_scan": op8_secret_scan,
         "op9_warc_revisit": op9_warc_revisit,
     }
 
