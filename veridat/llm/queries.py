@@ -10,6 +10,7 @@ from .op7_quality import op7_quality_rules
 
 from .op8_secrets import op8_secret_scan
 from .op9_warc import OP9_SQL, op9_warc_revisit
+from .op10_mixing import op10_mix_domains
 
 
 def queries() -> dict:
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_warc_revisit": op9_warc_revisit,
+        "op10_mix_domains": op10_mix_domains,
     }
 
 
