@@ -9,7 +9,7 @@ product with itself would hold the overlap of all pairs. Only blocks of it are f
    both rows, in any fixed order of columns. Columns that occur often come last in it.
    A block is what shares one such column.
 3. In each block all rows meet the block's least row. Pairs pass a bound on sizes and one
-   on 512 parity bits, then their exact overlap is accumulated.
+   on parity bits, then their exact overlap is accumulated.
 4. Blocks whose rows aren't all in one component then meet across components, by the same
    bounds. A pair that is left out is one that components join anyway.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, fresh_path, kept, merged, mix, over_texts, row_key, signed, slices, flat
@@ -26,7 +26,6 @@ from .graph import components
 
 MOST_HOT = 200_000  # columns known as frequent: those with more than one in so many of all entries
 MOST_CHOSEN = 1_000_000  # classes whose digests are sent to the scan; with more, a join selects them
-LANES = 8
 
 
 def shingle_sets(text, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +63,24 @@ def digests(bounds: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return signed(mix(a + mix(b) + np.diff(bounds).astype(np.uint64)))
 
 
-def parity_lanes(bounds: np.ndarray, gram: np.ndarray) -> list[np.ndarray]:
-    """512 bits by document: how many of its shingles fall on each, modulo 2.
+def parity_lanes(bounds: np.ndarray, gram: np.ndarray) -> pa.Array:
+    """Bits by document, in lanes of 64: how many of its shingles fall on each, modulo 2.
 
-    Two sets differ in at least as many elements as bits."""
-    n = len(bounds) - 1
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    bit = (gram >> np.uint64(20)) & np.uint64(64 * LANES - 1)
-    odd = np.bincount(doc * (64 * LANES) + bit.astype(np.int64), minlength=n * 64 * LANES) & 1
-    lanes = np.packbits(odd.astype(np.uint8).reshape(n, 64 * LANES), axis=1, bitorder="little").view(np.int64).reshape(n, LANES)
-    return [lanes[:, j] for j in range(LANES)]
+    Two sets differ in at least as many elements as bits. There are as many bits as
+    shingles, up to the next power of two; a longer row of bits is folded to compare it."""
+    size = np.diff(bounds)
+    lanes = np.left_shift(1, np.ceil(np.log2(np.maximum(size / 64, 1))).astype(np.int64))
+    offs = np.concatenate([[0], np.cumsum(lanes)])
+    doc = np.repeat(np.arange(len(size)), size)
+    bit = offs[doc] * 64 + ((gram >> np.uint64(20)).astype(np.int64) & (64 * lanes[doc] - 1))
+    odd = (np.bincount(bit, minlength=64 * offs[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def _differing_bits(a: Column, b: Column) -> Column:
+    least = F.least(F.size(a), F.size(b))
+    folded = lambda x, i: F.get(x, i).bitwiseXOR(F.when(F.size(x) > least, F.get(x, i + least)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -93,8 +100,7 @@ def link_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
 
     # rows, their classes, and which columns are frequent
-    lanes = ", ".join(f"l{j}: long" for j in range(LANES))
-    found = kept(_first_scan(source, k, f"kind int, rid long, doc_id long, n long, key long, lanes struct<{lanes}>"))
+    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, n long, key long, lanes array<long>"))
     rows = found.where("kind = 0").select("doc_id", "n", F.col("key").alias("digest"), "lanes")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
@@ -143,7 +149,7 @@ def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
                 if sum(map(len, keys)) > 3_000_000:
                     keys, ns = ([x] for x in merged(keys, ns))
                 n_docs = text.n
-                lanes = pa.StructArray.from_arrays([pa.array(x) for x in parity_lanes(bounds, gram)], [f"l{j}" for j in range(LANES)])
+                lanes = parity_lanes(bounds, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes], _names)
         if keys:
             key, n = merged(keys, ns)
@@ -199,7 +205,7 @@ def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int):
         """Those of ``pairs`` (a, b) that link."""
         meta = lambda s: classes.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("lanes").alias(f"l{s}"))
         near = pairs.join(meta("a"), "a").join(meta("b"), "b")
-        bits = sum((F.bit_count(F.col(f"la.l{j}").bitwiseXOR(F.col(f"lb.l{j}"))) for j in range(LANES)), F.lit(0))
+        bits = _differing_bits(F.col("la"), F.col("lb"))
         both = F.col("na") + F.col("nb")
         # |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)
         near = kept(near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * bits <= (100 - percent) * both)).select("a", "b", "na", "nb"))
