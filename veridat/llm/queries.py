@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_language import op1_language_id
 from .op2_license import op2_license_scan
+from .op3_pii import op3_pii
 from .op4_lm_score import op4_lm_score
 from .op5_decontaminate import op5_decontaminate
 from .op6_jaccard import op6_ngram_jaccard
@@ -18,6 +19,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_license_scan": op2_license_scan,
+        "op3_pii": op3_pii,
         "op4_lm_score": op4_lm_score,
         "op5_decontaminate": op5_decontaminate,
         "op6_ngram_jaccard": op6_ngram_jaccard,
