@@ -159,21 +159,20 @@ def memberships(docs: DataFrame, model: Classifier, keep_columns: bool = False)
     return over_texts(source, work, schema)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 40, close: float = 1e-6) -> DataFrame:
-    """``members`` with a column ``rate``.
-
-    From rates of one, projected gradient steps lessen the squared differences between
-    the expected tokens of each domain and its target share of all tokens, weighted by the
-    inverse of the domains' token covariance, so one step's length is right for all. Steps
-    depend on the sums over all documents only; each is one aggregate, and a document's
-    rate follows from its posteriors and the steps so far. Without any token all rates
-    stay one."""
+def fit_steps(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = 40, close: float = 1e-6) -> list[np.ndarray]:
+    """The projected gradient steps from rates of one; rates() applies them.
+
+    They lessen the squared differences between the expected tokens of each domain and its
+    target share of all tokens, weighted by the inverse of the domains' token covariance,
+    so one step length is right for all. Steps depend on sums over all documents only, each
+    one aggregate, and a document's rate follows from its posteriors and the steps. Without
+    any token there are none."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens")
     size = range(len(DOMAINS))
     first = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in size for j in size]).first()
     if not first or not first["n"]:
-        return members.withColumn("rate", F.lit(1.0))
+        return []
     total = float(first["n"])
     gram = np.array([[first[f"g{i}{j}"] for j in size] for i in size]) / total
     inverse = np.linalg.inv(gram + 1e-6 * np.eye(len(DOMAINS)))
@@ -181,15 +180,29 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, steps: in
     goal = goal / goal.sum()
     taken: list[np.ndarray] = []
     for _ in range(steps):
-        rate = _rate(taken)
-        sums = members.agg(*[F.sum(n * p[j] * rate).alias(f"s{j}") for j in size]).first()
+        sums = members.agg(*[F.sum(n * p[j] * _rate(taken)).alias(f"s{j}") for j in size]).first()
         off = np.array([sums[f"s{j}"] for j in size]) / total - goal
         if np.abs(off).max() < close:
             break
         taken.append(inverse @ off)
+    return taken
+
+
+def rates(members: DataFrame, taken: list[np.ndarray]) -> DataFrame:
+    """``members`` with a column ``rate``, the expected number of copies."""
     return members.withColumn("rate", F.round(_rate(taken), 6))
 
 
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """``docs`` with p_<domain>, n_tokens and ``rate``, without the rows whose rate is zero.
+
+    Columns of ``docs`` with those names are replaced."""
+    docs = docs.drop(*[f"p_{d}" for d in DOMAINS], "n_tokens", "rate")
+    model = train(docs, labels)
+    taken = fit_steps(kept(memberships(docs, model).drop("rid")), targets)
+    return rates(memberships(docs, model, keep_columns=True), taken).where("rate > 0")
+
+
 def _rate(taken: list[np.ndarray]) -> Column:
     if not taken:
         return F.lit(1.0)
@@ -202,4 +215,4 @@ def op10_mix_domains(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     members = kept(memberships(docs, model).drop("rid"))
-    return fit_rates(members).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate")
+    return rates(members, fit_steps(members)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate")

@@ -122,5 +122,12 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("first_word"), (F.col("b.start") + F.col("b.words") - 1).cast("long").alias("last_word"), F.round(-F.col("b.s"), 6).alias("similarity"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents that hold a passage like an item's text."""
+    hit = kept(find(docs, benchmark, similarity).select(F.col("doc_id").alias("__hit")).distinct())
+    hit = F.broadcast(hit) if hit.count() <= MOST_WINDOWED else hit
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+
+
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -96,12 +96,24 @@ def link_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     empty text has no shingle and links with nothing: its component is its own id. Rows
     with equal ids are documents of their own with that id. ``component_id`` is the least
     id that links reach; a null id counts only where a whole component has no other."""
+    return _linked(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` without the rows whose component has one with a smaller id (then: an earlier
+    one). Texts without a shingle stay."""
+    drop = kept(_linked(docs, k, percent).where(~F.col("stays")).select(F.col("rid").alias("__row")))
+    rows = docs.withColumn("__row", row_key())
+    return rows.join(F.broadcast(drop) if drop.count() <= MOST_CHOSEN else drop, "__row", "left_anti").drop("__row")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     source = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     spark = docs.sparkSession
 
     # rows, their classes, and which columns are frequent
     found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, n long, key long, lanes array<long>"))
-    rows = found.where("kind = 0").select("doc_id", "n", F.col("key").alias("digest"), "lanes")
+    rows = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("digest"), "lanes")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
     frequent = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["n"].to_numpy()))
@@ -126,10 +138,11 @@ def link_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     if not more.isEmpty():
         joined = kept(components(links.unionByName(more)))
 
-    placed = rows.join(joined, F.col("digest") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "digest").alias("component"))
-    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    full = placed.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    placed = rows.join(joined, F.col("digest") == F.col("node"), "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "digest").alias("component"))
+    own = placed.where("n_shingles > 0")
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    full = own.join(least, "component").select("rid", "doc_id", "n_shingles", "component_id", (F.col("first.rid") == F.col("rid")).alias("stays"))
+    return full.unionByName(placed.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
 
 
 def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
