@@ -143,7 +143,7 @@ class Field:
     def scores(self, feats: np.ndarray) -> np.ndarray:
         return sum(self.weights[feats[..., j] + _BASE[j]] for j in range(len(_SIZES)))
 
-    def fit(self, feats: np.ndarray, tags: np.ndarray, epochs: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Field:
+    def fit(self, feats: np.ndarray, tags: np.ndarray, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Field:
         """Maximum likelihood by full passes with adaptive steps. feats: (n, length, 7)."""
         n, length, _ = feats.shape
         flat_ = (feats + _BASE).reshape(-1)
@@ -175,12 +175,22 @@ class Field:
     def decode(self, words: Words, feats: np.ndarray) -> np.ndarray:
         """The best tags of all documents.
 
-        A token whose score for outside leads by more than all that moves can make up is
-        outside in the best path, so only the stretches between such tokens are searched."""
+        A stretch of tags other than outside can't beat outside if the leads of its tokens,
+        each with the most that a move can add, sum to less than nothing. Tokens of which
+        every stretch around them is so are outside in the best path (prefix sums tell), so
+        only the stretches of other tokens are searched."""
         e = self.scores(feats)
-        reach = 2 * (self.moves.max() - self.moves.min())
         tags = np.full(len(e), OUTSIDE, np.int8)
-        open_ = np.flatnonzero(e[:, OUTSIDE] - e[:, :2].max(1) <= reach)
+        if not len(e):
+            return tags
+        other = np.ones((3, 3), bool)
+        other[OUTSIDE, OUTSIDE] = False
+        move = self.moves[other].max() - self.moves[OUTSIDE, OUTSIDE]
+        lead = e[:, :2].max(1) - e[:, OUTSIDE] + move
+        total = np.concatenate([[0.0], np.cumsum(lead)])
+        best_before = total[1:] - np.minimum.accumulate(total[:-1])
+        best_after = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        open_ = np.flatnonzero(best_before + best_after - lead + abs(move) > -1e-9)
         if not len(open_):
             return tags
         doc = words.doc_of()
@@ -207,7 +217,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-def train(docs: DataFrame, sample_docs: int = 12_000) -> Field:
+def train(docs: DataFrame, sample_docs: int = 8_000) -> Field:
     """A field from about ``sample_docs`` documents (all, if there are fewer), whole texts.
 
     From each sampled text come the sequences around its spans and one around a token that a
