@@ -1,17 +1,505 @@
-"""Queries over the sample tables and their SQL."""
+"""Queries over the sample tables, one for each operator, and the SQL they are held against.
+
+Where the sample tables lack a kind of value (cities, blanks, dates as text), both sides
+derive it from a key in the same way.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import mine, remediate, report
+from ..operators.evaluate import Rule, failing_rows, plan_rules, rule_counts
+from ..operators.profile import statistics
+from ..sources.load import upsert, upsert_counts, with_lineage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rule(kind: str, **parameters) -> dict:
+    return {"executable_rule": {"type": kind, "parameters": parameters}}
+
+
+# ---------------------------------------------------------------- tables with flaws
+
+
+def customers(spark, sf_dir) -> DataFrame:
+    """customer with a blank or missing segment and a padded name now and then."""
+    k = F.col("c_custkey")
+    segment = F.when(k % 11 == 0, F.lit("  ")).when(k % 13 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 5 == 0, F.concat(F.lit("\t "), "c_name", F.lit(" "))).otherwise(F.col("c_name")).alias("c_name"), segment.alias("c_mktsegment"), "c_acctbal", "c_nationkey")
+
+
+CUSTOMERS = """(SELECT c_custkey, c_name, CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal, c_nationkey FROM customer)"""
+
+
+def orders(spark, sf_dir) -> DataFrame:
+    """orders with the day as text, in another format now and then, and some urgent orders
+    without a priority."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 7 == 0, F.date_format(day, "MM/dd/yyyy")).when(k % 17 == 0, F.lit("2020-13-01")).when(k % 19 == 0, F.lit("")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", text.alias("o_orderdate"), F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+ORDERS = """(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN o_orderkey % 17 = 0 THEN '2020-13-01' WHEN o_orderkey % 19 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS o_orderdate,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE o_orderpriority END AS o_orderpriority FROM orders)"""
+
+
+def places(spark, sf_dir) -> DataFrame:
+    """Customers with a city, state and ZIP code made from the key, some in the wrong field."""
+    k = F.col("c_custkey")
+    city = F.element_at(F.array(*[F.lit(x) for x in ("Boston", "Miami", "Albany", "Salem")]), (k % 4 + 1).cast("int"))
+    state = F.element_at(F.array(*[F.lit(x) for x in ("MA", "FL", "NY", "OR")]), (k % 4 + 1).cast("int"))
+    zip_ = F.element_at(F.array(*[F.lit(x) for x in ("02108", "33101", "12207", "97301")]), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"),
+        F.when(k % 6 == 0, F.concat_ws(", ", city, state)).when(k % 9 == 0, F.concat_ws(" ", city, zip_)).otherwise(city).alias("city"),
+        F.when(k % 6 == 0, "").when(k % 10 == 0, F.concat_ws(" ", state, zip_)).when(k % 25 == 0, "ZZ").otherwise(state).alias("state"),
+        F.when((k % 9 == 0) | (k % 10 == 0), "").otherwise(zip_).alias("zip"),
+    )
+
+
+PLACES = """(SELECT CAST(k AS VARCHAR) AS id,
+  CASE WHEN k % 6 = 0 THEN c || ', ' || s WHEN k % 9 = 0 THEN c || ' ' || z ELSE c END AS city,
+  CASE WHEN k % 6 = 0 THEN '' WHEN k % 10 = 0 THEN s || ' ' || z WHEN k % 25 = 0 THEN 'ZZ' ELSE s END AS state,
+  CASE WHEN k % 9 = 0 OR k % 10 = 0 THEN '' ELSE z END AS zip
+ FROM (SELECT c_custkey AS k, list_extract(['Boston', 'Miami', 'Albany', 'Salem'], CAST(c_custkey % 4 + 1 AS BIGINT)) AS c,
+   list_extract(['MA', 'FL', 'NY', 'OR'], CAST(c_custkey % 4 + 1 AS BIGINT)) AS s, list_extract(['02108', '33101', '12207', '97301'], CAST(c_custkey % 4 + 1 AS BIGINT)) AS z FROM customer))"""
+
+
+def zip_codes(spark) -> dict:
+    rows = [("02108", "Boston", "MA"), ("33101", "Miami", "FL"), ("12207", "ALBANY", "NY"), ("97301", "Salem", "OR")]
+    return {"us_zip_codes": (spark.createDataFrame(rows, "zip_code string, place_name string, state_code string"), ("zip_code", "place_name", "state_code")), "us_states": (spark.createDataFrame([("MA",), ("FL",), ("NY",), ("OR",)], "state_code string"), ("state_code",))}
+
+
+def shipments(spark, sf_dir) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date"))
+    return line.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date")), "l_orderkey")
+
+
+SHIPMENTS = """(SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS ship_date, strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def failing(df: DataFrame, definition: dict, column: str | None = None, key: str | None = None, tables: dict | None = None) -> DataFrame:
+    """Identifiers of the rows that one rule finds, as evaluation records them."""
+    plans, broken = plan_rules(df, [Rule(1, definition, column)], tables or {})
+    if broken:
+        raise ValueError(str(broken))
+    return failing_rows(df, plans, key).select("source_row_identifier")
+
+
+def _ids(source: str, key: str, where: str) -> str:
+    return f"SELECT CAST({key} AS VARCHAR) AS source_row_identifier FROM {source} AS t WHERE {where}"
+
+
+# ---------------------------------------------------------------- rules
+
+
+@query(_ids("documents", "doc_id", "lang IS NOT NULL AND lang NOT IN ('en', 'de', 'fr')"))
+def rule_allowed_values(spark, sf_dir):
+    return failing(table(spark, sf_dir, "documents"), rule("allowed_values", values=["en", "de", "fr"]), "lang", "doc_id")
+
+
+@query(_ids(CUSTOMERS, "c_custkey", "c_mktsegment IS NULL OR trim(c_mktsegment) = ''"))
+def rule_not_null(spark, sf_dir):
+    return failing(customers(spark, sf_dir), rule("not_null"), "c_mktsegment", "c_custkey")
+
+
+@query(_ids(CUSTOMERS, "c_custkey", "length(trim(c_mktsegment)) > 9"))
+def rule_max_length(spark, sf_dir):
+    return failing(customers(spark, sf_dir), rule("max_length", max_length=9), "c_mktsegment", "c_custkey")
+
+
+@query(_ids(CUSTOMERS, "c_custkey", "trim(c_mktsegment) <> '' AND length(trim(c_mktsegment)) < 9"))
+def rule_min_length(spark, sf_dir):
+    return failing(customers(spark, sf_dir), rule("min_length", min_length=9), "c_mktsegment", "c_custkey")
+
+
+@query(_ids("customer", "c_custkey", "NOT regexp_full_match(c_name, 'Customer#0+[0-9]*[02468]')"))
+def rule_regex(spark, sf_dir):
+    return failing(customers(spark, sf_dir), rule("regex", pattern="Customer#0+[0-9]*[02468]"), "c_name", "c_custkey")
+
+
+@query(_ids("customer", "c_custkey", "c_acctbal < 0 OR c_acctbal > 5000"))
+def rule_numeric_range(spark, sf_dir):
+    return failing(customers(spark, sf_dir), rule("numeric_range", min=0, max=5000), "c_acctbal", "c_custkey")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS source_row_identifier FROM (SELECT l_orderkey, CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR) END AS pct FROM lineitem) WHERE TRY_CAST(pct AS DOUBLE) IS NULL OR TRY_CAST(pct AS DOUBLE) > 8")
+def rule_percentage_range(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.round(F.col("l_discount") * 100).cast("int").cast("string")).alias("pct"))
+    return failing(line, rule("percentage_range", min=0, max=8), "pct", "l_orderkey")
+
+
+@query(_ids(ORDERS, "o_orderkey", "o_orderdate <> '' AND (NOT regexp_full_match(o_orderdate, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') OR try_strptime(o_orderdate, '%Y-%m-%d') IS NULL)"))
+def rule_date_format(spark, sf_dir):
+    return failing(orders(spark, sf_dir), rule("date_format", format="YYYY-MM-DD"), "o_orderdate", "o_orderkey")
+
+
+@query(_ids(PLACES, "id", r"regexp_matches(city, '\b\d{5}(-\d{4})?\b') OR regexp_matches(trim(city), '(,\s*|\s+)[A-Z]{2}\s*$')"))
+def rule_city_contains_state_or_zip(spark, sf_dir):
+    return failing(places(spark, sf_dir), rule("city_ends_with_state_or_zip"), "city", "id")
+
+
+@query(_ids(PLACES, "id", r"regexp_matches(state, '\d{5}(-\d{4})?')"))
+def rule_state_field_contains_zip(spark, sf_dir):
+    return failing(places(spark, sf_dir), rule("state_field_contains_zip"), "state", "id")
+
+
+@query(_ids(PLACES, "id", "trim(state) <> '' AND lower(trim(state)) NOT IN ('ma', 'fl', 'ny', 'or')"))
+def rule_reference_value(spark, sf_dir):
+    return failing(places(spark, sf_dir), rule("reference_value", reference_dataset="us_states", reference_column="state_code"), "state", "id", zip_codes(spark))
+
+
+@query(_ids(SHIPMENTS, "l_orderkey", "ship_date < order_date"))
+def rule_column_comparison(spark, sf_dir):
+    return failing(shipments(spark, sf_dir), rule("column_comparison", left_column="order_date", operator="<=", right_column="ship_date"), None, "l_orderkey")
+
+
+@query(_ids(ORDERS, "o_orderkey", "o_orderstatus = 'F' AND trim(o_orderpriority) = ''"))
+def rule_conditional_required(spark, sf_dir):
+    return failing(orders(spark, sf_dir), rule("conditional_required", condition_column="o_orderstatus", condition_operator="==", condition_value="F", required_column="o_orderpriority"), None, "o_orderkey")
+
+
+@query(_ids(ORDERS, "o_orderkey", "o_orderdate = '' AND o_orderpriority = ''"))
+def rule_at_least_one_present(spark, sf_dir):
+    return failing(orders(spark, sf_dir), rule("at_least_one_present", columns=["o_orderdate", "o_orderpriority"]), None, "o_orderkey")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS source_row_identifier FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_returnflag <> l_linestatus")
+def rule_columns_equal(spark, sf_dir):
+    return failing(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), rule("columns_equal", columns=["l_returnflag", "l_linestatus"]), None, "l_orderkey")
+
+
+_TRIPLES = "('boston', 'ma', '02108'), ('miami', 'fl', '33101'), ('albany', 'ny', '12207'), ('salem', 'or', '97301')"
+
+
+@query(_ids(PLACES, "id", "trim(city) <> '' AND trim(state) <> '' AND (lower(city), lower(state)) NOT IN (SELECT (a, b) FROM (VALUES ('boston', 'ma'), ('miami', 'fl'), ('albany', 'ny'), ('salem', 'or')) v(a, b))"))
+def rule_reference_combination(spark, sf_dir):
+    return failing(places(spark, sf_dir), rule("reference_combination", reference_dataset="us_zip_codes", column_mapping={"city": "place_name", "state": "state_code"}), None, "id", zip_codes(spark))
+
+
+@query(_ids(PLACES, "id", f"trim(city) <> '' AND trim(state) <> '' AND trim(zip) <> '' AND (lower(city), lower(state), lower(zip)) NOT IN (SELECT (a, b, c) FROM (VALUES {_TRIPLES}) v(a, b, c))"))
+def rule_city_state_zip_reference(spark, sf_dir):
+    return failing(places(spark, sf_dir), rule("city_state_zip_reference", city_column="city", state_column="state", zip_column="zip"), None, "id", zip_codes(spark))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS rule_id, CAST(CASE WHEN count(*) < 1000000000 THEN 1 ELSE 0 END AS BIGINT) AS failed_count FROM lineitem UNION ALL SELECT 2, 0")
+def rule_minimum_row_count(spark, sf_dir):
+    return rule_counts(table(spark, sf_dir, "lineitem"), [Rule(1, rule("minimum_row_count", minimum_rows=1_000_000_000)), Rule(2, rule("minimum_row_count", minimum_rows=1))])
+
+
+@query(_ids("orders", "o_orderkey", "o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)"))
+def rule_primary_key_unique(spark, sf_dir):
+    return failing(table(spark, sf_dir, "orders"), rule("primary_key_unique", column="o_custkey"), None, "o_orderkey")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS source_row_identifier FROM lineitem JOIN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) USING (l_orderkey, l_linenumber)")
+def rule_column_combination_unique(spark, sf_dir):
+    return failing(table(spark, sf_dir, "lineitem"), rule("column_combination_unique", columns=["l_orderkey", "l_linenumber"]), None, "l_orderkey")
+
+
+# ---------------------------------------------------------------- all at once
+
+FUSED = [
+    Rule(1, rule("numeric_range", min=1, max=40), "l_quantity"),
+    Rule(2, rule("numeric_range", min=0, max=0.06), "l_tax"),
+    Rule(3, rule("allowed_values", values=["A", "R"]), "l_returnflag"),
+    Rule(4, rule("not_null"), "l_linestatus"),
+    Rule(5, rule("max_length", max_length=1), "l_returnflag"),
+    Rule(6, rule("regex", pattern="[FO]"), "l_linestatus"),
+    Rule(7, rule("column_comparison", left_column="l_tax", operator="<=", right_column="l_discount")),
+    Rule(8, rule("conditional_required", condition_column="l_returnflag", condition_operator="==", condition_value="A", required_column="l_linestatus")),
+    Rule(9, rule("at_least_one_present", columns=["l_returnflag", "l_linestatus"])),
+    Rule(10, rule("columns_equal", columns=["l_returnflag", "l_linestatus"])),
+    Rule(11, rule("minimum_row_count", minimum_rows=1)),
+    Rule(12, rule("column_combination_unique", columns=["l_orderkey", "l_linenumber"])),
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rule_counts(table(spark, sf_dir, "lineitem"), FUSED)
+
+
+@query("""
+SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(failed_count AS BIGINT) AS failed_count FROM (
+  SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS rule_id, unnest([
+    count(*) FILTER (l_quantity < 1 OR l_quantity > 40), count(*) FILTER (l_tax < 0 OR l_tax > 0.06), count(*) FILTER (l_returnflag NOT IN ('A', 'R')),
+    count(*) FILTER (l_linestatus IS NULL), count(*) FILTER (length(l_returnflag) > 1), count(*) FILTER (l_linestatus NOT IN ('F', 'O')), count(*) FILTER (l_tax > l_discount),
+    0, 0, count(*) FILTER (l_returnflag <> l_linestatus), 0]) AS failed_count FROM lineitem
+  UNION ALL SELECT 12, (SELECT sum(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE c > 1))
+""")
+def evaluate_fused(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- profiles
+
+
+def _profile_sql(name: str, columns: dict[str, str]) -> str:
+    one = "SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) - count({e}) AS BIGINT) AS null_count, CAST(count(DISTINCT {e}) AS BIGINT) AS distinct_count, min({e}) AS min_value, max({e}) AS max_value FROM {t}"
+    return " UNION ALL ".join(one.format(c=c, e=e, t=name) for c, e in columns.items())
+
+
+def _text(*names: str) -> dict[str, str]:
+    return {n: f"CAST({n} AS VARCHAR)" for n in names}
+
+
+@query(_profile_sql(CUSTOMERS + " AS t", _text("c_custkey", "c_mktsegment", "c_nationkey")))
+def profile_customer(spark, sf_dir):
+    return statistics(customers(spark, sf_dir), ["c_custkey", "c_mktsegment", "c_nationkey"])
+
+
+@query(_profile_sql("lineitem", _text("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")))
+def profile_lineitem(spark, sf_dir):
+    return statistics(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+
+
+@query(_profile_sql("documents", _text("doc_id", "lang", "source", "n_chars")))
+def profile_documents(spark, sf_dir):
+    return statistics(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "n_chars"])
+
+
+# ---------------------------------------------------------------- relationships
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS comparable, CAST(count(*) FILTER (order_date <= ship_date) AS BIGINT) AS left_first, CAST(count(*) FILTER (ship_date <= order_date) AS BIGINT) AS right_first FROM {SHIPMENTS}")
+def mine_date_order(spark, sf_dir):
+    return mine.date_order(shipments(spark, sf_dir), "order_date", "ship_date")
+
+
+@query(f"SELECT o_orderstatus AS value, CAST(count(*) AS BIGINT) AS comparable, CAST(count(*) FILTER (trim(o_orderpriority) <> '') AS BIGINT) AS passed FROM {ORDERS} GROUP BY 1 HAVING count(*) >= 25 ORDER BY 2 DESC, 1 LIMIT 25")
+def mine_conditional(spark, sf_dir):
+    return mine.conditional(orders(spark, sf_dir), "o_orderstatus", "o_orderpriority")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS comparable, CAST(count(*) FILTER (o_orderdate <> '' OR o_orderpriority <> '') AS BIGINT) AS passed FROM {ORDERS}")
+def mine_at_least_one(spark, sf_dir):
+    return mine.at_least_one(orders(spark, sf_dir), "o_orderdate", "o_orderpriority")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS comparable, CAST(count(*) FILTER (l_returnflag = l_linestatus) AS BIGINT) AS passed FROM lineitem")
+def mine_equal(spark, sf_dir):
+    return mine.equality(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_row_identifier FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def ref_anti_join(spark, sf_dir):
+    known = {"labelled": (table(spark, sf_dir, "labels").select("doc_id"), ("doc_id",))}
+    return failing(table(spark, sf_dir, "documents"), rule("reference_value", reference_dataset="labelled", reference_column="doc_id"), "doc_id", "doc_id", known)
+
+
+# ---------------------------------------------------------------- loads
+
+
+def _changed_orders(spark, sf_dir) -> DataFrame:
+    """A tenth of the orders with another status, and as many new ones."""
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    tenth = base.where("o_orderkey % 10 = 0")
+    return tenth.withColumn("o_orderstatus", F.lit("X")).unionByName(tenth.select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus")))
+
+
+_CHANGED = "(SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N' FROM orders WHERE o_orderkey % 10 = 0)"
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_CHANGED}) UNION ALL SELECT * FROM {_CHANGED}")
+def upsert_merge(spark, sf_dir):
+    return upsert(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), _changed_orders(spark, sf_dir), "o_orderkey")
+
+
+@query(f"SELECT CAST(count(*) FILTER (o.o_orderkey IS NULL) AS BIGINT) AS rows_inserted, CAST(count(*) FILTER (o.o_orderkey IS NOT NULL) AS BIGINT) AS rows_updated FROM {_CHANGED} c LEFT JOIN orders o USING (o_orderkey)")
+def upsert_load_counts(spark, sf_dir):
+    return upsert_counts(table(spark, sf_dir, "orders"), _changed_orders(spark, sf_dir), "o_orderkey")
+
+
+@query("SELECT r_regionkey, r_name, 'region.csv' AS _source_file, CAST(7 AS BIGINT) AS _load_run_id FROM region")
+def load_lineage(spark, sf_dir):
+    return with_lineage(table(spark, sf_dir, "region"), "region.csv", 7).drop("_ingested_at")
+
+
+# ---------------------------------------------------------------- reports
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """Rule results made from events: a rule for each user, some passing, some not."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "ERROR").when(F.col("value") > 20, "FAIL").otherwise("PASS")
+    return e.select(F.col("event_id").alias("result_id"), F.col("user_id").alias("rule_id"), F.concat(F.lit("set_"), (F.col("user_id") % 7).cast("string")).alias("dataset_name"), status.alias("status"), F.when(status == "FAIL", F.floor("value")).otherwise(0).cast("long").alias("failed_count"), F.col("ts").alias("checked_at"))
+
+
+RESULTS = """(SELECT event_id AS result_id, user_id AS rule_id, 'set_' || (user_id % 7) AS dataset_name, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 20 THEN 'FAIL' ELSE 'PASS' END AS status,
+  CAST(CASE WHEN event_type <> 'error' AND value > 20 THEN floor(value) ELSE 0 END AS BIGINT) AS failed_count, ts AS checked_at FROM events)"""
+LATEST = f"(SELECT * FROM {RESULTS} QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY checked_at DESC, result_id DESC) = 1)"
+
+
+def rules_table(spark, sf_dir) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("rule_id")).distinct().where("rule_id % 5 <> 0")
+    return own.select("rule_id", F.when(F.col("rule_id") % 2 == 0, "regex").otherwise("not_null").alias("rule_type"), F.when(F.col("rule_id") % 3 == 0, "retired").otherwise("approved").alias("rule_status"))
+
+
+RULES = "(SELECT DISTINCT user_id AS rule_id, CASE WHEN user_id % 2 = 0 THEN 'regex' ELSE 'not_null' END AS rule_type, CASE WHEN user_id % 3 = 0 THEN 'retired' ELSE 'approved' END AS rule_status FROM events WHERE user_id % 5 <> 0)"
+
+
+@query(f"SELECT result_id, rule_id, dataset_name, status, failed_count FROM {LATEST}")
+def latest_result_per_rule(spark, sf_dir):
+    return report.latest_results(results(spark, sf_dir)).drop("checked_at")
+
+
+_BY_STATUS = "CAST(count(*) FILTER (status = 'PASS') AS BIGINT) AS passed, CAST(count(*) FILTER (status = 'FAIL') AS BIGINT) AS failed, CAST(count(*) FILTER (status = 'ERROR') AS BIGINT) AS errors"
+
+
+@query(f"""
+WITH o AS (SELECT dataset_name, CAST(count(*) AS BIGINT) AS evaluated, {_BY_STATUS} FROM {LATEST} GROUP BY 1),
+d AS (SELECT DISTINCT dataset_name, dataset_name <> 'set_3' AS loaded FROM {RESULTS} UNION ALL SELECT 'never', TRUE),
+j AS (SELECT dataset_name, loaded, coalesce(evaluated, 0) AS evaluated, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(errors, 0) AS errors FROM d LEFT JOIN o USING (dataset_name))
+SELECT dataset_name, evaluated, passed, failed, errors, CASE WHEN evaluated > 0 THEN round(passed / evaluated * 100, 1) END AS quality_score,
+ CASE WHEN NOT loaded THEN 'Not Loaded' WHEN evaluated = 0 THEN 'Not Yet Assessed' WHEN errors > 0 THEN 'Evaluation Error' WHEN round(passed / evaluated * 100, 1) >= 95 THEN 'Healthy' WHEN round(passed / evaluated * 100, 1) >= 85 THEN 'Needs Attention' ELSE 'At Risk' END AS health FROM j
+""")
+def health_score(spark, sf_dir):
+    own = results(spark, sf_dir)
+    datasets = own.select("dataset_name").distinct().withColumn("loaded", F.col("dataset_name") != "set_3").unionByName(spark.createDataFrame([("never", True)], "dataset_name string, loaded boolean"))
+    return report.health(report.latest_results(own), datasets)
+
+
+@query(f"SELECT dataset_name, CAST(count(*) AS BIGINT) AS runs, {_BY_STATUS}, CAST(sum(failed_count) AS BIGINT) AS failed_records FROM {RESULTS} GROUP BY 1")
+def results_by_dataset(spark, sf_dir):
+    return report.results_by_dataset(results(spark, sf_dir))
+
+
+@query(f"SELECT CAST(count(DISTINCT dataset_name) AS BIGINT) AS datasets, CAST(count(*) AS BIGINT) AS runs, {_BY_STATUS}, CAST(sum(failed_count) AS BIGINT) AS failed_records FROM {RESULTS}")
+def results_totals(spark, sf_dir):
+    return report.totals(results(spark, sf_dir))
+
+
+@query(f"SELECT round(count(*) FILTER (status = 'PASS') / count(*) * 100, 2) AS all_runs_score FROM {RESULTS}")
+def all_runs_score(spark, sf_dir):
+    return report.all_runs_score(results(spark, sf_dir))
+
+
+@query(f"SELECT result_id, rule_id, dataset_name, status, failed_count FROM {RESULTS} ORDER BY checked_at DESC, result_id DESC LIMIT 25")
+def recent_results(spark, sf_dir):
+    return report.recent(results(spark, sf_dir), "checked_at", "result_id").drop("checked_at")
+
+
+@query(f"SELECT r.result_id, r.rule_id, r.dataset_name, r.status, r.failed_count, t.rule_type, t.rule_status FROM {RESULTS} r LEFT JOIN {RULES} t USING (rule_id)")
+def results_with_rules(spark, sf_dir):
+    return report.results_with_rules(results(spark, sf_dir).drop("checked_at"), rules_table(spark, sf_dir))
+
+
+@query(f"SELECT r.result_id, rule_id, r.dataset_name, r.status, r.failed_count, t.rule_type FROM {LATEST} r JOIN {RULES} t USING (rule_id) WHERE rule_status = 'approved'")
+def approved_latest_results(spark, sf_dir):
+    return report.approved_latest(results(spark, sf_dir), rules_table(spark, sf_dir)).drop("checked_at")
+
+
+def _failed(spark, sf_dir) -> DataFrame:
+    """Three failed rows for each failing result."""
+    own = results(spark, sf_dir).where("status = 'FAIL'").select("result_id", "rule_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    return own.select((F.col("result_id") * 10 + F.col("n")).alias("failed_record_id"), "result_id", "rule_id", F.concat_ws("-", F.col("rule_id").cast("string"), F.col("n").cast("string")).alias("source_row_identifier"))
+
+
+_FAILED = f"(SELECT result_id * 10 + n AS failed_record_id, result_id, rule_id, rule_id || '-' || n AS source_row_identifier FROM {RESULTS}, (SELECT unnest([1, 2, 3]) AS n) WHERE status = 'FAIL')"
+
+
+@query(f"SELECT f.failed_record_id, f.result_id, rule_id, f.source_row_identifier, r.status, t.rule_type FROM {_FAILED} f JOIN {RESULTS} r USING (result_id, rule_id) LEFT JOIN {RULES} t USING (rule_id)")
+def failed_record_trace(spark, sf_dir):
+    return report.failed_record_trace(_failed(spark, sf_dir), results(spark, sf_dir), rules_table(spark, sf_dir)).drop("checked_at")
+
+
+def _remediations(spark, sf_dir) -> DataFrame:
+    own = _failed(spark, sf_dir).where("failed_record_id % 4 = 1")
+    return own.select((F.col("failed_record_id") + 5).alias("remediation_id"), "failed_record_id", F.lit("city_contains_state").alias("issue_type"), F.when(F.col("result_id") % 2 == 0, "approved").otherwise("proposed").alias("status"))
+
+
+_REMEDIATIONS = f"(SELECT failed_record_id + 5 AS remediation_id, failed_record_id, 'city_contains_state' AS issue_type, CASE WHEN result_id % 2 = 0 THEN 'approved' ELSE 'proposed' END AS status FROM {_FAILED} WHERE failed_record_id % 4 = 1)"
+
+
+@query(f"SELECT m.remediation_id, m.failed_record_id, m.issue_type, m.status AS remediation_status, f.result_id, rule_id, f.source_row_identifier, r.dataset_name, t.rule_type FROM {_REMEDIATIONS} m JOIN {_FAILED} f USING (failed_record_id) JOIN {RESULTS} r USING (result_id, rule_id) JOIN {RULES} t USING (rule_id)")
+def remediation_queue(spark, sf_dir):
+    return report.remediation_queue(_remediations(spark, sf_dir), _failed(spark, sf_dir), results(spark, sf_dir), rules_table(spark, sf_dir))
+
+
+@query(f"SELECT status, CAST(count(*) AS BIGINT) AS n FROM {_REMEDIATIONS} GROUP BY 1")
+def remediation_by_status(spark, sf_dir):
+    return report.status_counts(_remediations(spark, sf_dir))
+
+
+@query(f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM {RULES} WHERE rule_status = 'proposed') AS proposed_rules, (SELECT CAST(count(*) AS BIGINT) FROM {_REMEDIATIONS} WHERE status = 'proposed') AS proposed_remediations, (SELECT CAST(count(*) AS BIGINT) FROM {_REMEDIATIONS} WHERE status = 'approved') AS approved_remediations, (SELECT CAST(count(*) AS BIGINT) FROM {RESULTS} WHERE status = 'ERROR') AS evaluation_errors")
+def inbox(spark, sf_dir):
+    return report.inbox(rules_table(spark, sf_dir), _remediations(spark, sf_dir), results(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- corrections
+
+_STATES = remediate.STATES
+_CITY_STATE, _CITY_ZIP, _STATE_ZIP = rf"^(.+?)[,\s]+({_STATES})\s*$", r"^(.+?)\s+(\d{5}(?:-\d{4})?)\s*$", rf"^({_STATES})[,\s-]+(\d{{5}}(?:-\d{{4}})?)\s*$"
+
+
+@query(rf"""
+SELECT id, issue_type, new_city, new_state, new_zip FROM (
+  SELECT id, CASE WHEN regexp_matches(city, '{_CITY_STATE}') AND trim(state) = '' THEN 'city_contains_state' WHEN regexp_matches(city, '{_CITY_ZIP}') AND trim(zip) = '' THEN 'city_contains_zip' WHEN regexp_matches(state, '{_STATE_ZIP}') AND trim(zip) = '' THEN 'state_contains_zip' END AS issue_type,
+   CASE issue_type WHEN 'city_contains_state' THEN rtrim(trim(regexp_extract(city, '{_CITY_STATE}', 1)), ',') WHEN 'city_contains_zip' THEN rtrim(trim(regexp_extract(city, '{_CITY_ZIP}', 1)), ',') END AS new_city,
+   CASE issue_type WHEN 'city_contains_state' THEN regexp_extract(city, '{_CITY_STATE}', 2) WHEN 'state_contains_zip' THEN regexp_extract(state, '{_STATE_ZIP}', 1) END AS new_state,
+   CASE issue_type WHEN 'city_contains_zip' THEN regexp_extract(city, '{_CITY_ZIP}', 2) WHEN 'state_contains_zip' THEN regexp_extract(state, '{_STATE_ZIP}', 2) END AS new_zip
+  FROM {PLACES} AS p) WHERE issue_type IS NOT NULL
+""")
+def remediation_split(spark, sf_dir):
+    df = places(spark, sf_dir)
+    s = F.coalesce(remediate.location_suggestion(df.columns, "city_contains_state_or_zip", "city"), remediate.location_suggestion(df.columns, "state_field_contains_zip", "state"))
+    made = df.select("id", s.alias("s")).where("s is not null")
+    value = lambda c: F.col("s.suggested_values")[c].alias(f"new_{c}")
+    return made.select("id", F.col("s.issue_type").alias("issue_type"), value("city"), value("state"), value("zip"))
+
+
+def _approved(spark, sf_dir) -> DataFrame:
+    """Two remediations for some customers, the second of which may undo the first."""
+    own = places(spark, sf_dir).where("cast(id as int) % 6 = 0")
+    first = own.select((F.col("id").cast("long") * 2).alias("remediation_id"), F.lit(1).cast("long").alias("rule_id"), F.col("id").alias("source_row_identifier"), F.create_map(F.lit("city"), F.lit("Boston"), F.lit("state"), F.lit("MA"), F.lit("unknown"), F.lit("x")).alias("suggested_values"))
+    second = own.where("cast(id as int) % 12 = 0").select((F.col("id").cast("long") * 2 + 1).alias("remediation_id"), F.lit(2).cast("long").alias("rule_id"), F.col("id").alias("source_row_identifier"), F.create_map(F.lit("city"), F.lit("Salem"), F.lit("state"), F.lit("MA")).alias("suggested_values"))
+    return first.unionByName(second)
+
+
+@query(f"SELECT id, CASE WHEN CAST(id AS INT) % 12 = 0 THEN 'Salem' WHEN CAST(id AS INT) % 6 = 0 THEN 'Boston' ELSE city END AS city, CASE WHEN CAST(id AS INT) % 6 = 0 THEN 'MA' ELSE state END AS state, zip, CAST(1 AS BIGINT) AS _dataset_version_id, id AS _raw_source_row_identifier FROM {PLACES}")
+def curated_apply(spark, sf_dir):
+    base = places(spark, sf_dir)
+    return remediate.curated(remediate.apply_changes(base, remediate.field_changes(base, _approved(spark, sf_dir), "id"), "id"), "id", 1)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM {PLACES} WHERE CAST(id AS INT) % 6 = 0), s AS (
+  SELECT CAST(id AS BIGINT) * 2 AS remediation_id, CAST(1 AS BIGINT) AS rule_id, id AS "row", 'city' AS column_name, city AS old_value, 'Boston' AS new_value FROM p
+  UNION ALL SELECT CAST(id AS BIGINT) * 2, 1, id, 'state', state, 'MA' FROM p
+  UNION ALL SELECT CAST(id AS BIGINT) * 2 + 1, 2, id, 'city', 'Boston', 'Salem' FROM p WHERE CAST(id AS INT) % 12 = 0)
+SELECT * FROM s WHERE old_value <> new_value
+""")
+def change_history(spark, sf_dir):
+    return remediate.field_changes(places(spark, sf_dir), _approved(spark, sf_dir), "id")
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
