@@ -5,10 +5,10 @@ product with itself would hold the overlap of all pairs. Only blocks of it are f
 
 1. Equal rows are one class. What follows works on classes, so a group of copies costs
    no more than one of them.
-2. By the bound on sizes, a pair that links must share one of the first few columns of
-   both rows, in any fixed order of columns. Columns that occur often come last in it.
-   A block is what shares one such column.
-3. In each block all rows meet the block's least row. Pairs pass a bound on sizes and one
+2. Two rows that link differ in at most d columns, where d follows from the bound on their
+   sizes. The columns are dealt to more than d parts, so such rows are equal in at least
+   one of them: a block is what has the same columns in one part (see _block_keys).
+3. In each block all rows meet the block's least row. Pairs pass the bound on sizes and one
    on parity bits, then their exact overlap is accumulated.
 4. Blocks whose rows aren't all in one component then meet across components, by the same
    bounds. A pair that is left out is one that components join anyway.
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import Words, fresh_path, kept, merged, mix, over_texts, row_key, signed, slices, flat
 from .graph import components
 
-MOST_HOT = 200_000  # columns known as frequent: those with more than one in so many of all entries
+MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
+EMPTY = 3  # parts that a row may lack before it is dealt anew
+CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
+DEALS = 3
+_SHORT = ("f0", "f1", "f2", "f3")
 MOST_CHOSEN = 1_000_000  # classes whose digests are sent to the scan; with more, a join selects them
 
 
@@ -77,12 +81,94 @@ def parity_lanes(bounds: np.ndarray, gram: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
 
 
+def short_parity(bounds: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """256 such bits by document, as four columns."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = np.bincount(doc * 256 + ((gram >> np.uint64(40)).astype(np.int64) & 255), minlength=256 * (len(bounds) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, 4)
+
+
 def _differing_bits(a: Column, b: Column) -> Column:
     least = F.least(F.size(a), F.size(b))
     folded = lambda x, i: F.get(x, i).bitwiseXOR(F.when(F.size(x) > least, F.get(x, i + least)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
 
 
+def _class_start(number: int) -> int:
+    """The least size in a class of sizes."""
+    at = 1
+    for _ in range(number):
+        at = max(at + 1, int(np.ceil(at * CLASS_STEP)))
+    return at
+
+
+_STARTS = np.array([_class_start(i) for i in range(60)], np.int64)
+
+
+def most_different(size: np.ndarray, percent: int) -> np.ndarray:
+    """In how many columns two linking rows can differ, the larger of ``size``:
+    (100 - p) / (100 + p) of the sum of their sizes."""
+    return (100 - percent) * 2 * size // (100 + percent)
+
+
+def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key): the blocks that each set is in, so that sets that link share one.
+
+    For each class of sizes that the larger of a pair may be in, with at most d differences,
+    a set's columns are dealt by hash to d + 2 + EMPTY parts, the frequent ones all to part
+    0; the key of each other part that isn't empty is a hash of its columns. Differences
+    spoil at most d parts and one is left out, so at least 1 + EMPTY are equal in both, and
+    one of those isn't empty unless both sets lack more than EMPTY parts. Sets that do are
+    dealt again, by other hashes and with no part left out; those that lack more than EMPTY
+    each time share a block for each of their first columns (prefix bound)."""
+    size = np.diff(bounds)
+    n = len(size)
+    every = np.repeat(np.arange(n), size)
+    frequent = np.zeros(len(gram), bool)
+    if len(hot):
+        key = signed(gram)
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        frequent = hot[at] == key
+    docs, keys = [], []
+    largest = 100 * size // percent  # of a partner
+    low = np.searchsorted(_STARTS, size, "right") - 1
+    for ahead in range(3):
+        own = low + ahead
+        ok = (size > 0) & (own < len(_STARTS) - 1)
+        own = np.minimum(own, len(_STARTS) - 2)
+        ok &= _STARTS[own] <= largest
+        end = np.minimum(_STARTS[own + 1] - 1, np.where(ahead == 0, _STARTS[own + 1] - 1, largest))
+        d = most_different(_STARTS[own + 1] - 1, percent)
+        ok &= (d > 0) & (end >= size)
+        for deal in range(DEALS):
+            if not ok.any():
+                break
+            take = ok[every]
+            doc, value = every[take], gram[take]
+            parts = (d + 1 + EMPTY + (deal == 0))[doc].astype(np.uint64)
+            h = mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (deal + 1) % 2**64))
+            part = ((h >> np.uint64(32)) * parts) >> np.uint64(32)
+            if deal == 0:
+                part = np.where(frequent[take], np.uint64(0), part)
+            order = np.lexsort((part, doc))
+            doc, part, h = doc[order], part[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            content = np.add.reduceat(mix(h), first) if len(first) else np.zeros(0, np.uint64)
+            doc, part = doc[first], part[first]
+            used = part > 0 if deal == 0 else np.ones(len(part), bool)
+            docs.append(doc[used])
+            keys.append(mix(content + part * np.uint64(0xD1342543DE82EF95) + (own[doc] * 8 + deal + 1).astype(np.uint64))[used])
+            filled = np.bincount(doc[used], minlength=n)
+            ok &= d + 1 + EMPTY - filled > EMPTY
+        if ok.any():
+            take = ok[every] & (np.arange(len(gram)) - bounds[:-1][every] <= (size - _least_shared(size, percent))[every])
+            docs.append(every[take])
+            keys.append(mix(gram[take] + (own[every[take]] * 8).astype(np.uint64)))
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(docs), signed(np.concatenate(keys))
+
+
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with any set that a set of n can link with."""
     return -(-(percent * n) // 100)
@@ -112,15 +198,15 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
 
     # rows, their classes, and which columns are frequent
-    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, n long, key long, lanes array<long>"))
-    rows = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("digest"), "lanes")
+    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, n long, key long, lanes array<long>, f0 long, f1 long, f2 long, f3 long"))
+    rows = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("digest"), "lanes", *_SHORT)
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
-    frequent = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["n"].to_numpy()))
-    classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("lanes").alias("lanes"))
+    frequent = spark.sparkContext.broadcast(hot["key"].to_numpy())
+    classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT])
 
     # blocks
-    blocks = over_texts(source.select("text"), _prefixes(k, percent, frequent), "key long, digest long")
+    blocks = over_texts(source.select("text"), _blocks(k, percent, frequent), "key long, digest long")
     mixed = blocks.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").drop("most")
     members = kept(blocks.join(mixed, "key").distinct())
 
@@ -131,9 +217,11 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # blocks that aren't one component yet meet across components
     placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = kept(placed.join(open_, "key", "left_semi"))
+    left = kept(placed.join(open_, "key", "left_semi").join(classes.drop("lanes"), "digest"))
     a, b = left.alias("a"), left.alias("b")
-    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least")))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least"))
+    bits = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in _SHORT), F.lit(0))
+    crossing = a.join(b, apart & _may_link(F.col("a.n"), F.col("b.n"), bits, percent))
     more = kept(verify(crossing.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()))
     if not more.isEmpty():
         joined = kept(components(links.unionByName(more)))
@@ -163,16 +251,17 @@ def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
                     keys, ns = ([x] for x in merged(keys, ns))
                 n_docs = text.n
                 lanes = parity_lanes(bounds, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes], _names)
+                short = [pa.array(x) for x in short_parity(bounds, gram).T.copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes, *short], _names)
         if keys:
             key, n = merged(keys, ns)
             often = (n > 1) & (n * MOST_HOT >= total)
             key, n = key[often], n[often]
             if len(key):
                 none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, pa.array(n), pa.array(key), pa.nulls(len(key), lanes.type)], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, pa.array(n), pa.array(key), pa.nulls(len(key), lanes.type), *[none] * 4], _names)
 
-    _names = ["kind", "rid", "doc_id", "n", "key", "lanes"]
+    _names = ["kind", "rid", "doc_id", "n", "key", "lanes", *_SHORT]
     return source.mapInArrow(run, schema)
 
 
@@ -186,42 +275,34 @@ def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], n
 
 
-def _prefixes(k: int, percent: int, frequent):
-    """Each document's first columns: as many as a linking row can't all lack."""
+def _blocks(k: int, percent: int, frequent):
+    """(key, digest) of the blocks of each document's class, once for each slice."""
 
     def work(part: pa.RecordBatch, text):
-        hot, often = frequent.value
         bounds, gram = shingle_sets(text, k)
-        size = np.diff(bounds)
         digest = digests(bounds, gram)
-        doc = np.repeat(np.arange(text.n), size)
-        key = signed(gram)
-        weight = np.zeros(len(key), np.int64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            weight = np.where(hot[at] == key, often[at], 0)
-            order = np.lexsort((gram, weight, doc))
-            key = key[order]
-        rank = np.arange(len(key)) - bounds[:-1][doc]
-        chosen = rank <= (size - _least_shared(size, percent))[doc]
-        both = np.stack([key[chosen], digest[doc[chosen]]], 1)
-        if text.n > 1 and len(both):
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["key", "digest"])
+        _, first = np.unique(digest, return_index=True)
+        keep = np.zeros(text.n, bool)
+        keep[first] = True
+        doc, key = _block_keys(bounds, gram, percent, frequent.value)
+        keep = keep[doc]
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(digest[doc[keep]])], ["key", "digest"])
 
     return work
 
 
+def _may_link(na: Column, nb: Column, bits: Column, percent: int) -> Column:
+    """The bounds on sizes and on bits: |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)."""
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
+
+
 def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that link."""
         meta = lambda s: classes.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("lanes").alias(f"l{s}"))
         near = pairs.join(meta("a"), "a").join(meta("b"), "b")
         bits = _differing_bits(F.col("la"), F.col("lb"))
-        both = F.col("na") + F.col("nb")
-        # |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)
-        near = kept(near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * bits <= (100 - percent) * both)).select("a", "b", "na", "nb"))
+        near = kept(near.where(_may_link(F.col("na"), F.col("nb"), bits, percent)).select("a", "b", "na", "nb"))
         chosen = near.select(F.col("a").alias("digest")).unionByName(near.select(F.col("b").alias("digest"))).distinct()
         sets = kept(_sets(source, chosen, k))
         pair = near.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
