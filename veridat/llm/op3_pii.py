@@ -51,7 +51,7 @@ class Kind:
 
 
 KINDS = (
-    Kind("email", True, lambda t: t.contains("@"), r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "mail|contact|write|address", r"@(?:[a-z0-9-]+\.)*(?:com|org|net|edu|gov|de|fr|es|uk|io)$"),
+    Kind("email", True, lambda t: t.contains("@"), r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "mail|contact|write|address", r"\.(?:com|org|net|edu|gov|de|fr|es|uk|io)$"),
     Kind("ip", True, lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), r"\bip\b|host|server|address|from", r"^(?!0|127\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"),
     Kind("card", True, lambda t: t.rlike("[0-9][ -]?[0-9]"), r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++", lambda m: _luhn(_digits(m)), "card|visa|credit|payment|pay", "^(?:4|5[1-5]|2[2-7]|34|37|35|6011|65)"),
     Kind("phone", True, lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), "tel|phone|call|fax|mobile|contact", r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"),
