@@ -131,3 +131,42 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP5_SQL = r"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark
+), it AS (
+  SELECT item_id, len(ws) AS n, least(5, len(ws)) AS k, ws FROM i WHERE len(ws) > 0
+), ig AS (
+  SELECT item_id, n, k, unnest(range(0, n - k + 1)) AS place, ws FROM it
+), igs AS (
+  SELECT item_id, n, k, place, array_to_string(ws[place + 1:place + k], ' ') AS g FROM ig
+), f AS (
+  SELECT g, 1 + ln((1.0 + (SELECT count(*) FROM it)) / (count(DISTINCT item_id) + 1)) AS weight FROM igs GROUP BY g
+), dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL
+), dg AS (
+  SELECT doc_id, k, unnest(range(0, greatest(len(ws) - k + 1, 0))) AS place, ws FROM dw, (SELECT DISTINCT k FROM it)
+), hits AS (
+  SELECT DISTINCT doc_id, dg.k, n, greatest(0, least(dg.place - igs.place, len(ws) - n)) AS start, ws FROM dg JOIN igs ON dg.k = igs.k AND array_to_string(ws[dg.place + 1:dg.place + dg.k], ' ') = g
+), wins AS (
+  SELECT doc_id, k, n, start, ws[start + 1:start + n] AS part FROM hits
+), wg AS (
+  SELECT DISTINCT doc_id, k, n, start, len(part) AS size, unnest(list_transform(range(1, len(part) - k + 2), lambda x: array_to_string(part[x:x + k - 1], ' '))) AS g FROM wins
+), weighed AS (
+  SELECT wg.*, coalesce(weight, 1 + ln(1.0 + (SELECT count(*) FROM it))) AS weight FROM wg LEFT JOIN f USING (g)
+), total AS (
+  SELECT doc_id, n, start, sum(weight) AS total FROM weighed GROUP BY ALL
+), ids AS (
+  SELECT DISTINCT item_id, n, g, weight FROM igs JOIN f USING (g)
+), itotal AS (
+  SELECT item_id, sum(weight) AS total FROM ids GROUP BY 1
+), shared AS (
+  SELECT doc_id, item_id, w.n, start, size, sum(w.weight) AS common FROM weighed AS w JOIN ids ON w.n = ids.n AND w.g = ids.g GROUP BY ALL
+), scored AS (
+  SELECT shared.*, common / (total.total + itotal.total - common) AS similarity FROM shared JOIN total USING (doc_id, n, start) JOIN itotal USING (item_id)
+)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, CAST(start + size - 1 AS BIGINT) AS last_word, round(similarity, 6) AS similarity FROM scored
+WHERE similarity >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

@@ -169,11 +169,26 @@ WITH d AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM k) WHERE c > 1
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(0, 8)) AS j) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS number FROM w
+), m AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY number) > 1 AS again,
+         length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(line, '[^|]', '', 'g')) AS pipes, length(regexp_replace(line, '[^!]', '', 'g')) AS cries,
+         length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper_case, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower_case FROM l
+), judged AS (
+  SELECT doc_id, length(array_to_string(lw, '')) AS size,
+         10 * symbols >= length(line) OR (cries >= 3 AND 3 * cries >= len(lw)) OR (upper_case >= 30 AND upper_case > 4 * lower_case AND len(lw) >= 5)
+         OR (pipes >= 1 AND 4 * pipes >= len(lw)) OR again
+         OR (len(lw) >= 6 AND 2 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) >= len(lw))
+         OR (len(lw) <= 25 AND regexp_matches(line, '(?i)PHRASES')) AS bad FROM m
+), loss AS (
+  SELECT doc_id, CAST(coalesce(sum(size) FILTER (bad), 0) AS BIGINT) AS lost_chars, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad_lines FROM judged GROUP BY doc_id
 ), base AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
-  FROM w LEFT JOIN covered USING (doc_id)
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(lost_chars, 0) AS lost_chars, coalesce(n_bad_lines, 0) AS n_bad_lines
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN loss USING (doc_id)
 )
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
-"""
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT base_failed AND 2 * lost_chars <= word_chars AS kept FROM base
+""".replace("PHRASES", "|".join(BOILERPLATE))

@@ -6,9 +6,9 @@ from .op1_language import op1_language_id
 from .op2_license import op2_license_scan
 from .op3_pii import op3_pii
 from .op4_lm_score import op4_lm_score
-from .op5_decontaminate import op5_decontaminate
-from .op6_jaccard import op6_ngram_jaccard
-from .op7_quality import op7_quality_rules
+from .op5_decontaminate import OP5_SQL, op5_decontaminate
+from .op6_jaccard import OP6_SQL, op6_ngram_jaccard
+from .op7_quality import OP7_SQL, op7_quality_rules
 
 from .op8_secrets import op8_secret_scan
 from .op9_warc import OP9_SQL, op9_warc_revisit
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_revisit": OP9_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_warc_revisit": OP9_SQL}
