@@ -249,7 +249,7 @@ SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(failed_count AS BIGINT) AS faile
     count(*) FILTER (l_quantity < 1 OR l_quantity > 40), count(*) FILTER (l_tax < 0 OR l_tax > 0.06), count(*) FILTER (l_returnflag NOT IN ('A', 'R')),
     count(*) FILTER (l_linestatus IS NULL), count(*) FILTER (length(l_returnflag) > 1), count(*) FILTER (l_linestatus NOT IN ('F', 'O')), count(*) FILTER (l_tax > l_discount),
     0, 0, count(*) FILTER (l_returnflag <> l_linestatus), 0]) AS failed_count FROM lineitem
-  UNION ALL SELECT 12, (SELECT sum(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE c > 1))
+  UNION ALL SELECT 12, (SELECT coalesce(sum(c), 0) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE c > 1))
 """)
 def evaluate_fused(spark, sf_dir):
     return flagship(spark, sf_dir)
