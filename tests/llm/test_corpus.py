@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veridat.llm import graph, op1_language, op2_license, op3_pii, op4_lm_score, op5_decontaminate, op6_jaccard, op7_quality, op8_secrets, op9_warc, op10_mixing
 from veridat.llm.common import Flat, Words, bucket
-from veridat.llm.ppm import Model, four_grams
+from veridat.llm.ppm import Model, ngrams
 
 HARD = [None, "", " \n\t ", "é", "a", "\x00\x01", "日本語 テキスト", "x " * 3000, "long" * 5000, "a b c d"]
 SPACE = re.compile("[^\x20\x09-\x0D]+")
@@ -47,25 +47,52 @@ def test_words_and_grams_equal_plain_python():
 # ---------------------------------------------------------------- 1 and 4: byte contexts
 
 
+def _code_length(texts, text, order, kept):
+    """Escape method C with exclusion, from counts in dictionaries."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in texts:
+        s = [256] * order + list(t.encode()) + [256]
+        for i in range(order, len(s)):
+            for o in range(order + 1):
+                counts[tuple(s[i - o : i])][s[i]] += 1
+    s = [256] * order + list(text.encode()) + [256]
+    bits = 0.0
+    for i in range(order, len(s)):
+        excluded, p = set(), 1.0
+        o = next(o for o in range(order, -1, -1) if all(j == 0 or kept(sum(counts[tuple(s[i - j : i])].values())) for j in range(o + 1)))
+        for j in range(o, -1, -1):
+            open_ = {x: c for x, c in counts[tuple(s[i - j : i])].items() if x not in excluded}
+            if not open_:
+                continue
+            weight = sum(open_.values()) + len(open_)
+            if s[i] in open_:
+                p *= open_[s[i]] / weight
+                break
+            p *= len(open_) / weight
+            excluded |= set(open_)
+        else:
+            p /= 257 - len(excluded)
+        bits -= math.log2(p)
+    return bits
+
+
+@pytest.mark.parametrize("order", [1, 3, 5, 6])
+def test_code_lengths_equal_a_plain_model(order):
+    texts = ["abracadabra", "abra", "", "cad é abrac", "banana bandana"]
+    total = sum(len(t.encode()) + 1 for t in texts)
+    model = Model([ngrams(flat_of(texts), order)], order, most=20)
+    asked = [*texts, "zzzz", "abrab", "日本"]
+    got = model.bits(flat_of(asked))[:, 0]
+    want = [_code_length(texts, t, order, lambda n: n >= 2 and n * 20 >= total) for t in asked]
+    assert np.allclose(got, want, rtol=1e-4)
+
+
 def test_model_is_a_probability():
-    grams = four_grams(flat_of(["abracadabra", "abra", "cad é"]))
-    model = Model([grams])
+    model = Model([ngrams(flat_of(["abracadabra", "abra", "cad é"]), 4)], 4)
     total = np.exp2(-model.table.reshape(model.nodes, model.width).astype(float))
     unseen = 257 - (model.width - 1)
     assert np.allclose(total[:, :-1].sum(1) + unseen * total[:, -1], 1, atol=1e-5)
-    bits = model.bits(flat_of(["abra", "zzzz", ""]))[:, 0]
-    assert bits[0] < bits[1] and bits[2] > 0
-
-
-def test_exclusion_by_hand():
-    # after "a" only "b" (twice) was seen; "c" escapes to order 0 where "b" is excluded
-    text = flat_of(["abab"])
-    model = Model([four_grams(text)])
-    order0 = {"a": 2, "b": 2, "end": 1}
-    node = model.where[(model.dense[97] * 1 + 0) * 0 + 0]
-    assert node >= 0 and sum(order0.values()) == 5
-    # P(b | end end a): one symbol seen once in that context: 1 / (1 + 1), or in a shorter one if it isn't kept
-    assert 0 < model.bits(text)[0, 0] < 5 * math.log2(257)
+    assert np.allclose(Model([], 3).bits(flat_of(["ab", ""]))[:, 0], [3 * np.log2(257), np.log2(257)], rtol=1e-5)
 
 
 def test_language_is_learned_from_labelled_rows_only(spark, docs_of):

@@ -16,6 +16,7 @@ from .common import bucket, over_texts
 from .ppm import Model, gram_counts
 
 UNKNOWN = "und"
+ORDER = 3
 
 
 def train(labelled: DataFrame, docs_per_language: int = 1500) -> tuple[list[str], Model]:
@@ -28,10 +29,10 @@ def train(labelled: DataFrame, docs_per_language: int = 1500) -> tuple[list[str]
         return [], Model([])
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, docs_per_language / n) * 1_000_000)))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
-    found = gram_counts(chosen, "lang").toArrow()  # bounded, as the sample is
+    found = gram_counts(chosen, "lang", ORDER).toArrow()  # bounded, as the sample is
     langs = sorted(set(found["label"].unique().to_pylist()))
     by = [found.filter(pc.equal(found["label"], x)) for x in langs]
-    return langs, Model([(x["gram"].to_numpy(), x["n"].to_numpy()) for x in by])
+    return langs, Model([(x["gram"].to_numpy(), x["n"].to_numpy()) for x in by], ORDER, max(200, 90_000 // max(1, len(by))))
 
 
 def identify(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:

@@ -1,12 +1,11 @@
 """Prediction by partial matching over bytes with frozen statistics.
 
-The context tree has the contexts of up to three bytes. Its statistics come from
-Spark jobs that count byte 4-grams; a text begins after three boundary symbols and
-ends with one, so the probabilities of all texts sum to one. A frozen tree is
-compiled into a table: for each kept context, the exact code length of each symbol by
-escape method C (escape weight: the number of distinct symbols) with exclusion of the
-symbols that longer contexts have seen. A context that isn't kept counts as its
-longest kept suffix (variable order).
+The context tree has the contexts of up to ``order`` bytes. Its statistics come from Spark
+jobs that count byte n-grams; a text begins after boundary symbols and ends with one, so the
+probabilities of all texts sum to one. A frozen tree is compiled into a table: for each kept
+context, the exact code length of each symbol by escape method C (escape weight: the number
+of distinct symbols) with exclusion of the symbols that longer contexts have seen. A context
+that isn't kept counts as its longest kept suffix (variable order).
 """
 
 from __future__ import annotations
@@ -18,65 +17,69 @@ from pyspark.sql import functions as F
 
 from .common import Flat, flat, merged, slices
 
-ORDER = 3
 END = 256  # the boundary symbol
 SYMBOLS = 257
 BITS = 9
 _MASK = (1 << BITS) - 1
 DROPPED = _MASK  # stands for the far bytes of a context that was too light to be kept
+LONGEST = 6  # n-grams of 7 symbols still fit 63 bits
+_DENSE = 3  # contexts up to here are found by one table, longer ones byte by byte
 
 
-def stream(text: Flat) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols with boundaries between documents; where each document's first symbol is.
+def stream(text: Flat, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with ``order`` boundaries between documents; where each document begins.
 
-    Predicted are the symbols from begin[i] to begin[i + 1] - ORDER (excluded), the
+    Predicted are the symbols from begin[i] to begin[i + 1] - order (included), the
     document's bytes and one boundary."""
-    out = np.full(len(text.data) + ORDER * (text.n + 1), END, np.uint16)
+    out = np.full(len(text.data) + order * (text.n + 1), END, np.uint16)
     doc = np.repeat(np.arange(1, text.n + 1, dtype=np.int64), text.lens)
-    out[np.arange(len(text.data)) + ORDER * doc] = text.data
-    return out, text.offs + ORDER * np.arange(1, text.n + 2)
+    out[np.arange(len(text.data)) + order * doc] = text.data
+    return out, text.offs + order * np.arange(1, text.n + 2)
 
 
-def _predicted(begin: np.ndarray, size: int) -> np.ndarray:
+def _predicted(begin: np.ndarray, size: int, order: int) -> np.ndarray:
     skip = np.zeros(size, bool)
-    skip[:ORDER] = True
-    for j in range(1, ORDER):
-        skip[begin[1:] - ORDER + j] = True
+    skip[:order] = True
+    for j in range(1, order):
+        skip[begin[1:] - order + j] = True
     return np.flatnonzero(~skip)
 
 
-def four_grams(text: Flat) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) codes of a slice with their counts."""
-    s, begin = stream(text)
+def ngrams(text: Flat, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) codes of a slice, BITS for each symbol, with their counts."""
+    s, begin = stream(text, order)
     present = np.flatnonzero(np.bincount(s, minlength=SYMBOLS))
     k = len(present)
-    dense = np.zeros(SYMBOLS, np.uint32)
+    kind = np.uint32 if k ** (order + 1) < 2**32 else np.uint64
+    dense = np.zeros(SYMBOLS, kind)
     dense[present] = np.arange(k)
     d = dense[s]
-    at = _predicted(begin, len(s))
-    code = ((d[at - 3] * np.uint32(k) + d[at - 2]) * np.uint32(k) + d[at - 1]) * np.uint32(k) + d[at]  # k <= 256, as UTF-8 never has all bytes
+    at = _predicted(begin, len(s), order)
+    code = d[at - order]
+    for j in range(order - 1, -1, -1):
+        code = code * kind(k) + d[at - j]
     code.sort()
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     n = np.diff(np.append(first, len(code)))
     code, gram = code[first].astype(np.int64), np.zeros(len(first), np.int64)
-    for j in range(ORDER + 1):
+    for j in range(order + 1):
         gram |= present[code % k].astype(np.int64) << (BITS * j)
         code //= k
     return gram, n
 
 
-def gram_counts(df: DataFrame, label: str | None) -> DataFrame:
+def gram_counts(df: DataFrame, label: str, order: int) -> DataFrame:
     """(label, gram, n) over all texts of ``df``, merged in each partition before the shuffle."""
 
     def run(batches):
         held: dict[object, tuple[list, list]] = {}
         for batch in batches:
             for part in slices(batch):
-                labels = part.column(1).to_pylist() if label else [None] * part.num_rows
+                labels = part.column(1).to_pylist()
                 for value in dict.fromkeys(labels):
                     own = part.column(0).take(pa.array([i for i, x in enumerate(labels) if x == value]))
                     keys, ns = held.setdefault(value, ([], []))
-                    gram, n = four_grams(flat(own))
+                    gram, n = ngrams(flat(own), order)
                     keys.append(gram)
                     ns.append(n)
                     if sum(map(len, keys)) > 1_000_000:
@@ -87,74 +90,76 @@ def gram_counts(df: DataFrame, label: str | None) -> DataFrame:
                 g = gram[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([value] * len(g), pa.string()), pa.array(g), pa.array(n[at : at + 100_000])], ["label", "gram", "n"])
 
-    columns = [F.col("text")] + ([F.col(label)] if label else [])
-    rows = df.select(*columns).mapInArrow(run, "label string, gram long, n long")
+    rows = df.select("text", label).mapInArrow(run, "label string, gram long, n long")
     return rows.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
+def _context(gram: np.ndarray, order: int) -> np.ndarray:
+    return (gram >> BITS) & ((1 << (BITS * order)) - 1)
+
+
 class Model:
-    """Frozen trees of some labels, compiled. table[node * width + symbol, label]: bits."""
+    """Frozen trees of some labels, compiled. table[node * width + symbol, label]: bits.
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], max_cells: int = 12_000_000):
+    ``most`` bounds the contexts of each length: kept are those that hold at least one in
+    ``most`` of all symbols."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int = 3, most: int = 30_000):
+        self.order = order
         every = np.concatenate([g for g, _ in grams]) if grams else np.zeros(0, np.int64)
-        seen = np.unique(np.concatenate([(every >> (BITS * j)) & _MASK for j in range(ORDER + 1)] + [np.array([END])]))
+        seen = np.unique(np.concatenate([(every >> (BITS * j)) & _MASK for j in range(order + 1)] + [np.array([END])]))
         seen = seen[seen <= END]
         self.width = w = len(seen) + 1  # the last one: a byte that was never seen
         self.dense = np.full(SYMBOLS, w - 1, np.int32)
         self.dense[seen] = np.arange(len(seen))
-        labels = max(1, len(grams))
-        most = max(64, max_cells // (w * labels))
-        kept, total = [], sum(int(n.sum()) for _, n in grams)
-        for order in range(1, ORDER + 1):
-            ctx = np.concatenate([(g >> BITS) & ((1 << (BITS * order)) - 1) for g, _ in grams]) if grams else every
-            keys, ns = merged([ctx], [np.concatenate([n for _, n in grams])]) if grams else (every, every)
-            whole = (keys >> (BITS * (order - 1))) <= END
-            good = np.flatnonzero((ns >= 2) & (ns * most >= total) & whole)  # at most ``most`` contexts can be as heavy
-            kept.append(keys[good])
-        self.nodes = 1 + sum(map(len, kept))
-        base = np.cumsum([1] + [len(k) for k in kept])
-        rows = [np.zeros(1, np.int64), *kept]
-        table = np.empty((self.nodes, w, labels), np.float32)
+        total = sum(int(n.sum()) for _, n in grams)
+        rows = [np.zeros(1, np.int64)]
+        for o in range(1, order + 1):
+            keys, ns = merged([_context(g, o) for g, _ in grams], [n for _, n in grams])
+            # a kept context's suffix is kept too, so a longer one is found from it
+            whole = ((keys >> (BITS * (o - 1))) & _MASK) <= END
+            kept = _find(rows[o - 1], keys & ((1 << (BITS * (o - 1))) - 1))[1]
+            rows.append(keys[(ns >= 2) & (ns * most >= total) & whole & kept])
+        self.nodes = sum(map(len, rows))
+        base = np.cumsum([0] + [len(r) for r in rows])
+        table = np.full((self.nodes, w, max(1, len(grams))), np.log2(SYMBOLS), np.float32)
         for j, (g, n) in enumerate(grams):
-            counts = [self._dense_counts(g, n, order, rows[order]) for order in range(ORDER + 1)]
-            for order in range(ORDER + 1):
-                at = 0 if order == 0 else base[order - 1]
-                for lo in range(0, len(rows[order]), 4096):
-                    part = rows[order][lo : lo + 4096]
-                    table[at + lo : at + lo + len(part), :, j] = self._bits(part, order, lo, counts, rows)
-        if not grams:
-            table[:] = np.log2(SYMBOLS)
-        self.table = table.reshape(self.nodes * w, labels)
+            counts = [self._counts(g, n, o, rows[o]) for o in range(order + 1)]
+            for o in range(order + 1):
+                for lo in range(0, len(rows[o]), 2048):
+                    part = rows[o][lo : lo + 2048]
+                    table[base[o] + lo : base[o] + lo + len(part), :, j] = self._bits(part, o, lo, counts, rows)
+        self.table = table.reshape(self.nodes * w, -1)
+        # nodes of short contexts by their symbols, then children by the byte before
         self.where = np.zeros(w, np.int32)
-        for order in range(1, ORDER + 1):
-            if order > 1:
+        for o in range(1, min(order, _DENSE) + 1):
+            if o > 1:
                 self.where = np.tile(self.where, w)
-            code = np.zeros(len(kept[order - 1]), np.int64)
-            for p in reversed(range(order)):
-                code = code * w + self.dense[(kept[order - 1] >> (BITS * p)) & _MASK]
-            self.where[code] = base[order - 1] + np.arange(len(code))
-
-    def _dense_counts(self, g, n, order, rows) -> np.ndarray:
+            code = np.zeros(len(rows[o]), np.int64)
+            for p in reversed(range(o)):
+                code = code * w + self.dense[(rows[o] >> (BITS * p)) & _MASK]
+            self.where[code] = base[o] + np.arange(len(code))
+        self.children = []
+        for o in range(_DENSE + 1, order + 1):
+            child = np.full(len(rows[o - 1]) * w, -1, np.int32)
+            parent, _ = _find(rows[o - 1], rows[o] & ((1 << (BITS * (o - 1))) - 1))
+            child[parent * w + self.dense[rows[o] >> (BITS * (o - 1))]] = base[o] + np.arange(len(rows[o]))
+            self.children.append((int(base[o - 1]), int(base[o]), child))
+
+    def _counts(self, g, n, order, rows) -> np.ndarray:
         """Counts of the symbols after each context of ``rows``."""
-        out = np.zeros((len(rows), self.width), np.float64)
-        ctx = (g >> BITS) & ((1 << (BITS * order)) - 1)
-        at = np.minimum(np.searchsorted(rows, ctx), max(0, len(rows) - 1))
-        ok = rows[at] == ctx if len(rows) else np.zeros(len(ctx), bool)
-        np.add.at(out, (at[ok], self.dense[g[ok] & _MASK]), n[ok])
-        return out
+        out = np.zeros(len(rows) * self.width, np.float32)
+        at, ok = _find(rows, _context(g, order))
+        out += np.bincount(at[ok] * self.width + self.dense[g[ok] & _MASK], weights=n[ok], minlength=len(out))
+        return out.reshape(len(rows), self.width)
 
     def _bits(self, part, order, lo, counts, rows) -> np.ndarray:
         prob = np.zeros((len(part), self.width))
         out = np.zeros((len(part), self.width), bool)  # excluded symbols
         escape = np.ones((len(part), 1))
         for o in range(order, -1, -1):
-            if o == order:
-                c = counts[o][lo : lo + len(part)]
-            else:
-                ctx = part & ((1 << (BITS * o)) - 1)
-                at = np.minimum(np.searchsorted(rows[o], ctx), max(0, len(rows[o]) - 1))
-                ok = rows[o][at] == ctx if len(rows[o]) else np.zeros(len(ctx), bool)
-                c = np.where(ok[:, None], counts[o][at], 0.0) if len(rows[o]) else np.zeros_like(prob)
+            at, _ = _find(rows[o], part & ((1 << (BITS * o)) - 1))
+            c = counts[o][at]
             open_ = np.where(out, 0.0, c)
             total, kinds = open_.sum(1, keepdims=True), (open_ > 0).sum(1, keepdims=True)
             weight = np.maximum(total + kinds, 1)
@@ -167,12 +172,28 @@ class Model:
 
     def bits(self, text: Flat) -> np.ndarray:
         """Code length of each document under each label."""
-        s, begin = stream(text)
+        if not text.n:
+            return np.zeros((0, self.table.shape[1]))
+        order, w = self.order, self.width
+        s, begin = stream(text, order)
         d = self.dense[s]
-        at = _predicted(begin, len(s))
-        w = self.width
-        code = d[:-1].astype(np.int32)
-        ctx = (code[:-2] * w + code[1:-1]) * w + code[2:]
-        where = self.where[ctx[at - ORDER]] * np.int64(w) + d[at]
-        first = begin[:-1] - ORDER - (ORDER - 1) * np.arange(text.n)
-        return np.stack([np.add.reduceat(self.table[where, j].astype(np.float64), first) for j in range(self.table.shape[1])], 1) if text.n else np.zeros((0, self.table.shape[1]))
+        at = _predicted(begin, len(s), order)
+        code = np.zeros(len(at), np.int32)
+        for j in range(min(order, _DENSE), 0, -1):
+            code = code * w + d[at - j]
+        node = self.where[code]
+        for j, (lo, hi, child) in enumerate(self.children):
+            deep = np.flatnonzero((node >= lo) & (node < hi))
+            found = child[(node[deep] - lo) * np.int64(w) + d[at[deep] - (_DENSE + 1 + j)]]
+            node[deep] = np.where(found >= 0, found, node[deep])
+        cell = node * np.int64(w) + d[at]
+        first = begin[:-1] - order - (order - 1) * np.arange(text.n)
+        return np.stack([np.add.reduceat(self.table[cell, j].astype(np.float64), first) for j in range(self.table.shape[1])], 1)
+
+
+def _find(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in sorted rows, and whether they are there."""
+    if not len(rows):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(rows, keys), len(rows) - 1)
+    return at, rows[at] == keys
