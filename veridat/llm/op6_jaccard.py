@@ -25,7 +25,7 @@ from .common import Words, fresh_path, kept, merged, mix, over_texts, row_key, s
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
-EMPTY = 3  # parts that a row may lack before it is dealt anew
+EMPTY, SPARE = 3, 16  # parts that a row may lack before it is dealt anew: three and one in so many of d
 CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
 DEALS = 3
 _SHORT = ("f0", "f1", "f2", "f3")
@@ -115,12 +115,12 @@ def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndar
     """(document, key): the blocks that each set is in, so that sets that link share one.
 
     For each class of sizes that the larger of a pair may be in, with at most d differences,
-    a set's columns are dealt by hash to d + 2 + EMPTY parts, the frequent ones all to part
-    0; the key of each other part that isn't empty is a hash of its columns. Differences
-    spoil at most d parts and one is left out, so at least 1 + EMPTY are equal in both, and
-    one of those isn't empty unless both sets lack more than EMPTY parts. Sets that do are
-    dealt again, by other hashes and with no part left out; those that lack more than EMPTY
-    each time share a block for each of their first columns (prefix bound)."""
+    a set's columns are dealt by hash to d + 2 + e parts, the frequent ones all to part 0; the
+    key of each other part that isn't empty is a hash of its columns. Differences spoil at
+    most d parts and one is left out, so at least 1 + e are equal in both, and one of those
+    isn't empty unless both sets lack more than e parts. Sets that do are dealt again, by
+    other hashes and with no part left out; those that lack more than e each time share a
+    block for each of their first columns (prefix bound). e = EMPTY + d / SPARE."""
     size = np.diff(bounds)
     n = len(size)
     every = np.repeat(np.arange(n), size)
@@ -140,12 +140,13 @@ def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndar
         end = np.minimum(_STARTS[own + 1] - 1, np.where(ahead == 0, _STARTS[own + 1] - 1, largest))
         d = most_different(_STARTS[own + 1] - 1, percent)
         ok &= (d > 0) & (end >= size)
+        lack = EMPTY + d // SPARE
         for deal in range(DEALS):
             if not ok.any():
                 break
             take = ok[every]
             doc, value = every[take], gram[take]
-            parts = (d + 1 + EMPTY + (deal == 0))[doc].astype(np.uint64)
+            parts = (d + 1 + lack + (deal == 0))[doc].astype(np.uint64)
             h = mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (deal + 1) % 2**64))
             part = ((h >> np.uint64(32)) * parts) >> np.uint64(32)
             if deal == 0:
@@ -159,7 +160,7 @@ def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndar
             docs.append(doc[used])
             keys.append(mix(content + part * np.uint64(0xD1342543DE82EF95) + (own[doc] * 8 + deal + 1).astype(np.uint64))[used])
             filled = np.bincount(doc[used], minlength=n)
-            ok &= d + 1 + EMPTY - filled > EMPTY
+            ok &= d + 1 + lack - filled > lack
         if ok.any():
             take = ok[every] & (np.arange(len(gram)) - bounds[:-1][every] <= (size - _least_shared(size, percent))[every])
             docs.append(every[take])
