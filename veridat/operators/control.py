@@ -88,3 +88,41 @@ def results_of(evaluation: Evaluation, first_id: int, run_id: int | None = None,
 def rule_row(rule_id: int, dataset: str, definition: dict, scope: str, column: str | None, targets: list[str], generated_by: str, run_id: int | None = None) -> tuple:
     kind = {"llm": "llm_generated", "system": "system_generated"}.get(generated_by, definition["executable_rule"]["type"])
     return (rule_id, dataset, column, kind, scope, targets, json.dumps(definition), generated_by, run_id)
+
+
+DATASETS = "dataset_name string, source_type string, source_file string, table_name string, primary_key string, load_mode string, active boolean"
+PROFILES = "dataset_name string, column_name string, row_count long, null_count long, null_percent double, distinct_count long, inferred_type string, sample_values array<string>, min_value string, max_value string"
+LOAD_RUNS = "load_run_id long, dataset_name string, mode string, status string, rows_read long, rows_inserted long, rows_updated long, duration_seconds double, finished_at timestamp, details string"
+
+
+def merge_rows(store, table: str, rows: DataFrame, key: str) -> None:
+    """Rows of a small control table, by key: those that are there are replaced."""
+    if store.exists(table):
+        rows = store.read(table).join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
+    store.write(table, rows)
+
+
+def register_dataset(store, dataset) -> None:
+    row = (dataset.name, dataset.source_type, dataset.source_file, dataset.table or dataset.name, dataset.primary_key, dataset.load_mode, dataset.active)
+    merge_rows(store, "control_dataset", store.spark.createDataFrame([row], DATASETS), "dataset_name")
+
+
+def save_profiles(store, profiles: list[dict]) -> None:
+    """The profiles of a table in place of those it had."""
+    names = [c.split()[0] for c in PROFILES.split(", ")]
+    merge_rows(store, "control_profile", store.spark.createDataFrame([tuple(p.get(n) for n in names) for p in profiles], PROFILES), "dataset_name")
+
+
+def record_load(store, summary, status: str = "completed", details: str | None = None) -> None:
+    row = (summary.load_run_id, summary.dataset_name, summary.mode, status, summary.rows_read, summary.rows_inserted, summary.rows_updated, float(summary.duration_seconds), datetime.datetime.now(datetime.UTC), details)
+    merge_rows(store, "control_load_run", store.spark.createDataFrame([row], LOAD_RUNS), "load_run_id")
+
+
+def record_results(store, evaluation: Evaluation, run_id: int | None = None) -> tuple[int, int]:
+    """Writes failed records, then results; returns the first id and the number of results.
+    Readers go from results to failures, so a write that broke off leaves nothing visible."""
+    first = next_id(store.read("dq_result"), "result_id") if store.exists("dq_result") else 1
+    results, failed = results_of(evaluation, first, run_id)
+    store.append("dq_failed_record", failed)
+    store.append("dq_result", results)
+    return first, evaluation.results.count()
