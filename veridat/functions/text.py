@@ -50,9 +50,9 @@ def full_match(column: Column, pattern: str) -> Column:
 def date(column: Column, formats=DATE_FORMATS) -> Column:
     """The first of ``formats`` that the trimmed value matches as a whole and that is a day
     of the calendar. Months and days may have one digit, as in strptime."""
-    s = strip(column)
-    value = F.when(~s.isin(*NULL_WORDS), s)
-    return F.coalesce(*[_dated(value, f) for f in formats])
+    # an array of one binds the trimmed value, which else is computed anew for each format
+    parsed = lambda s: F.coalesce(*[_dated(s, f) for f in formats])
+    return F.transform(F.array(strip(column)), parsed)[0]
 
 
 def supported_format(fmt: str) -> bool:
@@ -64,20 +64,31 @@ def supported_format(fmt: str) -> bool:
 
 def dated(column: Column, fmt: str) -> Column:
     """The trimmed value parsed by one format, named or in strptime's notation."""
-    return _dated(strip(column), NAMED_FORMATS.get(fmt, fmt))
+    return F.transform(F.array(strip(column)), lambda s: _dated(s, NAMED_FORMATS.get(fmt, fmt)))[0]
+
+
+_JAVA = {"%Y": "yyyy", "%m": "M", "%d": "d"}
 
 
 def _dated(value: Column, fmt: str) -> Column:
-    order, pattern, at = [], "", 0
+    order, pattern, java, at = [], "", "", 0
     for m in re.finditer("%.", fmt):
-        pattern += re.escape(fmt[at : m.start()]) + _PART[m[0]]
+        between = fmt[at : m.start()]
+        pattern += re.escape(between) + _PART[m[0]]
+        java += between + _JAVA.get(m[0], "?")
         order.append(m[0])
         at = m.end()
     pattern = rf"\A(?:{pattern}{re.escape(fmt[at:])})\z"
+    valid = value.rlike(pattern)
+    if set(order) == set(_JAVA) and fmt in ("%m/%d/%Y", "%Y-%m-%d", "%m-%d-%Y"):
+        return F.when(valid, F.try_to_date(value, java))
     part = lambda p: F.regexp_extract(value, pattern, order.index(p) + 1)
     year = part("%Y") if "%Y" in order else F.lit("1900")
     if "%y" in order:
         year = F.concat(F.when(part("%y") >= "69", "19").otherwise("20"), part("%y"))
     month = part("%m") if "%m" in order else F.lit("1")
     day = part("%d") if "%d" in order else F.lit("1")
-    return F.when(value.rlike(pattern) & (year != "0000"), F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+    found = F.when(valid & (year != "0000"), F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+    if fmt in ("%m%d%Y", "%Y%m%d"):  # eight digits are the common case and need no parts
+        return F.when(value.rlike(r"\A[0-9]{8}\z"), F.try_to_date(value, fmt.replace("%Y", "yyyy").replace("%m", "MM").replace("%d", "dd"))).when(F.length(value) < 8, found)
+    return found

@@ -132,9 +132,9 @@ def column_comparison(df, name, p, shares: dict | None = None) -> Plan:
     else:
         if df.schema[left].dataType != df.schema[right].dataType:
             a, b = a.cast("string"), b.cast("string")
-    both = a.isNotNull() & b.isNotNull()
-    fails = both & ~_COMPARE[p["operator"]](a, b)
-    return Plan([left, right], _false(fails if ignore else fails | ~both), extras={"comparable_count": both})
+    # null where either is null, so that each side is computed once
+    fails = F.coalesce(~_COMPARE[p["operator"]](a, b), F.lit(not ignore))
+    return Plan([left, right], fails, extras={"comparable_count": a.isNotNull() & b.isNotNull()})
 
 
 def _numeric(df: DataFrame, name: str, shares: dict | None) -> bool:
