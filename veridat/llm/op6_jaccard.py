@@ -10,8 +10,9 @@ product with itself would hold the overlap of all pairs. Only blocks of it are f
    one of them: a block is what has the same columns in one part (see _block_keys).
 3. In each block all rows meet the block's least row. Pairs pass the bound on sizes and one
    on parity bits, then their exact overlap is accumulated.
-4. Blocks whose rows aren't all in one component then meet across components, by the same
-   bounds. A pair that is left out is one that components join anyway.
+4. While blocks that aren't one component yet are large, all their rows meet a few more
+   leaders of other components, chosen by hashes. Then the blocks that are left meet across
+   components, by the same bounds. A pair that is left out is one that components join anyway.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MOST_HOT = 500_000  # columns known as frequent: those with more than one in so
 EMPTY, SPARE = 3, 16  # parts that a row may lack before it is dealt anew: three and one in so many of d
 CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
 DEALS = 3
+LEADERS, ROUNDS = 4, 5
+LARGE = 10  # pairs for each row of a block, from which on leaders come first
 _SHORT = ("f0", "f1", "f2", "f3")
 MOST_CHOSEN = 1_000_000  # classes whose digests are sent to the scan; with more, a join selects them
 
@@ -215,17 +218,35 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = kept(verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()))
     joined = kept(components(links))
 
+    tested = None
+    for turn in range(ROUNDS + 1):
+        placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
+        open_ = kept(open_.select("key", "size"))
+        size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
+            break
+        wide = kept(placed.join(open_.where(F.col("size") > 2 * LARGE), "key"))
+        lead = wide.groupBy("key").agg(*[F.min_by(F.struct("digest", "component"), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
+        lead = lead.select("key", F.explode(F.array_distinct(F.array(*[f"x{i}" for i in range(LEADERS)]))).alias("x"))
+        met = wide.join(lead, "key").where(F.col("component") != F.col("x.component")).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
+        met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        tested = met if tested is None else tested.unionByName(met)
+        found_links = kept(verify(met))
+        if found_links.isEmpty():
+            break
+        # what is joined already counts as one link for each node
+        joined = kept(components(found_links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
     # blocks that aren't one component yet meet across components
-    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = kept(placed.join(open_, "key", "left_semi").join(classes.drop("lanes"), "digest"))
+    left = kept(placed.join(open_.select("key"), "key", "left_semi").join(classes.drop("lanes"), "digest"))
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least"))
     bits = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in _SHORT), F.lit(0))
     crossing = a.join(b, apart & _may_link(F.col("a.n"), F.col("b.n"), bits, percent))
     more = kept(verify(crossing.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()))
     if not more.isEmpty():
-        joined = kept(components(links.unionByName(more)))
+        joined = kept(components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
     placed = rows.join(joined, F.col("digest") == F.col("node"), "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "digest").alias("component"))
     own = placed.where("n_shingles > 0")
