@@ -29,7 +29,7 @@ MOST_HOT = 500_000  # columns known as frequent: those with more than one in so
 EMPTY, SPARE = 3, 16  # parts that a row may lack before it is dealt anew: three and one in so many of d
 CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
 DEALS = 3
-LEADERS, ROUNDS = 4, 5
+LEADERS, ROUNDS, WORTH = 8, 2, 0.05
 LARGE = 10  # pairs for each row of a block, from which on leaders come first
 _SHORT = ("f0", "f1", "f2", "f3")
 MOST_CHOSEN = 1_000_000  # classes whose digests are sent to the scan; with more, a join selects them
@@ -233,12 +233,17 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
         found_links = kept(verify(met))
-        if found_links.isEmpty():
+        many = found_links.count()
+        if not many:
             break
         # what is joined already counts as one link for each node
         joined = kept(components(found_links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        if many < WORTH * met.count():
+            break  # most pairs don't link, so leaders no longer save much
 
     # blocks that aren't one component yet meet across components
+    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = kept(placed.join(open_.select("key"), "key", "left_semi").join(classes.drop("lanes"), "digest"))
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least"))
