@@ -97,6 +97,10 @@ def _differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
 
 
+def _short_bits(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _SHORT), F.lit(0))
+
+
 def _class_start(number: int) -> int:
     """The least size in a class of sizes."""
     at = 1
@@ -218,6 +222,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = kept(verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()))
     joined = kept(components(links))
 
+    short = classes.drop("lanes")
     tested = None
     for turn in range(ROUNDS + 1):
         placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
@@ -226,10 +231,10 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
         if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
             break
-        wide = kept(placed.join(open_.where(F.col("size") > 2 * LARGE), "key"))
-        lead = wide.groupBy("key").agg(*[F.min_by(F.struct("digest", "component"), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
+        wide = kept(placed.join(open_.where(F.col("size") > 2 * LARGE), "key").join(short, "digest"))
+        lead = wide.groupBy("key").agg(*[F.min_by(F.struct("digest", "component", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
         lead = lead.select("key", F.explode(F.array_distinct(F.array(*[f"x{i}" for i in range(LEADERS)]))).alias("x"))
-        met = wide.join(lead, "key").where(F.col("component") != F.col("x.component")).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
+        met = wide.join(lead, "key").where((F.col("component") != F.col("x.component")) & _may_link(F.col("n"), F.col("x.n"), _short_bits("", "x."), percent)).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
         met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
         found_links = kept(verify(met))
@@ -244,11 +249,10 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # blocks that aren't one component yet meet across components
     placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = kept(placed.join(open_.select("key"), "key", "left_semi").join(classes.drop("lanes"), "digest"))
+    left = kept(placed.join(open_.select("key"), "key", "left_semi").join(short, "digest"))
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least"))
-    bits = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in _SHORT), F.lit(0))
-    crossing = a.join(b, apart & _may_link(F.col("a.n"), F.col("b.n"), bits, percent))
+    crossing = a.join(b, apart & _may_link(F.col("a.n"), F.col("b.n"), _short_bits("a.", "b."), percent))
     more = kept(verify(crossing.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()))
     if not more.isEmpty():
         joined = kept(components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
