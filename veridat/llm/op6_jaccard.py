@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fresh_path, kept, merged, mix, over_texts, row_key, signed, slices, flat
+from .common import Words, kept, merged, mix, row_key, signed, slices, flat
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
@@ -32,7 +32,7 @@ DEALS = 3
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
 LARGE = 10  # pairs for each row of a block, from which on leaders come first
 _SHORT = ("f0", "f1", "f2", "f3")
-MOST_CHOSEN = 1_000_000  # classes whose digests are sent to the scan; with more, a join selects them
+MOST_CHOSEN = 1_000_000  # texts or rows whose keys are sent to the scan; with more, a join by shuffle selects them
 
 
 def shingle_sets(text, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,19 +202,19 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    source = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    source = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"))
     spark = docs.sparkSession
 
     # rows, their classes, and which columns are frequent
-    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, n long, key long, lanes array<long>, f0 long, f1 long, f2 long, f3 long"))
-    rows = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("digest"), "lanes", *_SHORT)
+    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, content long, n long, key long, lanes array<long>, f0 long, f1 long, f2 long, f3 long"))
+    rows = found.where("kind = 0").select("rid", "doc_id", "content", "n", F.col("key").alias("digest"), "lanes", *_SHORT)
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
     frequent = spark.sparkContext.broadcast(hot["key"].to_numpy())
-    classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT])
+    classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("content").alias("content"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT])
 
     # blocks
-    blocks = over_texts(source.select("text"), _blocks(k, percent, frequent), "key long, digest long")
+    blocks = source.select("text").mapInArrow(_blocks(k, percent, frequent), "key long, digest long").repartition("key")
     mixed = blocks.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").drop("most")
     members = kept(blocks.join(mixed, "key").distinct())
 
@@ -222,7 +222,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = kept(verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()))
     joined = kept(components(links))
 
-    short = classes.drop("lanes")
+    short = classes.drop("lanes", "content")
     tested = None
     for turn in range(ROUNDS + 1):
         placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
@@ -283,16 +283,16 @@ def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
                 n_docs = text.n
                 lanes = parity_lanes(bounds, gram)
                 short = [pa.array(x) for x in short_parity(bounds, gram).T.copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes, *short], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes, *short], _names)
         if keys:
             key, n = merged(keys, ns)
             often = (n > 1) & (n * MOST_HOT >= total)
             key, n = key[often], n[often]
             if len(key):
                 none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, pa.array(n), pa.array(key), pa.nulls(len(key), lanes.type), *[none] * 4], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), pa.nulls(len(key), lanes.type), *[none] * 4], _names)
 
-    _names = ["kind", "rid", "doc_id", "n", "key", "lanes", *_SHORT]
+    _names = ["kind", "rid", "doc_id", "content", "n", "key", "lanes", *_SHORT]
     return source.mapInArrow(run, schema)
 
 
@@ -307,19 +307,22 @@ def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(k: int, percent: int, frequent):
-    """(key, digest) of the blocks of each document's class, once for each slice."""
+    """(key, digest) of the blocks of each document's class, once for each task: what many
+    copies send to a block grows with the tasks, not with the copies."""
 
-    def work(part: pa.RecordBatch, text):
-        bounds, gram = shingle_sets(text, k)
-        digest = digests(bounds, gram)
-        _, first = np.unique(digest, return_index=True)
-        keep = np.zeros(text.n, bool)
-        keep[first] = True
-        doc, key = _block_keys(bounds, gram, percent, frequent.value)
-        keep = keep[doc]
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(digest[doc[keep]])], ["key", "digest"])
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                text = flat(part.column(0))
+                bounds, gram = shingle_sets(text, k)
+                digest = digests(bounds, gram)
+                keep = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
+                doc, key = _block_keys(bounds, gram, percent, frequent.value)
+                keep = keep[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(digest[doc[keep]])], ["key", "digest"])
 
-    return work
+    return run
 
 
 def _may_link(na: Column, nb: Column, bits: Column, percent: int) -> Column:
@@ -335,7 +338,7 @@ def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int):
         bits = _differing_bits(F.col("la"), F.col("lb"))
         near = kept(near.where(_may_link(F.col("na"), F.col("nb"), bits, percent)).select("a", "b", "na", "nb"))
         chosen = near.select(F.col("a").alias("digest")).unionByName(near.select(F.col("b").alias("digest"))).distinct()
-        sets = kept(_sets(source, chosen, k))
+        sets = kept(_sets(source, chosen.join(classes.select("digest", "content"), "digest"), k))
         pair = near.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
         overlap = F.size(F.array_intersect("sa", "sb"))
         return pair.where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
@@ -344,33 +347,26 @@ def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int):
 
 
 def _sets(source: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(digest, shingles) of the chosen classes, once each."""
-    chosen = kept(chosen)
-    few = chosen.count() <= MOST_CHOSEN
-    wanted = source.sparkSession.sparkContext.broadcast(np.sort(chosen.toArrow()["digest"].to_numpy())) if few else None
+    """(digest, shingles) of the chosen classes (digest, content), once each. Each class gives
+    the hash of one of its texts, so that only such texts are cut into shingles again; others
+    with that hash by chance give sets that no class asks for."""
+    content = kept(chosen.select("content").distinct())
+    texts = source.join(F.broadcast(content) if content.count() <= MOST_CHOSEN else content, "content", "left_semi").select("text")
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                text = flat(part.column(0))
-                bounds, gram = shingle_sets(text, k)
+                bounds, gram = shingle_sets(flat(part.column(0)), k)
                 digest = digests(bounds, gram)
-                take = np.diff(bounds) > 0
-                if wanted is not None:
-                    own = wanted.value
-                    at = np.minimum(np.searchsorted(own, digest), max(0, len(own) - 1))
-                    take &= (own[at] == digest) if len(own) else False
-                rows = [i for i in np.flatnonzero(take) if digest[i] not in seen and not seen.add(digest[i])]
+                size = np.diff(bounds)
+                rows = [i for i in np.flatnonzero(size) if digest[i] not in seen and not seen.add(digest[i])]
                 if rows:
-                    offs = np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])]).astype(np.int32)
+                    offs = np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int32)
                     values = np.concatenate([signed(gram[bounds[i] : bounds[i + 1]]) for i in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["digest", "shingles"])
 
-    sets = source.select("text").mapInArrow(run, "digest long, shingles array<long>")
-    if not few:
-        sets = sets.join(chosen, "digest", "left_semi")
-    return sets.dropDuplicates(["digest"])
+    return texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
 def op6_ngram_jaccard(spark, sf_dir) -> DataFrame:
