@@ -318,7 +318,9 @@ def test_sets_that_link_share_a_block():
     assert linked > 300
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
