@@ -129,6 +129,18 @@ def test_word_scores_equal_brute_force(spark, docs_of):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in empty)
 
 
+@pytest.mark.parametrize(("most", "held"), [(3, 20), (3, 2_000_000), (60_000, 1)])
+def test_byte_scores_keep_all_contexts_seen_twice(docs_of, monkeypatch, most, held):
+    monkeypatch.setattr(op4_lm_score, "HEAVY_GRAMS", held, raising=False)
+    rng = random.Random(21)
+    docs = docs_of(list(enumerate(["", "é", None, "zq", *[prose(rng, "abra cadabra banana rare é axe".split(), rng.randrange(1, 15)) for _ in range(25)]])))
+    train = docs.where("doc_id % 3 > 0")
+    texts = [r.text or "" for r in train.collect()]
+    want = {r.doc_id: -_code_length(texts, r.text or "", op4_lm_score.ORDER, lambda n: n >= 2) * math.log10(2) for r in docs.collect()}
+    found = {r.doc_id: r.score for r in op4_lm_score.score(docs, train, max_contexts=most).collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-4 * -want[i] for i in want)
+
+
 # ---------------------------------------------------------------- 2
 
 

@@ -122,6 +122,7 @@ class Model:
             rows.append(keys[(ns >= 2) & (ns * most >= total) & whole & kept])
         self.nodes = sum(map(len, rows))
         base = np.cumsum([0] + [len(r) for r in rows])
+        self.deepest, self.longest = int(base[order]), rows[order]
         table = np.full((self.nodes, w, max(1, len(grams))), np.log2(SYMBOLS), np.float32)
         for j, (g, n) in enumerate(grams):
             counts = [self._counts(g, n, o, rows[o]) for o in range(order + 1)]
@@ -154,26 +155,10 @@ class Model:
         return out.reshape(len(rows), self.width)
 
     def _bits(self, part, order, lo, counts, rows) -> np.ndarray:
-        prob = np.zeros((len(part), self.width))
-        out = np.zeros((len(part), self.width), bool)  # excluded symbols
-        escape = np.ones((len(part), 1))
-        for o in range(order, -1, -1):
-            at, _ = _find(rows[o], part & ((1 << (BITS * o)) - 1))
-            c = counts[o][at]
-            open_ = np.where(out, 0.0, c)
-            total, kinds = open_.sum(1, keepdims=True), (open_ > 0).sum(1, keepdims=True)
-            weight = np.maximum(total + kinds, 1)
-            prob += escape * open_ / weight
-            escape = np.where(kinds > 0, escape * kinds / weight, escape)
-            out |= c > 0
-        left = SYMBOLS - out.sum(1, keepdims=True)
-        prob += np.where(out, 0.0, escape / np.maximum(left, 1))
-        return -np.log2(np.maximum(prob, 1e-30))
+        return _code_bits((counts[o][_find(rows[o], part & ((1 << (BITS * o)) - 1))[0]] for o in range(order, -1, -1)), len(part), self.width)
 
-    def bits(self, text: Flat) -> np.ndarray:
-        """Code length of each document under each label."""
-        if not text.n:
-            return np.zeros((0, self.table.shape[1]))
+    def _placed(self, text: Flat):
+        """Symbols, places of the predicted ones, their nodes and cells, and the first one of each document."""
         order, w = self.order, self.width
         s, begin = stream(text, order)
         d = self.dense[s]
@@ -188,8 +173,102 @@ class Model:
             node[deep] = np.where(found >= 0, found, node[deep])
         cell = node * np.int64(w) + d[at]
         first = begin[:-1] - order - (order - 1) * np.arange(text.n)
+        return s, at, node, cell, first
+
+    def bits(self, text: Flat) -> np.ndarray:
+        """Code length of each document under each label."""
+        if not text.n:
+            return np.zeros((0, self.table.shape[1]))
+        *_, cell, first = self._placed(text)
         return np.stack([np.add.reduceat(self.table[cell, j].astype(np.float64), first) for j in range(self.table.shape[1])], 1)
 
+    def holds(self, gram: np.ndarray) -> np.ndarray:
+        """Whether the whole context of each gram is kept."""
+        return _find(self.longest, gram >> BITS)[1]
+
+    def whole(self, text: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code length by document, under the first label, of the symbols whose context of
+        ``order`` bytes is kept; (document, gram) of all others."""
+        if not text.n:
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        s, at, node, cell, first = self._placed(text)
+        deep = node >= self.deepest
+        bits = np.add.reduceat(np.where(deep, self.table[cell, 0].astype(np.float64), 0.0), first)
+        doc = np.repeat(np.arange(text.n), np.diff(np.append(first, len(at))))[~deep]
+        gram = np.zeros(len(doc), np.int64)
+        for j in range(self.order + 1):
+            gram |= s[at[~deep] - j].astype(np.int64) << (BITS * j)
+        return bits, doc, gram
+
+
+class Counts:
+    """All contexts of one length, sorted, with the symbols that were seen after each."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.gram, self.n = merged([gram], [n])
+        context = self.gram >> BITS
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
+        self.rows, self.first = context[first], np.append(first, len(context))
+        self.total = np.add.reduceat(self.n, first) if len(first) else self.n
+
+    def after(self, contexts: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(contexts), width), np.float32)
+        if len(self.rows):
+            at, ok = _find(self.rows, contexts)
+            size = np.where(ok, self.first[at + 1] - self.first[at], 0)
+            row = np.repeat(np.arange(len(contexts)), size)
+            entry = np.arange(len(row)) + (self.first[at] - np.cumsum(size) + size)[row]
+            out[row, place[self.gram[entry] & _MASK]] = self.n[entry]
+        return out
+
+
+def tables(gram: np.ndarray, n: np.ndarray, orders: range) -> list[Counts]:
+    return [Counts(gram & ((1 << (BITS * (o + 1))) - 1), n) for o in orders]
+
+
+def code_lengths(counts: list[Counts], asked: np.ndarray) -> np.ndarray:
+    """Bits of each asked gram under the contexts of ``counts`` (by length) that hold two at
+    least; a lighter context counts as its suffix."""
+    seen = counts[0].gram & _MASK
+    place, width = np.full(SYMBOLS, len(seen), np.int64), len(seen) + 1
+    place[seen] = np.arange(len(seen))
+    out = np.zeros(len(asked))
+    left = np.arange(len(asked))
+    for o in range(len(counts) - 1, -1, -1):
+        context = (asked[left] >> BITS) & ((1 << (BITS * o)) - 1)
+        here = np.ones(len(left), bool)
+        if o:
+            at, here = _find(counts[o].rows, context)
+            here[here] = counts[o].total[at[here]] >= 2
+        own, left = left[here], left[~here]
+        nodes, node = np.unique(context[here], return_inverse=True)
+        order = np.argsort(node, kind="stable")
+        own, node = own[order], node[order]
+        for lo in range(0, len(nodes), 2048):
+            part = nodes[lo : lo + 2048]
+            bits = _code_bits((counts[x].after(part & ((1 << (BITS * x)) - 1), place, width) for x in range(o, -1, -1)), len(part), width)
+            a, b = np.searchsorted(node, [lo, lo + 2048])
+            out[own[a:b]] = bits[node[a:b] - lo, place[asked[own[a:b]] & _MASK]]
+    return out
+
+
+def _code_bits(counts, n: int, width: int) -> np.ndarray:
+    """Code length of each symbol after ``n`` contexts, from the counts of each context and
+    then of its suffixes, the longest first."""
+    prob = np.zeros((n, width))
+    out = np.zeros((n, width), bool)  # excluded symbols
+    escape = np.ones((n, 1))
+    for c in counts:
+        open_ = np.where(out, 0.0, c)
+        total, kinds = open_.sum(1, keepdims=True), (open_ > 0).sum(1, keepdims=True)
+        weight = np.maximum(total + kinds, 1)
+        prob += escape * open_ / weight
+        escape = np.where(kinds > 0, escape * kinds / weight, escape)
+        out |= c > 0
+    left = SYMBOLS - out.sum(1, keepdims=True)
+    prob += np.where(out, 0.0, escape / np.maximum(left, 1))
+    return -np.log2(np.maximum(prob, 1e-30))
+
 
 def _find(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of keys in sorted rows, and whether they are there."""
