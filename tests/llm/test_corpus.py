@@ -505,6 +505,31 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 
+def test_pipeline_drops_near_copies_at_its_own_limits(spark, docs_of):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}x{i}" for i in range(100)]
+        rows.append((10 * g, " ".join(base)))
+        for n in (1, 2, 3, 4):
+            w = list(base)
+            for at in rng.sample(range(6, 94, 6), n):
+                w[at] = f"changed{g}n{n}a{at}"
+            rows.append((10 * g + n, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    component = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                component = [component[j] if c == component[i] else c for c in component]
+    want = {min(rows[i][0] for i, c in enumerate(component) if c == x) for x in component}
+    assert {10 * g for g in range(12)} < want and not {10 * g + 2 for g in range(12)} & want
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs_of(rows), "").collect()} == want
+
+
 @pytest.mark.parametrize("name", ["documents", "pages"])
 def test_queries_are_registered(name):
     import __spark_entry__
