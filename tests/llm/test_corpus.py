@@ -248,6 +248,17 @@ def test_benchmark_passages_equal_brute_force(spark, docs_of):
     assert op5_decontaminate.find(docs, benchmark.limit(0)).count() == 0 and op5_decontaminate.find(docs.limit(0), benchmark).count() == 0
 
 
+def test_passages_in_another_order_are_found(spark, docs_of):
+    rng = random.Random(23)
+    item = [f"i{n}" for n in range(100)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    around = lambda: [f"f{rng.randrange(10**6)}" for _ in range(80)]
+    docs = docs_of([(1, " ".join(around() + item[50:] + item[:50] + around())), (2, " ".join(around() + item[50:] + around())), (3, " ".join(item[50:] + item[:50]))])
+    found = {r.doc_id: r for r in op5_decontaminate.find(docs, benchmark).collect()}
+    assert set(found) == {1, 3} and found[1].first_word == 80 and abs(found[1].similarity - 92 / (96 + 4 * (1 + math.log(2)))) < 1e-5
+    assert {r.doc_id for r in op5_decontaminate.clean(docs, benchmark).collect()} == {2}
+
+
 def test_blocks_find_all_fingerprints_in_the_radius(spark):
     rng = random.Random(6)
     pairs = []

@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash over windows of an item's size.
 
-Built-in functions only. Windows lie where a text shares a word shingle with some item: a
-window that shares none has similarity zero with all. Each window's weighted SimHash meets
+Built-in functions only. Windows lie wherever the shingles that a text shares with the items of
+a size weigh enough for the similarity asked, in whatever order they stand. Each window's weighted SimHash meets
 those of the items of its size by a multi-index: 64 bits fall into RADIUS + 1 blocks, and
 two fingerprints within RADIUS bits agree on one block at least. Pairs that are within the
 radius are verified by exact weighted-shingle similarity.
@@ -9,7 +9,7 @@ radius are verified by exact weighted-shingle similarity.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
@@ -83,19 +83,32 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     item_weights = item_rows.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("shingle", "weight"))).alias("weights"))
     known = kept(item_prints.join(item_weights, "item_id"))
 
-    # windows: where a text's shingle is an item's
+    # windows: all starts from which the shared shingles of a size weigh enough. A similarity is at
+    # most their weight over the item's, so starts below the least item's share match nothing.
     key = F.xxhash64("doc_id", "text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     worded = texts.select(key.alias("key"), _words(F.col("text")).alias("words"))
     anchors = None
     for w in widths:
-        places = worded.select("key", F.posexplode(_shingles(F.col("words"), w)).alias("at", "shingle"))
-        own = each.where(F.col("width") == w).select("shingle", "size", "width", "place").distinct()
-        hit = places.join(sent(own), "shingle").select("key", "size", "width", (F.col("at") - F.col("place")).alias("start"))
+        places = worded.select("key", F.size("words").alias("length"), F.posexplode(_shingles(F.col("words"), w)).alias("at", "shingle"))
+        own = each.where(F.col("width") == w).select("shingle", "size", "width").distinct().join(sent(weights), "shingle")
+        hit = places.join(sent(own), "shingle").select("key", "size", "width", "length", "at", "weight")
         anchors = hit if anchors is None else anchors.unionByName(hit)
     if anchors is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, last_word long, similarity double")
-    wanted = kept(anchors.distinct().groupBy("key").agg(F.collect_list(F.struct("size", "width", "start")).alias("windows")))
+    ahead = F.col("size") - F.col("width")
+    # a shingle counts for the starts from at - ahead to at; rows with equal texts have equal places
+    changes = anchors.dropDuplicates(["key", "size", "at"]).select(
+        "key", "size", "width", "length", F.explode(F.array(F.struct((F.col("at") - ahead).alias("at"), F.col("weight")), F.struct((F.col("at") + 1).alias("at"), (-F.col("weight")).alias("weight")))).alias("x")
+    )
+    steps = changes.groupBy("key", "size", "width", "length", F.col("x.at").alias("at")).agg(F.sum("x.weight").alias("weight"))
+    along = Window.partitionBy("key", "size").orderBy("at")
+    ranges = steps.withColumn("shared", F.sum("weight").over(along)).withColumn("to", F.lead("at").over(along) - 1)
+    least = item_prints.groupBy("size").agg((F.min("total") * similarity - 1e-6).alias("least"))
+    first, last = F.greatest(F.col("at"), F.lit(0)), F.least(F.col("to"), F.greatest(F.col("length") - F.col("size"), F.lit(0)))
+    heavy = ranges.join(sent(least), "size").where((F.col("shared") >= F.col("least")) & (first <= last))
+    starts = heavy.select("key", "size", "width", F.explode(F.sequence(first, last)).alias("start"))
+    wanted = kept(starts.groupBy("key").agg(F.collect_list(F.struct("size", "width", "start")).alias("windows")))
     chosen = F.broadcast(wanted) if wanted.count() <= MOST_WINDOWED else wanted
 
     # whole windows of those texts, each with its distinct shingles
