@@ -82,6 +82,15 @@ def test_versions_are_immutable(spark, tmp_path):
         remediate.apply_version(store, "twice", spark.createDataFrame([], schema), "id")
 
 
+def test_all_applied_remediations_are_listed(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(10_050)
+    store.write("many", rows.select(F.col("id").cast("string").alias("id"), F.lit("a").alias("v")))
+    approved = rows.select(F.col("id").alias("remediation_id"), F.lit(1).cast("long").alias("rule_id"), F.col("id").cast("string").alias("source_row_identifier"), F.create_map(F.lit("v"), F.lit("b")).alias("suggested_values"))
+    done = remediate.apply_version(store, "many", approved, "id")
+    assert done["applied"] == list(range(10_050)) and done["changes"] == 10_050
+
+
 def test_health_states(spark):
     import datetime
 

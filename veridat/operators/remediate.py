@@ -139,5 +139,5 @@ def apply_version(store, table: str, approved: DataFrame, primary_key: str) -> d
     written = store.read(f"{table}__history").where(F.col("dataset_version_id") == number)
     path = store.write(name, curated(apply_changes(base, written, primary_key), primary_key, number))
     store.append(f"{table}__lineage", lineage)
-    applied = [r[0] for r in written.select("remediation_id").distinct().orderBy("remediation_id").limit(10_000).collect()]
+    applied = [r[0] for r in written.select("remediation_id").distinct().orderBy("remediation_id").collect()]
     return {"version": number, "name": version_name(table, number), "path": path, "applied": applied, "changes": written.count(), "rows": store.read(name).count()}
