@@ -66,8 +66,8 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     A shingle weighs 1 + log((1 + items) / (1 + items that have it)), so what many items
     share counts less; similarity is the weight of the common shingles over that of all.
     Windows are clipped at a text's ends. Null and empty texts and items match nothing;
-    rows with equal ids count as one document with several texts; the first of equally
-    similar windows counts."""
+    rows with equal ids count as one document with several texts; of equally similar
+    windows the first aligned one counts, else the first."""
     items = kept(items_table(benchmark, width))
     widths = [r[0] for r in items.select("width").distinct().collect()]  # five values at most
     number = items.count()
@@ -115,11 +115,11 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     source = texts.select(key.alias("key"), "doc_id", _words(F.col("text")).alias("words")).join(chosen, "key")
     length = F.size("words")
     begin = F.greatest(F.lit(0), F.least(F.col("w.start"), length - F.col("w.size")))
-    cut = source.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", F.col("w.size").alias("size"), F.col("w.width").alias("width"), begin.alias("start"), F.slice("words", begin + 1, F.least(length, F.col("w.size"))).alias("inside")).where(F.size("inside") >= F.col("width"))
+    cut = source.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", F.col("w.size").alias("size"), F.col("w.width").alias("width"), begin.alias("start"), F.slice("words", begin + 1, F.least(length, F.col("w.size"))).alias("inside"), (begin >= length - F.col("w.size")).alias("edge")).where(F.size("inside") >= F.col("width"))
     grams = F.lit(None).cast("array<bigint>")
     for w in widths:
         grams = F.when(F.col("width") == w, _shingles(F.col("inside"), w)).otherwise(grams)
-    windows = kept(cut.select("doc_id", "size", "start", F.size("inside").alias("words"), F.array_distinct(grams).alias("grams")).withColumn("window", F.xxhash64("doc_id", "size", "start", "grams")).dropDuplicates(["window"]))
+    windows = kept(cut.select("doc_id", "size", "start", F.size("inside").alias("words"), F.array_distinct(grams).alias("grams"), grams.alias("places"), "edge").withColumn("window", F.xxhash64("doc_id", "size", "start", "grams")).dropDuplicates(["window"]))
 
     rows = windows.select("window", F.explode("grams").alias("shingle")).join(sent(weights), "shingle", "left").withColumn("weight", F.coalesce("weight", heaviest))
     prints = _fingerprints(rows, ["window"]).join(windows, "window")
@@ -128,10 +128,12 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     met = indexed.join(sent(item_index), ["size", "block"])
     near = met.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("window", "item_id").distinct()
 
-    pair = near.join(prints.select("window", "doc_id", "start", "words", "grams", "total"), "window").join(sent(known.select("item_id", "weights", F.col("total").alias("item_total"))), "item_id")
+    pair = near.join(prints.select("window", "doc_id", "start", "words", "grams", "total", "places", "edge"), "window").join(sent(known.select("item_id", "weights", F.col("total").alias("item_total"))), "item_id").join(sent(items.select("item_id", F.col("grams").alias("item_places"))), "item_id")
     common = F.aggregate(F.array_intersect("grams", F.map_keys("weights")), F.lit(0.0), lambda a, s: a + F.col("weights")[s])
     scored = pair.withColumn("common", common).withColumn("similarity", F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))).where(F.col("similarity") >= similarity - 1e-9)
-    best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "words")).alias("b"))
+    # of equally similar windows, first those that have a shingle at the item's place or end with the text
+    aligned = F.col("edge") | F.coalesce(F.exists(F.zip_with("places", "item_places", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x), F.lit(False))
+    best = scored.withColumn("aligned", aligned).groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), (~F.col("aligned")).alias("off"), "start", "words")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("first_word"), (F.col("b.start") + F.col("b.words") - 1).cast("long").alias("last_word"), F.round(-F.col("b.s"), 6).alias("similarity"))
 
 
