@@ -8,6 +8,7 @@ slice (or by the longest single text).
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _GRAM = 0xD1342543DE82EF95
+LONG = 256  # bytes
+_LAST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -34,12 +37,18 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, whose
+    executors are this machine, gets a temporary one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="veridat-")
+        if current.isDefined():
+            folder = current.get()
+        elif sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="veridat-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
@@ -55,13 +64,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, name: str = "kept") -> DataFrame:
+    """As ``kept``, in columns: plans over it read those they need."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key for each row in a column ``name``, so repeated or null ids stay apart.
+
+    The rows are written with their keys: two plans over the result agree on them, which
+    two plans that number the rows anew needn't do after a join or a shuffle."""
+    return written(df.withColumn(name, row_key()), "numbered")
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of a value as text, modulo ``modulus``; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
 def row_key() -> Column:
-    """A key for each input row, so repeated or null ids stay apart."""
+    """A key for each row within one plan; see ``numbered`` for one that plans share."""
     return F.monotonically_increasing_id()
 
 
@@ -128,19 +166,6 @@ def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch, Flat], pa.RecordBa
 
 # ---------------------------------------------------------------- words
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 2 * SLICE_BYTES)
-        for name, base in (("up", _PRIME), ("down", pow(_PRIME, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that all bits depend on all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -194,10 +219,29 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power(len(data) + 1)
-    pre = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=pre[1:])
-    return mix((pre[ends] - pre[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_GRAM))
+    """64-bit hashes of spans of bytes: lanes of eight bytes, each mixed with what came
+    before; spans beyond LONG bytes by BLAKE2b."""
+    size = ends - starts
+    out = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_GRAM)
+    wide = np.zeros(len(data) // 8 + 2, "<u8")
+    wide.view(np.uint8)[: len(data)] = data
+    at, whole = np.flatnonzero(size <= LONG), len(starts)
+    done = 0
+    while len(at):
+        place = starts[at] + done
+        base, shift = place >> 3, ((place & 7) << 3).astype(np.uint64)
+        lane = (wide[base] >> shift) | ((wide[base + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        lane &= _LAST[np.minimum(size[at] - done, 8)]
+        value = mix((out[at] ^ lane) * np.uint64(_PRIME) + np.uint64(done))
+        if len(at) == whole:
+            out = value
+        else:
+            out[at] = value
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hash(words: list[str]) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bucket, counted, flat, kept, merged, over_texts, row_key, signed, slices
+from .common import Words, bucket, counted, flat, kept, merged, numbered, over_texts, signed, slices
 from .ppm import BITS, DROPPED, Model, code_lengths, ngrams, tables
 
 HEAVY = 200_000
@@ -85,7 +85,7 @@ def score(docs: DataFrame, train: DataFrame, max_contexts: int = 60_000) -> Data
     end_n = total.n and words.where(F.col("key") == _END_WORD).agg(F.sum("n")).first()[0] or 0
     model = spark.sparkContext.broadcast((heavy["key"].to_numpy(), heavy["cost"].to_numpy()))
 
-    source = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    source = numbered(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), "rid").select("rid", "text", "doc_id")
     head = "head struct<doc_id: long, n_tokens: long, known: long, cost: long>"
 
     def work(part: pa.RecordBatch, text):
