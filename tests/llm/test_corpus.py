@@ -1,7 +1,6 @@
 """The corpus operators against brute force, on small hostile inputs."""
 
 import collections
-import hashlib
 import math
 import random
 import re
@@ -11,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veridat.llm import graph, op1_language, op2_license, op3_pii, op4_lm_score, op5_decontaminate, op6_jaccard, op7_quality, op8_secrets, op9_warc, op10_mixing
+from veridat.llm import graph, op1_language, op2_license, op3_pii, op4_lm_score, op5_decontaminate, op6_jaccard, op7_quality, op8_secrets, op10_mixing
 from veridat.llm.common import Flat, Words, bucket
 from veridat.llm.ppm import Model, ngrams
 
@@ -434,25 +433,6 @@ def test_decoding_is_exact():
             assert got[a:b].tolist() == _full_viterbi(field, feats[a:b])
 
 
-# ---------------------------------------------------------------- 9
-
-
-def test_archives_round_trip(spark, tmp_path):
-    big = "<p>\r\n\r\nWARC/1.1 é</p>" * 20
-    rows = [(5, "http://a/ b\r\n", big), (3, "http://c", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (4, "u", None), (7, "u", ""), (8, "u", big + "x"), (3, "http://c", big), (None, "u", "q")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
-    op9_warc.write_archives(op9_warc.resolve(pages), str(tmp_path / "w"), "2026-01-01T00:00:00Z", records_per_file=3)
-    raw = op9_warc.read_archives(spark, str(tmp_path / "w"))
-    found = op9_warc.restore(raw).collect()
-    assert len(found) == len(rows)
-    digest = hashlib.sha256(big.encode()).hexdigest()
-    same = [r for r in found if r.payload_digest == digest]
-    assert sorted((r.record_type, r.page_id, r.refers_to) for r in same) == [("response", 3, None), ("revisit", 3, 3), ("revisit", 5, 3), ("revisit", 9, 3)]
-    assert {r.payload_bytes for r in same} == {len(big.encode())}
-    assert all(r.record_type == "response" for r in found if r.payload_bytes < 100)
-    assert sorted(r.html for r in raw.where("record_type = 'response'").collect()) == sorted([big, "small", "small", "", "", big + "x", "q"])
-
-
 # ---------------------------------------------------------------- 10
 
 

@@ -1,9 +1,9 @@
 """WARC archives with revisit records.
 
-Headers are shuffled by payload digest; each group of equal payloads has one response,
-and the others become revisit records that refer to it. The archives are written as text
-files whose record separator is WARC's own, so Spark's committed writers and any Hadoop
-store serve them; they are read back by the lengths that their headers give.
+Headers are grouped by payload digest; each group of equal payloads has one response, and
+the others become revisit records that refer to it. Every record is a gzip member of its
+own, and Spark's committed text writer writes the members. Archives are read back member by
+member, and revisit records are joined with the responses that they refer to.
 """
 
 from __future__ import annotations
@@ -11,136 +11,255 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, kept
+from .common import fresh_path, numbered, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MOST_GROUPS = 200_000  # of a digest and an id each, about 20 MB
-_SEPARATOR = "\r\n\r\n"
+MOST_GROUPS = 200_000  # of a digest, an id and an address each: sent to all executors up to here
+HOT = 2_000  # beyond it, groups with more than one in so many of all rows are still sent, so none is one task's
+SALTS = 1009
+_MEMBER = 15 << 20  # bytes of a gzip member: below 16 MiB the last byte of its length is zero
+_CHUNK = 1 << 14
 _EOL = "\r\n"
 
 
 def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, refers_to) for each row.
+    """(page_id, url, html, payload_bytes, payload_digest, row, first) for each row.
 
     Of rows with equal payloads of at least ``least_bytes``, the one with the smallest
-    page_id is the response (``refers_to`` null). A null html is an empty payload. Rows
-    that repeat a page_id and its payload keep one response among them; the others refer
-    to it. Groups are found on headers only; the least id is taken before the shuffle."""
+    page_id is the response (``first`` null); the others have it as ``first`` (page_id, row,
+    url). A null html is an empty payload. Null ids come after all others. Rows that repeat a
+    page_id and its payload keep one response among them; the others refer to it. No rows
+    give no rows; further columns are left out.
+
+    Rows are numbered and written once, so both sides of the join agree on them. Groups are
+    found on headers only; the least id is taken before the shuffle."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    full = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("rid"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest")
+    full = numbered(
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest")),
+        "row",
     )
-    first = full.groupBy("payload_digest").agg(F.min(F.struct("page_id", "rid")).alias("first"), F.count("*").alias("copies")).where((F.col("copies") > 1)).select("payload_digest", "first")
-    first = kept(first)
-    # payloads don't move while the groups are few enough to send to all executors
-    known = full.join(F.broadcast(first) if first.count() <= MOST_GROUPS else first, "payload_digest", "left")
-    same = F.col("first").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~((F.col("first.rid") == F.col("rid")))
-    return known.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(same, F.col("first.page_id")).alias("refers_to"))
+    heads = full.where(F.col("payload_bytes") >= least_bytes)
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "url"))
+    groups = written(heads.groupBy("payload_digest").agg(least.alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", F.struct("first.page_id", "first.row", "first.url").alias("first"), "copies"))
+    if groups.count() <= MOST_GROUPS:  # payloads don't move
+        known = full.join(F.broadcast(groups.drop("copies")), "payload_digest", "left")
+    else:
+        rows = heads.count()
+        often = groups.where(F.col("copies") * HOT >= rows).select("payload_digest", F.col("first").alias("often"))
+        others = groups.where(F.col("copies") * HOT < rows).select("payload_digest", "first", F.lit(0).alias("salt"))
+        known = full.join(F.broadcast(often), "payload_digest", "left")
+        known = known.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(1 + F.pmod("row", F.lit(SALTS))).cast("int"))
+        known = known.join(others, ["payload_digest", "salt"], "left").withColumn("first", F.coalesce("often", "first"))
+    again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
+    return known.select("page_id", "url", "html", "payload_bytes", "payload_digest", "row", F.when(again, F.col("first")).alias("first"))
+
+
+def _record_id(run: str, row: Column) -> Column:
+    """An id of its own for each row of each run, as a UUID."""
+    hexed = F.sha2(F.concat(F.lit(f"{run} "), row.cast("string")), 256)
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hexed, "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5"), F.lit(">"))
+
+
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), value, F.lit(_EOL))
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def _address(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
 
 
-def records(resolved: DataFrame, date: str) -> Column:
-    """The text of each record, with fresh headers, but for the separator that ends it."""
-    clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    revisit = F.col("refers_to").isNotNull()
+def records(resolved: DataFrame, date: str, run: str) -> Column:
+    """The text of each record, with fresh headers."""
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_EOL + _EOL))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_EOL))
+    origin = F.concat(
+        _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _record_id(run, F.col("first.row"))), _line("WARC-Refers-To-Target-URI", _address(F.col("first.url"))), _line("WARC-Refers-To-Date", F.lit(date))
+    )
     return F.concat(
         F.lit(VERSION + _EOL),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", clean),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))))).otherwise(""),
-        line("Content-Type", F.lit("application/http;msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
+        _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        _line("WARC-Record-ID", _record_id(run, F.col("row"))),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", _address(F.col("url"))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        F.when(revisit, origin).otherwise(""),
+        F.when(F.col("page_id").isNotNull(), _line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(""),
+        _line("Content-Type", F.lit("application/http;msgtype=response")),
+        _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_EOL),
         block,
+        F.lit(_EOL + _EOL),
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str | None = None, records_per_file: int = 5_000) -> None:
-    """gzip archives of at most ``records_per_file`` records below ``path``."""
+def write_archives(resolved: DataFrame, path: str, date: str | None = None, bytes_per_file: int = 1 << 28) -> None:
+    """Files ``*.warc.gz`` below ``path``, each begun by a warcinfo record and closed by the
+    record that brings it to ``bytes_per_file`` compressed.
+
+    A record is one gzip member (one of 16 MiB or more is several). The text writer ends each
+    value with a zero byte: the last byte of every member, which is left out of its value."""
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    text = resolved.select(records(resolved, date).alias("value"))
-    text.write.option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    run = uuid.uuid4().hex
+
+    def info(volume: int) -> bytes:
+        fields = f"software: veridat{_EOL}format: WARC File Format 1.1{_EOL}"
+        head = f"{VERSION}{_EOL}WARC-Type: warcinfo{_EOL}WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>{_EOL}WARC-Date: {date}{_EOL}Content-Type: application/warc-fields{_EOL}Content-Length: {len(fields)}{_EOL}{_EOL}"
+        return (head + fields + _EOL + _EOL).encode()
+
+    def members(batches):
+        volume, size = 0, 0
+        for batch in batches:
+            out, volumes, held = [], [], 0
+            for value in batch.column(0):
+                raw = value.as_buffer()
+                parts = [info(volume)] if not size else []
+                parts += [raw[i : i + _MEMBER] for i in range(0, len(raw), _MEMBER)]
+                for part in parts:
+                    packed = gzip.compress(part, 6, mtime=0)[:-1]
+                    out.append(packed)
+                    volumes.append(volume)
+                    size += len(packed) + 1
+                    held += len(packed)
+                if size >= bytes_per_file:
+                    volume, size = volume + 1, 0
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
+                    out, volumes, held = [], [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
 
+    packed = resolved.select(records(resolved, date, run).cast("binary").alias("value")).mapInArrow(members, "volume int, value binary")
+    packed.select("volume", F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("volume").text(path)
+    _name_files(resolved.sparkSession, path)
 
-def _parsed(raw: bytes):
+
+def _name_files(spark: SparkSession, path: str) -> None:
+    """The text writer's files, named as archives."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(root, True), []
+    while files.hasNext():
+        found.append(files.next().getPath())
+    for file in found:
+        if file.getName().endswith(".txt"):
+            fs.rename(file, hadoop.Path(file.getParent(), file.getName().removesuffix(".txt") + ".warc.gz"))
+
+
+def _inflated(raw: memoryview):
+    """The stream that the gzip members of ``raw`` hold, in pieces."""
     at = 0
     while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:stop].decode().split(_EOL)
-        if first != VERSION:
-            raise ValueError(f"not a record of {VERSION}: {first[:40]!r}")
-        head = dict(x.split(": ", 1) for x in lines)
-        begin = stop + 4
-        end = begin + int(head["Content-Length"])
-        yield head, raw[begin:end]
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError("a record doesn't end where its length says")
-        at = end + 4
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(raw):
+                raise ValueError("an archive ends within a record")
+            piece = raw[at : at + _CHUNK]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+
+
+def _parsed(pieces):
+    """(headers, block) of each record of a stream."""
+    held = bytearray()
+    head, need = None, 0
+    for piece in pieces:
+        held += piece
+        while True:
+            if head is None:
+                stop = held.find(b"\r\n\r\n")
+                if stop < 0:
+                    break
+                first, *lines = held[:stop].decode().split(_EOL)
+                if first != VERSION:
+                    raise ValueError(f"not a record of {VERSION}: {first[:40]!r}")
+                head = dict(x.split(": ", 1) for x in lines)
+                need = int(head["Content-Length"])
+                del held[: stop + 4]
+            if len(held) < need + 4:
+                break
+            if held[need : need + 4] != b"\r\n\r\n":
+                raise ValueError("a record doesn't end where its length says")
+            yield head, bytes(held[:need])
+            del held[: need + 4]
+            head = None
+    if held or head is not None:
+        raise ValueError("an archive ends within a record")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_digest, declared, payload_bytes, html) of each record.
+    """(record_id, page_id, url, record_type, refers_to_id, payload_digest, payload_bytes, html)
+    of each response and revisit record.
 
-    ``declared`` is the digest in the header; the payload of a response is hashed anew and
-    must agree. A revisit has no payload of its own. Without ``payloads``, html is null."""
-    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, html string"
-    number = lambda text: None if text is None or text == "<urn:page:none>" else int(text[len("<urn:page:") : -1])
+    The payload of a response is hashed anew and must have the digest that its header
+    gives. The payload_bytes of a revisit are those that its HTTP header gives; its html is null.
+    Without ``payloads``, every html is. A folder without archives gives no rows."""
+    schema = "record_id string, page_id long, url string, record_type string, refers_to_id string, payload_digest string, payload_bytes long, html string"
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def row(head, block):
+        revisit = head["WARC-Type"] == "revisit"
+        stop = block.index(b"\r\n\r\n") + 4
+        payload, digest = block[stop:], head["WARC-Payload-Digest"].removeprefix("sha256:")
+        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError("a payload doesn't have its digest")
+        size = int(dict(x.split(": ", 1) for x in block[: stop - 4].decode().split(_EOL)[1:])["Content-Length"]) if revisit else len(payload)
+        page = head.get("X-Page-ID")
+        return head["WARC-Record-ID"], int(page) if page else None, head["WARC-Target-URI"], head["WARC-Type"], head.get("WARC-Refers-To"), digest, size, payload.decode() if payloads and not revisit else None
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_buffer()
                 rows, size = [], 0
-                for head, block in _parsed(gzip.decompress(raw)):
-                    revisit = head["WARC-Type"] == "revisit"
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError("a payload doesn't have its digest")
-                    rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], number(head.get("WARC-Refers-To")), digest, None if revisit else len(payload), payload.decode() if payloads and not revisit else None))
-                    size += len(block)
+                for head, block in _parsed(_inflated(memoryview(content.as_buffer()))):
+                    if head["WARC-Type"] not in ("response", "revisit"):
+                        continue
+                    rows.append(row(head, block))
+                    size += len(block) if payloads else 200
                     if size > 4_000_000:
-                        yield _batch(rows)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield _batch(rows)
-
-    def _batch(rows):
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        names = [x.split()[0] for x in schema.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, schema)
 
 
 def restore(found: DataFrame) -> DataFrame:
-    """Records with the payload size of the response that a revisit refers to."""
-    originals = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("original"))
-    again = kept(found.where("record_type = 'revisit'").select("payload_digest").distinct())
-    sizes = originals.join(again, "payload_digest", "left_semi")
-    return found.join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "original")).drop("original")
+    """``found`` with ``refers_to``: the page_id of the response that a revisit refers to."""
+    found = written(found)
+    wanted = found.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
+    origins = written(found.where("record_type = 'response'").join(wanted, "record_id", "left_semi").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")))
+    if origins.count() <= MOST_GROUPS:
+        return found.join(F.broadcast(origins), "refers_to_id", "left")
+    rows = found.count()
+    often = found.where("refers_to_id is not null").groupBy("refers_to_id").agg(F.count("*").alias("n")).where(F.col("n") * HOT >= rows).select("refers_to_id")
+    often = written(origins.join(F.broadcast(often), "refers_to_id").select("refers_to_id", F.col("refers_to").alias("often"), F.lit(True).alias("hit")))
+    # responses and revisits of frequent responses are spread by their own ids
+    known = found.join(F.broadcast(often), "refers_to_id", "left")
+    known = known.withColumn("asked", F.when(F.col("hit") | F.col("refers_to_id").isNull(), F.col("record_id")).otherwise(F.col("refers_to_id")))
+    known = known.join(origins.select(F.col("refers_to_id").alias("asked"), "refers_to"), "asked", "left")
+    return known.withColumn("refers_to", F.when(F.col("hit"), F.col("often")).when(F.col("refers_to_id").isNotNull(), F.col("refers_to"))).drop("asked", "often", "hit")
 
 
 def op9_warc_revisit(spark, sf_dir) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(resolve(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    found = restore(kept(read_archives(spark, path, payloads=False).drop("html", "url")))
+    found = restore(read_archives(spark, path, payloads=False).drop("html", "url"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
