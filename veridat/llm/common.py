@@ -93,6 +93,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return written(df.withColumn(name, row_key()), "numbered")
 
 
+HOT = 2_000  # keys with more than one in so many of all rows count as frequent; there are at most so many
+SALTS = 1_009
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, often: Column, spread: Column) -> DataFrame:
+    """Left join on ``key`` with a table that has one row for each key at most and was written.
+
+    Rows of it where ``often`` holds, at most HOT, are sent to all executors, so that the rows
+    of a frequent key stay where they are; ``spread`` deals them, and those without a key, to
+    places in which nothing is joined."""
+    value = [c for c in right.columns if c != key]
+    hot = right.where(often).select(key, F.struct(*value).alias("hot_"))
+    cold = right.where(~often).select(key, F.struct(*value).alias("cold_"), F.lit(0).alias("salt_"))
+    out = left.join(F.broadcast(hot), key, "left")
+    out = out.withColumn("salt_", F.when(F.col("hot_").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(spread, F.lit(SALTS))).cast("int"))
+    out = out.join(cold, [key, "salt_"], "left").withColumn("value_", F.coalesce("hot_", "cold_"))
+    return out.select(*left.columns, *[F.col(f"value_.{v}").alias(v) for v in value])
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of a value as text, modulo ``modulus``; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus

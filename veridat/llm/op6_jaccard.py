@@ -1,18 +1,22 @@
 """Similarity join of documents on word n-grams.
 
-The documents are the rows, the n-grams the columns of a sparse incidence matrix whose
-product with itself would hold the overlap of all pairs. Only blocks of it are formed:
+The documents are the rows, the n-grams the columns of a sparse incidence matrix. What is
+asked for is where its product with itself, the overlaps of all pairs, is large. That product
+is formed in blocks, and only those that can hold such an overlap:
 
 1. Equal rows are one class. What follows works on classes, so a group of copies costs
    no more than one of them.
 2. Two rows that link differ in at most d columns, where d follows from the bound on their
    sizes. The columns are dealt to more than d parts, so such rows are equal in at least
    one of them: a block is what has the same columns in one part (see _block_keys).
-3. In each block all rows meet the block's least row. Pairs pass the bound on sizes and one
-   on parity bits, then their exact overlap is accumulated.
-4. While blocks that aren't one component yet are large, all their rows meet a few more
-   leaders of other components, chosen by hashes. Then the blocks that are left meet across
-   components, by the same bounds. A pair that is left out is one that components join anyway.
+3. In each block all rows meet the block's least row. While blocks that aren't one component
+   after that are large, all their rows meet a few more leaders of other components, chosen
+   by hashes. A pair of rows that components join already needs no cell of the product.
+4. Blocks that are still open are cut into tiles of TILE rows. A cell is a pair of tiles, so
+   a block of any size is many small cells. Pairs pass the bounds on sizes and on parity bits.
+5. What passed is multiplied: the incidence rows are dealt to row blocks, and each pair of
+   row blocks accumulates the overlap counts of its pairs, one quarter of the columns after
+   another; a pair leaves as soon as the columns to come can't lift it over its bound.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, kept, merged, mix, row_key, signed, slices, flat
+from .common import HOT, Words, flat, free_name, kept, merged, mix, numbered, row_key, signed, slices, spread_join, written
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
@@ -31,6 +35,9 @@ CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
 DEALS = 3
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
 LARGE = 10  # pairs for each row of a block, from which on leaders come first
+TILE = 256  # rows of a tile
+ROW_BLOCKS, BLOCK_ENTRIES = 12, 1 << 21  # at least so many row blocks; entries of one
+STEPS = 4  # parts of the columns, between which pairs leave
 _SHORT = ("f0", "f1", "f2", "f3")
 MOST_CHOSEN = 1_000_000  # texts or rows whose keys are sent to the scan; with more, a join by shuffle selects them
 
@@ -63,11 +70,14 @@ def _sum_by(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return pre[bounds[1:]] - pre[bounds[:-1]]
 
 
-def digests(bounds: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """A number for each set, the same for equal sets; half of a sum of two hashes each."""
-    a = _sum_by(bounds, mix(gram + np.uint64(0x51ED270B)))
+def digests(bounds: np.ndarray, gram: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set, the same for equal sets. Sets with an equal first number and
+    another second one show that ``seed`` doesn't do (see _linked)."""
+    turn = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    a = _sum_by(bounds, mix(gram + np.uint64(0x51ED270B) + turn))
     b = _sum_by(bounds, mix(gram ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(3))
-    return signed(mix(a + mix(b) + np.diff(bounds).astype(np.uint64)))
+    size = np.diff(bounds).astype(np.uint64)
+    return signed(mix(a + size + turn)), signed(mix(b + mix(size)))
 
 
 def parity_lanes(bounds: np.ndarray, gram: np.ndarray) -> pa.Array:
@@ -189,82 +199,115 @@ def link_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     shingles; one with fewer words has its whole sequence as its only shingle. A null or
     empty text has no shingle and links with nothing: its component is its own id. Rows
     with equal ids are documents of their own with that id. ``component_id`` is the least
-    id that links reach; a null id counts only where a whole component has no other."""
-    return _linked(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+    id that links reach; a null id counts only where a whole component has no other. An
+    empty table gives no rows; other columns don't matter."""
+    rows = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    return _linked(rows, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` without the rows whose component has one with a smaller id (then: an earlier
-    one). Texts without a shingle stay."""
-    drop = kept(_linked(docs, k, percent).where(~F.col("stays")).select(F.col("rid").alias("__row")))
-    rows = docs.withColumn("__row", row_key())
-    return rows.join(F.broadcast(drop) if drop.count() <= MOST_CHOSEN else drop, "__row", "left_anti").drop("__row")
+    one). Null ids come last; texts without a shingle stay, repeated rows are one group; an
+    empty table gives an empty one. Rows are numbered and written first."""
+    row = free_name(docs, "row")
+    rows = numbered(docs, row)
+    drop = written(_linked(rows.select(F.col(row).alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id")), k, percent).where(~F.col("stays")).select(F.col("rid").alias(row)))
+    return rows.join(F.broadcast(drop) if drop.count() <= MOST_CHOSEN else drop, row, "left_anti").drop(row)
 
 
-def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    source = docs.select(row_key().alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"))
+def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, stays) of the rows (rid, text, doc_id)."""
+    source = docs.select("rid", "text", "doc_id", F.xxhash64("text").alias("content"))
     spark = docs.sparkSession
 
     # rows, their classes, and which columns are frequent
-    found = kept(_first_scan(source, k, "kind int, rid long, doc_id long, content long, n long, key long, lanes array<long>, f0 long, f1 long, f2 long, f3 long"))
-    rows = found.where("kind = 0").select("rid", "doc_id", "content", "n", F.col("key").alias("digest"), "lanes", *_SHORT)
+    found = written(_first_scan(source, k, seed))
+    rows = found.where("kind = 0")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
     frequent = spark.sparkContext.broadcast(hot["key"].to_numpy())
-    classes = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("content").alias("content"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT])
+    classes = rows.where("n > 0").groupBy(F.col("key").alias("digest")).agg(
+        F.first("n").alias("n"), F.min("content").alias("content"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT],
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"),
+    )
+    classes = written(classes)
+    if not classes.where("low <> high").isEmpty():  # by chance, two sets have the same number
+        return _linked(docs, k, percent, seed + 1)
 
     # blocks
-    blocks = source.select("text").mapInArrow(_blocks(k, percent, frequent), "key long, digest long").repartition("key")
+    blocks = source.select("text").mapInArrow(_blocks(k, percent, frequent, seed), "key long, digest long").repartition("key")
     mixed = blocks.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").drop("most")
-    members = kept(blocks.join(mixed, "key").distinct())
+    members = written(blocks.join(mixed, "key").distinct())
 
-    verify = _verifier(source, classes, k, percent)
-    links = kept(verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()))
+    verify = _verifier(source, classes, k, percent, seed)
+    links = verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct())
     joined = kept(components(links))
 
-    short = classes.drop("lanes", "content")
+    short = classes.select("digest", "n", *_SHORT)
+    again = lambda links: kept(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))  # noqa: E731  what is joined already counts as one link for each node
     tested = None
     for turn in range(ROUNDS + 1):
         placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-        open_ = kept(open_.select("key", "size"))
+        open_ = written(open_.select("key", "size"))
         size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        left = written(placed.join(open_, "key").join(short, "digest"))
         if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
             break
-        wide = kept(placed.join(open_.where(F.col("size") > 2 * LARGE), "key").join(short, "digest"))
-        lead = wide.groupBy("key").agg(*[F.min_by(F.struct("digest", "component", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
-        lead = lead.select("key", F.explode(F.array_distinct(F.array(*[f"x{i}" for i in range(LEADERS)]))).alias("x"))
-        met = wide.join(lead, "key").where((F.col("component") != F.col("x.component")) & _may_link(F.col("n"), F.col("x.n"), _short_bits("", "x."), percent)).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
-        met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        wide = left.where(F.col("size") > 2 * LARGE)
+        lead = wide.groupBy("key").agg(F.max("size").alias("size"), *[F.min_by(F.struct("digest", "component", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
+        # the rows of a large block meet its leaders in several places
+        places = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+        lead = lead.select("key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.array_distinct(F.array(*[f"x{i}" for i in range(LEADERS)])).alias("xs")).select("key", "place", F.explode("xs").alias("x"))
+        apart = (F.col("component") != F.col("x.component")) & _may_link(F.col("n"), F.col("x.n"), _short_bits("", "x."), percent)
+        met = wide.withColumn("place", F.pmod(F.xxhash64("digest"), places).cast("int")).join(lead, ["key", "place"]).where(apart).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
+        met = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
-        found_links = kept(verify(met))
+        found_links = verify(met)
         many = found_links.count()
         if not many:
             break
-        # what is joined already counts as one link for each node
-        joined = kept(components(found_links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        joined = again(found_links)
         if many < WORTH * met.count():
-            break  # most pairs don't link, so leaders no longer save much
-
-    # blocks that aren't one component yet meet across components
-    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = kept(placed.join(open_.select("key"), "key", "left_semi").join(short, "digest"))
-    a, b = left.alias("a"), left.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least"))
-    crossing = a.join(b, apart & _may_link(F.col("a.n"), F.col("b.n"), _short_bits("a.", "b."), percent))
-    more = kept(verify(crossing.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()))
-    if not more.isEmpty():
-        joined = kept(components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-
-    placed = rows.join(joined, F.col("digest") == F.col("node"), "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "digest").alias("component"))
-    own = placed.where("n_shingles > 0")
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    full = own.join(least, "component").select("rid", "doc_id", "n_shingles", "component_id", (F.col("first.rid") == F.col("rid")).alias("stays"))
-    return full.unionByName(placed.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
-
+            # most pairs don't link, so leaders no longer save much
+            placed = left.drop("component").join(joined, F.col("digest") == F.col("node"), "left").withColumn("component", F.coalesce("component", "digest")).drop("node")
+            open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+            left = written(placed.join(open_.select("key"), "key", "left_semi"))
+            break
 
-def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
+    # cells of the blocks that aren't one component yet
+    more = verify(_cells(left, percent))
+    if not more.isEmpty():
+        joined = again(more)
+
+    # the least id of each component, by classes; rows follow their class
+    own = written(classes.select("digest", "first").join(joined, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "digest").alias("component")))
+    groups = written(own.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("times")).where("times > 1"))
+    own = spread_join(own, groups, "component", F.col("times") * HOT >= own.count(), F.xxhash64("digest")).select(F.col("digest").alias("key"), F.coalesce("least", "first").alias("least"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("times"))
+    own = written(own.join(copies, "key"))
+    full = spread_join(rows.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")), own, "key", F.col("times") * HOT >= rows.count(), F.xxhash64("rid"))
+    alone = F.col("key").isNull()
+    return full.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("least.rid") == F.col("rid"))).alias("stays"))
+
+
+def _cells(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open blocks that are in two components and pass the bounds.
+
+    ``left``: (key, size, digest, least, component, n, bits). Each block is cut into tiles; the
+    rows of a tile go to one cell for each tile of the block."""
+    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    cut = left.withColumn("own", F.pmod(F.xxhash64("digest"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    a = cut.where("own <= other").withColumnsRenamed({"own": "i", "other": "j"}).alias("a")
+    b = cut.where("own >= other").withColumnsRenamed({"own": "j", "other": "i"}).alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.digest") < F.col("b.digest"))
+    apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least")) & (F.col("b.digest") != F.col("b.least"))
+    met = a.join(b, same & once & apart & _may_link(F.col("a.n"), F.col("b.n"), _short_bits("a.", "b."), percent))
+    return met.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
+
+
+def _first_scan(source: DataFrame, k: int, seed: int) -> DataFrame:
     """kind 0: a row for each document; kind 1: shingles that a partition has in more than
     one in MOST_HOT of its entries. A frequent column is so in some partition."""
 
@@ -282,18 +325,19 @@ def _first_scan(source: DataFrame, k: int, schema: str) -> DataFrame:
                     keys, ns = ([x] for x in merged(keys, ns))
                 n_docs = text.n
                 lanes = parity_lanes(bounds, gram)
+                digest, check = digests(bounds, gram, seed)
                 short = [pa.array(x) for x in short_parity(bounds, gram).T.copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digests(bounds, gram)), lanes, *short], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digest), pa.array(check), lanes, *short], _names)
         if keys:
             key, n = merged(keys, ns)
             often = (n > 1) & (n * MOST_HOT >= total)
             key, n = key[often], n[often]
             if len(key):
                 none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), pa.nulls(len(key), lanes.type), *[none] * 4], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), none, pa.nulls(len(key), lanes.type), *[none] * 4], _names)
 
-    _names = ["kind", "rid", "doc_id", "content", "n", "key", "lanes", *_SHORT]
-    return source.mapInArrow(run, schema)
+    _names = ["kind", "rid", "doc_id", "content", "n", "key", "check", "lanes", *_SHORT]
+    return source.mapInArrow(run, "kind int, rid long, doc_id long, content long, n long, key long, check long, lanes array<long>, f0 long, f1 long, f2 long, f3 long")
 
 
 def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +350,7 @@ def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], n
 
 
-def _blocks(k: int, percent: int, frequent):
+def _blocks(k: int, percent: int, frequent, seed: int):
     """(key, digest) of the blocks of each document's class, once for each task: what many
     copies send to a block grows with the tasks, not with the copies."""
 
@@ -316,7 +360,7 @@ def _blocks(k: int, percent: int, frequent):
             for part in slices(batch):
                 text = flat(part.column(0))
                 bounds, gram = shingle_sets(text, k)
-                digest = digests(bounds, gram)
+                digest, _ = digests(bounds, gram, seed)
                 keep = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
                 doc, key = _block_keys(bounds, gram, percent, frequent.value)
                 keep = keep[doc]
@@ -330,23 +374,74 @@ def _may_link(na: Column, nb: Column, bits: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
 
 
-def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int):
+def _verifier(source: DataFrame, classes: DataFrame, k: int, percent: int, seed: int):
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that link."""
         meta = lambda s: classes.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("lanes").alias(f"l{s}"))
         near = pairs.join(meta("a"), "a").join(meta("b"), "b")
         bits = _differing_bits(F.col("la"), F.col("lb"))
-        near = kept(near.where(_may_link(F.col("na"), F.col("nb"), bits, percent)).select("a", "b", "na", "nb"))
-        chosen = near.select(F.col("a").alias("digest")).unionByName(near.select(F.col("b").alias("digest"))).distinct()
-        sets = kept(_sets(source, chosen.join(classes.select("digest", "content"), "digest"), k))
-        pair = near.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
-        overlap = F.size(F.array_intersect("sa", "sb"))
-        return pair.where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
+        near = written(near.where(_may_link(F.col("na"), F.col("nb"), bits, percent)).select("a", "b"))
+        chosen = written(near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "content", "n"), "digest"))
+        entries = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not entries:
+            return near
+        return written(_product(near, _sets(source, chosen, k, seed), max(ROW_BLOCKS, entries // BLOCK_ENTRIES), percent))
 
     return verify
 
 
-def _sets(source: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+def _product(near: DataFrame, sets: DataFrame, number: int, percent: int) -> DataFrame:
+    """Those of ``near`` (a, b) whose rows of the incidence matrix (digest, shingles) overlap
+    enough, found in the cells of ``number`` by ``number`` row blocks."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(number))
+    dealt = near.withColumn("cell", block("a") * number + block("b"))
+    rows = dealt.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets, "digest")
+
+    def multiply(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        ok = overlapping(rows["digest"].to_numpy(), rows["shingles"].combine_chunks(), a, b, percent)
+        return pa.table({"a": a[ok], "b": b[ok]})
+
+    return dealt.groupBy("cell").cogroup(rows.groupBy("place")).applyInArrow(multiply, "a long, b long")
+
+
+def overlapping(digest: np.ndarray, shingles: pa.Array, a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 1 << 21) -> np.ndarray:
+    """Which pairs of the rows ``digest`` have the overlap that a link needs.
+
+    The overlap of a pair grows by one for each column of its smaller row that the other has."""
+    if not len(a):
+        return np.zeros(0, bool)
+    order = np.argsort(digest)
+    a, b = order[np.searchsorted(digest, a, sorter=order)], order[np.searchsorted(digest, b, sorter=order)]
+    size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    names, column = np.unique(shingles.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    entry = np.sort(np.repeat(np.arange(len(size)), size) * len(names) + column)
+    need = -(-percent * (size[a] + size[b]) // (100 + percent))
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    overlap = np.zeros(len(a), np.int64)
+    left = np.arange(len(a))
+    for step in range(STEPS):
+        cuts = lambda x, s: first[x] + size[x] * s // STEPS
+        lo, hi = cuts(a[left], step), cuts(a[left], step + 1)
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+            pair, n = left[at:to], (hi - lo)[at:to]
+            which = np.repeat(np.arange(len(pair)), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)
+            asked = b[pair][which] * len(names) + column[place]
+            hit = entry[np.minimum(np.searchsorted(entry, asked), len(entry) - 1)] == asked
+            overlap[pair] += np.bincount(which[hit], minlength=len(pair))
+            at = to
+        left = left[overlap[left] + (first[a[left] + 1] - hi) >= need[left]]
+    ok = np.zeros(len(a), bool)
+    ok[left] = True
+    return ok
+
+
+def _sets(source: DataFrame, chosen: DataFrame, k: int, seed: int) -> DataFrame:
     """(digest, shingles) of the chosen classes (digest, content), once each. Each class gives
     the hash of one of its texts, so that only such texts are cut into shingles again; others
     with that hash by chance give sets that no class asks for."""
@@ -358,7 +453,7 @@ def _sets(source: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 bounds, gram = shingle_sets(flat(part.column(0)), k)
-                digest = digests(bounds, gram)
+                digest, _ = digests(bounds, gram, seed)
                 size = np.diff(bounds)
                 rows = [i for i in np.flatnonzero(size) if digest[i] not in seen and not seen.add(digest[i])]
                 if rows:
@@ -366,7 +461,7 @@ def _sets(source: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
                     values = np.concatenate([signed(gram[bounds[i] : bounds[i + 1]]) for i in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["digest", "shingles"])
 
-    return texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"])
+    return written(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]))
 
 
 def op6_ngram_jaccard(spark, sf_dir) -> DataFrame:

@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, numbered, written
+from .common import HOT, fresh_path, numbered, spread_join, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MOST_GROUPS = 200_000  # of a digest, an id and an address each: sent to all executors up to here
-HOT = 2_000  # beyond it, groups with more than one in so many of all rows are still sent, so none is one task's
-SALTS = 1009
 _MEMBER = 15 << 20  # bytes of a gzip member: below 16 MiB the last byte of its length is zero
 _CHUNK = 1 << 14
 _EOL = "\r\n"
@@ -50,14 +48,9 @@ def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "url"))
     groups = written(heads.groupBy("payload_digest").agg(least.alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", F.struct("first.page_id", "first.row", "first.url").alias("first"), "copies"))
     if groups.count() <= MOST_GROUPS:  # payloads don't move
-        known = full.join(F.broadcast(groups.drop("copies")), "payload_digest", "left")
+        known = full.join(F.broadcast(groups), "payload_digest", "left")
     else:
-        rows = heads.count()
-        often = groups.where(F.col("copies") * HOT >= rows).select("payload_digest", F.col("first").alias("often"))
-        others = groups.where(F.col("copies") * HOT < rows).select("payload_digest", "first", F.lit(0).alias("salt"))
-        known = full.join(F.broadcast(often), "payload_digest", "left")
-        known = known.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(1 + F.pmod("row", F.lit(SALTS))).cast("int"))
-        known = known.join(others, ["payload_digest", "salt"], "left").withColumn("first", F.coalesce("often", "first"))
+        known = spread_join(full, groups, "payload_digest", F.col("copies") * HOT >= heads.count(), F.col("row"))
     again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
     return known.select("page_id", "url", "html", "payload_bytes", "payload_digest", "row", F.when(again, F.col("first")).alias("first"))
 
@@ -242,18 +235,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def restore(found: DataFrame) -> DataFrame:
     """``found`` with ``refers_to``: the page_id of the response that a revisit refers to."""
     found = written(found)
-    wanted = found.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
-    origins = written(found.where("record_type = 'response'").join(wanted, "record_id", "left_semi").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")))
+    asked = found.where("refers_to_id is not null").groupBy(F.col("refers_to_id").alias("record_id")).agg(F.count("*").alias("times"))
+    origins = written(found.where("record_type = 'response'").join(asked, "record_id").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "times"))
     if origins.count() <= MOST_GROUPS:
-        return found.join(F.broadcast(origins), "refers_to_id", "left")
-    rows = found.count()
-    often = found.where("refers_to_id is not null").groupBy("refers_to_id").agg(F.count("*").alias("n")).where(F.col("n") * HOT >= rows).select("refers_to_id")
-    often = written(origins.join(F.broadcast(often), "refers_to_id").select("refers_to_id", F.col("refers_to").alias("often"), F.lit(True).alias("hit")))
-    # responses and revisits of frequent responses are spread by their own ids
-    known = found.join(F.broadcast(often), "refers_to_id", "left")
-    known = known.withColumn("asked", F.when(F.col("hit") | F.col("refers_to_id").isNull(), F.col("record_id")).otherwise(F.col("refers_to_id")))
-    known = known.join(origins.select(F.col("refers_to_id").alias("asked"), "refers_to"), "asked", "left")
-    return known.withColumn("refers_to", F.when(F.col("hit"), F.col("often")).when(F.col("refers_to_id").isNotNull(), F.col("refers_to"))).drop("asked", "often", "hit")
+        known = found.join(F.broadcast(origins), "refers_to_id", "left")
+    else:
+        known = spread_join(found, origins, "refers_to_id", F.col("times") * HOT >= found.count(), F.xxhash64("record_id"))
+    return known.drop("times")
 
 
 def op9_warc_revisit(spark, sf_dir) -> DataFrame:
