@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns and a linear-chain conditional random field.
 
 Tokens are tagged begin, inside or outside of a secret. Features are the shape of the
-token and of its neighbours, the words around it, what stands in the gap before it, and
-figures of the whole text. The field learns from the spans that the fixed patterns find
-in a bounded sample of documents and is decoded by Viterbi's algorithm.
+token and of its neighbours, how its characters are mixed, the words around it, the cues that
+these have, what stands in the gap before it, and figures of the whole text. The field learns
+from a bounded sample of documents: from the spans that the fixed patterns find, and from
+seeds, secrets of other names and forms and harmless values, that are put among the words of
+the sample. It is decoded by Viterbi's algorithm.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Flat, Words, code_points, over_texts, row_key
+from .common import Flat, Words, code_points, over_texts
 
 KINDS = ("assign", "access", "hex", "field")
 TAGS = BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 _HASHED = 4096
 _SHAPES = 8 * 16 * 4
-_WINDOW = 10  # tokens on each side in a training sequence
+_WINDOW = 6  # tokens on each side in a training sequence
 
 # The patterns of the contract.
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -36,9 +38,18 @@ def _flags(chars: bytes) -> np.ndarray:
 
 
 _DIGIT, _LOW, _UP = _flags(b"0123456789"), _flags(bytes(range(97, 123))), _flags(bytes(range(65, 91)))
-_MARK = _flags(b"+/_.=-")
+_MARK = _flags(b"+/_.-")
 _TOKEN = _DIGIT | _LOW | _UP | _MARK | (np.arange(256) >= 128)
-_HEXED = _DIGIT | _flags(b"abcdef")
+_VOWEL = _flags(b"aeiouyAEIOUY")
+_EQUALS = ord("=")
+
+# Parts of words that speak of secrets.
+CUES = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"key", b"auth", b"bearer", b"cred", b"private", b"signature")
+# Names and forms of the seeds.
+SECRET_NAMES = ("private_key", "secret_key", "client_secret", "access_token", "auth_token", "refresh_token", "signing_key", "encryption_key", "passphrase", "pwd", "credential", "authorization", "session_key", "webhook_secret", "db_password", "license_key", "x-api-key", "Bearer", "Authorization: Bearer")
+PLAIN_NAMES = ("version", "color", "path", "file", "name", "order", "invoice", "isbn", "url", "id", "date", "timeout", "model", "phone", "price", "title", "build", "server", "keyboard", "author", "tokens", "see", "at", "the")
+JOINTS = ("=", ": ", " = ", '": "', ': "', ' = "', "=\"", " => ", ": '", " ")
+PREFIXES = ("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "SG.", "npm_", "")
 
 
 def base_spans(text: Flat) -> list[tuple[int, int, int, int]]:
@@ -85,8 +96,52 @@ def _shape(words: Words) -> np.ndarray:
     return (size * 16 + kinds) * 4 + turns
 
 
+def _mixture(words: Words) -> np.ndarray:
+    """A number for a token of eight bytes or more: how many different bytes it has, its longest
+    run of small letters and its share of vowels; zero for shorter ones."""
+    out = np.zeros(len(words.starts), np.int32)
+    size = words.ends - words.starts
+    at = np.flatnonzero(size >= 8)
+    if not len(at):
+        return out
+    n = size[at]
+    which = np.repeat(np.arange(len(at)), n)
+    data = words.text.data[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.starts[at], n)]
+    kinds = np.bincount(np.unique(which * 256 + data) >> 8, minlength=len(at))
+    low = _LOW[data] | (data >= 128)
+    stop = np.ones(len(data), bool)
+    stop[1:] = ~low[1:] | (which[1:] != which[:-1])
+    first = np.flatnonzero(stop)
+    run = np.diff(np.append(first, len(data))) - ~low[first]
+    longest = np.zeros(len(at), np.int64)
+    np.maximum.at(longest, which[first], run)
+    vowels = np.bincount(which[_VOWEL[data]], minlength=len(at)) / n
+    out[at] = 1 + (np.digitize(kinds / np.minimum(n, 24), [0.35, 0.5, 0.65]) * 4 + np.digitize(longest, [3, 5, 8])) * 4 + np.digitize(vowels, [0.1, 0.22, 0.34])
+    return out
+
+
+def _even(mixture: np.ndarray, drop: int) -> np.ndarray:
+    """Two of the three figures of a mixture: without the vowels (2) or the different bytes (0)."""
+    figures = mixture - 1
+    return np.where(mixture > 0, 1 + (figures >> 2 if drop else figures & 15), 0).astype(np.int32)
+
+
+def _cues(words: Words) -> np.ndarray:
+    """The last of CUES that a token has, from one; else zero."""
+    out = np.zeros(len(words.starts), np.int32)
+    raw = words.data.tobytes()
+    for i, cue in enumerate(CUES, 1):
+        spot = raw.find(cue)
+        while spot >= 0:
+            token = int(np.searchsorted(words.starts, spot, "right")) - 1
+            if token >= 0 and spot + len(cue) <= words.ends[token]:
+                out[token] = i
+            spot = raw.find(cue, spot + 1)
+    return out
+
+
 def features(text: Flat) -> tuple[Words, np.ndarray]:
-    """Tokens and their feature numbers, one column for each of the seven tables."""
+    """Tokens and their feature numbers, one column for each of the tables."""
     words = Words(text, ~_TOKEN)
     n = len(words.starts)
     doc = words.doc_of()
@@ -113,25 +168,107 @@ def features(text: Flat) -> tuple[Words, np.ndarray]:
     gap = sum((p[words.starts] - p[begin] > 0).astype(np.int32) << i for i, p in enumerate((pre((data == 58) | (data == 61)), pre((data == 34) | (data == 39)), pre(data == 10))))
     signs = np.bincount(doc, weights=(gap & 1), minlength=text.n)
     file = np.digitize(signs / np.maximum(words.counts, 1), [1e-9, 0.02, 0.1]).astype(np.int32)[doc]
-    return words, np.stack([shape, shifted(shape, 1, first, _SHAPES), shifted(shape, -1, last, _SHAPES), gap, shifted(hashed, 1, first, _HASHED), shifted(hashed, -1, last, _HASHED), file], 1) if n else np.zeros((0, 7), np.int32)
-
-
-_SIZES = (_SHAPES, _SHAPES + 1, _SHAPES + 1, 8, _HASHED + 1, _HASHED + 1, 4)
+    if not n:
+        return words, np.zeros((0, len(_SIZES)), np.int32)
+    cue = _cues(words)
+    cue1 = shifted(cue, 1, first, 0)
+    cue2 = shifted(cue1, 1, first, 0)
+    mixture = _mixture(words)
+    return words, np.stack(
+        [shape, shifted(shape, 1, first, _SHAPES), shifted(shape, -1, last, _SHAPES), gap, shifted(hashed, 1, first, _HASHED), shifted(hashed, -1, last, _HASHED), file, mixture, cue1 * 8 + gap, cue2, mixture * 2 + (cue1 + cue2 > 0), shape >> 2, shape & 63, _even(mixture, 2), _even(mixture, 0)], 1
+    )
+
+
+_MIXED = 65
+_SIZES = (_SHAPES, _SHAPES + 1, _SHAPES + 1, 8, _HASHED + 1, _HASHED + 1, 4, _MIXED, 8 * (len(CUES) + 1), len(CUES) + 1, 2 * _MIXED, _SHAPES >> 2, 64, 17, 17)
+_FILE = 6
 _BASE = np.concatenate([[0], np.cumsum(_SIZES)[:-1]])
 
 
-def _tags(words: Words, spans) -> np.ndarray:
+def _tags(words: Words, values) -> np.ndarray:
+    """Tags of the tokens that overlap the spans (start, end) of ``values``."""
     tags = np.full(len(words.starts), OUTSIDE, np.int8)
-    for _, kind, start, end in spans:
-        if kind == 0:  # the value, not the name before it
-            raw = words.text.data[start:end].tobytes()
-            start += _ASSIGN.match(raw).start(2)
-        i, j = np.searchsorted(words.starts, [start, end])
+    for start, end in values:
+        i = int(np.searchsorted(words.ends, start, "right"))
+        j = int(np.searchsorted(words.starts, end))
         tags[i:j] = INSIDE
-        tags[i : i + 1] = BEGIN
+        tags[i : min(i + 1, j)] = BEGIN
     return tags
 
 
+def _values(text: Flat, spans) -> list[tuple[int, int]]:
+    """The secrets of base spans: of an assignment the value, not the name before it."""
+    out = []
+    for _, kind, start, end in spans:
+        if kind == 0:
+            start += _ASSIGN.match(text.data[start:end].tobytes()).start(2)
+        out.append((start, end))
+    return out
+
+
+def _random(rng: np.random.Generator, letters: str, low: int, high: int) -> str:
+    return "".join(rng.choice(list(letters), int(rng.integers(low, high))))
+
+
+def _secret_value(rng: np.random.Generator) -> str:
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kind = int(rng.integers(8))
+    if kind == 0:
+        return _random(rng, digits + "abcdef", 20, 65)
+    if kind == 1:
+        return _random(rng, small + large + digits + "+/", 20, 65) + "=" * int(rng.integers(3))
+    if kind == 2:
+        return "eyJ" + _random(rng, small + large + digits, 15, 40) + ".eyJ" + _random(rng, small + large + digits + "_-", 15, 40) + "." + _random(rng, small + large + digits + "_-", 20, 44)
+    if kind == 3:
+        return PREFIXES[int(rng.integers(len(PREFIXES)))] + _random(rng, small + large + digits, 16, 41)
+    if kind == 4:
+        return _random(rng, small + digits, 16, 41)
+    if kind == 5:
+        return _random(rng, large + digits, 12, 33)
+    if kind == 6:
+        return "MII" + _random(rng, large + large + small + digits, 20, 61)
+    return _random(rng, small + large + digits + "_-.", 10, 21)
+
+
+def _plain_value(rng: np.random.Generator, words: list[str]) -> str:
+    number = lambda low, high: str(int(rng.integers(low, high)))
+    word = lambda: words[int(rng.integers(len(words)))]
+    kind = int(rng.integers(11))
+    if kind == 0:
+        return f"{number(0, 20)}.{number(0, 30)}.{number(0, 99)}-beta.{number(1, 9)}"
+    if kind == 1:
+        return f"{number(1990, 2030)}-0{number(1, 9)}-{number(10, 29)}"
+    if kind == 2:
+        return f"/usr/share/{word()}/{word()}-{word()}.txt"
+    if kind == 3:
+        return f"www.{word()}.example.com/{word()}/{word()}.html"
+    if kind == 4:
+        return number(1, 10**9)
+    if kind == 5:
+        return f"{word()}_{word()}_{word()}"
+    if kind == 6:
+        return f"{word().capitalize()}{word().capitalize()}{word().capitalize()}"
+    if kind == 7:
+        return f"978-{number(1, 9)}-{number(1000, 9999)}-{number(1000, 9999)}-{number(0, 9)}"
+    if kind == 8:
+        return f"{word().upper()}.{word()[:3]}"
+    if kind == 9:
+        return f"{word()}{number(0, 100)}.{word()[:2]}"
+    return f"{word()}-{word()}"
+
+
+def seed(rng: np.random.Generator, words: list[str], secret: bool) -> tuple[str, int, int]:
+    """A secret or a harmless value behind a name and a joint, and the secret's place (start
+    and end are equal if it isn't one)."""
+    names = SECRET_NAMES if secret or rng.random() < 0.3 else PLAIN_NAMES
+    name = names[int(rng.integers(len(names)))]
+    joint = " " if name.endswith("Bearer") else JOINTS[int(rng.integers(len(JOINTS) - secret))]
+    value = _secret_value(rng) if secret else _plain_value(rng, words)
+    start = len((name + joint).encode())
+    quote = joint[-1] if joint[-1] in "'\"" else ""
+    return f"{name}{joint}{value}{quote}", start, start + (len(value.encode()) if secret else 0)
+
+
 class Field:
     """Weights of a linear-chain conditional random field, trained on short sequences."""
 
@@ -143,35 +280,43 @@ class Field:
     def scores(self, feats: np.ndarray) -> np.ndarray:
         return sum(self.weights[feats[..., j] + _BASE[j]] for j in range(len(_SIZES)))
 
-    def fit(self, feats: np.ndarray, tags: np.ndarray, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Field:
-        """Maximum likelihood by full passes with adaptive steps. feats: (n, length, 7)."""
-        n, length, _ = feats.shape
-        flat_ = (feats + _BASE).reshape(-1)
-        g2w, g2m = np.full_like(self.weights, 1e-8), np.full_like(self.moves, 1e-8)
-        truth = np.eye(3)[tags]
-        moved = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
-        for _ in range(epochs):
-            e = self.scores(feats)
-            alpha, beta = np.zeros_like(e), np.zeros_like(e)
-            alpha[:, 0] = e[:, 0]
-            for t in range(1, length):
-                alpha[:, t] = e[:, t] + _lse(alpha[:, t - 1, :, None] + self.moves, 1)
-            for t in range(length - 2, -1, -1):
-                beta[:, t] = _lse(self.moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            z = _lse(alpha[:, -1], 1)[:, None, None]
-            p = np.exp(alpha + beta - z)
-            pair = np.zeros((3, 3))
-            for t in range(length - 1):
-                pair += np.exp(alpha[:, t, :, None] + self.moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :] - z).sum(0)
-            diff = np.repeat((truth - p).reshape(-1, 3), len(_SIZES), 0)
-            grad = np.stack([np.bincount(flat_, weights=diff[:, y], minlength=len(self.weights)) for y in range(3)], 1) / n - decay * self.weights
-            gm = (moved - pair) / n - decay * self.moves
-            g2w += grad**2
-            g2m += gm**2
-            self.weights += rate * grad / np.sqrt(g2w)
-            self.moves += rate * gm / np.sqrt(g2m)
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Field:
+        """Maximum likelihood over sequences of several lengths (features (n, length, tables),
+        tags (n, length)), by adaptive steps on batches, in an order that is always the same."""
+        g2w, g2m = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6)
+        batches = [(f[i : i + batch], t[i : i + batch]) for f, t in parts for i in range(0, len(f), batch)]
+        for epoch in range(epochs):
+            for i in np.random.default_rng(epoch).permutation(len(batches)):
+                feats, tags = batches[i]
+                grad, gm = np.zeros_like(self.weights), np.zeros_like(self.moves)
+                self._gradient(feats, tags, grad, gm)
+                grad = grad / len(feats) - decay * self.weights
+                gm = gm / len(feats) - decay * self.moves
+                g2w += grad**2
+                g2m += gm**2
+                self.weights += rate * grad / np.sqrt(g2w)
+                self.moves += rate * gm / np.sqrt(g2m)
         return self
 
+    def _gradient(self, feats: np.ndarray, tags: np.ndarray, grad: np.ndarray, gm: np.ndarray) -> None:
+        """Adds the gradient of the log-likelihood to ``grad`` and ``gm``."""
+        length = feats.shape[1]
+        truth = np.eye(3)[tags]
+        e = self.scores(feats)
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
+        alpha[:, 0] = e[:, 0]
+        for t in range(1, length):
+            alpha[:, t] = e[:, t] + _lse(alpha[:, t - 1, :, None] + self.moves, 1)
+        for t in range(length - 2, -1, -1):
+            beta[:, t] = _lse(self.moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        z = _lse(alpha[:, -1], 1)[:, None, None]
+        gm += np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
+        for t in range(length - 1):
+            gm -= np.exp(alpha[:, t, :, None] + self.moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :] - z).sum(0)
+        diff = np.repeat((truth - np.exp(alpha + beta - z)).reshape(-1, 3), len(_SIZES), 0)
+        at = (feats + _BASE).reshape(-1)
+        for y in range(3):
+            grad[:, y] += np.bincount(at, weights=diff[:, y], minlength=len(grad))
     def decode(self, words: Words, feats: np.ndarray) -> np.ndarray:
         """The best tags of all documents.
 
@@ -217,44 +362,65 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-def train(docs: DataFrame, sample_docs: int = 8_000) -> Field:
+def train(docs: DataFrame, sample_docs: int = 5_000, max_sequences: int = 15_000) -> Field:
     """A field from about ``sample_docs`` documents (all, if there are fewer), whole texts.
 
-    From each sampled text come the sequences around its spans and one around a token that a
-    hash chooses, so what reaches the driver is bounded by the sample."""
+    Each sampled text gives the sequences around its spans, one around a token that a hash
+    chooses, and two with a seed before that token, one a secret and one harmless; the ``max_sequences``
+    with the least hashes are used, so what reaches the driver is bounded. Texts of any length
+    train; null and empty ones have no sequence; no sequence at all gives a field that finds
+    nothing. Equal rows give equal sequences."""
     total = docs.count()
     share = min(1.0, sample_docs / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("secret")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text")
-    length = 2 * _WINDOW + 1
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("secret")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text")
 
     def work(part: pa.RecordBatch, text):
         words, feats = features(text)
-        tags = _tags(words, base_spans(text))
-        doc = words.doc_of()
+        tags = _tags(words, _values(text, base_spans(text)))
+        doc, h = words.doc_of(), words.hashes()
         middle = set(np.flatnonzero(tags == BEGIN).tolist())
-        h = words.hashes()
-        for d in np.flatnonzero(words.counts >= length):
-            a, b = words.docs[d], words.docs[d + 1]
-            middle.add(int(a) + int(h[a]) % int(b - a))
+        seeded, marks, files = [], [], []
+        for d in np.flatnonzero(words.counts):
+            a, b = int(words.docs[d]), int(words.docs[d + 1])
+            m = a + int(h[a]) % (b - a)
+            middle.add(m)
+            lo, hi = max(a, m - _WINDOW + 1), min(b, m + _WINDOW - 1)
+            rng = np.random.default_rng(int(h[m]))
+            own = [text.data[words.starts[i] : words.ends[i]].tobytes().decode(errors="ignore") for i in range(lo, hi)]
+            if (tags[lo:hi] != OUTSIDE).any():
+                continue
+            left = text.data[words.starts[lo] : words.starts[m]].tobytes()
+            right = text.data[words.starts[m] : words.ends[hi - 1]].tobytes()
+            plain = [w for w in own if w.isalpha()] or ["text"]
+            for secret in (True, False):
+                phrase, start, end = seed(rng, plain, secret)
+                seeded.append(left + phrase.encode() + b" " + right)
+                marks.append((len(left) + start, len(left) + end))
+                files.append(int(rng.integers(1, 4)))  # texts with few signs and with many
         rows = []
         for m in sorted(middle):
             a, b = words.docs[doc[m]], words.docs[doc[m] + 1]
-            if b - a >= length:
-                a = min(max(m - _WINDOW, a), b - length)
-                rows.append((feats[a : a + length].astype(np.int32).tobytes(), tags[a : a + length].tobytes()))
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["feats", "tags"])
-
-    found = over_texts(chosen, work, "feats binary, tags binary").toArrow()
+            a, b = max(m - _WINDOW, a), min(m + _WINDOW + 1, b)
+            rows.append((feats[a:b].tobytes(), tags[a:b].tobytes()))
+        if seeded:
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in seeded])]).astype(np.int64)
+            small = Flat(np.frombuffer(b"".join(seeded), np.uint8), offs)
+            w, f = features(small)
+            t = _tags(w, [(o + s, o + e) for o, (s, e) in zip(offs, marks, strict=False) if e > s])
+            f[:, _FILE] = np.array(files, np.int32)[w.doc_of()]
+            rows += [(f[a:b].tobytes(), t[a:b].tobytes()) for a, b in zip(w.docs, w.docs[1:], strict=False) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["feats", "tags"])
+
+    found = over_texts(chosen, work, "feats binary, tags binary").orderBy(F.xxhash64("feats"), "tags").limit(max_sequences).toArrow()
     field = Field()
-    if found.num_rows:
-        feats = np.frombuffer(b"".join(found["feats"].to_pylist()), np.int32).reshape(-1, length, len(_SIZES))
-        tags = np.frombuffer(b"".join(found["tags"].to_pylist()), np.int8).reshape(-1, length)
-        field.fit(feats, tags)
-    else:
+    by: dict[int, list] = {}
+    for feats, tags in zip(found["feats"].to_pylist(), found["tags"].to_pylist(), strict=True):
+        by.setdefault(len(tags), []).append((feats, tags))
+    if not by:
         field.weights[:, OUTSIDE] = 1.0
-    return field
+        return field
+    parts = [(np.frombuffer(b"".join(f for f, _ in rows), np.int32).reshape(-1, n, len(_SIZES)), np.frombuffer(b"".join(t for _, t in rows), np.int8).reshape(-1, n)) for n, rows in sorted(by.items())]
+    return field.fit(parts)
 
 
 def scan(docs: DataFrame, field: Field, redact: str | None = None) -> DataFrame:
@@ -264,7 +430,9 @@ def scan(docs: DataFrame, field: Field, redact: str | None = None) -> DataFrame:
     are stretches of eight characters or more that the field tags and no pattern covers. With
     ``redact``, the result has the columns of ``docs``, each span's place taken by
     that text, and ``n_chars`` to match. Null and empty texts have no span; a redacted null
-    stays null; repeated rows each get a row."""
+    stays null; repeated rows each get a row; an empty table gives an empty one. Spans that
+    begin together stand in the order of KINDS; of equally good tags the first of begin,
+    inside and outside counts."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def spans_of(text):
@@ -280,6 +448,9 @@ def scan(docs: DataFrame, field: Field, redact: str | None = None) -> DataFrame:
             while j < len(tags) and tags[j] == INSIDE and doc[j] == doc[i]:
                 j += 1
             s, e = int(words.starts[i]), int(words.ends[j - 1])
+            stop = int(text.offs[doc[i] + 1])
+            while e < stop and text.data[e] == _EQUALS:  # what pads a value is part of it
+                e += 1
             before = int(np.searchsorted(taken_from, e))
             if e - s >= 8 and not (before and taken_to[before - 1] > s):
                 spans.append((int(doc[i]), 3, s, e))
