@@ -247,14 +247,11 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     again = lambda links: kept(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))  # noqa: E731  what is joined already counts as one link for each node
     tested = None
     for turn in range(ROUNDS + 1):
-        placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
-        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-        open_ = written(open_.select("key", "size"))
+        placed, open_ = _open(members, joined)
         size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        left = written(placed.join(open_, "key").join(short, "digest"))
         if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
             break
-        wide = left.where(F.col("size") > 2 * LARGE)
+        wide = written(placed.join(open_.where(F.col("size") > 2 * LARGE), "key").join(short, "digest"))
         lead = wide.groupBy("key").agg(F.max("size").alias("size"), *[F.min_by(F.struct("digest", "component", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
         # the rows of a large block meet its leaders in several places
         places = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
@@ -268,15 +265,12 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
         if not many:
             break
         joined = again(found_links)
-        if many < WORTH * met.count():
-            # most pairs don't link, so leaders no longer save much
-            placed = left.drop("component").join(joined, F.col("digest") == F.col("node"), "left").withColumn("component", F.coalesce("component", "digest")).drop("node")
-            open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-            left = written(placed.join(open_.select("key"), "key", "left_semi"))
+        if many < WORTH * met.count():  # most pairs don't link, so leaders no longer save much
+            placed, open_ = _open(members, joined)
             break
 
     # cells of the blocks that aren't one component yet
-    more = verify(_cells(left, percent))
+    more = verify(_cells(written(placed.join(open_, "key").join(short, "digest")), percent))
     if not more.isEmpty():
         joined = again(more)
 
@@ -291,6 +285,13 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     return full.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("least.rid") == F.col("rid"))).alias("stays"))
 
 
+def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` with their components, and (key, size) of the blocks that have several."""
+    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
+    return placed, written(open_.select("key", "size"))
+
+
 def _cells(left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of open blocks that are in two components and pass the bounds.
 
@@ -461,7 +462,7 @@ def _sets(source: DataFrame, chosen: DataFrame, k: int, seed: int) -> DataFrame:
                     values = np.concatenate([signed(gram[bounds[i] : bounds[i + 1]]) for i in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["digest", "shingles"])
 
-    return written(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]))
+    return texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
 def op6_ngram_jaccard(spark, sf_dir) -> DataFrame:
