@@ -2,8 +2,9 @@
 
 Built-in functions only. Fixed patterns and further ones propose spans; pattern, gazetteer,
 context, boundary and variety labelers vote on each. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is, and its posteriors train the
-classifier that decides on the spans that the fixed patterns don't cover.
+counts of vote patterns estimates how often each labeler votes which way on personal data
+and on other spans. Its posteriors train the classifier, which sees the form of a span
+beside the votes and decides on the spans that the fixed patterns don't cover.
 """
 
 from __future__ import annotations
@@ -34,6 +35,18 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame"
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Boulevard|Blvd|Drive"
 
+# Frequent given names and family names.
+GIVEN = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra "
+    "Mark Margaret Steven Ashley Paul Emily Andrew Donna Joshua Michelle Kevin Carol Brian Amanda George Melissa Edward Deborah Jane Anna Laura Peter Hans Klaus Jürgen Wolfgang Ursula Helga Monika Sabine "
+    "Stefan Jean Pierre Michel André Marie Nathalie Isabelle Sylvie Catherine Françoise José Antonio Juan Manuel Francisco Carlos Carmen Josefa Isabel Ana Luis Miguel Pedro Lucía Sofía Maria Ahmed Mohammed Fatima Wei Priya Yuki Olga Ivan"
+).split()
+FAMILY = (
+    "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Thomas Taylor Moore Jackson Martin Lee Perez Thompson White Harris Sanchez Clark Ramirez Lewis "
+    "Robinson Walker Young Allen King Wright Scott Torres Nguyen Hill Flores Green Adams Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts Doe Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker "
+    "Schulz Hoffmann Bernard Dubois Durand Leroy Moreau Simon Laurent Lefebvre García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Ruiz Khan Singh Kumar Wang Li Zhang Chen Tanaka Ivanov"
+).split()
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -48,6 +61,8 @@ class Kind:
     valid: Callable[[Column], Column]
     context: str  # words before a span that speak for it
     gazetteer: str  # forms that public lists know
+    strict: bool = True  # other forms speak against a span
+    checked: bool = False  # ``valid`` is a check that few other spans pass
 
 
 KINDS = (
@@ -60,9 +75,19 @@ KINDS = (
     Kind("iban", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: F.lit(True), "iban|account|konto|bank", "^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT|PL)[0-9]{2}"),
     Kind("name", False, lambda t: t.rlike(rf"\b(?:{_TITLES})\.? \p{{Lu}}"), rf"\b(?:{_TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?", lambda m: F.lit(True), "dear|sincerely|by|from|with", rf"^(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}+$"),
     Kind("street", False, lambda t: t.rlike(rf"[0-9] .{{0,60}}\b(?:{_STREETS})\b"), rf"\b[0-9]{{1,5}}\x20(?:\p{{Lu}}\p{{Ll}}+\x20){{1,3}}(?:{_STREETS})\b", lambda m: F.lit(True), "at|address|live|lives|visit", rf"(?:{_STREETS})$"),
+    # what two numbers that stand together hide from the fixed pattern
+    Kind("card_in_run", False, lambda t: t.rlike("[0-9]{4}[ -]?[0-9]{4}"), r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])", lambda m: _luhn(_digits(m)), "card|visa|credit|payment|pay", "^(?:4|5[1-5]|2[2-7]|34|37|35|6011|65)", False, True),
+    Kind("person", False, lambda t: t.rlike(r"\p{Lu}\p{Ll}++ \p{Lu}"), rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}\p{{Ll}}++\x20\p{{Lu}})(?:{'|'.join(GIVEN)})\x20(?:\p{{Lu}}\.\x20)?\p{{Lu}}[\p{{L}}'-]+", lambda m: F.lit(True), r"dear|sincerely|regards|\bby\b|from|name|contact|author|signed|\bam\b|called|\bis\b|met|hi\b|hello", rf"\x20(?:{'|'.join(FAMILY)})$", False),
 )
 LABELERS = ("pattern", "gazetteer", "context", "boundary", "variety")
+FORMS = ("size", "share", "lead")
 _AGAINST = "version|isbn|order|invoice|model|page|serial|build|ticket"
+
+# How each labeler is expected to vote (for, nothing, against): on personal data, on other spans.
+EXPECTED = {
+    "pattern": ((0.6, 0.399, 0.001), (0.3, 0.699, 0.001)), "gazetteer": ((0.75, 0.1, 0.15), (0.35, 0.15, 0.5)), "context": ((0.4, 0.595, 0.005), (0.05, 0.55, 0.4)), "boundary": ((0.94, 0.01, 0.05), (0.6, 0.01, 0.39)), "variety": ((0.6, 0.38, 0.02), (0.35, 0.4, 0.25)),
+}
+TRUST = 200.0  # the expectations count as so many spans
 _ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
 
@@ -92,15 +117,21 @@ def proposals(docs: DataFrame) -> DataFrame:
     near = F.lower("before")
     digits = _digits(m)
     votes = {
-        "pattern": per_kind(lambda k: F.lit(1 if k.base else 0)),
-        "gazetteer": per_kind(lambda k: F.when(m.rlike(k.gazetteer), 1).otherwise(-1)),
+        "pattern": per_kind(lambda k: F.lit(int(k.base or k.checked))),
+        "gazetteer": per_kind(lambda k: F.when(m.rlike(k.gazetteer), 1).otherwise(-1 if k.strict else 0)),
         "context": F.when(per_kind(lambda k: near.rlike(k.context)), 1).when(near.rlike(_AGAINST), -1).otherwise(0),
         "boundary": F.when(F.col("before").rlike(r"[\p{L}\p{N}]$") | F.coalesce(F.col("after"), F.lit("")).rlike(r"^[\p{L}\p{N}]"), -1).otherwise(1),
         "variety": F.when(F.length(digits) < 6, 0).when(F.size(F.array_distinct(F.split(digits, ""))) >= 4, 1).otherwise(-1),
     }
+    part = F.length(digits) / F.length(m)
+    forms = {
+        "size": F.when(F.length(m) < 8, 0).when(F.length(m) < 12, 1).when(F.length(m) < 20, 2).otherwise(3),
+        "share": F.when(part < 0.1, 0).when(part < 0.5, 1).when(part < 0.8, 2).otherwise(3),
+        "lead": F.when(F.col("before").rlike(r"[\n\r]$") | (F.col("before") == ""), 0).when(F.col("before").rlike(r"\s$"), 1).when(F.col("before").rlike(r"[:=(\[\"']$"), 2).otherwise(3),
+    }
     spans = good.select(
         "rid", "doc_id", F.when(F.col("ok"), F.col("kind")).alias("kind"), F.when(F.col("ok"), F.col("start")).cast("long").alias("start"), F.when(F.col("ok"), F.col("start") + F.length("m")).cast("long").alias("end"),
-        per_kind(lambda k: F.lit(k.base)).alias("base"), *[F.when(F.col("ok"), v).cast("int").alias(name) for name, v in votes.items()],
+        per_kind(lambda k: F.lit(k.base)).alias("base"), *[F.when(F.col("ok"), v).cast("int").alias(name) for name, v in (votes | forms).items()],
     )
     # one of the rows without a span stays for each document
     first = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("kind").isNotNull(), "start"))
@@ -121,47 +152,48 @@ def _sigmoid(x: float) -> float:
 def estimate(counts: list[tuple], rounds: int = 60) -> dict[tuple, float]:
     """Posterior of each vote pattern (kind, votes...) from the counts (kind, votes..., n).
 
-    A labeler that doesn't abstain is right with a probability of its own; a kind has a
-    prior of its own. Both get a slight prior towards being right, so rare patterns don't
-    decide."""
-    right = [0.8] * len(LABELERS)
+    Each labeler votes for, against or not at all with chances of its own on personal data and
+    on other spans; each kind has a prior of its own. The chances begin at EXPECTED and are
+    held to it by the weight of TRUST spans, so rare patterns follow it and many spans
+    can overrule it."""
+    chance = [[list(e) for e in EXPECTED[name]] for name in LABELERS]
     prior = {c[0]: 0.5 for c in counts}
     post: dict[tuple, float] = {}
     for _ in range(rounds):
         for *key, _n in counts:
-            score = log(prior[key[0]] / (1 - prior[key[0]])) + sum(v * log(r / (1 - r)) for v, r in zip(key[1:], right, strict=True))
-            post[tuple(key)] = _sigmoid(score)
-        for j in range(len(LABELERS)):
-            hit, total = 8.0, 10.0
+            odds = log(prior[key[0]] / (1 - prior[key[0]])) + sum(log(chance[j][0][1 - v] / chance[j][1][1 - v]) for j, v in enumerate(key[1:]))
+            post[tuple(key)] = _sigmoid(odds)
+        for j, name in enumerate(LABELERS):
+            sums = [[TRUST * x for x in e] for e in EXPECTED[name]]
             for *key, n in counts:
-                v, p = key[1 + j], post[tuple(key)]
-                if v:
-                    hit += n * (p if v > 0 else 1 - p)
-                    total += n
-            right[j] = min(0.98, max(0.55, hit / total))
+                p = post[tuple(key)]
+                sums[0][1 - key[1 + j]] += n * p
+                sums[1][1 - key[1 + j]] += n * (1 - p)
+            chance[j] = [[x / sum(row) for x in row] for row in sums]
         for kind in prior:
             mine = [(post[tuple(c[:-1])], c[-1]) for c in counts if c[0] == kind]
-            prior[kind] = min(0.95, max(0.05, (sum(p * n for p, n in mine) + 1) / (sum(n for _, n in mine) + 2)))
+            prior[kind] = (sum(p * n for p, n in mine) + 20) / (sum(n for _, n in mine) + 40)
     return post
 
 
-def classifier(counts: list[tuple], post: dict[tuple, float], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[tuple, float]:
-    """The span classifier's probability for each vote pattern: logistic regression on the
-    kind and each labeler's vote, trained on the posteriors, patterns weighted by the
-    logarithm of their counts."""
-    names = lambda key: [("kind", key[0]), *[(j, v) for j, v in enumerate(key[1:])]]
-    weights: dict = {}
-    rows = [(names(c[:-1]), post[tuple(c[:-1])], log(1 + c[-1])) for c in counts]
+def classifier(counts: list[tuple], post: dict[tuple, float], rounds: int = 200, rate: float = 2.0, decay: float = 1e-3) -> dict[tuple, float]:
+    """The span classifier's probability for each pattern of kind, votes and forms, from the
+    counts (kind, votes..., forms..., n): logistic regression on all of them, trained on the
+    posteriors of the votes, patterns weighted by the logarithm of their counts."""
+    votes = 1 + len(LABELERS)
+    names = lambda key: [("kind", key[0]), *[(j, v) for j, v in enumerate(key[1:])], *[("kind", key[0], j, v) for j, v in enumerate(key[1:votes])]]
+    numbers: dict = {}
+    rows = [([numbers.setdefault(f, len(numbers)) for f in names(c[:-1])], post[tuple(c[:votes])], log(1 + c[-1])) for c in counts]
     whole = sum(w for *_, w in rows) or 1.0
+    weights = [0.0] * len(numbers)
     for _ in range(rounds):
-        step: dict = {}
+        step = [0.0] * len(numbers)
         for feats, p, w in rows:
-            off = w * (p - _sigmoid(sum(weights.get(f, 0.0) for f in feats))) / whole
+            off = w * (p - _sigmoid(sum(weights[f] for f in feats))) / whole
             for f in feats:
-                step[f] = step.get(f, 0.0) + off
-        for f, g in step.items():
-            weights[f] = weights.get(f, 0.0) + rate * (g * 4 - decay * weights.get(f, 0.0))
-    return {tuple(c[:-1]): _sigmoid(sum(weights.get(f, 0.0) for f in names(c[:-1]))) for c in counts}
+                step[f] += off
+        weights = [w + rate * (g - decay * w / 4) for w, g in zip(weights, step, strict=True)]
+    return {tuple(c[:-1]): _sigmoid(sum(weights[f] for f in feats)) for c, (feats, *_) in zip(counts, rows, strict=True)}
 
 
 def detect(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -169,14 +201,20 @@ def detect(docs: DataFrame, least: float = 0.75) -> DataFrame:
     score) by start and kind.
 
     Spans of the fixed patterns stay whatever their score; others need a probability of
-    ``least`` and must not overlap a span before them or one of a fixed pattern. Null and
-    empty texts have none; repeated rows get a row each."""
+    ``least`` and must not overlap a span before them or one of a fixed pattern; of spans that
+    begin together the one of the earlier kind comes first. Null and empty texts have none;
+    repeated rows get a row each; an empty table gives an empty one; other columns of ``docs``
+    don't matter."""
     rows = kept(proposals(docs))
-    # at most kinds * 3 ** labelers patterns
-    counts = [tuple(r) for r in rows.where("kind is not null").groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()]
-    score = classifier(counts, estimate(counts)) if counts else {}
-    table = docs.sparkSession.createDataFrame([(*k, float(p)) for k, p in score.items()], ", ".join(["kind int", *[f"{x} int" for x in LABELERS], "score double"]))
-    rated = rows.join(F.broadcast(table), ["kind", *LABELERS], "left")
+    # patterns of votes and forms: their number is bounded by the kinds, whatever the corpus
+    counts = [tuple(r) for r in rows.where("kind is not null").groupBy("kind", *LABELERS, *FORMS).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS, *FORMS).collect()]
+    by: dict[tuple, int] = {}
+    for c in counts:
+        key = c[: 1 + len(LABELERS)]
+        by[key] = by.get(key, 0) + c[-1]
+    score = classifier(counts, estimate([(*k, n) for k, n in by.items()])) if counts else {}
+    table = docs.sparkSession.createDataFrame([(*k, float(p)) for k, p in score.items()], ", ".join(["kind int", *[f"{x} int" for x in (*LABELERS, *FORMS)], "score double"]))
+    rated = rows.join(F.broadcast(table), ["kind", *LABELERS, *FORMS], "left")
     w = Window.partitionBy("rid").orderBy("start", "kind")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
