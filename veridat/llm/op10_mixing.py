@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, kept, over_texts, row_key, signed
+from .common import Words, kept, over_texts, signed
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
@@ -76,14 +76,15 @@ class Classifier:
         return np.stack([(1 - toxic) * good, (1 - toxic) * (1 - good), toxic], 1), n
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_features: int = 20_000, evidence: float = 25.0) -> Classifier:
-    """Learns from about ``sample_rows`` labelled rows, chosen by a hash of the id (all, if
-    there are fewer), and keeps the ``max_features`` features with the most evidence (a
-    likelihood-ratio statistic of ``evidence`` at least). Labels with a null are left out."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, evidence: float = 25.0) -> Classifier:
+    """Learns from ``sample_rows`` labelled rows at most, chosen by a hash of the id (all, if
+    there are fewer), and keeps all features whose likelihood-ratio statistic is ``evidence`` at
+    least. Labels with a null are left out; repeated labels count each; ids without a document
+    don't matter; texts that are null are empty ones. Without any label all posteriors are those
+    of even chances."""
     spark = docs.sparkSession
     whole = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"), (F.col("toxic") > 0).alias("toxic"))
-    share = min(1.0, sample_rows / max(1, whole.count()))
-    sample = kept(whole.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
+    sample = kept(whole.orderBy(F.xxhash64("doc_id", F.lit("mixing")), "good", "toxic").limit(sample_rows))
     # bounded by sample_rows
     pick = lambda rows: docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "good", "toxic")
     # near copies mustn't count as evidence of their own: one of each group, by the least hash of their 3-word shingles
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_fea
     c = F.col
     pairs = ((c("toxic"), tox, c("n") - c("toxic"), clean), (c("good"), good, c("n") - c("toxic") - c("good"), clean - good))
     scored = counts.where("feature <> -1").select("feature", *[F.when(ratio(*p) >= evidence, weight(*p)).otherwise(0.0).alias(f"w{j}") for j, p in enumerate(pairs)], F.greatest(*[ratio(*p) for p in pairs]).alias("evidence"))
-    best = scored.where(c("evidence") >= evidence).orderBy(F.desc("evidence"), "feature").limit(max_features).toArrow()
+    best = scored.where(c("evidence") >= evidence).toArrow()  # bounded, as the sample is
     keys = best["feature"].to_numpy()
     order = np.argsort(keys)
     weights = np.stack([best["w0"].to_numpy(), best["w1"].to_numpy()], 1)[order]
@@ -127,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_fea
         score, _ = shared.value.evidence(text)
         return pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(score[:, 0]), pa.array(score[:, 1])], ["good", "toxic", "s0", "s1"])
 
-    seen = over_texts(rows.select("text", "good", "toxic"), rated, "good boolean, toxic boolean, s0 double, s1 double").toArrow()
+    # documents that repeat an id come all, so the bound holds here again
+    seen = over_texts(rows.select("text", "good", "toxic"), rated, "good boolean, toxic boolean, s0 double, s1 double").orderBy(F.xxhash64("s0", "s1"), "s0", "s1", "good", "toxic").limit(sample_rows).toArrow()
     good, toxic = (seen[x].to_numpy().astype(bool) for x in ("good", "toxic"))
     model.calibrate(np.stack([seen["s0"].to_numpy(), seen["s1"].to_numpy()], 1), np.stack([toxic, good], 1).astype(float), np.stack([np.ones_like(toxic), ~toxic], 1))
     return model
@@ -145,9 +147,10 @@ def _grouped(part: pa.RecordBatch, text) -> pa.RecordBatch:
 def memberships(docs: DataFrame, model: Classifier, keep_columns: bool = False) -> DataFrame:
     """Posterior columns p_<domain> and n_tokens beside doc_id, or beside all columns.
 
-    Empty and null texts have no tokens and the posteriors of a text without words."""
+    Empty and null texts have no tokens and the posteriors of a text without words. Repeated
+    rows and null ids get a row each; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rid"), "text")
+    source = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = [f for f in source.schema.fields if keep_columns or f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + [f"p_{d} double" for d in DOMAINS] + ["n_tokens long"])
 
@@ -196,10 +199,12 @@ def rates(members: DataFrame, taken: list[np.ndarray]) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with p_<domain>, n_tokens and ``rate``, without the rows whose rate is zero.
 
-    Columns of ``docs`` with those names are replaced."""
+    Columns of ``docs`` with those names are replaced; repeated rows and null ids stay each;
+    rows of equal posteriors have equal rates; an empty table gives an empty one, a table
+    without tokens keeps all rows at rate one."""
     docs = docs.drop(*[f"p_{d}" for d in DOMAINS], "n_tokens", "rate")
     model = train(docs, labels)
-    taken = fit_steps(kept(memberships(docs, model).drop("rid")), targets)
+    taken = fit_steps(kept(memberships(docs, model)), targets)
     return rates(memberships(docs, model, keep_columns=True), taken).where("rate > 0")
 
 
@@ -214,5 +219,5 @@ def _rate(taken: list[np.ndarray]) -> Column:
 def op10_mix_domains(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    members = kept(memberships(docs, model).drop("rid"))
+    members = kept(memberships(docs, model))
     return rates(members, fit_steps(members)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate")

@@ -20,19 +20,22 @@ ORDER = 3
 
 
 def train(labelled: DataFrame, docs_per_language: int = 1500) -> tuple[list[str], Model]:
-    """Trees of all languages of ``labelled`` (doc_id, text, lang).
+    """Trees of all languages of ``labelled`` (doc_id, text, lang), with all contexts that were
+    seen twice.
 
     ``docs_per_language`` bounds the expected number of whole documents that a language
-    learns from; a hash of the id chooses them. Languages with fewer use all."""
+    learns from; a hash of the id and the text chooses them. Languages with fewer use all;
+    repeated rows count each; null labels are left out, null texts count as empty ones; no
+    labelled row gives no language."""
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.lang is not None}
     if not counts:
         return [], Model([])
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, docs_per_language / n) * 1_000_000)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
     found = gram_counts(chosen, "lang", ORDER).toArrow()  # bounded, as the sample is
     langs = sorted(set(found["label"].unique().to_pylist()))
     by = [found.filter(pc.equal(found["label"], x)) for x in langs]
-    return langs, Model([(x["gram"].to_numpy(), x["n"].to_numpy()) for x in by], ORDER, max(200, 90_000 // max(1, len(by))))
+    return langs, Model([(x["gram"].to_numpy(), x["n"].to_numpy()) for x in by], ORDER)
 
 
 def identify(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:
@@ -40,7 +43,7 @@ def identify(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:
 
     A null text or one without a letter, or any text if no language was learned, is
     ``und`` with score 0. Ties go to the first language in alphabetical order. Repeated
-    rows each get a row; other columns of ``docs`` don't matter."""
+    rows each get a row, an empty table none; other columns of ``docs`` don't matter."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, model))
     schema = "doc_id long, held_out boolean, lang_pred string, score double, bits double"

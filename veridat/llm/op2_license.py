@@ -75,7 +75,9 @@ def scan(docs: DataFrame, templates=PHRASES + NOTICES, k: int = 4, slack: int =
     ``spans`` is an array of (label, phrase, start, end, score), in words. ``slack`` is the
     gap up to which neighbouring diagonals are merged, ``least`` the least share of a
     template's k-grams. Null and empty texts have no words and no spans; repeated rows
-    stay apart; extra columns are ignored."""
+    stay apart; extra columns are ignored; an empty table gives no rows. Of equally long places
+    each is a span of its own, and the diagonals of one template are merged in their order,
+    so ties can't change a result."""
     table, widths = template_positions(docs.sparkSession, templates, k)
 
     def work(part: pa.RecordBatch, text):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import free_name, kept, numbered, written
 
 RADIUS = 18  # of 64 bits; at similarity 0.8 the expected distance is below 10
 MOST_ITEM_SHINGLES = 2_000_000  # sent to all executors up to here, joined by shuffle beyond
@@ -138,10 +138,13 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold a passage like an item's text."""
-    hit = kept(find(docs, benchmark, similarity).select(F.col("doc_id").alias("__hit")).distinct())
-    hit = F.broadcast(hit) if hit.count() <= MOST_WINDOWED else hit
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """``docs`` without the rows that hold a passage like an item's text. Each row is judged by
+    its own text, so rows without a passage stay whatever ids they share."""
+    row = free_name(docs, "row")
+    rows = numbered(docs, row)
+    found = find(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, similarity)
+    hit = written(found.select(F.col("doc_id").alias(row)).distinct())
+    return rows.join(F.broadcast(hit) if hit.count() <= MOST_WINDOWED else hit, row, "left_anti").drop(row)
 
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:

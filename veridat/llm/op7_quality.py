@@ -50,7 +50,8 @@ def judge(docs: DataFrame, max_loss: float = 0.5, keep_columns: bool = False) ->
     With ``keep_columns`` the result has the columns of ``docs`` instead, for kept rows
     only, their ``text`` without the lines that fail, and ``n_chars`` to match where there
     is one. ``max_loss`` is the largest share of word characters that a kept document may
-    lose. Null and empty texts have no words and fail; repeated rows are judged each."""
+    lose. Null and empty texts have no words and fail; repeated rows are judged each; of
+    equal lines the first one isn't a repetition; an empty table gives no rows."""
     fields = [f for f in docs.schema.fields if f.name not in ("text",)]
 
     def work(part: pa.RecordBatch, text):

@@ -101,10 +101,10 @@ def _context(gram: np.ndarray, order: int) -> np.ndarray:
 class Model:
     """Frozen trees of some labels, compiled. table[node * width + symbol, label]: bits.
 
-    ``most`` bounds the contexts of each length: kept are those that hold at least one in
-    ``most`` of all symbols."""
+    Kept are the contexts that were seen twice; with ``most``, of each length only those that
+    hold at least one in ``most`` of all symbols."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int = 3, most: int = 30_000):
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int = 3, most: int | None = None):
         self.order = order
         every = np.concatenate([g for g, _ in grams]) if grams else np.zeros(0, np.int64)
         seen = np.unique(np.concatenate([(every >> (BITS * j)) & _MASK for j in range(order + 1)] + [np.array([END])]))
@@ -119,7 +119,7 @@ class Model:
             # a kept context's suffix is kept too, so a longer one is found from it
             whole = ((keys >> (BITS * (o - 1))) & _MASK) <= END
             kept = _find(rows[o - 1], keys & ((1 << (BITS * (o - 1))) - 1))[1]
-            rows.append(keys[(ns >= 2) & (ns * most >= total) & whole & kept])
+            rows.append(keys[(ns >= 2) & (most is None or ns * most >= total) & whole & kept])
         self.nodes = sum(map(len, rows))
         base = np.cumsum([0] + [len(r) for r in rows])
         self.deepest, self.longest = int(base[order]), rows[order]
