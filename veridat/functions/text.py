@@ -43,6 +43,12 @@ def number(column: Column) -> Column:
     return F.when(s.rlike(NUMBER), F.when(s.rlike("(?i)inf"), F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(s.try_cast("double")))
 
 
+def whole_number(column: Column) -> Column:
+    """The value as an exact whole number of up to 38 digits; null where it isn't one."""
+    s = strip(column)
+    return F.when(s.rlike(r"\A[+-]?[0-9]{1,38}\z"), s.try_cast("decimal(38,0)"))
+
+
 def full_match(column: Column, pattern: str) -> Column:
     return column.rlike(rf"\A(?:{pattern})\z")
 
@@ -50,8 +56,15 @@ def full_match(column: Column, pattern: str) -> Column:
 def date(column: Column, formats=DATE_FORMATS) -> Column:
     """The first of ``formats`` that the trimmed value matches as a whole and that is a day
     of the calendar. Months and days may have one digit, as in strptime."""
+    slashed, dashed = [f for f in formats if "/" in f], [f for f in formats if "-" in f]
+    rest = [f for f in formats if f not in (*slashed, *dashed)]
+
+    def parsed(s: Column) -> Column:
+        # what separates the parts tells which formats come into question
+        tried = lambda some: F.coalesce(*[_dated(s, f) for f in some]) if some else F.lit(None).cast("date")
+        return F.when(s.contains("/"), tried(slashed)).when(s.contains("-"), tried(dashed)).otherwise(tried(rest))
+
     # an array of one binds the trimmed value, which else is computed anew for each format
-    parsed = lambda s: F.coalesce(*[_dated(s, f) for f in formats])
     return F.transform(F.array(strip(column)), parsed)[0]
 
 
@@ -67,28 +80,30 @@ def dated(column: Column, fmt: str) -> Column:
     return F.transform(F.array(strip(column)), lambda s: _dated(s, NAMED_FORMATS.get(fmt, fmt)))[0]
 
 
-_JAVA = {"%Y": "yyyy", "%m": "M", "%d": "d"}
-
-
 def _dated(value: Column, fmt: str) -> Column:
-    order, pattern, java, at = [], "", "", 0
+    order, pattern, at = [], "", 0
     for m in re.finditer("%.", fmt):
-        between = fmt[at : m.start()]
-        pattern += re.escape(between) + _PART[m[0]]
-        java += between + _JAVA.get(m[0], "?")
+        pattern += re.escape(fmt[at : m.start()]) + _PART[m[0]]
         order.append(m[0])
         at = m.end()
     pattern = rf"\A(?:{pattern}{re.escape(fmt[at:])})\z"
+    # a date's own notation needs no format, which makes the cast fast; it knows the calendar
+    as_date = lambda text: text.try_cast("date")
     valid = value.rlike(pattern)
-    if set(order) == set(_JAVA) and fmt in ("%m/%d/%Y", "%Y-%m-%d", "%m-%d-%Y"):
-        return F.when(valid, F.try_to_date(value, java))
+    if fmt == "%Y-%m-%d":
+        return F.when(valid & ~value.startswith("0000"), as_date(value))
+    if fmt in ("%m%d%Y", "%Y%m%d"):  # eight digits are the common case and need no parts
+        year, month, day = (F.substring(value, i, n) for i, n in (((5, 4), (1, 2), (3, 2)) if fmt == "%m%d%Y" else ((1, 4), (5, 2), (7, 2))))
+        eight = F.when(value.rlike(r"\A[0-9]{8}\z") & (year != "0000"), as_date(F.concat_ws("-", year, month, day)))
+        return F.when(F.length(value) == 8, eight).otherwise(_from_parts(value, order, pattern, valid))
+    return _from_parts(value, order, pattern, valid)
+
+
+def _from_parts(value: Column, order: list[str], pattern: str, valid: Column) -> Column:
     part = lambda p: F.regexp_extract(value, pattern, order.index(p) + 1)
     year = part("%Y") if "%Y" in order else F.lit("1900")
     if "%y" in order:
         year = F.concat(F.when(part("%y") >= "69", "19").otherwise("20"), part("%y"))
     month = part("%m") if "%m" in order else F.lit("1")
     day = part("%d") if "%d" in order else F.lit("1")
-    found = F.when(valid & (year != "0000"), F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
-    if fmt in ("%m%d%Y", "%Y%m%d"):  # eight digits are the common case and need no parts
-        return F.when(value.rlike(r"\A[0-9]{8}\z"), F.try_to_date(value, fmt.replace("%Y", "yyyy").replace("%m", "MM").replace("%d", "dd"))).when(F.length(value) < 8, found)
-    return found
+    return F.when(valid & (year != "0000"), F.concat_ws("-", year, month, day).try_cast("date"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import registry
-from .rules import Plan, col, numeric_shares, plan_rule
+from .rules import Plan, col, numeric_shares, plan_rule, unsure_columns
 
 SAMPLES = 10
 RESULT_SCHEMA = "rule_id long, dataset_name string, status string, failed_count long, details string"
@@ -58,8 +58,10 @@ def _joined(df: DataFrame, plan: Plan) -> DataFrame:
     """Failing rows of a rule that joins with keys; nulls of duplicate keys equal each other."""
     same = [(a.eqNullSafe(F.col(f"k.k{i}")) if plan.match_is_failure else a == F.col(f"k.k{i}")) for i, a in enumerate(plan.on)]
     keys = plan.keys.alias("k")
-    if not plan.match_is_failure and plan.keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
-        keys = F.broadcast(keys)
+    if not plan.match_is_failure:
+        if plan.small is None:  # counted once for all jobs of a rule
+            plan.small = plan.keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+        keys = F.broadcast(keys) if plan.small else keys
     return df.where(plan.applies).join(keys, reduce(lambda x, y: x & y, same), "left_semi" if plan.match_is_failure else "left_anti")
 
 
@@ -87,8 +89,8 @@ def plan_rules(df: DataFrame, rules: list[Rule], tables: dict) -> tuple[dict[int
             ready[rule.rule_id] = (rule, _prepared(rule))
         except Exception as problem:  # noqa: BLE001  a rule's error is its result
             broken[rule.rule_id] = _error(problem)
-    compared = {c for _, r in ready.values() if r["type"] == "column_comparison" for c in (r["parameters"]["left_column"], r["parameters"]["right_column"]) if c in df.columns}
-    shares = numeric_shares(df, sorted(compared))
+    unsure = {c for _, r in ready.values() if r["type"] == "column_comparison" for c in unsure_columns(df, r["parameters"])}
+    shares = numeric_shares(df, sorted(unsure))
     for i, (rule, cleaned) in ready.items():
         try:
             plans[i] = plan_rule(df, cleaned, rule.column, tables, shares)

@@ -7,9 +7,9 @@ keys for an anti-join, duplicate keys for a semi-join. Predicates are never null
 from __future__ import annotations
 
 import operator
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import DataQualityError
-from ..functions.text import date, dated, full_match, number, populated, strip, supported_format
+from ..functions.patterns import java_pattern
+from ..functions.text import date, dated, full_match, number, populated, strip, supported_format, whole_number
 
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 NUMERIC_SHARE = 0.95
+WHOLE = "decimal(38,0)"
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Plan:
     match_is_failure: bool = False
     applies: Column | None = None  # of a join: rows that are judged at all
     minimum: int | None = None
+    small: bool | None = None  # whether the keys are few enough to send to all executors
     extras: dict[str, Column] = field(default_factory=dict)  # further counts
 
 
@@ -65,13 +68,26 @@ def _listed(df: DataFrame, name: str, values: list) -> Column:
     return col(name).isin(*values) if values else F.lit(False)
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    return col(name).cast("double") if isinstance(df.schema[name].dataType, T.NumericType) else number(col(name))
+def _number(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """The value as a double, and exactly where it is a whole number (else null)."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.NumericType):
+        return number(col(name)), whole_number(col(name))
+    whole = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0
+    return col(name).cast("double"), (col(name) if whole else F.lit(None)).cast(WHOLE)
+
+
+def _beyond(value: tuple[Column, Column], bound: float, compare: Callable) -> Column:
+    """Whether a value lies beyond a bound; whole numbers are compared exactly."""
+    plain = compare(value[0], F.lit(float(bound)))
+    if isinstance(bound, float) or abs(bound) >= 10**38:
+        return plain
+    return F.when(value[1].isNotNull(), compare(value[1], F.lit(Decimal(bound)).cast(WHOLE))).otherwise(plain)
 
 
 def _range(df: DataFrame, name: str, p: dict) -> Column:
     n = _number(df, name)
-    return _false(populated(col(name)) & (n.isNull() | (n < float(p["min"])) | (n > float(p["max"]))))
+    return _false(populated(col(name)) & (n[0].isNull() | _beyond(n, p["min"], operator.lt) | _beyond(n, p["max"], operator.gt)))
 
 
 def allowed_values(df, name, p) -> Plan:
@@ -91,11 +107,7 @@ def min_length(df, name, p) -> Plan:
 
 
 def regex(df, name, p) -> Plan:
-    try:
-        re.compile(p["pattern"])
-    except re.error as problem:
-        raise DataQualityError(f"Invalid regular expression: {problem}") from None
-    return Plan([name], populated(col(name)) & ~full_match(strip(col(name)), p["pattern"]))
+    return Plan([name], populated(col(name)) & ~full_match(strip(col(name)), java_pattern(p["pattern"])))
 
 
 def numeric_range(df, name, p) -> Plan:
@@ -121,30 +133,48 @@ def state_field_contains_zip(df, name, p) -> Plan:
     return Plan([name], F.coalesce(strip(col(name)), F.lit("")).rlike(r"\d{5}(?:-\d{4})?"))
 
 
+def compares_dates(p: dict) -> bool:
+    return all("date" in p[side].lower() for side in ("left_column", "right_column"))
+
+
 def column_comparison(df, name, p, shares: dict | None = None) -> Plan:
     left, right, ignore = p["left_column"], p["right_column"], p.get("null_behavior", "ignore") == "ignore"
     _need(df, left, right)
-    a, b = col(left), col(right)
-    if "date" in left.lower() and "date" in right.lower():
+    a, b, compare = col(left), col(right), _COMPARE[p["operator"]]
+    kinds = [df.schema[c].dataType for c in (left, right)]
+    if compares_dates(p):
         a, b = date(a), date(b)
+        holds = compare(a, b)
+    elif all(isinstance(k, T.NumericType) for k in kinds):
+        holds = compare(a, b)
     elif _numeric(df, left, shares) and _numeric(df, right, shares):
-        a, b = _number(df, left), _number(df, right)
+        (a, exact_a), (b, exact_b) = _number(df, left), _number(df, right)
+        holds = F.when(exact_a.isNotNull() & exact_b.isNotNull(), compare(exact_a, exact_b)).otherwise(compare(a, b))
     else:
-        if df.schema[left].dataType != df.schema[right].dataType:
+        if kinds[0] != kinds[1]:
             a, b = a.cast("string"), b.cast("string")
+        holds = compare(a, b)
     # null where either is null, so that each side is computed once
-    fails = F.coalesce(~_COMPARE[p["operator"]](a, b), F.lit(not ignore))
-    return Plan([left, right], fails, extras={"comparable_count": a.isNotNull() & b.isNotNull()})
+    return Plan([left, right], F.coalesce(~holds, F.lit(not ignore)), extras={"comparable_count": a.isNotNull() & b.isNotNull()})
 
 
 def _numeric(df: DataFrame, name: str, shares: dict | None) -> bool:
     if isinstance(df.schema[name].dataType, T.NumericType):
         return True
-    if shares is None:
+    if shares is None or name not in shares:
         shares = numeric_shares(df, [name])
     return shares[name] >= NUMERIC_SHARE
 
 
+def unsure_columns(df: DataFrame, p: dict) -> list[str]:
+    """Columns of a comparison of which only the data tell whether they hold numbers: text,
+    where neither the names say dates nor both types say numbers."""
+    sides = [p["left_column"], p["right_column"]]
+    if compares_dates(p) or not set(sides) <= set(df.columns):
+        return []
+    return [c for c in sides if not isinstance(df.schema[c].dataType, T.NumericType)]
+
+
 def numeric_shares(df: DataFrame, names: list[str]) -> dict[str, float]:
     """The share of each column's non-null values that are numbers, in one aggregate."""
     if not names:
