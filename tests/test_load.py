@@ -169,13 +169,71 @@ def test_status_logs(spark):
 
 def test_whole_pipeline(spark, store, csv):
     data = load.Dataset("customers", source_file=csv, primary_key="customer_id")
-    load.load(store, data, 1)
-    run = stewardship.run(store, data)
-    assert [p for p, s in run.phases if s == "completed"] == list(control.PHASES[1:])
-    assert run.results.where("status = 'PASS'").count() >= 2
+    first = stewardship.run(store, data, file=csv)
+    assert first.phases == [("load", "completed"), ("profile", "completed"), ("rules", "completed"), ("evaluate", "skipped"), ("remediate", "skipped")]
+    assert len(first.new_rules) >= 5 and not store.exists("dq_result")  # proposals aren't evaluated
+    city = control.save_rules(store, "customers", [("COLUMN", "city", {"executable_rule": {"type": "city_ends_with_state_or_zip"}})], "ann")
+    for i in [*first.new_rules, *city]:
+        control.decide_rule(store, i, "approved", "ann", "fine")
+    control.decide_rule(store, first.new_rules[0], "retired", "bo")
+    second = stewardship.run(store, data, actor="ann")
+    assert second.new_rules == [] and [s for _, s in second.phases] == ["skipped"] + ["completed"] * 4
+    results = store.read("dq_result")
+    assert results.count() == len(first.new_rules) and results.where(f"rule_id = {first.new_rules[0]}").isEmpty()
     # reference tables aren't loaded, so those rules are errors of their own
-    assert run.results.where("status = 'ERROR'").count() == 3
-    assert run.results.where(F.col("result_id").isNull()).count() == 0
+    assert results.where("status = 'ERROR'").count() == 3 and results.where("result_id is null").isEmpty()
+    assert store.read("dq_rule").where(f"rule_id = {city[0]}").first().rule_type == "city_contains_state_or_zip"
+    assert tuple(second.suggestions.first()) == (2, 2, 0)
+    states = {(r.run_id, r.phase): r.status for r in control.run_states(store.read("control_run")).collect()}
+    assert states[1, "run"] == states[2, "run"] == "completed" and states[1, "evaluate"] == "skipped"
+
+
+def test_remediations_are_decided_and_applied(spark, store, csv):
+    data = load.Dataset("customers", source_file=csv, primary_key="customer_id")
+    load.load(store, data, 1)
+    (rule,) = control.save_rules(store, "customers", [("COLUMN", "city", {"executable_rule": {"type": "city_contains_state_or_zip"}})], "ann")
+    control.decide_rule(store, rule, "approved", "ann")
+    stewardship.judge(store, data)
+    assert tuple(stewardship.suggest(store, data).first()) == (2, 2, 0)
+    assert tuple(stewardship.suggest(store, data).first()) == (0, 0, 0)  # what has a suggestion is known
+    assert [r.status for r in control.remediations(store).collect()] == ["proposed"] * 2
+    with pytest.raises(DataQualityError):
+        control.decide_remediations(store, F.lit(True), "applied", "ann")
+    with pytest.raises(DataQualityError):
+        control.decide_remediations(store, F.lit(True), "approved", " ")
+    control.decide_remediations(store, F.lit(True), "approved", "ann")
+    made = stewardship.apply(store, data, "bo")
+    assert (made["version"], made["changes"], made["rows"]) == (1, 4, 4)
+    assert [(r.status) for r in control.remediations(store).collect()] == ["applied"] * 2
+    control.decide_remediations(store, F.lit(True), "rejected", "ann")  # what is applied stays so
+    assert [(r.from_status, r.to_status, r.actor) for r in store.read("dq_remediation_log").orderBy("entry").collect()] == [("proposed", "approved", "ann")] * 2 + [("approved", "applied", "bo")] * 2
+    assert stewardship.apply(store, data, "bo")["changes"] == 0
+    assert {r.city for r in store.read("customers__current").where("customer_id = 'C002'").collect()} == {"Miami"}
+    assert [r.status for r in control.run_states(store.read("control_run")).where("kind = 'remediation'").collect()] == ["completed"] * 2
+
+
+def test_failed_loads_and_runs_are_recorded(spark, store, tmp_path):
+    data = load.Dataset("customers", source_file=str(tmp_path / "none.csv"), primary_key="id")
+    with pytest.raises(Exception):  # noqa: B017
+        control.load_recorded(store, data)
+    with pytest.raises(Exception):  # noqa: B017
+        stewardship.run(store, data, file=str(tmp_path / "none.csv"))
+    assert [r.status for r in store.read("control_load_run").orderBy("load_run_id").collect()] == ["failed"] * 2
+    states = {r.phase: r.status for r in control.run_states(store.read("control_run")).collect()}
+    assert states == {"run": "failed", "load": "failed"}
+
+
+def test_appends_write_their_own_rows_only(spark, store):
+    rows = lambda a, b: spark.range(a, b).selectExpr("cast(id as int) as v", "cast(id as string) as k")
+    store.write("t", rows(0, 5))
+    store.append("t", rows(5, 7).select("k", "v"))
+    store.append("t", rows(7, 8))
+    assert sorted(r.v for r in store.read("t").collect()) == list(range(8)) and store.read("t", 2).count() == 7
+    assert [p.rsplit("=", 1)[1] for p in store.parts("t")] == ["1", "2", "3"] and spark.read.parquet(store.path("t")).count() == 1
+    with pytest.raises(DataQualityError):
+        store.append("t", rows(1, 2).select("k"))
+    store.compact("t")
+    assert len(store.parts("t")) == 1 and store.read("t").count() == 8
 
 
 def test_stream_of_files(spark, store, tmp_path):

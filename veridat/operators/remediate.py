@@ -63,8 +63,10 @@ def generate(df: DataFrame, failed: DataFrame, results: DataFrame, rules: list,
         raise DataQualityError("Remediation needs a registered primary key.")
     due = failed.join(results.where("status = 'FAIL'").select("result_id"), "result_id").join(known.select("failed_record_id"), "failed_record_id", "left_anti")
     key = col(primary_key).cast("string")
-    # the first row of a repeated key stands for all of them
-    rows = df.withColumn("__key", key).dropDuplicates(["__key"])
+    # of rows that repeat a key, the one that was loaded first stands for all (then: the least)
+    order = [c for c in ("_load_run_id", "_dq_row_identifier") if c in df.columns]
+    least = F.min(F.struct(*[col(c) for c in dict.fromkeys([*order, *df.columns])])).alias("row")
+    rows = df.groupBy(key.alias("__key")).agg(least).select("__key", *[F.col("row")[c].alias(c) for c in df.columns])
     joined = due.join(rows, F.col("source_row_identifier") == F.col("__key"), "left")
     suggestion = F.lit(None).cast(_SUGGESTION)
     for rule_id, column, rule in rules:
@@ -129,7 +131,8 @@ def apply_version(store, table: str, approved: DataFrame, primary_key: str) -> d
     """A new immutable version of a curated table from approved remediations.
 
     Its base is the latest version, else the raw table: rows that were loaded since don't
-    reach it. A remediation without any change stays approved."""
+    reach it. ``applied`` are the remediations (remediation_id) that changed something; one
+    without any change stays approved."""
     name = current_name(table)
     base = store.read(name) if store.exists(name) else store.read(table)
     number = store.version(name) + 1
@@ -139,5 +142,4 @@ def apply_version(store, table: str, approved: DataFrame, primary_key: str) -> d
     written = store.read(f"{table}__history").where(F.col("dataset_version_id") == number)
     path = store.write(name, curated(apply_changes(base, written, primary_key), primary_key, number))
     store.append(f"{table}__lineage", lineage)
-    applied = [r[0] for r in written.select("remediation_id").distinct().orderBy("remediation_id").collect()]
-    return {"version": number, "name": version_name(table, number), "path": path, "applied": applied, "changes": written.count(), "rows": store.read(name).count()}
+    return {"version": number, "name": version_name(table, number), "path": path, "applied": written.select("remediation_id").distinct(), "changes": written.count(), "rows": store.read(name).count()}

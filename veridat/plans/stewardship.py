@@ -1,17 +1,17 @@
-"""The whole pipeline over one registered table: profile, propose, evaluate, suggest."""
+"""The whole pipeline over one registered table: load, profile, propose, evaluate, suggest."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import control, mine, propose, remediate
 from ..operators import profile as profiles
-from ..operators.evaluate import Evaluation, Rule, evaluate
-from ..operators.registry import COLUMN, DATASET, ROW
+from ..operators.evaluate import Evaluation, evaluate
+from ..operators.registry import COLUMN, DATASET, ROW, executable_of
 from ..sources.load import Dataset, Store, reference_tables
 
 
@@ -19,13 +19,12 @@ from ..sources.load import Dataset, Store, reference_tables
 class Run:
     """What one run has made, and how each phase went."""
 
+    run_id: int
     dataset: str
     phases: list[tuple[str, str]] = field(default_factory=list)
     profiles: list[dict] = field(default_factory=list)
-    rules: list[tuple] = field(default_factory=list)
+    new_rules: list[int] = field(default_factory=list)
     evaluation: Evaluation | None = None
-    results: DataFrame | None = None
-    failed: DataFrame | None = None
     suggestions: DataFrame | None = None
 
 
@@ -40,34 +39,85 @@ def proposals(df: DataFrame, dataset: Dataset, found: list[dict], column_propose
     return rules + [(ROW, None, d) for d in pairs]
 
 
-def run(store: Store, dataset: Dataset, column_proposer: Callable = propose.default_column_rule, pair_proposer: Callable = mine.default_response) -> Run:
-    """All phases in order; the first that fails ends the run and says so in its phases.
-    Proposals are evaluated as they are; approval is the steward's."""
-    out = Run(dataset.name)
+def propose_rules(store: Store, dataset: Dataset, found: list[dict], column_proposer: Callable = propose.default_column_rule, pair_proposer: Callable = mine.default_response, run_id: int | None = None) -> list[int]:
+    """Stores what is proposed for a table that was profiled; gives the ids of new rules."""
     df = store.read(dataset.table or dataset.name)
+    return control.save_rules(store, dataset.name, proposals(df, dataset, found, column_proposer, pair_proposer), run_id=run_id)
 
-    def profile():
-        out.profiles = profiles.profile(df, dataset=dataset.name)
 
-    def rules():
-        out.rules = proposals(df, dataset, out.profiles, column_proposer, pair_proposer)
-
-    def judge():
-        asked = [Rule(i + 1, d, c) for i, (_, c, d) in enumerate(out.rules)]
-        out.evaluation = evaluate(df, asked, dataset.primary_key, reference_tables(store), dataset.name)
-        out.results, out.failed = control.results_of(out.evaluation, 1)
-
-    def suggest():
-        if dataset.primary_key:
-            known = store.spark.createDataFrame([], "failed_record_id long")
-            cleaned = [(i + 1, c, d["executable_rule"]) for i, (_, c, d) in enumerate(out.rules)]
-            out.suggestions, _ = remediate.generate(df, out.failed, out.results, cleaned, known, dataset.primary_key)
-
-    for name, step in zip(control.PHASES[1:], (profile, rules, judge, suggest), strict=True):
+def judge(store: Store, dataset: Dataset, run_id: int | None = None) -> Evaluation:
+    """Evaluates the approved rules of a table and records results and failures."""
+    df = store.read(dataset.table or dataset.name)
+    found = evaluate(df, control.approved_rules(store, dataset.name), dataset.primary_key, reference_tables(store), dataset.name)
+    control.record_results(store, found, run_id)
+    return found
+
+
+def suggest(store: Store, dataset: Dataset, run_id: int | None = None) -> DataFrame:
+    """Stores suggestions for recorded failures that have none; gives the counts."""
+    known = control.table_or_empty(store, "dq_remediation", control.REMEDIATIONS).select("failed_record_id")
+    cleaned = [(r.rule_id, r.column, executable_of(r.definition)) for r in control.approved_rules(store, dataset.name)]
+    failed, results = (store.read(t).where(F.col("dataset_name") == dataset.name) for t in ("dq_failed_record", "dq_result"))
+    made, counts = remediate.generate(store.read(dataset.table or dataset.name), failed, results, cleaned, known, dataset.primary_key)
+    figures = store.spark.createDataFrame([tuple(counts.first())], counts.schema)  # before what is saved becomes known
+    control.save_remediations(store, dataset.name, made, run_id)
+    return figures
+
+
+def apply(store: Store, dataset: Dataset, actor: str) -> dict:
+    """A new version from the approved remediations of a table, which then count as applied;
+    the run is recorded, also one that fails."""
+    run_id = control.start_run(store, "remediation", dataset.name, actor)
+    try:
+        approved = control.remediations(store).where((F.col("status") == "approved") & (F.col("dataset_name") == dataset.name))
+        made = remediate.apply_version(store, dataset.table or dataset.name, approved, dataset.primary_key)
+        control.mark_applied(store, made["applied"], actor, f"run {run_id}, version {made['version']}")
+    except Exception as problem:
+        control.record_phase(store, run_id, "remediation", dataset.name, "run", "failed", actor, str(problem)[:500])
+        raise
+    control.record_phase(store, run_id, "remediation", dataset.name, "run", "completed", actor, f"version {made['version']}, {made['changes']} changes")
+    return made | {"run_id": run_id}
+
+
+def run(store: Store, dataset: Dataset, column_proposer: Callable = propose.default_column_rule, pair_proposer: Callable = mine.default_response, file: str | None = None, actor: str = "system") -> Run:
+    """All phases in order, each recorded; the first that fails ends the run. A phase without
+    anything to do is skipped. Proposals wait for their approval: what is evaluated are the
+    rules that are approved by then."""
+    out = Run(control.start_run(store, "stewardship", dataset.name, actor), dataset.name)
+
+    def load_phase():
+        control.load_recorded(store, dataset, file)
+
+    def profile_phase():
+        out.profiles = profiles.profile(store.read(dataset.table or dataset.name), dataset=dataset.name)
+        control.save_profiles(store, out.profiles)
+
+    def rules_phase():
+        out.new_rules = propose_rules(store, dataset, out.profiles, column_proposer, pair_proposer, out.run_id)
+
+    def evaluate_phase():
+        out.evaluation = judge(store, dataset, out.run_id)
+
+    def remediate_phase():
+        out.suggestions = suggest(store, dataset, out.run_id)
+
+    idle = {"load": lambda: file is None, "evaluate": lambda: not control.approved_rules(store, dataset.name), "remediate": lambda: out.evaluation is None or not dataset.primary_key}
+    steps = (load_phase, profile_phase, rules_phase, evaluate_phase, remediate_phase)
+    for name, step in zip(control.PHASES, steps, strict=True):
+        record = lambda status, message=None, name=name: control.record_phase(store, out.run_id, "stewardship", dataset.name, name, status, actor, message)
+        if idle.get(name, lambda: False)():
+            record("skipped")
+            out.phases.append((name, "skipped"))
+            continue
+        record("running")
         try:
             step()
-            out.phases.append((name, "completed"))
         except Exception as problem:
-            out.phases.append((name, f"failed: {json.dumps(str(problem)[:500])}"))
+            out.phases.append((name, "failed"))
+            record("failed", str(problem)[:500])
+            control.record_phase(store, out.run_id, "stewardship", dataset.name, "run", "failed", actor, f"phase {name}")
             raise
+        record("completed")
+        out.phases.append((name, "completed"))
+    control.record_phase(store, out.run_id, "stewardship", dataset.name, "run", "completed", actor)
     return out

@@ -1,7 +1,8 @@
 """Loading of registered tables: create, replace, append and upsert.
 
-A table is a folder of immutable versions and a pointer to the current one, so a reader
-never meets a half-written state and a job never overwrites what it reads.
+A table is a folder of immutable parts, and of versions that name the parts they have. A reader
+never meets a half-written state, a job never overwrites what it reads, and an append writes
+its own rows only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from .files import FixedColumn, read_source
 MODES = ("append", "replace", "upsert")
 LINEAGE = ("_source_file", "_ingested_at", "_load_run_id")
 ROW_IDENTIFIER = "_dq_row_identifier"
-_POINTER = "string value"
 
 
 @dataclass(frozen=True)
@@ -65,37 +65,67 @@ class Store:
     def folder(self, table: str) -> str:
         return os.path.join(self.root, identifier(table, "table name"))
 
-    def _pointer(self, table: str) -> list[int]:
+    def _published(self, table: str, number: int | None = None) -> str:
+        return os.path.join(self.folder(table), "published", *([] if number is None else [str(number)]))
+
+    def _numbers(self, table: str) -> list[int]:
         """Numbers of the versions that were published."""
-        fs, p = self._fs(os.path.join(self.folder(table), "published"))
+        fs, p = self._fs(self._published(table))
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def exists(self, table: str) -> bool:
-        return bool(self._pointer(table))
+        return bool(self._numbers(table))
 
     def version(self, table: str) -> int:
-        return max(self._pointer(table), default=0)
+        return max(self._numbers(table), default=0)
+
+    def parts(self, table: str, version: int | None = None) -> list[str]:
+        """The folders of a version, as its manifest names them."""
+        number = version or self.version(table)
+        fs, p = self._fs(self._published(table, number))
+        stream = fs.open(p)
+        try:
+            named = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+        return [os.path.join(self.folder(table), x) for x in named]
 
     def path(self, table: str, version: int | None = None) -> str:
-        return os.path.join(self.folder(table), f"v={version or self.version(table)}")
+        """The folder that a version added."""
+        return self.parts(table, version)[-1]
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         if not self.exists(table):
             raise DataQualityError(f"Table '{table}' does not exist.")
-        return self.spark.read.parquet(self.path(table, version))
+        return self.spark.read.parquet(*self.parts(table, version))
 
-    def write(self, table: str, df: DataFrame) -> str:
-        """``df`` as the next version, which counts once its pointer is there."""
+    def _add(self, table: str, df: DataFrame, before: list[str]) -> str:
+        """Writes ``df`` and publishes the version that has it behind the parts ``before``."""
         number = self.version(table) + 1
         path = os.path.join(self.folder(table), f"v={number}")
         df.write.mode("overwrite").parquet(path)  # what a failed attempt left goes
-        fs, p = self._fs(os.path.join(self.folder(table), "published", str(number)))
-        fs.create(p, True).close()
+        fs, p = self._fs(self._published(table, number))
+        stream = fs.create(p, True)
+        stream.writeBytes("\n".join([*(os.path.basename(x) for x in before), f"v={number}"]))
+        stream.close()
         return path
 
+    def write(self, table: str, df: DataFrame) -> str:
+        """``df`` as the next version, which counts once its manifest is there."""
+        return self._add(table, df, [])
+
     def append(self, table: str, df: DataFrame) -> str:
-        """``df`` behind the rows there are, as a new version."""
-        return self.write(table, self.read(table).unionByName(df) if self.exists(table) else df)
+        """``df`` behind the rows there are, as a new version that shares their files."""
+        if not self.exists(table):
+            return self.write(table, df)
+        known = self.read(table).schema
+        if set(known.names) != set(df.columns):
+            raise DataQualityError(f"Columns differ from those of table '{table}': {sorted(set(known.names) ^ set(df.columns))}.")
+        return self._add(table, df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in known]), self.parts(table))
+
+    def compact(self, table: str) -> str:
+        """The rows of a table of many appends as one part, in a new version."""
+        return self.write(table, self.read(table))
 
 
 def with_lineage(df: DataFrame, source_file: str, load_run_id: int, at: datetime.datetime | None = None) -> DataFrame:
