@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mine, remediate, report
-from ..operators.evaluate import Rule, failing_rows, plan_rules, rule_counts
+from ..functions.text import date
+from ..operators import control, mine, profile, remediate, report
+from ..operators.evaluate import Rule, evaluate, failing_rows, plan_rules, rule_counts
 from ..operators.profile import statistics
-from ..sources.load import upsert, upsert_counts, with_lineage
+from ..operators.rules import numeric_shares
+from ..sources import files
+from ..sources.load import Dataset, REFERENCES, Store, load, load_reference, upsert, upsert_counts, with_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -255,6 +258,51 @@ def evaluate_fused(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+def _large(spark, sf_dir) -> DataFrame:
+    """Whole numbers that a double can't tell apart, as text and as numbers."""
+    k = F.col("o_orderkey").cast("long")
+    base = F.lit(2**53).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", (base + k).cast("string").alias("left_number"), (base + k - k % 2).alias("right_number"))
+
+
+@query(_ids("orders", "o_orderkey", "o_orderkey % 2 = 1"))
+def rule_large_integers(spark, sf_dir):
+    return failing(_large(spark, sf_dir), rule("column_comparison", left_column="left_number", operator="==", right_column="right_number"), None, "o_orderkey")
+
+
+@query(_ids("orders", "o_orderkey", "o_orderkey > 1001"))
+def rule_large_range(spark, sf_dir):
+    return failing(_large(spark, sf_dir), rule("numeric_range", min=0, max=2**53 + 1001), "left_number", "o_orderkey")
+
+
+@query(_ids("customer", "c_custkey", "NOT regexp_full_match(c_name, 'Customer#[0-9]*([0-9])[0-9]*[13579]')"))
+def rule_regex_named_groups(spark, sf_dir):
+    return failing(table(spark, sf_dir, "customer"), rule("regex", pattern=r"(?P<who>[C]ustomer)#\d*(?P<last_but>\d)\d*[13579]\Z"), "c_name", "c_custkey")
+
+
+@query(f"SELECT o_orderkey, CAST(CASE WHEN contains(o_orderdate, '/') THEN try_strptime(o_orderdate, '%m/%d/%Y') ELSE try_strptime(o_orderdate, '%Y-%m-%d') END AS DATE) AS day FROM {ORDERS}")
+def date_parse(spark, sf_dir):
+    return orders(spark, sf_dir).select("o_orderkey", date(F.col("o_orderdate")).alias("day"))
+
+
+@query("SELECT 'pct' AS column_name, count(TRY_CAST(pct AS DOUBLE)) / count(pct) AS share FROM (SELECT CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE CAST(l_partkey AS VARCHAR) END AS pct FROM lineitem)")
+def numeric_share(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("l_partkey").cast("string")).alias("pct"))
+    return spark.createDataFrame(list(numeric_shares(line, ["pct"]).items()), "column_name string, share double")
+
+
+@query("SELECT *, CASE WHEN failed_count > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (EVALUATED)")
+def evaluation_recorded(spark, sf_dir):
+    """Results as they are stored, of two evaluations of which the second is asked for."""
+    store = Store(spark, files.scratch(spark, "store"))
+    for _ in range(2):
+        first, _n = control.record_results(store, evaluate(table(spark, sf_dir, "lineitem"), FUSED, None, None, "lineitem", samples=False))
+    return store.read("dq_result").where(F.col("result_id") >= first).select("rule_id", "failed_count", "status")
+
+
+_sql["evaluation_recorded"] = _sql["evaluation_recorded"].replace("EVALUATED", _sql["evaluate_fused"])
+
+
 # ---------------------------------------------------------------- profiles
 
 
@@ -267,19 +315,39 @@ def _text(*names: str) -> dict[str, str]:
     return {n: f"CAST({n} AS VARCHAR)" for n in names}
 
 
-@query(_profile_sql(CUSTOMERS + " AS t", _text("c_custkey", "c_mktsegment", "c_nationkey")))
+_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(_profile_sql(CUSTOMERS.replace("c_name,", "CASE WHEN c_custkey % 5 = 0 THEN chr(9) || ' ' || c_name || ' ' ELSE c_name END AS c_name,", 1) + " AS t", _text("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")))
 def profile_customer(spark, sf_dir):
-    return statistics(customers(spark, sf_dir), ["c_custkey", "c_mktsegment", "c_nationkey"])
+    return statistics(customers(spark, sf_dir))
 
 
-@query(_profile_sql("lineitem", _text("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")))
+@query(_profile_sql("lineitem", _text(*_LINEITEM)))
 def profile_lineitem(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+    return statistics(table(spark, sf_dir, "lineitem"))
 
 
-@query(_profile_sql("documents", _text("doc_id", "lang", "source", "n_chars")))
+@query(_profile_sql("documents", _text("doc_id", "text", "lang", "source", "n_chars")))
 def profile_documents(spark, sf_dir):
-    return statistics(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "n_chars"])
+    return statistics(table(spark, sf_dir, "documents"))
+
+
+_KINDS = {"c_custkey": "integer", "c_name": "text", "c_mktsegment": "text", "c_acctbal": "numeric", "c_nationkey": "integer"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{kind}' AS inferred_type, round(100 * (count(*) - count({c})) / count(*), 6) AS null_percent FROM {CUSTOMERS} AS t" for c, kind in _KINDS.items()))
+def profile_types(spark, sf_dir):
+    found = profile.profile(customers(spark, sf_dir))  # a row for each column
+    return spark.createDataFrame([(p["column_name"], p["inferred_type"], round(p["null_percent"], 6)) for p in found], "column_name string, inferred_type string, null_percent double")
+
+
+@query("SELECT 'nation' AS dataset_name, column_name, row_count, null_count, distinct_count FROM (" + _profile_sql("nation", _text("n_nationkey", "n_name", "n_regionkey")) + ")")
+def profile_saved(spark, sf_dir):
+    store = Store(spark, files.scratch(spark, "store"))
+    for _ in range(2):  # the second takes the place of the first
+        control.save_profiles(store, profile.profile(table(spark, sf_dir, "nation"), dataset="nation"))
+    return store.read("control_profile").select("dataset_name", "column_name", "row_count", "null_count", "distinct_count")
 
 
 # ---------------------------------------------------------------- relationships
@@ -311,6 +379,88 @@ def ref_anti_join(spark, sf_dir):
     return failing(table(spark, sf_dir, "documents"), rule("reference_value", reference_dataset="labelled", reference_column="doc_id"), "doc_id", "doc_id", known)
 
 
+def _contracts(spark, sf_dir) -> DataFrame:
+    """Orders with names in which the miner sees relationships."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    closed = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").select(
+        k.alias("contract_number"), F.when(k % 50 != 0, k.cast("string")).alias("contract_id"), F.date_format(day, "yyyy-MM-dd").alias("contract_start_date"), F.date_format(F.date_add(day, F.pmod(k, F.lit(7)).cast("int")), "yyyyMMdd").alias("contract_end_date"),
+        F.when(closed, "CLOSED").otherwise("OPEN").alias("delivery_status"), F.when(closed, F.date_format(day, "MM/dd/yyyy")).alias("delivery_date"),
+    )
+
+
+_CONTRACTS = """(SELECT o_orderkey AS k, o_orderdate AS d, o_orderstatus = 'F' AS closed FROM orders ORDER BY o_orderkey LIMIT 10000)"""
+
+
+@query(f"""
+SELECT 'date_relationship' AS family, 'contract_end_date' AS left_column, 'contract_start_date' AS right_column, 1.0::DOUBLE AS support, CAST(count(*) AS BIGINT) AS comparable FROM {_CONTRACTS}
+UNION ALL SELECT 'date_relationship', unnest(['contract_end_date', 'contract_start_date']), 'delivery_date', 1.0, CAST(count(*) FILTER (closed) AS BIGINT) FROM {_CONTRACTS}
+UNION ALL SELECT 'status_date_relationship', 'delivery_status', 'delivery_date', 1.0, CAST(count(*) FILTER (closed) AS BIGINT) FROM {_CONTRACTS}
+UNION ALL SELECT 'conditional_completeness', 'delivery_status', 'delivery_date', 1.0, CAST(count(*) FILTER (closed) AS BIGINT) FROM {_CONTRACTS}
+UNION ALL SELECT 'identifier_relationship', 'contract_number', 'contract_id', 1.0, CAST(count(*) AS BIGINT) FROM {_CONTRACTS}
+""")
+def mine_screened(spark, sf_dir):
+    """Candidates from names and profiles that a bounded sample supports."""
+    df = _contracts(spark, sf_dir)
+    profiles = profile.profile(df)
+    sample = mine.bounded_sample(df, df.columns, ["contract_number"])
+    good, _ = mine.screen(sample, mine.discover(profiles))
+    return spark.createDataFrame([(c.family, c.left, c.right, float(c.evidence["support"]), c.evidence["comparable_count"]) for c in good], "family string, left_column string, right_column string, support double, comparable long")
+
+
+@query("""
+SELECT 'column_comparison' AS rule_type, 'contract_start_date,delivery_date' AS columns UNION ALL SELECT 'conditional_required', 'delivery_status,delivery_date' UNION ALL SELECT 'at_least_one_present', 'contract_number,contract_id'
+""")
+def mine_rules(spark, sf_dir):
+    """What becomes of them: one rule where two families find the same, and none over columns
+    that their samples show as of different types (days of eight digits look like numbers)."""
+    df = _contracts(spark, sf_dir)
+    profiles = profile.profile(df)
+    found, _ = mine.mine(mine.bounded_sample(df, df.columns, ["contract_number"]), profiles, text_dates=True)
+    return spark.createDataFrame([(d["executable_rule"]["type"], ",".join(d["target_columns"])) for d in found], "rule_type string, columns string")
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN chr(9) || ' ' || c_name || ' ' ELSE c_name END AS c_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM (SELECT c.* FROM " + CUSTOMERS + " c)")
+def scan_csv(spark, sf_dir):
+    """Customers written as delimited files and read back as text."""
+    path = files.scratch(spark, "csv")
+    rows = customers(spark, sf_dir).select("c_custkey", "c_name", "c_mktsegment")
+    rows.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_csv(spark, path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, coalesce(trim(c_mktsegment), '') AS segment FROM " + CUSTOMERS + " AS t")
+def scan_fixed_width(spark, sf_dir):
+    path = files.scratch(spark, "fixed")
+    cut = F.concat(F.lpad(F.col("c_custkey").cast("string"), 12, " "), F.rpad(F.trim(F.translate("c_name", "\t", " ")), 30, " "), F.coalesce("c_mktsegment", F.lit("")))
+    customers(spark, sf_dir).select(cut.alias("value")).write.text(path)
+    columns = files.fixed_columns("column_name,start_position,field_length,sequence_number\nid,1,12,1\nname,13,30,2\nsegment,43,12,3")
+    return files.read_fixed_width(spark, path, columns)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS state_code, n_name AS state_name, CAST(NULL AS VARCHAR) AS state_fips, 'v1' AS source_version FROM nation")
+def scan_reference_csv(spark, sf_dir):
+    path, store = files.scratch(spark, "csv"), Store(spark, files.scratch(spark, "store"))
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("state_code"), F.col("n_name").alias("state_name")).write.csv(path, header=True)
+    load_reference(store, REFERENCES[0], path, source_version="v1")
+    return store.read("us_state").drop("refreshed_at")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS load_run_id FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, 3 FROM nation WHERE n_nationkey < 3")
+def load_modes(spark, sf_dir):
+    """A table that was created, upserted and appended to."""
+    store, rows = Store(spark, files.scratch(spark, "store")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    data = Dataset("nations", primary_key="id")
+    for number, (mode, part) in enumerate((("upsert", rows), ("upsert", rows.where("id % 2 = 0")), ("append", rows.where("id < 3"))), 1):
+        path = files.scratch(spark, "csv")
+        part.write.csv(path, header=True)
+        load(store, data, number, path, mode)
+    return store.read("nations").select("id", "name", F.col("_load_run_id").alias("load_run_id"))
+
+
 # ---------------------------------------------------------------- loads
 
 
@@ -450,6 +600,28 @@ def inbox(spark, sf_dir):
     return report.inbox(rules_table(spark, sf_dir), _remediations(spark, sf_dir), results(spark, sf_dir))
 
 
+@query(f"SELECT CAST(3 AS BIGINT) AS run, (SELECT count(*) FROM {RULES} WHERE rule_id % 10 = 3) AS rules, (SELECT count(*) FROM {RESULTS} WHERE rule_id % 10 = 3) AS results, (SELECT count(*) FROM {_FAILED} WHERE rule_id % 10 = 3) AS failed_records, (SELECT count(*) FROM {_REMEDIATIONS} m JOIN {_FAILED} f USING (failed_record_id) WHERE f.rule_id % 10 = 3) AS remediations")
+def run_artifacts(spark, sf_dir):
+    own = lambda df: df.withColumn("stewardship_run_id", F.col("rule_id") % 10)
+    failed = _failed(spark, sf_dir)
+    made = _remediations(spark, sf_dir).join(failed.select("failed_record_id", "rule_id"), "failed_record_id")
+    return report.run_artifacts(3, own(rules_table(spark, sf_dir)), own(results(spark, sf_dir)), failed, own(made)).withColumn("run", F.lit(3).cast("long"))
+
+
+@query(f"SELECT rule_id AS subject_id, status, dataset_name AS actor FROM {LATEST}")
+def status_log_current(spark, sf_dir):
+    """The last entry of each subject of an append-only log."""
+    log = results(spark, sf_dir).select(F.col("result_id").alias("entry"), F.col("rule_id").alias("subject_id"), F.lit(None).cast("string").alias("from_status"), F.col("status").alias("to_status"), F.col("dataset_name").alias("actor"), F.lit(None).cast("string").alias("note"), F.col("checked_at").alias("at"))
+    return control.current_status(log).drop("at")
+
+
+@query(f"SELECT result_id, CASE status WHEN 'PASS' THEN 'Completed' WHEN 'FAIL' THEN 'Failed' ELSE 'Running' END AS status_label, round(failed_count / 7, 2) AS duration_seconds FROM {RESULTS}")
+def load_history(spark, sf_dir):
+    name = F.when(F.col("status") == "PASS", "completed").when(F.col("status") == "FAIL", "failed").otherwise("running")
+    runs = results(spark, sf_dir).select("result_id", name.alias("status"), (F.col("failed_count") / 7).alias("duration_seconds"))
+    return report.load_history(runs).drop("status")
+
+
 # ---------------------------------------------------------------- corrections
 
 _STATES = remediate.STATES
@@ -497,6 +669,49 @@ def change_history(spark, sf_dir):
     return remediate.field_changes(places(spark, sf_dir), _approved(spark, sf_dir), "id")
 
 
+@query(rf"""
+SELECT id AS source_row_identifier, issue_type, new_city, new_state, new_zip FROM (
+  SELECT id, CASE WHEN regexp_matches(city, '{_CITY_STATE}') AND trim(state) = '' THEN 'city_contains_state' WHEN regexp_matches(city, '{_CITY_ZIP}') AND trim(zip) = '' THEN 'city_contains_zip' END AS issue_type,
+   rtrim(trim(regexp_extract(city, CASE issue_type WHEN 'city_contains_state' THEN '{_CITY_STATE}' ELSE '{_CITY_ZIP}' END, 1)), ',') AS new_city,
+   CASE issue_type WHEN 'city_contains_state' THEN regexp_extract(city, '{_CITY_STATE}', 2) END AS new_state, CASE issue_type WHEN 'city_contains_zip' THEN regexp_extract(city, '{_CITY_ZIP}', 2) END AS new_zip
+  FROM {PLACES} AS p WHERE CAST(id AS INT) % 4 <> 0) WHERE issue_type IS NOT NULL
+""")
+def remediation_generate(spark, sf_dir):
+    """Suggestions for recorded failures that have none yet: those of every fourth row are known."""
+    df, city = places(spark, sf_dir), {"type": "city_contains_state_or_zip", "parameters": {}}
+    result, failed = control.results_of(evaluate(df, [Rule(1, {"executable_rule": city}, "city")], "id", samples=False), 1)
+    known = failed.where("cast(source_row_identifier as int) % 4 = 0")
+    made, _ = remediate.generate(df, failed, result, [(1, "city", city)], known, "id")
+    value = lambda c: F.col("suggested_values")[c].alias(f"new_{c}")
+    return made.select("source_row_identifier", "issue_type", value("city"), value("state"), value("zip"))
+
+
+@query(f"SELECT CAST(4 AS BIGINT) AS dataset_version_id, id AS curated_row_identifier, id AS raw_source_row_identifier FROM {PLACES}")
+def row_lineage(spark, sf_dir):
+    return remediate.row_lineage(places(spark, sf_dir), "id", 4)
+
+
+_sql["change_history_with_rules"] = "SELECT h.*, r.rule_type FROM (HISTORY) h JOIN (SELECT 1 AS rule_id, 'regex' AS rule_type UNION ALL SELECT 3, 'not_null') r USING (rule_id)".replace("HISTORY", _sql["change_history"])
+
+
+@query()
+def change_history_with_rules(spark, sf_dir):
+    """Changes whose rule is still known; those of other rules have no row."""
+    rules = spark.createDataFrame([(1, "regex"), (3, "not_null")], "rule_id long, rule_type string")
+    return report.change_history(change_history(spark, sf_dir), rules)
+
+
+@query(f"""
+SELECT id, CASE WHEN CAST(id AS INT) % 12 = 0 THEN 'Salem' WHEN CAST(id AS INT) % 6 = 0 THEN 'Boston' ELSE city END AS city, CAST(1 AS BIGINT) AS version FROM {PLACES}
+""")
+def version_applied(spark, sf_dir):
+    """A whole version as it is written and read back."""
+    store = Store(spark, files.scratch(spark, "store"))
+    store.write("places", places(spark, sf_dir))
+    remediate.apply_version(store, "places", _approved(spark, sf_dir), "id")
+    return store.read("places__current").select("id", "city", F.col("_dataset_version_id").alias("version"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

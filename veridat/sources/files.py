@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,17 @@ class FixedColumn:
     sequence: int = 0
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that executors share, spark.checkpoint.dir; only a local
+    session gets a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise DataQualityError("spark.checkpoint.dir must name a folder that all executors share.")
+        folder = tempfile.mkdtemp(prefix="veridat-")
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text; an empty field is the empty text, never null, and NA is text."""
     df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', nullValue=_NEVER, emptyValue="", multiLine=True, mode="PERMISSIVE")
