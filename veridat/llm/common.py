@@ -8,6 +8,7 @@ slice (or by the longest single text).
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -64,9 +65,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_passing: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing_folders(spark: SparkSession):
+    """What ``written`` makes inside is removed at the end; what is to stay has to be
+    written by then, and by other means."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            removed(spark, path)
+
+
 def written(df: DataFrame, name: str = "kept") -> DataFrame:
     """As ``kept``, in columns: plans over it read those they need."""
     path = fresh_path(df.sparkSession, name)
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

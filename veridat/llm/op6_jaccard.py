@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Words, flat, free_name, kept, merged, mix, numbered, row_key, signed, slices, spread_join, written
+from .common import HOT, Words, flat, free_name, fresh_path, kept, merged, mix, numbered, passing_folders, row_key, signed, slices, spread_join, written
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
@@ -211,7 +211,11 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     empty table gives an empty one. Rows are numbered and written first."""
     row = free_name(docs, "row")
     rows = numbered(docs, row)
-    drop = written(_linked(rows.select(F.col(row).alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id")), k, percent).where(~F.col("stays")).select(F.col("rid").alias(row)))
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "drop")
+    with passing_folders(spark):
+        found = _linked(rows.select(F.col(row).alias("rid"), "text", F.col("doc_id").cast("long").alias("doc_id")), k, percent)
+        found.where(~F.col("stays")).select(F.col("rid").alias(row)).write.parquet(path)
+    drop = spark.read.parquet(path)
     return rows.join(F.broadcast(drop) if drop.count() <= MOST_CHOSEN else drop, row, "left_anti").drop(row)
 
 
