@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bucket, counted, flat, kept, merged, numbered, over_texts, signed, slices
+from .common import Words, bucket, counted, flat, merged, numbered, over_texts, signed, slices, written
 from .ppm import BITS, DROPPED, Model, code_lengths, ngrams, tables
 
 HEAVY = 200_000
@@ -75,7 +75,7 @@ def score(docs: DataFrame, train: DataFrame, max_contexts: int = 60_000) -> Data
     the empty one, whose only token is the end. Repeated rows get a row each; with no
     training documents N and V are 0 and no token is known (log10 of 1/(0 + 1*(0 + 1)))."""
     spark = docs.sparkSession
-    counts = kept(corpus_counts(train))
+    counts = written(corpus_counts(train), "counts")
     words = counts.where("kind = 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     denominator = float(total.n + total.v + 1)
