@@ -6,7 +6,12 @@ import re
 import pytest
 
 from veridat.operators import registry
+from pyspark.sql import functions as F
+
+from veridat.operators import evaluate as evaluation
+from veridat.operators.control import evaluate_recorded
 from veridat.operators.evaluate import Rule, evaluate, evaluate_rule, rule_counts
+from veridat.sources.load import Store
 
 # parcel, depot, grade, note, weight, share, sent, due, town, county, post, phone, mail, name, alias
 PARCELS = [
@@ -227,3 +232,77 @@ def test_what_proposers_are_told():
     assert len(registry.get_rule_types()) == 20 == sum(len(registry.get_rule_types(s)) for s in ("COLUMN", "ROW", "DATASET"))
     told = registry.rule_catalog("ROW")
     assert "columns_equal" in told and "city_state_zip_reference" not in told and "ignore/fail" in told
+
+
+def jobs_of(spark, work):
+    """How many jobs ``work`` starts, and what it gives."""
+    tracker = spark.sparkContext.statusTracker()
+    group = "counted"
+    spark.sparkContext.setJobGroup(group, "")
+    before = len(tracker.getJobIdsForGroup(group))
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group)) - before, out
+
+
+def test_failing_rules_share_their_jobs(spark, tmp_path):
+    """As many jobs for forty failing rules as for four, and the written failures are the counted ones."""
+    df = spark.range(500).selectExpr("cast(id as string) as k", *[f"case when id % {n} = 0 then null else 'v' end as c{n}" for n in range(2, 42)])
+    rules = [Rule(n, definition("not_null", {}), f"c{n}") for n in range(2, 42)]
+    store = Store(spark, str(tmp_path))
+    few, _ = jobs_of(spark, lambda: evaluate_recorded(store, df, rules[:4], "k", dataset="d"))
+    store = Store(spark, str(tmp_path / "more"))
+    many, found = jobs_of(spark, lambda: evaluate_recorded(store, df, rules, "k", dataset="d"))
+    assert many == few
+    want = {n: -(-500 // n) for n in range(2, 42)}
+    assert {r.rule_id: r.failed_count for r in found.results.collect()} == want
+    assert {r.rule_id: r["count"] for r in store.read("dq_failed_record").groupBy("rule_id").count().collect()} == want
+    assert store.read("dq_failed_record").select("failed_record_id").distinct().count() == sum(want.values())
+    for r in store.read("dq_result").collect():
+        shown = json.loads(r.details)["sample_failures"]
+        assert len(shown) == 10 and all(int(x["k"]) % r.rule_id == 0 and x[f"c{r.rule_id}"] is None for x in shown)
+
+
+def test_a_rule_whose_data_stop_the_job_is_found_by_halves(spark):
+    df = spark.createDataFrame([("1", "x"), ("2", None)], "k string, v string")
+    rules = [Rule(n, definition("not_null", {}), "v") for n in range(200)]
+    real = evaluation.plan_rule
+
+    def planned(df, rule, column, *rest):
+        plan = real(df, rule, column, *rest)
+        if column == "v" and rule["parameters"].get("bad"):
+            plan.fails = F.raise_error(F.lit("the data are bad")).cast("boolean")
+        return plan
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(evaluation, "_prepared", lambda r: {"type": "not_null", "parameters": {"bad": r.rule_id in (77,)}})
+        m.setattr(evaluation, "plan_rule", planned)
+        number, found = jobs_of(spark, lambda: evaluate(df, rules, "k", samples=False).results.collect())
+    got = {r.rule_id: (r.status, r.failed_count) for r in found}
+    assert got == {n: ("ERROR", 0) if n == 77 else ("FAIL", 1) for n in range(200)}
+    assert number <= 2 * 8 + 4
+    assert "the data are bad" in next(r.details for r in found if r.rule_id == 77)
+
+
+@pytest.mark.parametrize("most", [1, 2_000_000])
+def test_references_with_many_keys(spark, monkeypatch, most):
+    """Beyond the bound, distinct keys are looked up, and rows stay where they are."""
+    monkeypatch.setattr(evaluation, "MOST_KEYS", most)
+    df = spark.range(400).selectExpr("cast(id as string) as k", "case when id % 50 = 0 then null else cast(id % 7 as string) end as v")
+    tables = {"t": (spark.createDataFrame([(str(i),) for i in (0, 1, 2, 4, 5, 6)], "x string"), ("x",))}
+    found = evaluate(df, [Rule(1, definition("reference_value", {"reference_dataset": "t", "reference_column": "x"}), "v"), Rule(2, definition("minimum_row_count", {"minimum_rows": 401}))], "k", tables)
+    want = {str(i) for i in range(400) if i % 7 == 3 and i % 50}
+    assert {r.source_row_identifier for r in found.failures.collect()} == want
+    assert {r.rule_id: r.failed_count for r in found.results.collect()} == {1: len(want), 2: 1}
+    plan = found.failures._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [v" not in plan
+
+
+def test_no_rows_and_no_rules(spark, parcels):
+    tables = {"t": (spark.createDataFrame([("a",)], "x string"), ("x",))}
+    rules = [Rule(1, definition("not_null", {}), "note"), Rule(2, definition("primary_key_unique", {"column": "parcel"})), Rule(3, definition("reference_value", {"reference_dataset": "t", "reference_column": "x"}), "note"), Rule(4, definition("minimum_row_count", {"minimum_rows": 1}))]
+    assert {r.rule_id: r.failed_count for r in evaluate(parcels.limit(0), rules, "parcel", tables).results.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert evaluate(parcels, [], "parcel").results.count() == 0
+    assert {r.rule_id: r.status for r in evaluate(parcels, rules[3:], "parcel").results.collect()} == {4: "PASS"}

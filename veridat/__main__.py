@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import control
-from .operators.evaluate import Rule, evaluate
+from .operators.evaluate import Rule
 from .operators.profile import profile
 from .plans import stewardship
 from .sources import files, load
@@ -85,8 +85,7 @@ def main(arguments: list[str] | None = None) -> None:
         if asked.rules:  # rules of a file, approved or not
             with open(asked.rules, encoding="utf-8") as source:
                 rules = [Rule(i + 1, r["definition"], r.get("column")) for i, r in enumerate(json.load(source))]
-            found = evaluate(store.read(data.table), rules, data.primary_key, load.reference_tables(store), data.name)
-            control.record_results(store, found)
+            found = control.evaluate_recorded(store, store.read(data.table), rules, data.primary_key, load.reference_tables(store), data.name)
         else:
             found = stewardship.judge(store, data)
         _shown(found.results)

@@ -8,12 +8,12 @@ from __future__ import annotations
 import datetime
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import DataQualityError, canonical
 from . import registry
-from .evaluate import Evaluation, Rule
+from .evaluate import Evaluation, Rule, evaluate
 from ..sources.load import LoadSummary, load
 
 RULES = "rule_id long, dataset_name string, column_name string, rule_type string, rule_scope string, target_columns array<string>, rule_definition string, generated_by string, stewardship_run_id long"
@@ -194,19 +194,49 @@ def mark_applied(store, applied: DataFrame, by: str, note: str | None = None) ->
 # ---------------------------------------------------------------- results
 
 
-def results_of(evaluation: Evaluation, first_id: int, run_id: int | None = None, at=None) -> tuple[DataFrame, DataFrame]:
-    """Result rows and failed records with ids. The failures are written first and the
-    results last: a result that is there has all its failures."""
-    at = at or now()
-    w = Window.orderBy("rule_id")
-    # a row for each rule, so one task orders some dozens of rows
-    results = evaluation.results.withColumns({"result_id": (F.row_number().over(w) + (first_id - 1)).cast("long"), "checked_at": F.lit(at), "stewardship_run_id": F.lit(run_id).cast("long")})
-    results = results.select(*[c.split()[0] for c in RESULTS.split(", ")])
-    ids = F.broadcast(results.select("rule_id", "result_id", "dataset_name"))
-    record = F.xxhash64("result_id", "source_row_identifier", "n")
-    times = Window.partitionBy("rule_id", "source_row_identifier").orderBy("rule_id")
-    failed = evaluation.failures.withColumn("n", F.row_number().over(times)).join(ids, "rule_id").select(record.alias("failed_record_id"), "result_id", "rule_id", "dataset_name", "source_row_identifier")
-    return results, failed
+FAILED = "failed_record_id long, result_id long, rule_id long, dataset_name string, source_row_identifier string"
+
+
+def _first_failed(store) -> int:
+    return next_id(store.read("dq_failed_record"), "failed_record_id") if store.exists("dq_failed_record") else 1
+
+
+def _failed_records(failures: DataFrame, results: dict[int, int], dataset: str, first: int) -> DataFrame:
+    """FAILED rows of failing rows; ``results``: result ids by rule. The ids of the records rise
+    from ``first`` with gaps and are fixed once the rows are written."""
+    ids = failures.sparkSession.createDataFrame(list(results.items()), "rule_id long, result_id long")  # one row a rule
+    named = failures.join(F.broadcast(ids), "rule_id")
+    return named.select(_numbered(named, first).alias("failed_record_id"), "result_id", "rule_id", F.lit(dataset).alias("dataset_name"), "source_row_identifier")
+
+
+def _result_rows(evaluation: Evaluation, ids: dict[int, int], run_id: int | None, at) -> DataFrame:
+    rows = [(ids[r.rule_id], *r, at or now(), run_id) for r in evaluation.results.collect()]  # one row a rule
+    return evaluation.results.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[0]), RESULTS)
+
+
+def results_of(evaluation: Evaluation, first_id: int, run_id: int | None = None, at=None, first_failed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Result rows and failed records with ids, of failures that are written or that a plan
+    without shuffles gives (others: evaluate_recorded)."""
+    found = sorted((r.rule_id, r.dataset_name) for r in evaluation.results.select("rule_id", "dataset_name").collect())
+    ids = {rule: first_id + n for n, (rule, _) in enumerate(found)}
+    return _result_rows(evaluation, ids, run_id, at), _failed_records(evaluation.failures, ids, found[0][1] if found else "", first_failed)
+
+
+def evaluate_recorded(store, df: DataFrame, rules: list[Rule], primary_key: str | None = None, tables: dict | None = None, dataset: str = "", run_id: int | None = None, samples: bool = True, at=None) -> Evaluation:
+    """An evaluation whose failing rows go to dq_failed_record in the job that counts them, and
+    whose results follow in dq_result: a result that is there has all its failures, and readers
+    go from results to failures, so what a broken run left isn't seen."""
+    first = next_id(store.read("dq_result"), "result_id") if store.exists("dq_result") else 1
+    ids = {rule: first + n for n, rule in enumerate(sorted(r.rule_id for r in rules))}
+    before = _first_failed(store)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        store.append("dq_failed_record", _failed_records(rows, ids, dataset, before))
+        return store.read("dq_failed_record").where(F.col("result_id") >= first).select("rule_id", "source_row_identifier")
+
+    found = evaluate(df, rules, primary_key, tables, dataset, samples, keep)
+    store.append("dq_result", _result_rows(found, ids, run_id, at))
+    return found
 
 
 def rule_row(rule_id: int, dataset: str, definition: dict, scope: str, column: str | None, targets: list[str], generated_by: str, run_id: int | None = None) -> tuple:
@@ -254,13 +284,3 @@ def load_recorded(store, dataset, file: str | None = None, mode: str | None = No
         raise
     record_load(store, summary)
     return summary
-
-
-def record_results(store, evaluation: Evaluation, run_id: int | None = None) -> tuple[int, int]:
-    """Writes failed records, then results; returns the first id and the number of results.
-    Readers go from results to failures, so a write that broke off leaves nothing visible."""
-    first = next_id(store.read("dq_result"), "result_id") if store.exists("dq_result") else 1
-    results, failed = results_of(evaluation, first, run_id)
-    store.append("dq_failed_record", failed)
-    store.append("dq_result", results)
-    return first, evaluation.results.count()

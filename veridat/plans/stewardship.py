@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import control, mine, propose, remediate
 from ..operators import profile as profiles
-from ..operators.evaluate import Evaluation, evaluate
+from ..operators.evaluate import Evaluation
 from ..operators.registry import COLUMN, DATASET, ROW, executable_of
 from ..sources.load import Dataset, Store, reference_tables
 
@@ -48,9 +48,7 @@ def propose_rules(store: Store, dataset: Dataset, found: list[dict], column_prop
 def judge(store: Store, dataset: Dataset, run_id: int | None = None) -> Evaluation:
     """Evaluates the approved rules of a table and records results and failures."""
     df = store.read(dataset.table or dataset.name)
-    found = evaluate(df, control.approved_rules(store, dataset.name), dataset.primary_key, reference_tables(store), dataset.name)
-    control.record_results(store, found, run_id)
-    return found
+    return control.evaluate_recorded(store, df, control.approved_rules(store, dataset.name), dataset.primary_key, reference_tables(store), dataset.name, run_id)
 
 
 def suggest(store: Store, dataset: Dataset, run_id: int | None = None) -> DataFrame:
