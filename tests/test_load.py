@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +249,80 @@ def test_stream_of_files(spark, store, tmp_path):
             (folder / f"{name}.csv").write_text(content)
         incremental.upsert_stream(store, incremental.watch(spark, str(folder), ["id", "v"]), "t", "id", str(tmp_path / "cp")).awaitTermination(120)
     assert sorted((r.id, r.v) for r in store.read("t").collect()) == [("1", "a"), ("2", "c"), ("3", "d")]
+
+
+def bytes_of(folder):
+    return sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*.parquet"))
+
+
+def test_an_upsert_writes_the_partitions_it_touches(spark, tmp_path):
+    store = load.Store(spark, str(tmp_path / "store"), buckets=32)
+    rows = lambda where: spark.range(20_000).selectExpr("cast(id as string) as k", "sha2(cast(id as string), 512) as v").where(where)
+    assert store.upsert("t", rows("true"), "k").inserted == 20_000
+    whole = bytes_of(store.path("t"))
+    of = F.pmod(F.xxhash64("k"), F.lit(32 * load._PIECES)) % 32
+    few = rows("true").where(of == 5).limit(200).withColumn("v", F.lit("new"))
+    added = rows("true").withColumn("k", F.concat(F.lit("n"), "k")).where(of == 5).limit(3)
+    done = store.upsert("t", few.unionByName(added), "k")
+    assert (done.read, done.inserted, done.updated) == (203, 3, 200)
+    assert 0 < bytes_of(done.path) < whole / 16
+    assert len([p for p in store.parts("t") if p.startswith(done.path)]) == 1 and len(store.parts("t")) == 32
+    found = store.read("t")
+    assert found.count() == 20_003 and found.where("v = 'new'").count() == 200 and found.select("k").distinct().count() == 20_003
+    assert store.read("t", 1).where("v = 'new'").isEmpty()
+    store.append("t", rows("id < 10"))  # dealt likewise
+    assert store.upsert("t", rows("id < 10").withColumn("v", F.lit("last")), "k").updated == 10
+    assert store.read("t").where("v = 'last'").count() == 10 and store.read("t").count() == 20_003
+    with pytest.raises(DataQualityError, match="duplicate"):
+        store.upsert("t", rows("id < 2").unionByName(rows("id < 2")), "k")
+    with pytest.raises(DataQualityError, match="blank"):
+        store.upsert("t", rows("id < 2").withColumn("k", F.lit(" ")), "k")
+    assert store.version("t") == 4 and store.upsert("t", rows("false"), "k").read == 0 and store.read("t").count() == 20_003
+    store.compact("t")
+    assert store.read("t").count() == 20_003 and store.manifest("t", store.version("t")).key == "k"
+
+
+def test_a_table_that_was_not_dealt_by_key_becomes_so(spark, store):
+    store.write("t", spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string"))
+    done = store.upsert("t", spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string"), "k")
+    assert (done.inserted, done.updated) == (1, 1)
+    assert sorted(map(repr, map(tuple, store.read("t").collect()))) == sorted(map(repr, [(1, "a"), (2, "x"), (3, "y"), (None, "c")]))
+
+
+def test_half_written_manifests_are_not_seen(spark, store):
+    store.write("t", spark.range(3))
+    published = pathlib.Path(store.folder("t")) / "published"
+    (published / "_left-by-a-dead-writer").write_text("")
+    (published / "2").write_text("")  # by a store that doesn't rename
+    assert store.version("t") == 1 and store.read("t").count() == 3
+    store.append("t", spark.range(2))
+    assert store.version("t") == 3 and store.read("t").count() == 5
+
+
+def test_two_writers_do_not_lose_rows(spark, store, monkeypatch):
+    store.write("t", spark.range(3))
+    other, real, first = load.Store(spark, store.root), load.Store._publish, [True]
+
+    def late(self, table, number, manifest):
+        if self is store and first.pop() if first else False:
+            other.append("t", spark.range(10, 12))
+        return real(self, table, number, manifest)
+
+    monkeypatch.setattr(load.Store, "_publish", late)
+    store.append("t", spark.range(20, 21))
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 10, 11, 20]
+    first.append(True)
+    with pytest.raises(load.Taken):  # what was made from the rows before can't go over theirs
+        store.write("t", store.read("t").where("id > 1"))
+    assert store.read("t").count() == 8
+
+
+def test_a_version_waits_for_another(spark, store):
+    store.write("a", spark.range(1))
+    store.append("a", spark.range(1), after=load.Awaited("b", 1, "x"))
+    assert store.read("a").count() == 1 and not store.exists("b")
+    store.write("b", spark.range(1), token="y")
+    assert store.read("a").count() == 1
+    store.append("a", spark.range(5), after=load.Awaited("b", 2, "z"))
+    store.append("b", spark.range(1), token="z")
+    assert store.read("a").count() == 6 and store.version("a") == 3

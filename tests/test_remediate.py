@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridat.functions.names import DataQualityError
-from veridat.operators import remediate, report
+from veridat.operators import control, remediate, report
 from veridat.operators.evaluate import Rule, evaluate
-from veridat.operators.control import results_of
+from veridat.operators.control import evaluate_recorded, results_of
 from veridat.sources.load import Store
 
 CITY = {"type": "city_contains_state_or_zip", "parameters": {}}
@@ -76,7 +76,8 @@ def test_versions_are_immutable(spark, tmp_path):
     assert two["version"] == 2 and now["1"].city == "Tampa" and now["1"]._dataset_version_id == 2 and now["1"]._raw_source_row_identifier == "1"
     assert {r.id: r.city for r in store.read("customers__current", 1).collect()}["1"] == "Miami"
     assert {r.id: r.city for r in store.read("customers").collect()}["1"] == "Miami, FL"
-    assert store.read("customers__history").count() == 3 and store.read("customers__lineage").count() == 4
+    assert store.read("customers__history").count() == 3 and store.read("customers__lineage").count() == 2  # of rows that changed
+    assert [sorted(map(tuple, remediate.lineage_of(store, "customers", "id", v).collect())) for v in (1, 2)] == [[(1, "1", "1", 1), (1, "2", "2", 0)], [(2, "1", "1", 2), (2, "2", "2", 0)]]
     store.write("twice", spark.createDataFrame([("1", "a"), ("1", "b")], "id string, v string"))
     with pytest.raises(DataQualityError):
         remediate.apply_version(store, "twice", spark.createDataFrame([], schema), "id")
@@ -106,3 +107,58 @@ def test_last_loaded(spark):
     df = spark.sql("select timestamp'2026-01-10 15:00:00' t union all select timestamp'2026-01-09 04:30:00' union all select timestamp'2026-01-09 15:00:00' union all select null")
     now = F.lit("2026-01-10 18:00:00").cast("timestamp")
     assert [r[0] for r in df.select(report.last_loaded(F.col("t"), now)).collect()] == ["Today 10:00 AM", "Jan 8, 2026 11:30 PM", "Yesterday 10:00 AM", "Never"]
+
+
+@pytest.mark.parametrize("breaks", ["customers__history", "customers__lineage", "customers__current"])
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_version_that_breaks_off_is_repeated(spark, tmp_path, monkeypatch, breaks, when):
+    """Each of the three writes breaks, before or after its rows are there."""
+    store = Store(spark, str(tmp_path))
+    store.write("customers", spark.createDataFrame([("1", "Miami, FL", ""), ("2", "Boston", "MA")], "id string, city string, state string"))
+    schema = "remediation_id long, rule_id long, source_row_identifier string, suggested_values map<string,string>"
+    remediate.apply_version(store, "customers", spark.createDataFrame([(9, 1, "2", {"state": "NY"})], schema), "id")
+    approved = spark.createDataFrame([(1, 1, "1", {"city": "Miami", "state": "FL"})], schema)
+    real, due = Store._publish, [True]
+
+    def publish(self, table, number, manifest):
+        if table == breaks and due:
+            if when == "before":
+                due.clear()
+                raise OSError("the driver is gone")
+            if table != "customers__current":  # once that is published the version is whole
+                real(self, table, number, manifest)
+            due.clear()
+            raise OSError("the driver is gone")
+        real(self, table, number, manifest)
+
+    monkeypatch.setattr(Store, "_publish", publish)
+    with pytest.raises(OSError, match="gone"):
+        remediate.apply_version(store, "customers", approved, "id")
+    assert store.version("customers__current") == 1 and store.read("customers__history").count() == 1 and store.read("customers__lineage").count() == 1
+    done = remediate.apply_version(store, "customers", approved, "id")
+    assert (done["version"], done["changes"], done["rows"]) == (2, 2, 2)
+    history = sorted((r.dataset_version_id, r.remediation_id, r.column_name, r.old_value, r.new_value) for r in store.read("customers__history").collect())
+    assert history == [(1, 9, "state", "MA", "NY"), (2, 1, "city", "Miami, FL", "Miami"), (2, 1, "state", "", "FL")]
+    assert sorted(map(tuple, store.read("customers__lineage").collect())) == [(1, "2", "2"), (2, "1", "1")]
+
+
+def test_results_and_failures_are_seen_together(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    df = spark.range(20).selectExpr("cast(id as string) as k", "case when id < 4 then null else 'v' end as v")
+    rules = [Rule(1, {"executable_rule": {"type": "not_null"}}, "v")]
+    evaluate_recorded(store, df, rules, "k")
+    real, due = Store._publish, [True]
+    monkeypatch.setattr(Store, "_publish", lambda self, table, *rest: due.pop() and (_ for _ in ()).throw(OSError("gone")) if table == "dq_result" and due else real(self, table, *rest))
+    with pytest.raises(OSError, match="gone"):
+        evaluate_recorded(store, df, rules, "k")
+    assert store.read("dq_failed_record").count() == 4
+    evaluate_recorded(store, df, rules, "k")
+    assert store.read("dq_failed_record").count() == 8 and {r.result_id: r["count"] for r in store.read("dq_failed_record").groupBy("result_id").count().collect()} == {1: 4, 2: 4}
+
+
+def test_logs_of_many_parts_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(control, "MOST_PARTS", 3)
+    store = Store(spark, str(tmp_path))
+    for n in range(6):
+        control.log_rows(store, "log", spark.range(n, n + 1))
+    assert len(store.parts("log")) <= 3 and sorted(r.id for r in store.read("log").collect()) == list(range(6))

@@ -5,8 +5,10 @@ Statuses are append-only logs; what holds is the last entry. One writer at a tim
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.names import DataQualityError, canonical
 from . import registry
 from .evaluate import Evaluation, Rule, evaluate
+from ..sources.awaited import Awaited
 from ..sources.load import LoadSummary, load
 
 RULES = "rule_id long, dataset_name string, column_name string, rule_type string, rule_scope string, target_columns array<string>, rule_definition string, generated_by string, stewardship_run_id long"
@@ -80,13 +83,23 @@ def table_or_empty(store, name: str, schema: str) -> DataFrame:
     return store.read(name) if store.exists(name) else store.spark.createDataFrame([], schema)
 
 
+MOST_PARTS = 48  # of a log: one of more is made one part
+
+
+def log_rows(store, table: str, rows: DataFrame) -> None:
+    """Appends to a log, whose parts are put together once there are many."""
+    store.append(table, rows)
+    if len(store.parts(table)) > MOST_PARTS:
+        store.compact(table)
+
+
 # ---------------------------------------------------------------- runs
 
 
 def record_phase(store, run_id: int, kind: str, dataset: str, phase: str, status: str, actor: str = "system", message: str | None = None) -> None:
     """Appends how a phase of a run stands: running, completed, skipped or failed."""
     number = next_id(table_or_empty(store, "control_run", RUNS), "entry")
-    store.append("control_run", store.spark.createDataFrame([(number, run_id, kind, dataset, phase, status, actor, message, now())], RUNS))
+    log_rows(store, "control_run", store.spark.createDataFrame([(number, run_id, kind, dataset, phase, status, actor, message, now())], RUNS))
 
 
 def start_run(store, kind: str, dataset: str, actor: str = "system") -> int:
@@ -122,7 +135,7 @@ def save_rules(store, dataset: str, found: list[tuple[str, str | None, dict]], g
         store.append("dq_rule", store.spark.createDataFrame(rows, RULES))
         log = table_or_empty(store, "dq_rule_log", LOG)
         number, at = next_id(log, "entry"), now()
-        store.append("dq_rule_log", store.spark.createDataFrame([(number + i, r[0], None, "proposed", generated_by, None, at) for i, r in enumerate(rows)], LOG))
+        log_rows(store, "dq_rule_log", store.spark.createDataFrame([(number + i, r[0], None, "proposed", generated_by, None, at) for i, r in enumerate(rows)], LOG))
     return [r[0] for r in rows]
 
 
@@ -130,13 +143,13 @@ def decide_rule(store, rule_id: int, status: str, by: str, note: str | None = No
     """Approves a stored rule, as its registry has it, or gives it another status."""
     log = table_or_empty(store, "dq_rule_log", LOG)
     if status != "approved":
-        store.append("dq_rule_log", change_rule_status(log, rule_id, status, by, note))
+        log_rows(store, "dq_rule_log", change_rule_status(log, rule_id, status, by, note))
         return
     rules = store.read("dq_rule")
     definition, entry = approve_rule(rules, log, rule_id, by, note)
     changed = rules.where(F.col("rule_id") == rule_id).withColumns({"rule_definition": F.lit(json.dumps(definition)), "rule_type": F.lit(definition["executable_rule"]["type"])})
     merge_rows(store, "dq_rule", changed, "rule_id")
-    store.append("dq_rule_log", entry)
+    log_rows(store, "dq_rule_log", entry)
 
 
 def approved_rules(store, dataset: str) -> list[Rule]:
@@ -183,7 +196,7 @@ def _log_remediations(store, subjects: DataFrame, status: str, by: str, note: st
     """Appends an entry for each of ``subjects`` (remediation_id, status)."""
     first = next_id(table_or_empty(store, "dq_remediation_log", LOG), "entry")
     entries = subjects.select(_numbered(subjects, first).alias("entry"), F.col("remediation_id").alias("subject_id"), F.col("status").alias("from_status"), F.lit(status).alias("to_status"), F.lit(by).alias("actor"), F.lit(note).cast("string").alias("note"), F.lit(now()).alias("at"))
-    store.append("dq_remediation_log", entries)
+    log_rows(store, "dq_remediation_log", entries)
 
 
 def mark_applied(store, applied: DataFrame, by: str, note: str | None = None) -> None:
@@ -224,18 +237,21 @@ def results_of(evaluation: Evaluation, first_id: int, run_id: int | None = None,
 
 def evaluate_recorded(store, df: DataFrame, rules: list[Rule], primary_key: str | None = None, tables: dict | None = None, dataset: str = "", run_id: int | None = None, samples: bool = True, at=None) -> Evaluation:
     """An evaluation whose failing rows go to dq_failed_record in the job that counts them, and
-    whose results follow in dq_result: a result that is there has all its failures, and readers
-    go from results to failures, so what a broken run left isn't seen."""
+    whose results follow in dq_result. The failures wait for the results, so both are seen at
+    once, and what a broken run left never is."""
+    awaited = Awaited("dq_result", store.next_version("dq_result"), uuid.uuid4().hex)
     first = next_id(store.read("dq_result"), "result_id") if store.exists("dq_result") else 1
     ids = {rule: first + n for n, rule in enumerate(sorted(r.rule_id for r in rules))}
     before = _first_failed(store)
 
     def keep(rows: DataFrame) -> DataFrame:
-        store.append("dq_failed_record", _failed_records(rows, ids, dataset, before))
-        return store.read("dq_failed_record").where(F.col("result_id") >= first).select("rule_id", "source_row_identifier")
+        # a later call is the one whose rows are to be seen
+        awaiting.append(dataclasses.replace(awaited, token=uuid.uuid4().hex))
+        return store.read_part(store.append("dq_failed_record", _failed_records(rows, ids, dataset, before), after=awaiting[-1])).select("rule_id", "source_row_identifier")
 
+    awaiting = [awaited]
     found = evaluate(df, rules, primary_key, tables, dataset, samples, keep)
-    store.append("dq_result", _result_rows(found, ids, run_id, at))
+    store.append("dq_result", _result_rows(found, ids, run_id, at), token=awaiting[-1].token)
     return found
 
 
@@ -269,7 +285,7 @@ def save_profiles(store, profiles: list[dict]) -> None:
 
 def record_load(store, summary, status: str = "completed", details: str | None = None) -> None:
     row = (summary.load_run_id, summary.dataset_name, summary.mode, status, summary.rows_read, summary.rows_inserted, summary.rows_updated, float(summary.duration_seconds), now(), details)
-    store.append("control_load_run", store.spark.createDataFrame([row], LOAD_RUNS))
+    log_rows(store, "control_load_run", store.spark.createDataFrame([row], LOAD_RUNS))
 
 
 def load_recorded(store, dataset, file: str | None = None, mode: str | None = None):

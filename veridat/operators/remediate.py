@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import DataQualityError, find_column, identifier
 from ..functions.text import populated, strip
+from ..sources.awaited import Awaited
 from .rules import col
 
 # State codes.
@@ -109,13 +111,17 @@ def apply_changes(base: DataFrame, changes: DataFrame, primary_key: str) -> Data
     return joined.select(*[new(f.name, f.dataType) if f.name != primary_key else col(f.name) for f in base.schema.fields])
 
 
+def _named_by(base: DataFrame, primary_key: str) -> None:
+    bad = base.groupBy(col(primary_key).cast("string").alias("k")).agg(F.count("*").alias("n")).where("k is null or n > 1")
+    if not bad.isEmpty():
+        raise DataQualityError("Row lineage needs a key that is unique and never null.")
+
+
 def row_lineage(base: DataFrame, primary_key: str, version: int) -> DataFrame:
     """(dataset_version_id, curated_row_identifier, raw_source_row_identifier), one a row; a
     null or repeated key is an error, as no row could be named by it."""
+    _named_by(base, primary_key)
     key = col(primary_key).cast("string")
-    bad = base.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("k is null or n > 1")
-    if not bad.isEmpty():
-        raise DataQualityError("Row lineage needs a key that is unique and never null.")
     raw = col("_raw_source_row_identifier") if "_raw_source_row_identifier" in base.columns else key
     return base.select(F.lit(version).cast("long").alias("dataset_version_id"), key.alias("curated_row_identifier"), raw.alias("raw_source_row_identifier"))
 
@@ -127,19 +133,39 @@ def curated(base: DataFrame, primary_key: str, version: int) -> DataFrame:
     return base.select(*[col(c) for c in rest], F.lit(version).cast("long").alias("_dataset_version_id"), raw.alias("_raw_source_row_identifier"))
 
 
+def lineage_of(store, table: str, primary_key: str, version: int | None = None) -> DataFrame:
+    """(dataset_version_id, curated_row_identifier, raw_source_row_identifier, changed_in) of every
+    row of a version: the lineage of rows that versions changed is recorded, that of the others
+    is what the version's rows say. ``changed_in`` is the last version up to this one that
+    changed the row, 0 if none has."""
+    name = current_name(table)
+    number = version or store.version(name)
+    rows = store.read(name, number).select(F.lit(number).cast("long").alias("dataset_version_id"), col(primary_key).cast("string").alias("curated_row_identifier"), F.col("_raw_source_row_identifier").alias("raw_source_row_identifier"))
+    recorded = store.read(f"{table}__lineage").where(F.col("dataset_version_id") <= number).groupBy("curated_row_identifier").agg(F.max("dataset_version_id").alias("changed_in"))
+    return rows.join(recorded, "curated_row_identifier", "left").select(*rows.columns, F.coalesce("changed_in", F.lit(0)).cast("long").alias("changed_in"))
+
+
 def apply_version(store, table: str, approved: DataFrame, primary_key: str) -> dict:
     """A new immutable version of a curated table from approved remediations.
 
     Its base is the latest version, else the raw table: rows that were loaded since don't
     reach it. ``applied`` are the remediations (remediation_id) that changed something; one
-    without any change stays approved."""
-    name = current_name(table)
-    base = store.read(name) if store.exists(name) else store.read(table)
-    number = store.version(name) + 1
-    lineage = row_lineage(base, primary_key, number)
-    changes = field_changes(base, approved, primary_key)
-    store.append(f"{table}__history", changes.withColumn("dataset_version_id", F.lit(number).cast("long")))
-    written = store.read(f"{table}__history").where(F.col("dataset_version_id") == number)
-    path = store.write(name, curated(apply_changes(base, written, primary_key), primary_key, number))
-    store.append(f"{table}__lineage", lineage)
-    return {"version": number, "name": version_name(table, number), "path": path, "applied": written.select("remediation_id").distinct(), "changes": written.count(), "rows": store.read(name).count()}
+    without any change stays approved. Lineage is recorded for the rows that the version
+    changes (lineage_of has it for all).
+
+    History and lineage wait for the version, so publishing that makes all three visible at
+    once; what a run leaves that breaks off before is never seen, and a repeat takes its place."""
+    name, token = current_name(table), uuid.uuid4().hex
+    number = store.next_version(name)
+    made = store.version(name)
+    base = store.read(name, made) if made else store.read(table)
+    if not made:
+        _named_by(base, primary_key)  # corrections leave keys as they are, so later versions needn't be looked at
+    awaited = Awaited(name, number, token)
+    changes = store.read_part(store.append(f"{table}__history", field_changes(base, approved, primary_key).withColumn("dataset_version_id", F.lit(number).cast("long")), after=awaited))
+    raw = col("_raw_source_row_identifier") if made else col(primary_key).cast("string")
+    touched = base.join(changes.select("row").distinct(), col(primary_key).cast("string") == F.col("row"), "left_semi")
+    store.append(f"{table}__lineage", touched.select(F.lit(number).cast("long").alias("dataset_version_id"), col(primary_key).cast("string").alias("curated_row_identifier"), raw.alias("raw_source_row_identifier")), after=awaited)
+    counted = Observation()
+    path = store.write(name, curated(apply_changes(base, changes, primary_key), primary_key, number).observe(counted, F.count("*").alias("n")), token)
+    return {"version": number, "name": version_name(table, number), "path": path, "applied": changes.select("remediation_id").distinct(), "changes": changes.count(), "rows": counted.get["n"]}

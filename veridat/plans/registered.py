@@ -712,6 +712,19 @@ def version_applied(spark, sf_dir):
     return store.read("places__current").select("id", "city", F.col("_dataset_version_id").alias("version"))
 
 
+@query(f"""
+SELECT CAST(2 AS BIGINT) AS dataset_version_id, id AS curated_row_identifier, id AS raw_source_row_identifier, CAST(CASE WHEN CAST(id AS INT) % 10 = 5 THEN 2 WHEN CAST(id AS INT) % 6 = 0 AND NOT (city = 'Boston' AND state = 'MA' AND CAST(id AS INT) % 12 <> 0) THEN 1 ELSE 0 END AS BIGINT) AS changed_in FROM {PLACES}
+""")
+def row_lineage_versions(spark, sf_dir):
+    """The lineage of all rows of a second version, of which only changed rows are recorded."""
+    store = Store(spark, files.scratch(spark, "store"))
+    store.write("places", places(spark, sf_dir))
+    remediate.apply_version(store, "places", _approved(spark, sf_dir), "id")
+    more = places(spark, sf_dir).where("cast(id as int) % 10 = 5").select(F.col("id").cast("long").alias("remediation_id"), F.lit(3).cast("long").alias("rule_id"), F.col("id").alias("source_row_identifier"), F.create_map(F.lit("zip"), F.lit("00000")).alias("suggested_values"))
+    remediate.apply_version(store, "places", more, "id")
+    return remediate.lineage_of(store, "places", "id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.rules import col
-from ..sources.load import Store, check_primary_key, upsert, with_lineage
+from ..sources.load import Store, with_lineage
 
 
 def watch(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
@@ -19,13 +19,12 @@ def watch(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
 
 
 def upsert_stream(store: Store, stream: DataFrame, table: str, key: str, checkpoint: str, source: str = "stream") -> StreamingQuery:
-    """Starts the upserts; a batch that ran before gives the same table when it runs again."""
+    """Starts the upserts, each of which writes the partitions of keys that its batch touches; a
+    batch that ran before gives the same table when it runs again."""
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        check_primary_key(batch, key)
-        rows = with_lineage(batch, source, number)
-        store.write(table, upsert(store.read(table), rows, key) if store.exists(table) else rows)
+        store.upsert(table, with_lineage(batch, source, number), key)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
