@@ -3,6 +3,7 @@
 import glob
 import gzip
 import hashlib
+import re
 import zlib
 
 import pytest
@@ -93,3 +94,36 @@ def test_damage_is_seen(spark, tmp_path):
                 raise ValueError("digest")
     with pytest.raises(ValueError, match="ends within"):
         list(op9_warc._parsed(op9_warc._inflated(memoryview(open(file, "rb").read()[:-9]))))
+
+
+def test_order_holds_when_the_sort_spills(spark, tmp_path):
+    """Records of many members in several volumes, and a sort that spills every five rows."""
+    big = F.concat(F.sha2(F.col("id").cast("string"), 512), F.expr("repeat(sha2(cast(id as string), 512), case when id = 7 then 460000 when id = 20 then 160000 else 10 end)"))
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("http://p/"), "id").alias("url"), big.alias("html")).coalesce(1)
+    spilling = {"spark.shuffle.spill.numElementsForceSpillThreshold": "5", "spark.sql.sortMergeJoinExec.buffer.spill.threshold": "5", "spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    kept = {k: spark.conf.get(k, None) for k in spilling}
+    conf = spark.sparkContext._jsc.sc().conf()
+    for k, v in spilling.items():
+        conf.set(k, v) if k.startswith("spark.shuffle") else spark.conf.set(k, v)
+    try:
+        path = str(tmp_path / "w")
+        op9_warc.write_archives(op9_warc.resolve(pages).coalesce(1), path, bytes_per_file=20_000)
+        found = op9_warc.read_archives(spark, path)
+        assert sorted(r.page_id for r in found.select("page_id").collect()) == list(range(40))
+        assert found.agg(F.max("payload_bytes")).first()[0] == 128 * 460_001
+        files = glob.glob(f"{path}/*/*.warc.gz")
+        assert len(files) > 2
+        for file in files:
+            first = next(members(file))
+            assert b"WARC-Type: warcinfo" in first
+            ids = [int(m) for m in re.findall(rb"WARC-Target-URI: http://p/(\d+)\r", gzip.open(file).read())]
+            assert ids == sorted(ids)
+    finally:
+        for k, v in kept.items():
+            (conf.remove(k) if k.startswith("spark.shuffle") else spark.conf.unset(k)) if v is None else spark.conf.set(k, v)
+
+
+def test_archives_are_read_under_the_names_that_spark_gives(spark, tmp_path):
+    path = str(tmp_path / "w")
+    op9_warc.write_archives(op9_warc.resolve(pages_of(spark)), path, rename=False)
+    assert not glob.glob(f"{path}/*/*.warc.gz") and op9_warc.read_archives(spark, path).count() == len(ROWS)

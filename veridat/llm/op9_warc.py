@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,12 +95,18 @@ def records(resolved: DataFrame, date: str, run: str) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str | None = None, bytes_per_file: int = 1 << 28) -> None:
+def write_archives(resolved: DataFrame, path: str, date: str | None = None, bytes_per_file: int = 1 << 28, rename: bool = True) -> None:
     """Files ``*.warc.gz`` below ``path``, each begun by a warcinfo record and closed by the
     record that brings it to ``bytes_per_file`` compressed.
 
-    A record is one gzip member (one of 16 MiB or more is several). The text writer ends each
-    value with a zero byte: the last byte of every member, which is left out of its value."""
+    A record is one gzip member (one of 16 MiB or more is several). All members of a record are
+    one value, and so are the warcinfo and the first record of a file. Values go to the writer in
+    order of (volume, number), which is set before it, so no sort that spills can mix them. The
+    text writer ends each value with a zero byte: the last byte of every record's last member,
+    which is left out of its value.
+
+    Spark names the files ``*.txt``; with ``rename`` the driver renames them, which is cheap in a
+    file system and a copy each in an object store. They are read under both names."""
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     run = uuid.uuid4().hex
 
@@ -108,31 +115,35 @@ def write_archives(resolved: DataFrame, path: str, date: str | None = None, byte
         head = f"{VERSION}{_EOL}WARC-Type: warcinfo{_EOL}WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>{_EOL}WARC-Date: {date}{_EOL}Content-Type: application/warc-fields{_EOL}Content-Length: {len(fields)}{_EOL}{_EOL}"
         return (head + fields + _EOL + _EOL).encode()
 
-    def members(batches):
-        volume, size = 0, 0
+    def packed(batches):
+        volume, number, size = 0, 0, 0
+        names = ["volume", "number", "value"]
         for batch in batches:
-            out, volumes, held = [], [], 0
+            out, volumes, numbers, held = [], [], [], 0
             for value in batch.column(0):
                 raw = value.as_buffer()
                 parts = [info(volume)] if not size else []
                 parts += [raw[i : i + _MEMBER] for i in range(0, len(raw), _MEMBER)]
-                for part in parts:
-                    packed = gzip.compress(part, 6, mtime=0)[:-1]
-                    out.append(packed)
-                    volumes.append(volume)
-                    size += len(packed) + 1
-                    held += len(packed)
+                members = b"".join(gzip.compress(part, 6, mtime=0) for part in parts)
+                out.append(members[:-1])
+                volumes.append(volume)
+                numbers.append(number)
+                size += len(members)
+                held += len(members)
+                number += 1
                 if size >= bytes_per_file:
                     volume, size = volume + 1, 0
                 if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
-                    out, volumes, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(numbers, pa.int64()), pa.array(out, pa.binary())], names)
+                    out, volumes, numbers, held = [], [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(out, pa.binary())], ["volume", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(numbers, pa.int64()), pa.array(out, pa.binary())], names)
 
-    packed = resolved.select(records(resolved, date, run).cast("binary").alias("value")).mapInArrow(members, "volume int, value binary")
-    packed.select("volume", F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("volume").text(path)
-    _name_files(resolved.sparkSession, path)
+    values = resolved.select(records(resolved, date, run).cast("binary").alias("value")).mapInArrow(packed, "volume int, number long, value binary")
+    ordered = values.sortWithinPartitions("volume", "number").select("volume", F.col("value").cast("string").alias("value"))
+    ordered.write.option("lineSep", "\0").partitionBy("volume").text(path)
+    if rename:
+        _name_files(resolved.sparkSession, path)
 
 
 def _name_files(spark: SparkSession, path: str) -> None:
@@ -143,9 +154,9 @@ def _name_files(spark: SparkSession, path: str) -> None:
     files, found = fs.listFiles(root, True), []
     while files.hasNext():
         found.append(files.next().getPath())
-    for file in found:
-        if file.getName().endswith(".txt"):
-            fs.rename(file, hadoop.Path(file.getParent(), file.getName().removesuffix(".txt") + ".warc.gz"))
+    texts = [f for f in found if f.getName().endswith(".txt")]
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda f: fs.rename(f, hadoop.Path(f.getParent(), f.getName().removesuffix(".txt") + ".warc.gz")), texts))
 
 
 def _inflated(raw: memoryview):
@@ -228,7 +239,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,txt}").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, schema)
 
 
@@ -246,7 +257,7 @@ def restore(found: DataFrame) -> DataFrame:
 
 def op9_warc_revisit(spark, sf_dir) -> DataFrame:
     path = fresh_path(spark, "warc")
-    write_archives(resolve(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    write_archives(resolve(spark.read.parquet(f"{sf_dir}/pages.parquet")), path, rename=False)
     found = restore(read_archives(spark, path, payloads=False).drop("html", "url"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
