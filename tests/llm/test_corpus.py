@@ -4,13 +4,15 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridat.llm import graph, op1_language, op2_license, op3_pii, op4_lm_score, op5_decontaminate, op6_jaccard, op7_quality, op8_secrets, op10_mixing
+from veridat.llm import common, graph, op1_language, op2_license, op3_pii, op4_lm_score, op5_decontaminate, op6_jaccard, op7_quality, op8_secrets, op10_mixing
 from veridat.llm.common import Flat, Words, bucket
 from veridat.llm.ppm import Model, ngrams
 
@@ -522,3 +524,94 @@ def test_queries_are_registered(name):
     found = __spark_entry__.queries()
     assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_shares_of_any_number_of_rows():
+    for total in (10**3, 10**9, 2 * 10**9, 10**10, 10**13):
+        assert total * common.share_of(1500, total) == pytest.approx(min(total, 1500))
+    assert common.share_of(5000, 0) == 1.0
+
+
+def test_chances_are_even_and_fine(spark):
+    found = spark.range(200_000).select(common.chance("id", F.lit("x")).alias("c"))
+    low, high, n, few = found.agg(F.min("c"), F.max("c"), F.count_if(F.col("c") < 0.25), F.count_if(F.col("c") < 1e-4)).first()
+    assert 0 <= low < 1e-4 and 1 - 1e-4 < high <= 1 and abs(n - 50_000) < 1000 and 3 <= few <= 60
+
+
+def test_each_language_is_learned(spark, docs_of):
+    docs = docs_of([(i, f"word{i} and text of a language") for i in range(400)], lang=["rare" if i == 9 else "often" for i in range(400)])
+    assert op1_language.train(docs, 20)[0] == ["often", "rare"]
+
+
+def test_short_hex_texts_do_not_slow_each_other():
+    flat_of = lambda n: common.flat(pa.array(["abcdef012345"] * n + ["a" * 40, "b" * 31, "AKIA" + "Z" * 16, "AKIAZ"]))
+    began = time.perf_counter()
+    found = op8_secrets.base_spans(flat_of(20_000))
+    assert time.perf_counter() - began < 2
+    assert [(d - 20_000, kind, e - s) for d, kind, s, e in found] == [(2, 1, 20), (0, 2, 40)]
+
+
+def test_paths_beyond_the_rounds_are_an_error(spark):
+    links = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError, match="aren't found"):
+        graph.components(links, rounds=2)
+    assert graph.components(links).select("component").distinct().count() == 1
+
+
+def plain_shares(p, n, goal, steps):
+    """Shares after a plain projected gradient over documents, and its metric."""
+    metric = np.linalg.inv((p * n[:, None]).T @ p / n.sum() + 1e-6 * np.eye(3))
+    rate = np.ones(len(n))
+    for _ in range(steps):
+        rate = np.maximum(0, rate - p @ (metric @ ((p * (n * rate)[:, None]).sum(0) / n.sum() - goal)))
+    return (p * (n * rate)[:, None]).sum(0) / n.sum(), metric
+
+
+@pytest.mark.parametrize(
+    ("floor", "targets", "meets"),
+    [(0.0, {"good": 0.5, "poor": 0.3, "toxic": 0.2}, True), (0.06, {"good": 0.9, "poor": 0.1, "toxic": 0.0}, False)],
+)
+def test_rates_solve_nonnegative_least_squares(spark, floor, targets, meets):
+    """With targets that can be met, and with some that can't, as all documents have a little of all."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([2, 1, 1], 12)[rng.integers(0, 12, 300)]
+    p = (floor + (1 - 3 * floor) * p).round(6)
+    n = rng.integers(1, 90, 300)
+    df = spark.createDataFrame([(i, *map(float, x), int(k)) for i, (x, k) in enumerate(zip(p, n, strict=True))], "doc_id long, p_good double, p_poor double, p_toxic double, n_tokens long")
+    taken = op10_mixing.fit_steps(df, targets, close=1e-6)
+    assert taken.converged
+    rate = np.array([r.rate for r in op10_mixing.rates(df, taken).orderBy("doc_id").collect()])
+    goal = np.array([targets[d] for d in op10_mixing.DOMAINS])
+    shares = (p * (n * rate)[:, None]).sum(0) / n.sum()
+    assert np.allclose(shares - goal, [taken.residual[d] for d in op10_mixing.DOMAINS], atol=1e-5)
+    best, metric = plain_shares(p, n, goal, 60_000)
+    cost = lambda s: (s - goal) @ metric @ (s - goal)
+    assert cost(shares) < cost(best) + 1e-5
+    assert (np.abs(shares - goal).max() < 1e-4) == meets
+    short = op10_mixing.fit_steps(df, targets, most_steps=2, close=1e-9)
+    assert len(short) == 2 and not short.converged and max(map(abs, short.residual.values())) > 0
+
+
+def test_mixing_by_brute_force(spark, docs_of):
+    """The whole operator: rates of a corpus whose posteriors are known, against plain steps."""
+    rng = random.Random(5)
+    words = {"good": [f"g{i}" for i in range(40)], "poor": ["%%%", "|", "###"], "toxic": ["vile", "awful"]}
+    rows, labels = [], []
+    for i in range(300):
+        kind = ("good", "poor", "toxic")[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2]
+        w = [rng.choice(words["good"]) for _ in range(30)] + [rng.choice(words[kind]) for _ in range(12)]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(kind != "poor"), int(kind == "toxic")))
+    docs, table = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = op10_mixing.train(docs, table)
+    members = op10_mixing.memberships(docs, model).orderBy("doc_id").collect()
+    p, n = np.array([[r[f"p_{d}"] for d in op10_mixing.DOMAINS] for r in members]), np.array([r.n_tokens for r in members])
+    assert (p.argmax(1) == [0 if i % 10 < 7 else 1 if i % 10 < 9 else 2 for i in range(300)]).all()
+    kept = {r.doc_id: r.rate for r in op10_mixing.mix(docs, table).collect()}
+    rate = np.array([kept.get(i, 0.0) for i in range(300)])
+    goal = np.array([op10_mixing.TARGETS[d] for d in op10_mixing.DOMAINS])
+    best, metric = plain_shares(p, n, goal, 20_000)
+    shares = (p * (n * rate)[:, None]).sum(0) / n.sum()
+    assert (shares - goal) @ metric @ (shares - goal) < (best - goal) @ metric @ (best - goal) + 1e-3
+    assert not set(kept) & {i for i in range(300) if i % 10 == 9} and {i for i in range(300) if i % 10 < 9} <= set(kept)

@@ -135,6 +135,16 @@ def bucket(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
+def share_of(wanted: int, total: int) -> float:
+    """The share of ``total`` rows that gives ``wanted`` of them, all if there are fewer."""
+    return min(1.0, wanted / max(total, 1))
+
+
+def chance(*columns: Column | str) -> Column:
+    """A number from 0 to 1 that the columns' values choose, fine enough for any share of rows."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 62)).cast("double") / float(1 << 62)
+
+
 def row_key() -> Column:
     """A key for each row within one plan; see ``numbered`` for one that plans share."""
     return F.monotonically_increasing_id()

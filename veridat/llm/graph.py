@@ -15,7 +15,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large stars and small stars: each round points nodes to the least one
     around them, so paths shorten by halves. Every round aggregates before it shuffles
-    and ends in a checkpoint; it stops when no link changes. What a frequent node has is
+    and ends in a checkpoint; it stops when no link changes, and raises if any still does after
+    ``rounds``, which links of any size and shape are far from. What a frequent node has is
     joined where its links are. Up to FEW links, counted first, are one partition, in which
     aggregates and joins need no shuffle."""
     star = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -37,4 +38,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"The components of {number} links aren't found after {rounds} rounds.")
     return star.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, over_texts
+from .common import bucket, chance, over_texts, share_of
 from .ppm import Model, gram_counts
 
 UNKNOWN = "und"
@@ -30,8 +30,8 @@ def train(labelled: DataFrame, docs_per_language: int = 1500) -> tuple[list[str]
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.lang is not None}
     if not counts:
         return [], Model([])
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, docs_per_language / n) * 1_000_000)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(share_of(docs_per_language, n)))])
+    chosen = labelled.where(chance("doc_id", "text", F.lit("language")) < share[F.col("lang")])
     found = gram_counts(chosen, "lang", ORDER).toArrow()  # bounded, as the sample is
     langs = sorted(set(found["label"].unique().to_pylist()))
     by = [found.filter(pc.equal(found["label"], x)) for x in langs]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Flat, Words, code_points, over_texts
+from .common import Flat, Words, chance, code_points, over_texts, share_of
 
 KINDS = ("assign", "access", "hex", "field")
 TAGS = BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -63,16 +63,15 @@ def base_spans(text: Flat) -> list[tuple[int, int, int, int]]:
             continue
         if sign[d]:
             found += [(d, 0, *m.span()) for m in _ASSIGN.finditer(raw, a, b) if m.end(2) - m.start(2) >= 8]
+    # a byte that no pattern has stands between documents, so one search goes through all
+    apart = np.full(len(raw) + text.n, 10, np.uint8)
+    apart[np.arange(len(raw)) + np.repeat(np.arange(text.n), text.lens)] = text.data
+    begins = text.offs[:-1] + np.arange(text.n)
+    joined = apart.tobytes()
     for kind, pattern, least in ((1, _ACCESS, 16), (2, _HEX, 32)):
-        at = 0
-        while m := pattern.search(raw, at):
-            # a match over a document's end is cut there, and the rest starts anew
-            d = int(np.searchsorted(text.offs, m.start(), "right")) - 1
-            cut = min(m.end(), int(text.offs[d + 1]))
-            m2 = pattern.match(raw, m.start(), cut)
-            if m2 and m2.end() - m2.start() >= least:
-                found.append((d, kind, m2.start(), m2.end()))
-            at = m2.end() if m2 else m.start() + 1
+        spans = [m.span() for m in pattern.finditer(joined) if m.end() - m.start() >= least]
+        docs = np.searchsorted(begins, [s for s, _ in spans], "right") - 1
+        found += [(int(d), kind, s - int(d), e - int(d)) for d, (s, e) in zip(docs, spans, strict=True)]
     return found
 
 
@@ -370,9 +369,7 @@ def train(docs: DataFrame, sample_docs: int = 5_000, max_sequences: int = 15_000
     with the least hashes are used, so what reaches the driver is bounded. Texts of any length
     train; null and empty ones have no sequence; no sequence at all gives a field that finds
     nothing. Equal rows give equal sequences."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("secret")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text")
+    chosen = docs.where(chance("doc_id", "text", F.lit("secret")) < share_of(sample_docs, docs.count())).select("text")
 
     def work(part: pa.RecordBatch, text):
         words, feats = features(text)
