@@ -326,3 +326,78 @@ def test_a_version_waits_for_another(spark, store):
     store.append("a", spark.range(5), after=load.Awaited("b", 2, "z"))
     store.append("b", spark.range(1), token="z")
     assert store.read("a").count() == 6 and store.version("a") == 3
+
+
+def shuffled(spark, work):
+    """Bytes that ``work`` writes to shuffles, by the status store."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._jvm.java.util.ArrayList()
+        found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return [found.apply(i) for i in range(found.size())]
+
+    known = {s.stageId() for s in stages()}
+    out = work()
+    return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in known), out
+
+
+def test_profiles_shuffle_no_values(spark):
+    """As many bytes for long values as for short ones."""
+    made = lambda size: spark.range(3000).repartition(3).select((F.col("id") % 900).alias("k"), F.expr(f"repeat(sha2(cast(id % 900 as string), 256), {size})").alias("v")).cache()
+    short, long_ = made(1), made(200)
+    short.count(), long_.count()
+    few, a = shuffled(spark, lambda: profile.statistics(short).collect())
+    many, b = shuffled(spark, lambda: profile.statistics(long_).collect())
+    assert 0 < many < few * 1.2
+    assert [(r.row_count, r.null_count, r.distinct_count) for r in a] == [(r.row_count, r.null_count, r.distinct_count) for r in b] == [(3000, 0, 900)] * 2
+    assert len(b[1].min_value) == 64 * 200 and b[0].min_value == "0" and b[0].max_value == "99"
+
+
+def test_digests_that_collide_are_told(spark, monkeypatch):
+    real = profile.digest
+    monkeypatch.setattr(profile, "digest", lambda v: (F.when(v.isNotNull(), F.length(v).cast("long")), F.when(v.isNotNull(), F.lit(1).cast("long")), real(v)[2]))
+    df = spark.createDataFrame([("a",), ("a",), ("bb",), (None,)], "v string")
+    assert profile.statistics(df).first().distinct_count == 2
+    with pytest.raises(DataQualityError, match="same digest"):
+        profile.statistics(df.unionByName(spark.createDataFrame([("b",)], "v string")))
+
+
+def test_samples_of_sparse_columns(spark, monkeypatch):
+    """The first hundred values that aren't null, wherever they are, in two jobs for any number of columns."""
+    n = 3000
+    every = {"dense": 1, "sparse": 7, "rare": 500, "never": 10**9}
+    df = spark.range(n).coalesce(3).select(*[F.when((F.col("id") + 1) % k == 0, F.concat(F.lit(" v"), F.floor(F.col("id") / 5).cast("string"))).alias(c) for c, k in every.items()]).repartitionByRange(4, F.col("dense")).cache()
+    rows = df.collect()
+    want = {}
+    for i, c in enumerate(every):
+        first = [r[i] for r in rows if r[i] is not None][:100]
+        want[c] = [v.strip() for v in list(dict.fromkeys(first))[:10]]
+    assert profile.samples(df, list(every)) == want and want["never"] == []
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for columns in (["dense", "rare"], ["rare", "dense", "sparse", "never"] * 1):
+        spark.sparkContext.setJobGroup(f"samples{len(columns)}", "")
+        profile.samples(df, columns)
+        jobs.append(len(tracker.getJobIdsForGroup(f"samples{len(columns)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    assert profile.samples(df, []) == {}
+
+
+def test_candidates_share_two_jobs(spark):
+    df = _pairs(spark)
+    found = mine.discover(profile.profile(df))
+    assert len(found) >= 5
+    alone = [mine.evidence(df, [c])[0] for c in found]
+    assert together_of(spark, df, found) == (together_of(spark, df, [found[0], found[-1]])[0], alone) and any(alone)
+
+
+def together_of(spark, df, candidates):
+    """The number of jobs for some candidates, and what comes of them."""
+    group = f"evidence{len(candidates)}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = mine.evidence(df, candidates)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out

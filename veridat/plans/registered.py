@@ -342,6 +342,19 @@ def profile_types(spark, sf_dir):
     return spark.createDataFrame([(p["column_name"], p["inferred_type"], round(p["null_percent"], 6)) for p in found], "column_name string, inferred_type string, null_percent double")
 
 
+_FIRST = "(SELECT {c} AS v, c_custkey FROM {t} AS t WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 100)"
+_KEPT = "SELECT '{c}' AS column_name, trim(CAST(v AS VARCHAR), ' ' || chr(9)) AS sample FROM {first} GROUP BY v ORDER BY min(c_custkey) LIMIT 10"
+_SAMPLED = (("c_mktsegment", CUSTOMERS), ("c_nationkey", CUSTOMERS), ("flag", f"(SELECT CASE WHEN c_custkey % 40 = 7 THEN 'seg ' || c_mktsegment END AS flag, c_custkey FROM {CUSTOMERS})"))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_KEPT.format(c=c, first=_FIRST.format(c=c, t=t))})" for c, t in _SAMPLED))
+def profile_samples(spark, sf_dir):
+    """The values that a profile shows of each column, also of one that is mostly null."""
+    df = customers(spark, sf_dir).orderBy("c_custkey").select("c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 40 == 7, F.concat(F.lit("seg "), "c_mktsegment")).alias("flag"))
+    rows = [(c, v) for c, values in profile.samples(df, df.columns).items() for v in values]
+    return spark.createDataFrame(rows, "column_name string, sample string")
+
+
 @query("SELECT 'nation' AS dataset_name, column_name, row_count, null_count, distinct_count FROM (" + _profile_sql("nation", _text("n_nationkey", "n_name", "n_regionkey")) + ")")
 def profile_saved(spark, sf_dir):
     store = Store(spark, files.scratch(spark, "store"))
