@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import DataQualityError, identifier
 from ..functions.text import SPACE
+from .records import csv_records, is_large
 
 PREVIEW_ROWS = 20
 _NEVER = "\x00veridat-null\x00"  # no field has this text, so none reads as null for it
@@ -37,11 +38,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
+_CSV = {"quote": '"', "escape": '"', "nullValue": _NEVER, "emptyValue": "", "multiLine": "true", "mode": "PERMISSIVE"}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; an empty field is the empty text, never null, and NA is text."""
-    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', nullValue=_NEVER, emptyValue="", multiLine=True, mode="PERMISSIVE")
+    """Every column as text; an empty field is the empty text, never null, and NA is text. Line
+    ends may stand inside quotes, also in files of many byte ranges, which as many tasks read."""
+    df = spark.read.csv(path, header=True, inferSchema=False, **_CSV)
     if not df.columns:
         raise DataQualityError(f"The file has no columns: {path}")
+    if is_large(spark, path):
+        df = csv_records(spark, path, df.columns, _CSV)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
