@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, kept, over_texts, signed
+from .common import Words, kept, over_texts, passing_folders, signed, written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
@@ -136,14 +136,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, evidenc
     the other fold; the features and their weights come from all rows. Labels with a null are
     left out; repeated labels count each; ids without a document don't matter; texts that are
     null are empty ones. Without any label all posteriors are those of even chances."""
+    with passing_folders(docs.sparkSession):
+        return _trained(docs, labels, sample_rows, evidence)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, sample_rows: int, evidence: float) -> Classifier:
     spark = docs.sparkSession
     whole = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"), (F.col("toxic") > 0).alias("toxic"))
-    sample = whole.orderBy(F.xxhash64("doc_id", F.lit("mixing")), "good", "toxic").limit(sample_rows)
-    # bounded by sample_rows, but for documents that repeat an id
-    rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(kept(sample)), "doc_id"))
-    grouped = over_texts(rows, _grouped, "text string, group long, good boolean, toxic boolean")
-    size = F.count("*").over(Window.partitionBy("group", "good", "toxic"))
-    rows = kept(grouped.select("text", "good", "toxic", F.pmod(F.xxhash64("group"), F.lit(2)).cast("int").alias("fold"), F.greatest(F.lit(1).cast("long"), F.floor(F.lit(_VOTES) / size)).alias("votes")))
+    sample = kept(whole.orderBy(F.xxhash64("doc_id", F.lit("mixing")), "good", "toxic").limit(sample_rows))  # bounded by sample_rows
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "labelled")
+    grouped = over_texts(texts, _grouped, "text string, group long, good boolean, toxic boolean")
+    votes = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(_VOTES) / F.count("*"))).alias("votes")
+    sizes = kept(grouped.groupBy("group", "good", "toxic").agg(votes))
+    # as few groups as labelled rows, unless documents repeat an id: texts stay where they are
+    shared_by = F.broadcast(sizes) if sizes.count() <= 4 * sample_rows else sizes
+    rows = grouped.join(shared_by, ["group", "good", "toxic"]).select("text", "good", "toxic", F.pmod(F.xxhash64("group"), F.lit(2)).cast("int").alias("fold"), "votes")
     counts = _feature_counts(rows)
     model = _learned(counts, (0, 1), evidence)
     halves = spark.sparkContext.broadcast([_learned(counts, (1,), evidence), _learned(counts, (0,), evidence)])
