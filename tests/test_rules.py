@@ -1,13 +1,16 @@
 """All rules over a table of parcels, each against a plain check of the same rows."""
 
+import collections
 import json
 import re
 
+import numpy as np
 import pytest
 
 from veridat.operators import registry
 from pyspark.sql import functions as F
 
+from veridat.operators import duplicates, rules
 from veridat.operators import evaluate as evaluation
 from veridat.operators.control import evaluate_recorded
 from veridat.operators.evaluate import Rule, evaluate, evaluate_rule, rule_counts
@@ -306,3 +309,30 @@ def test_no_rows_and_no_rules(spark, parcels):
     assert {r.rule_id: r.failed_count for r in evaluate(parcels.limit(0), rules, "parcel", tables).results.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
     assert evaluate(parcels, [], "parcel").results.count() == 0
     assert {r.rule_id: r.status for r in evaluate(parcels, rules[3:], "parcel").results.collect()} == {4: "PASS"}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_repeated_keys_are_found_among_few_rows(spark, monkeypatch, most):
+    """Rows with a key of their own aren't shuffled, however many tasks have them."""
+    monkeypatch.setattr(rules, "MOST_SHARED", most)
+    monkeypatch.setattr(duplicates, "RANGE_ROWS", 100)
+    df = spark.range(5000).repartition(7).selectExpr("id", "case when id % 100 = 7 then null when id % 50 = 3 then 'twice' || (id div 100) else 'k' || id end as a", "case when id % 100 = 7 then 1 else id % 2 end as b")
+    rows = df.collect()
+    times = collections.Counter((r.a, r.b) for r in rows)
+    want = {str(r.id) for r in rows if times[r.a, r.b] > 1}
+    found = evaluate(df, [Rule(1, definition("column_combination_unique", {"columns": ["a", "b"]}))], "id", samples=False)
+    assert {r.source_row_identifier for r in found.failures.collect()} == want and found.results.first().failed_count == len(want) > 100
+    if most > 3:
+        near = duplicates.possible(df, [F.col("a"), F.col("b")], most).count()
+        assert len(want) <= near < len(want) + 5000 / 16
+
+
+def test_marks_of_places():
+    for places in ([], [0], [5, 6, 300, 70_000, 2**33, 2**33 + 1]):
+        assert duplicates._unpacked(duplicates._packed(np.array(places, np.uint64))).tolist() == places
+
+
+def test_keys_of_no_rows(spark):
+    df = spark.createDataFrame([], "k string")
+    assert duplicates.possible(df, [F.col("k")], 10).count() == 0
+    assert evaluate_rule(definition("primary_key_unique", {"column": "k"}), df)[0] == "PASS"

@@ -88,7 +88,9 @@ def _joined(df: DataFrame, plan: Plan) -> DataFrame:
     rows; the rows are kept where their key was not found, by a broadcast of those keys where
     they are few."""
     if plan.match_is_failure:
-        return df.where(plan.applies).join(plan.keys.alias("k"), _matches(plan, plan.on, "k.k", True), "left_semi")
+        rows = df if plan.source is None else plan.source
+        keys = F.broadcast(plan.keys) if _is_small(plan) else plan.keys
+        return rows.where(plan.applies).join(keys.alias("k"), _matches(plan, plan.on, "k.k", True), "left_semi")
     judged = df.where(plan.applies)
     names = [f"k{i}" for i in range(len(plan.on))]
     asked = judged.select(*[c.alias(n) for c, n in zip(plan.on, names, strict=True)]).distinct()

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.names import DataQualityError
 from ..functions.patterns import java_pattern
 from ..functions.text import date, dated, full_match, number, populated, strip, supported_format, whole_number
+from .duplicates import possible
 
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 NUMERIC_SHARE = 0.95
@@ -37,6 +38,7 @@ class Plan:
     match_is_failure: bool = False
     applies: Column | None = None  # of a join: rows that are judged at all
     minimum: int | None = None
+    source: DataFrame | None = None  # of duplicate keys: the rows that may repeat one
     small: bool | None = None  # whether the keys are few enough to send to all executors
     extras: dict[str, Column] = field(default_factory=dict)  # further counts
 
@@ -237,11 +239,16 @@ def minimum_row_count(df, name, p) -> Plan:
     return Plan([], minimum=p["minimum_rows"])
 
 
+MOST_SHARED = 2_000_000  # shared places of keys that are sent to all executors
+
+
 def unique(df, columns: list[str]) -> Plan:
-    """Every member of a duplicate group fails; nulls equal each other; no trimming."""
+    """Every member of a duplicate group fails; nulls equal each other; no trimming. Keys are
+    counted among the rows only that may repeat one, unless those are very many."""
     _need(df, *columns)
-    keys = df.groupBy(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return Plan(list(columns), keys=keys, on=[col(c) for c in columns], match_is_failure=True, applies=F.lit(True))
+    source = possible(df, [col(c) for c in columns], MOST_SHARED)
+    keys = (df if source is None else source).groupBy(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    return Plan(list(columns), keys=keys, on=[col(c) for c in columns], match_is_failure=True, applies=F.lit(True), source=source)
 
 
 PLANS: dict[str, Callable] = {
