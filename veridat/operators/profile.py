@@ -45,6 +45,11 @@ def infer_type(data_type: T.DataType | str, samples: list[str]) -> str:
     return "text"
 
 
+def catalog(df: DataFrame) -> list[tuple[int, str, str]]:
+    """(position, column_name, data_type) of a table's own columns, from 1."""
+    return [(n, f.name, f.dataType.simpleString()) for n, f in enumerate((f for f in df.schema.fields if f.name not in INTERNAL), 1)]
+
+
 STATISTICS = "column_name string, row_count long, null_count long, distinct_count long, min_value string, max_value string"
 
 

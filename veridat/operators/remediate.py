@@ -15,10 +15,10 @@ from .rules import col
 
 # State codes.
 STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
-_ZIP = r"\d{5}(?:-\d{4})?"
+# What is moved, as far as it can be without loss.
 CITY_STATE = rf"\A(.+?)[,\s]+({STATES})\s*\z"
-CITY_ZIP = rf"\A(.+?)\s+({_ZIP})\s*\z"
-STATE_ZIP = rf"\A({STATES})[,\s-]+({_ZIP})\s*\z"
+CITY_ZIP = r"\A(.+?)\s+(\d{5}(?:-\d{4})?)\s*\z"
+STATE_ZIP = rf"\A({STATES})[,\s-]+(\d{{5}}(?:-\d{{4}})?)\s*\z"
 CONFIDENCE = 0.95
 REMEDIABLE = ("city_contains_state_or_zip", "state_field_contains_zip")
 _SUGGESTION = "struct<issue_type: string, original_values: map<string,string>, suggested_values: map<string,string>, confidence_score: double, generation_method: string>"

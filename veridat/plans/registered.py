@@ -6,18 +6,21 @@ derive it from a key in the same way.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.text import date
-from ..operators import control, mine, profile, remediate, report
-from ..operators.evaluate import Rule, evaluate, failing_rows, plan_rules, rule_counts
+from ..operators import control, mine, profile, propose, registry, remediate, report
+from ..operators.evaluate import Rule, evaluate, evaluate_rule, failing_rows, plan_rules, rule_counts
 from ..operators.profile import statistics
 from ..operators.rules import numeric_shares
 from ..sources import files
-from ..sources.load import Dataset, REFERENCES, Store, load, load_reference, upsert, upsert_counts, with_lineage
+from ..sources.load import Dataset, REFERENCES, Store, check_schema, load, load_reference, upsert, upsert_counts, with_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -749,6 +752,220 @@ def row_lineage_versions(spark, sf_dir):
     return remediate.lineage_of(store, "places", "id")
 
 
+# ---------------------------------------------------------------- catalog, previews, registry, lifecycle
+
+
+@query("SELECT CAST(n AS INTEGER) AS position, c AS column_name, k AS data_type, filled FROM (SELECT unnest([1, 2, 3]) AS n, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS c, unnest(['int', 'string', 'int']) AS k, unnest([count(n_nationkey), count(n_name), count(n_regionkey)]) AS filled FROM nation)")
+def catalog_scan(spark, sf_dir):
+    """Columns in their order without those of the load, each with its number of values."""
+    df = with_lineage(table(spark, sf_dir, "nation"), "nation.csv", 1)
+    columns = spark.createDataFrame(profile.catalog(df), "position int, column_name string, data_type string")
+    return columns.join(statistics(df).select("column_name", (F.col("row_count") - F.col("null_count")).alias("filled")), "column_name")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer ORDER BY customer.c_custkey LIMIT 20")
+def preview_file(spark, sf_dir):
+    """The first parsed rows of a file."""
+    path = files.scratch(spark, "csv")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_custkey").coalesce(1).write.csv(path, header=True)
+    return files.preview(files.read_csv(spark, path))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100")
+def preview_table(spark, sf_dir):
+    return files.preview(table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_custkey"), 100)
+
+
+@query("SELECT 'set_' || n_nationkey AS dataset_name, CASE WHEN n_nationkey % 4 = 0 THEN 'fixed_width' ELSE 'csv' END AS source_type, n_nationkey % 4 <> 0 AS active FROM nation")
+def registry_upsert(spark, sf_dir):
+    """Datasets that are registered, some of them again."""
+    store = Store(spark, files.scratch(spark, "store"))
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("set_"), F.col("n_nationkey").cast("string")).alias("dataset_name"), F.lit("csv").alias("source_type"), F.lit(True).alias("active"), "n_nationkey")
+    control.merge_rows(store, "control_dataset", rows, "dataset_name")
+    again = rows.where("n_nationkey % 4 = 0").withColumns({"source_type": F.lit("fixed_width"), "active": F.lit(False)})
+    control.merge_rows(store, "control_dataset", again, "dataset_name")
+    return store.read("control_dataset").drop("n_nationkey")
+
+
+@query(f"SELECT id, city, state, zip, CAST(3 AS BIGINT) AS _dataset_version_id, id AS _raw_source_row_identifier FROM {PLACES}")
+def curated_projection(spark, sf_dir):
+    return remediate.curated(places(spark, sf_dir), "id", 3)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS rule_id, CAST(n_nationkey AS INTEGER) AS failing FROM nation WHERE n_nationkey > 17 UNION ALL SELECT 2, n_nationkey FROM nation WHERE n_nationkey % 5 = 3")
+def failure_samples(spark, sf_dir):
+    """The rows that results show of rules with few failures: all of them."""
+    df = table(spark, sf_dir, "nation").withColumn("even", F.when(F.col("n_nationkey") % 5 != 3, "x"))
+    found = evaluate(df, [Rule(1, rule("numeric_range", min=0, max=17), "n_nationkey"), Rule(2, rule("not_null"), "even")], "n_nationkey")
+    shown = F.from_json("details", "sample_failures array<struct<n_nationkey int>>")["sample_failures"]
+    return found.results.select("rule_id", F.explode(shown).alias("x")).select("rule_id", F.col("x.n_nationkey").alias("failing"))
+
+
+_NEW_YORK = "ts - CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END"
+
+
+@query(f"SELECT event_id, CASE WHEN d = DATE '2024-01-15' THEN 'Today' WHEN d = DATE '2024-01-14' THEN 'Yesterday' ELSE strftime(d, '%b ') || day(d) || ', ' || year(d) END || strftime(t, ' %-I:%M %p') AS shown FROM (SELECT event_id, {_NEW_YORK} AS t, CAST({_NEW_YORK} AS DATE) AS d FROM events)")
+def last_loaded(spark, sf_dir):
+    """Times of events as a page in New York shows them."""
+    return table(spark, sf_dir, "events").select("event_id", report.last_loaded(F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp")).alias("shown"))
+
+
+@query("SELECT CAST(v AS BIGINT) AS version, count(*) AS n_rows, CAST(CASE WHEN v = 1 THEN count(*) FILTER (c_custkey % 6 = 0) ELSE count(*) FILTER (c_custkey % 10 = 5) END AS BIGINT) AS changed_rows FROM customer, (SELECT unnest([1, 2]) AS v) GROUP BY v")
+def version_rows(spark, sf_dir):
+    """Rows of each version and rows that it changed."""
+    store = Store(spark, files.scratch(spark, "store"))
+    store.write("places", places(spark, sf_dir))
+    change = lambda every, rest, value: places(spark, sf_dir).where(f"cast(id as int) % {every} = {rest}").select(F.col("id").cast("long").alias("remediation_id"), F.lit(1).cast("long").alias("rule_id"), F.col("id").alias("source_row_identifier"), F.create_map(F.lit("zip"), F.lit(value)).alias("suggested_values"))
+    made = [remediate.apply_version(store, "places", change(*x), "id") for x in ((6, 0, "00001"), (10, 5, "00002"))]
+    changed = store.read("places__lineage").groupBy(F.col("dataset_version_id").alias("version")).agg(F.count("*").alias("changed_rows"))
+    return spark.createDataFrame([(m["version"], m["rows"]) for m in made], "version long, n_rows long").join(changed, "version")
+
+
+def _owners(spark, sf_dir) -> DataFrame:
+    """Customers under names that repeat a structure and a meaning."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("owner_1_key"), F.when(k % 3 > 0, "person").otherwise("firm").alias("owner_1_type"), F.when(k % 3 > 0, F.col("c_name")).alias("owner_1_name"),
+        k.alias("owner_2_key"), F.when(k % 2 > 0, "person").otherwise("firm").alias("owner_2_type"), F.when(k % 2 > 0, F.col("c_name")).alias("owner_2_name"),
+    )
+
+
+@query("""
+SELECT 'conditional_completeness' AS family, 'owner_{n}_type' AS one, 'owner_{n}_key' AS other, 78 AS score WHERE (SELECT count(DISTINCT c_custkey % 3 > 0) FROM customer) > 1 UNION ALL SELECT 'conditional_completeness', 'owner_{n}_type', 'owner_{n}_name', 78
+UNION ALL SELECT 'conditional_completeness', 'owner_{n}_type', 'owner_{n}_type', 78 UNION ALL SELECT 'repeated_structure_completeness', 'owner_{n}_key', 'owner_{n}_type', 76 UNION ALL SELECT 'repeated_structure_completeness', 'owner_{n}_key', 'owner_{n}_name', 76
+UNION ALL SELECT 'repeated_structure_completeness', 'owner_{n}_type', 'owner_{n}_name', 76 UNION ALL SELECT 'duplicate_semantic_field', 'owner_{n}_key', 'owner_{n}_key', 70 UNION ALL SELECT 'duplicate_semantic_field', 'owner_{n}_type', 'owner_{n}_type', 70 UNION ALL SELECT 'duplicate_semantic_field', 'owner_{n}_name', 'owner_{n}_name', 70
+""")
+def mine_discovered(spark, sf_dir):
+    """Candidates by repeated structure and meaning, one for each kind of pair."""
+    found = mine.discover(profile.profile(_owners(spark, sf_dir)))
+    return spark.createDataFrame([(c.family, names.generalized(c.left), names.generalized(c.right), int(c.score)) for c in found], "family string, one string, other string, score int")
+
+
+_ODD_RULES = [("pattern", {"pattern": "[A-Z]+"}), ("allowed_values", {"values": []}), ("numeric_range", {"min": 3, "max": 1}), ("city_ends_with_state_or_zip", {}), ("no_such_rule", {})]
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'regex' WHEN 3 THEN 'city_contains_state_or_zip' WHEN 1 THEN 'allowed_values' WHEN 2 THEN 'numeric_range' ELSE NULL END AS rule_type,
+ CASE n_nationkey % 5 WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 4 THEN FALSE ELSE TRUE END AND n_nationkey % 2 = 0 AS approved, n_nationkey % 5 IN (0, 1, 3) AS valid FROM nation
+""")
+def rules_validated(spark, sf_dir):
+    """Stored definitions, one a nation, as the registry normalises, validates and approves them."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
+        kind, parameters = _ODD_RULES[r.n_nationkey % 5]
+        definition = json.dumps({"executable_rule": {"type": kind, "parameters": parameters or None}})
+        spec = registry.get_rule_spec(kind)
+        valid, _, _ = registry.validate_executable_rule(registry.executable_of(definition))
+        approved, _, _ = registry.validate_rule_for_approval(definition, registry.COLUMN if r.n_nationkey % 2 == 0 else registry.ROW)
+        rows.append((r.n_nationkey, spec.rule_type if spec else None, approved, valid))
+    return spark.createDataFrame(rows, "n_nationkey int, rule_type string, approved boolean, valid boolean")
+
+
+@query("""
+SELECT 'COLUMN' AS scope, 'state' AS columns, 'reference_value' AS rule_type, (SELECT count(*) FROM customer) AS n_rows UNION ALL SELECT 'COLUMN', 'zip', 'reference_value', (SELECT count(*) FROM customer) UNION ALL SELECT 'ROW', 'city,state,zip', 'city_state_zip_reference', (SELECT count(*) FROM customer)
+UNION ALL SELECT 'DATASET', '', 'minimum_row_count', (SELECT count(*) FROM customer) UNION ALL SELECT 'DATASET', '', 'primary_key_unique', (SELECT count(*) FROM customer) UNION ALL SELECT 'COLUMN', 'state', 'not_null', (SELECT count(*) FROM customer)
+""")
+def proposals_made(spark, sf_dir):
+    """What is proposed for a profiled table that knows one of the rules already: by a proposer
+    for columns with nulls or blanks, by the key, and by names of reference keys."""
+    df = places(spark, sf_dir).where("zip <> ''").unionByName(places(spark, sf_dir).where("zip = ''").withColumn("zip", F.lit("0")))
+    found = profile.profile(df)
+    lacking = {p["column_name"] for p in found if p["min_value"] == ""}
+    ask = lambda p: rule("not_null" if p["column_name"] in lacking else "none")
+    made = [("COLUMN", [c], d["executable_rule"]) for c, d, status in propose.propose_columns(found, ask) if status == "proposed"]
+    made += [("DATASET", [], r) for r in propose.propose_dataset("id")] + propose.propose_references(df.columns)
+    fresh = propose.new_rules([r for _, _, r in made] * 2, [])
+    return spark.createDataFrame([(scope, ",".join(columns), r["type"], found[0]["row_count"]) for scope, columns, r in made if r in fresh], "scope string, columns string, rule_type string, n_rows long")
+
+
+@query(f"SELECT CASE WHEN result_id % 3 = 0 THEN 'approved' WHEN result_id % 3 = 1 THEN 'rejected' ELSE 'proposed' END AS status, count(*) AS n FROM {_FAILED} GROUP BY 1")
+def remediation_decided(spark, sf_dir):
+    """Suggestions by status after two decisions, of which the second changes some of the first."""
+    store = Store(spark, files.scratch(spark, "store"))
+    made = _failed(spark, sf_dir).select("failed_record_id", "result_id", "rule_id", "source_row_identifier", F.lit("city_contains_state").alias("issue_type"), *[F.create_map(F.lit("city"), F.lit("x")).alias(f"{x}_values") for x in ("original", "suggested")], F.lit(0.9).alias("confidence_score"), F.lit("deterministic").alias("generation_method"))
+    control.save_remediations(store, "set", made)
+    control.decide_remediations(store, F.col("result_id") % 3 < 2, "approved", "ann")
+    control.decide_remediations(store, F.col("result_id") % 3 == 1, "rejected", "bo", "not so")
+    return report.status_counts(control.remediations(store))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN NULL ELSE n_name END AS name FROM nation")
+def json_replies(spark, sf_dir):
+    """The object in replies that have fences, words around it, or none."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+        body = json.dumps({"name": r.n_name, "more": {"a": [1]}})
+        reply = (f"```json\n{body}\n```", f"Here it is: {body} and so on", "no object")[r.n_nationkey % 3]
+        try:
+            rows.append((r.n_nationkey, names.first_object(reply)["name"]))
+        except names.DataQualityError:
+            rows.append((r.n_nationkey, None))
+    return spark.createDataFrame(rows, "n_nationkey int, name string")
+
+
+@query("SELECT result_id, 'numeric_range' AS rule_type, CAST(failed_count AS DOUBLE) AS top FROM (SELECT event_id AS result_id, CAST(floor(value) AS BIGINT) AS failed_count FROM events)")
+def json_definitions(spark, sf_dir):
+    """Types and parameters in definitions that are stored as JSON text."""
+    e = table(spark, sf_dir, "events")
+    text = F.to_json(F.struct(F.struct(F.lit("numeric_range").alias("type"), F.struct(F.lit(0).alias("min"), F.floor("value").alias("max")).alias("parameters")).alias("executable_rule")))
+    read = F.from_json(text, "executable_rule struct<type: string, parameters: struct<min: double, max: double>>")["executable_rule"]
+    return e.select(F.col("event_id").alias("result_id"), read["type"].alias("rule_type"), read["parameters"]["max"].alias("top"))
+
+
+@query(f"SELECT 'city' AS target, 'FAIL' AS status, count(*) FILTER (regexp_matches(city, '\\b\\d{{5}}(-\\d{{4}})?\\b') OR regexp_matches(trim(city), '(,\\s*|\\s+)[A-Z]{{2}}\\s*$')) AS failed_count FROM {PLACES} AS p UNION ALL SELECT 'id', 'PASS', 0")
+def rule_alone(spark, sf_dir):
+    """One rule at a time, as a caller of a single rule gets it."""
+    df, rows = places(spark, sf_dir), []
+    for target, kind in (("city", "city_contains_state_or_zip"), ("id", "not_null")):
+        status, details = evaluate_rule(rule(kind), df, "id", target)
+        rows.append((target, status, details["failed_count"]))
+    return spark.createDataFrame(rows, "target string, status string, failed_count long")
+
+
+@query("SELECT n_nationkey, 'Postal_Code' AS found, left('nations_' || lower(replace(n_name, ' ', '_')) || repeat('x', 50), 42) || '__v3' AS version_name, left('nations_' || lower(replace(n_name, ' ', '_')) || repeat('x', 50), 50) || '__current' AS current_name FROM nation")
+def names_of_versions(spark, sf_dir):
+    rows = []
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+        own = "nations_" + r.n_name.lower().replace(" ", "_") + "x" * 50
+        rows.append((r.n_nationkey, names.find_column(["City", "Postal_Code"], "zip", None, "postal_code"), remediate.version_name(own, 3), remediate.current_name(own)))
+    return spark.createDataFrame(rows, "n_nationkey int, found string, version_name string, current_name string")
+
+
+@query("SELECT CAST(r_regionkey + 1 AS BIGINT) AS run_id, p AS phase, CASE WHEN r_regionkey % 2 = 1 THEN 'failed' ELSE 'completed' END AS status FROM region, (SELECT unnest(['run', 'load']) AS p)")
+def run_bookkeeping(spark, sf_dir):
+    """Runs, one a region, with the last state of each phase."""
+    store = Store(spark, files.scratch(spark, "store"))
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():  # 5 rows
+        run_id = control.start_run(store, "stewardship", r.r_name)
+        control.record_phase(store, run_id, "stewardship", r.r_name, "load", "running")
+        for phase in ("load", "run"):
+            control.record_phase(store, run_id, "stewardship", r.r_name, phase, "failed" if r.r_regionkey % 2 else "completed")
+    return control.run_states(store.read("control_run")).select("run_id", "phase", "status")
+
+
+@query(f"SELECT status, n, CAST(row_number() OVER (ORDER BY status) - 1 AS BIGINT) AS place FROM (SELECT status, count(*) AS n FROM {RESULTS} GROUP BY 1)")
+def sorted_statuses(spark, sf_dir):
+    """Counts in the order in which a page shows them."""
+    rows = report.status_counts(results(spark, sf_dir)).collect()  # a row for each status
+    return spark.createDataFrame([(r.status, r.n, i) for i, r in enumerate(rows)], "status string, n long, place long")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Missing: [''c''].' ELSE 'Unexpected: [''extra''].' END AS fault FROM nation")
+def column_sets(spark, sf_dir):
+    """What keeps a file from a table: the columns that one of them lacks."""
+    base = spark.createDataFrame([], "a string, b string, c string, _load_run_id long")
+    rows = []
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
+        incoming = (base.select("c", "b", "a"), base.select("a", "b"), base.select("a", "b", "c", F.lit("x").alias("extra")))[r.n_nationkey % 3]
+        try:
+            check_schema(base, incoming)
+            rows.append((r.n_nationkey, None))
+        except names.DataQualityError as problem:
+            told = str(problem)
+            rows.append((r.n_nationkey, next(f"{k}: {v}." for k, v in re.findall(r"(Missing|Unexpected): (\[[^\]]*\])", told) if v != "[]")))
+    return spark.createDataFrame(rows, "n_nationkey int, fault string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
