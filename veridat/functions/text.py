@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # White space as Python's strip() sees it, and the words that stand for null.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # the same, one by one
 NULL_WORDS = ("", "None", "nan", "NaN")
 
 NUMBER = r"(?i)\A(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?(?:inf|infinity))\z"
@@ -24,7 +25,7 @@ _PART = {"%Y": "([0-9]{4})", "%m": f"({_MONTH})", "%d": f"({_DAY})", "%y": "([0-
 
 def strip(column: Column) -> Column:
     """The value as text without white space at either end; null stays null."""
-    return F.regexp_replace(column.cast("string"), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(column.cast("string"), F.lit(_WHITE))
 
 
 def populated(column: Column) -> Column:

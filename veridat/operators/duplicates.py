@@ -74,11 +74,14 @@ def shared_places(df: DataFrame, keys: list[Column], bits: int) -> DataFrame:
     return marks.groupBy("range").applyInArrow(compared, "place long")
 
 
-def possible(df: DataFrame, keys: list[Column], most: int) -> DataFrame | None:
+def possible(df: DataFrame, keys: list[Column], least: int, most: int) -> DataFrame | None:
     """The rows of ``df`` whose key may be that of another row: all that repeat one, and about
-    one in PLACES of the others. None if more than ``most`` places are shared, as those are sent
-    to all executors."""
-    bits = min(62, max(1, (df.count() * PLACES).bit_length()))
+    one in PLACES of the others. None of a table of fewer than ``least`` rows, and if more than ``most``
+    places are shared, as those are sent to all executors."""
+    number = df.count()
+    if number < least:
+        return None
+    bits = min(62, max(1, (number * PLACES).bit_length()))
     found = shared_places(df, keys, bits).limit(most + 1).toArrow()
     if found.num_rows > most:
         return None

@@ -1,12 +1,13 @@
-"""Column profiles from one scan."""
+"""Column profiles."""
 
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,30 +65,30 @@ def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, row_count, null_count, distinct_count, min_value, max_value), a row for
     each column; least and greatest are of the values as text.
 
-    One scan in one job. The columns are unpivoted to (column, digest), and what is shuffled are
-    distinct digests of 128 bits, however long the values are; each task merges what it has
-    first, so no frequent value weighs more than one row for each task. Least and greatest are
-    observed on the way, which a task that runs again can't change. Unequal values of one digest, if
-    there ever are any, are an error."""
+    Two jobs read the columns side by side. One merges least and greatest in each task. In the other
+    the columns are unpivoted to (column, digest), and what is shuffled are distinct digests of
+    128 bits, however long the values are; each task merges what it has first, so no frequent
+    value weighs more than one row for each task. Unequal values of one digest, if there ever are
+    any, are an error."""
     columns = columns if columns is not None else [c for c in df.columns if c not in INTERNAL]
     if not columns:
         return df.sparkSession.createDataFrame([], STATISTICS)
     text = df.select(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    ends = Observation()
-    seen = text.observe(ends, *[f(f"c{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (("min", F.min), ("max", F.max))])
+    ends = text.agg(*[f(f"c{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (("min", F.min), ("max", F.max))])
 
     def cell(i: int) -> Column:
         first, second, check = digest(F.col(f"c{i}"))
         return F.struct(F.lit(i).alias("i"), first.alias("a"), second.alias("b"), check.alias("check"))
 
-    cells = seen.select(F.explode(F.array(*[cell(i) for i in range(len(columns))])).alias("x")).select("x.*")
+    cells = text.select(F.explode(F.array(*[cell(i) for i in range(len(columns))])).alias("x")).select("x.*")
     values = cells.groupBy("i", "a", "b").agg(F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     found = values.groupBy("i").agg(F.sum("n").alias("row_count"), count(F.col("a").isNull()).alias("null_count"), F.count("a").alias("distinct_count"), F.count_if(F.col("low") != F.col("high")).alias("shared"))
-    rows = {r.i: r for r in found.collect()}  # one row a column
+    with ThreadPoolExecutor(2) as pool:
+        least, counted = pool.submit(ends.first), pool.submit(found.collect)  # one row, and one a column
+    least, rows = least.result(), {r.i: r for r in counted.result()}
     if shared := [columns[i] for i, r in rows.items() if r.shared]:
         raise DataQualityError(f"Unequal values have the same digest in columns {shared}.")
-    least = ends.get if rows else {}
     out = [(c, rows[i].row_count, rows[i].null_count, rows[i].distinct_count, least[f"min{i}"], least[f"max{i}"]) if i in rows else (c, 0, 0, 0, None, None) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(out, STATISTICS)
 

@@ -70,6 +70,11 @@ def _listed(df: DataFrame, name: str, values: list) -> Column:
     return col(name).isin(*values) if values else F.lit(False)
 
 
+def _filled(df: DataFrame, name: str) -> Column:
+    """As populated(); only text can be blank without being null."""
+    return populated(col(name)) if isinstance(df.schema[name].dataType, T.StringType) else col(name).isNotNull()
+
+
 def _number(df: DataFrame, name: str) -> tuple[Column, Column]:
     """The value as a double, and exactly where it is a whole number (else null)."""
     kind = df.schema[name].dataType
@@ -89,7 +94,7 @@ def _beyond(value: tuple[Column, Column], bound: float, compare: Callable) -> Co
 
 def _range(df: DataFrame, name: str, p: dict) -> Column:
     n = _number(df, name)
-    return _false(populated(col(name)) & (n[0].isNull() | _beyond(n, p["min"], operator.lt) | _beyond(n, p["max"], operator.gt)))
+    return _false(_filled(df, name) & (n[0].isNull() | _beyond(n, p["min"], operator.lt) | _beyond(n, p["max"], operator.gt)))
 
 
 def allowed_values(df, name, p) -> Plan:
@@ -97,19 +102,19 @@ def allowed_values(df, name, p) -> Plan:
 
 
 def not_null(df, name, p) -> Plan:
-    return Plan([name], ~populated(col(name)))
+    return Plan([name], ~_filled(df, name))
 
 
 def max_length(df, name, p) -> Plan:
-    return Plan([name], populated(col(name)) & (F.char_length(strip(col(name))) > p["max_length"]))
+    return Plan([name], _filled(df, name) & (F.char_length(strip(col(name))) > p["max_length"]))
 
 
 def min_length(df, name, p) -> Plan:
-    return Plan([name], populated(col(name)) & (F.char_length(strip(col(name))) < p["min_length"]))
+    return Plan([name], _filled(df, name) & (F.char_length(strip(col(name))) < p["min_length"]))
 
 
 def regex(df, name, p) -> Plan:
-    return Plan([name], populated(col(name)) & ~full_match(strip(col(name)), java_pattern(p["pattern"])))
+    return Plan([name], _filled(df, name) & ~full_match(strip(col(name)), java_pattern(p["pattern"])))
 
 
 def numeric_range(df, name, p) -> Plan:
@@ -189,12 +194,12 @@ def conditional_required(df, name, p) -> Plan:
     cond, required = p["condition_column"], p["required_column"]
     _need(df, cond, required)
     holds = _false(strip(col(cond)) == F.lit(str(p["condition_value"])))
-    return Plan([cond, required], holds & ~populated(col(required)), extras={"condition_match_count": holds})
+    return Plan([cond, required], holds & ~_filled(df, required), extras={"condition_match_count": holds})
 
 
 def at_least_one_present(df, name, p) -> Plan:
     _need(df, *p["columns"])
-    return Plan(list(p["columns"]), ~reduce(operator.or_, [populated(col(c)) for c in p["columns"]]))
+    return Plan(list(p["columns"]), ~reduce(operator.or_, [_filled(df, c) for c in p["columns"]]))
 
 
 def columns_equal(df, name, p) -> Plan:
@@ -219,7 +224,7 @@ def reference(df, name, p, tables: dict) -> Plan:
     _need(df, *mapping)
     fold = (lambda c: c) if p.get("case_sensitive", False) else F.lower
     wanted = table.select(*[fold(col(c).cast("string")).alias(f"k{i}") for i, c in enumerate(mapping.values())]).distinct()
-    judged = reduce(operator.and_, [populated(col(c)) for c in mapping])
+    judged = reduce(operator.and_, [_filled(df, c) for c in mapping])
     plan = Plan(list(mapping), keys=wanted, on=[fold(strip(col(c))) for c in mapping], applies=judged)
     if not p.get("ignore_nulls", True):
         plan.applies = F.lit(True)  # a missing part then is a combination that no reference has
@@ -239,14 +244,15 @@ def minimum_row_count(df, name, p) -> Plan:
     return Plan([], minimum=p["minimum_rows"])
 
 
+LEAST_ROWS = 5_000_000  # a table of fewer is grouped as it is
 MOST_SHARED = 2_000_000  # shared places of keys that are sent to all executors
 
 
 def unique(df, columns: list[str]) -> Plan:
-    """Every member of a duplicate group fails; nulls equal each other; no trimming. Keys are
-    counted among the rows only that may repeat one, unless those are very many."""
+    """Every member of a duplicate group fails; nulls equal each other; no trimming. In a large table
+    keys are counted among the rows only that may repeat one, unless those are very many."""
     _need(df, *columns)
-    source = possible(df, [col(c) for c in columns], MOST_SHARED)
+    source = possible(df, [col(c) for c in columns], LEAST_ROWS, MOST_SHARED)
     keys = (df if source is None else source).groupBy(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("times")).where("times > 1").drop("times")
     return Plan(list(columns), keys=keys, on=[col(c) for c in columns], match_is_failure=True, applies=F.lit(True), source=source)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import date
-from ..operators import control, mine, profile, propose, registry, remediate, report
+from ..operators import control, duplicates, mine, profile, propose, registry, remediate, report
 from ..operators.evaluate import Rule, evaluate, evaluate_rule, failing_rows, plan_rules, rule_counts
 from ..operators.profile import statistics
 from ..operators.rules import numeric_shares
@@ -227,6 +227,15 @@ def rule_column_combination_unique(spark, sf_dir):
     return failing(table(spark, sf_dir, "lineitem"), rule("column_combination_unique", columns=["l_orderkey", "l_linenumber"]), None, "l_orderkey")
 
 
+@query(f"SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(*) AS times FROM orders GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT -CAST(c_custkey AS BIGINT) - 1, 2 FROM customer WHERE c_custkey % 50 = 0")
+def repeated_keys_by_marks(spark, sf_dir):
+    """Repeated keys among the rows only whose compact marks are shared: customers of many orders,
+    and customers of whom some stand twice."""
+    own = table(spark, sf_dir, "customer").select((-F.col("c_custkey").cast("long") - 1).alias("o_custkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("o_custkey")).unionByName(own).unionByName(own.where("o_custkey % 50 = -1"))
+    return duplicates.possible(rows, [F.col("o_custkey")], 0, 2_000_000).groupBy("o_custkey").agg(F.count("*").alias("times")).where("times > 1")
+
+
 # ---------------------------------------------------------------- all at once
 
 FUSED = [
