@@ -146,3 +146,28 @@ def test_posteriors_rank_held_out_rows(spark, docs_of):
     found = {r.doc_id: max(op10_mixing.DOMAINS, key=lambda d: r[f"p_{d}"]) for r in op10_mixing.memberships(docs, model).collect()}
     held = [i for i in truth if i % 3 == 0]
     assert sum(found[i] == truth[i] for i in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize(("common", "own"), [(170, 30), (100, 100)])
+def test_recall_on_items_of_one_template(spark, common, own):
+    """Benchmarks whose items share most of their words: of the passages with one to three words
+    changed that are similar enough by exact weights, the index finds nearly all."""
+    rng = random.Random(1)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    base = [f"t{i}" for i in range(common)]
+    items = [base[: common // 2] + [f"i{j}x{i}" for i in range(own)] + base[common // 2 :] for j in range(80)]
+    having = collections.Counter(s for w in items for s in grams(w))
+    weight = lambda s: 1 + math.log((1 + len(items)) / (1 + having[s]))
+    docs, want = [], set()
+    for d in range(120):
+        j = rng.randrange(len(items))
+        w = list(items[j])
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"new{d}x{rng.random()}"
+        docs.append((d, " ".join(w)))
+        a, b = grams(w), grams(items[j])
+        if sum(map(weight, a & b)) >= 0.8 * sum(map(weight, a | b)):
+            want.add((d, j))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in op5_decontaminate.find(*frames).collect()}
+    assert len(want) > 60 and len(want & found) >= 0.95 * len(want)
