@@ -615,3 +615,29 @@ def test_mixing_by_brute_force(spark, docs_of):
     shares = (p * (n * rate)[:, None]).sum(0) / n.sum()
     assert (shares - goal) @ metric @ (shares - goal) < (best - goal) @ metric @ (best - goal) + 1e-3
     assert not set(kept) & {i for i in range(300) if i % 10 == 9} and {i for i in range(300) if i % 10 < 9} <= set(kept)
+
+
+def test_languages_by_brute_force(spark, docs_of, tmp_path):
+    """The whole query: each text goes to the language whose plain model codes it in the fewest bits."""
+    rng = random.Random(21)
+    words = {"en": "the and of water house night under".split(), "de": "der und von wasser haus nacht unter".split(), "fr": "le et de eau maison nuit sous été".split()}
+    rows, lang = [], []
+    for i in range(60):
+        own = ("en", "de", "fr")[i % 3]
+        rows.append((i, prose(rng, words[own], 6)))
+        lang.append(own if i % 7 else None)
+    rows += [(60, None), (61, "123 456"), (62, ""), (63, "le 12 nuit"), (None, "water house"), (3, "der wasser")]
+    lang += ["en", "de", "fr", None, None, "de"]
+    docs_of(rows, lang=lang).withColumn("lang_pred", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 4 == 2
+    taught = {x: [t for (i, t), y in zip(rows, lang, strict=True) if y == x and t is not None and not held(i)] for x in words}
+    langs = sorted(taught)
+    want = []
+    for i, t in rows:
+        bits = [_code_length(taught[x], t, 3, lambda n: n >= 2) for x in langs] if t else []
+        letters = any(c.isalpha() for c in t or "")
+        want.append((i, held(i), langs[int(np.argmin(bits))] if letters else "und", 1 / sum(2.0 ** min(min(bits) - b, 0) for b in bits) if letters else 0.0))
+    found = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in op1_language.op1_language_id(spark, str(tmp_path)).collect()]
+    key = lambda r: (repr(r[0]), r[2], r[3])
+    for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3

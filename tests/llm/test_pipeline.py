@@ -97,3 +97,45 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, docs_of, tmp_path):
     assert len(rows) > len(steps[0]) > len(steps[1]) > len(steps[2]) > 30
     found = {r.doc_id: r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert found == dict(redacted(steps[-1]))
+
+
+def test_labels_that_differ_reach_the_last_stage(spark, docs_of, tmp_path):
+    """Toxic texts go and poor ones count less, whatever the stages before have removed; clean
+    texts stay, and rates solve the least squares of the posteriors that the stage gives."""
+    import corpus_pipeline
+    import numpy as np
+
+    from veridat.llm import op10_mixing
+
+    rng = random.Random(72)
+    bad, dull = ["vile", "awful", "nasty", "rotten"], ["lorem", "blah", "filler"]
+    rows, labels, kinds = [], [], {}
+    for i in range(240):
+        kind = "toxic" if i % 8 == 0 else "poor" if i % 8 == 1 else "good"
+        w = prose(rng, WORDS, rng.randrange(40, 90)).split()
+        for word in rng.choices(bad if kind == "toxic" else dull, k=8) if kind != "good" else []:
+            w.insert(rng.randrange(len(w)), word)
+        kinds[i] = kind
+        rows.append((i, " ".join(w)))
+        if i % 2 == 0 or i % 3 == 0:
+            labels.append((i, int(kind != "poor"), int(kind == "toxic")))
+    rows += [(1000 + i, t) for i, t in rows[:20]]  # copies: the first stays
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, prose(rng, WORDS, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = one_of_each(quality(rows))
+    assert {i for i, _ in before} == set(kinds)
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in found.items()} == {i: t for i, t in redacted(before) if kinds[i] != "toxic"}
+    assert max(r.rate for i, r in found.items() if kinds[i] == "poor") < max(r.rate for i, r in found.items() if kinds[i] == "good")
+    members = op10_mixing.memberships(docs_of(before), op10_mixing.train(docs_of(before), spark.read.parquet(str(tmp_path / "labels.parquet")))).orderBy("doc_id").collect()
+    p, n = np.array([[r[f"p_{d}"] for d in op10_mixing.DOMAINS] for r in members]), np.array([r.n_tokens for r in members])
+    rate = np.array([found[r.doc_id].rate if r.doc_id in found else 0.0 for r in members])
+    goal = np.array([op10_mixing.TARGETS[d] for d in op10_mixing.DOMAINS])
+    metric = np.linalg.inv((p * n[:, None]).T @ p / n.sum() + 1e-6 * np.eye(3))
+    shares = lambda r: (p * (n * r)[:, None]).sum(0) / n.sum() - goal
+    plain = np.ones(len(n))
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (metric @ shares(plain)))
+    cost = lambda r: shares(r) @ metric @ shares(r)
+    assert cost(rate) < cost(plain) + 1e-3
