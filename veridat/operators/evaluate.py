@@ -89,7 +89,7 @@ def _joined(df: DataFrame, plan: Plan) -> DataFrame:
     they are few."""
     if plan.match_is_failure:
         rows = df if plan.source is None else plan.source
-        keys = F.broadcast(plan.keys) if _is_small(plan) else plan.keys
+        keys = F.broadcast(plan.keys) if plan.source is not None and _is_small(plan) else plan.keys
         return rows.where(plan.applies).join(keys.alias("k"), _matches(plan, plan.on, "k.k", True), "left_semi")
     judged = df.where(plan.applies)
     names = [f"k{i}" for i in range(len(plan.on))]

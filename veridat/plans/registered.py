@@ -20,6 +20,7 @@ from ..operators.evaluate import Rule, evaluate, evaluate_rule, failing_rows, pl
 from ..operators.profile import statistics
 from ..operators.rules import numeric_shares
 from ..sources import files
+from ..streaming import incremental
 from ..sources.load import Dataset, REFERENCES, Store, check_schema, load, load_reference, upsert, upsert_counts, with_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +405,17 @@ def ref_anti_join(spark, sf_dir):
     return failing(table(spark, sf_dir, "documents"), rule("reference_value", reference_dataset="labelled", reference_column="doc_id"), "doc_id", "doc_id", known)
 
 
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS source_row_identifier FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def reference_by_distinct_keys(spark, sf_dir):
+    """A reference whose keys are taken as too many to send: the distinct keys of the rows are
+    looked up, and rows stay where they are."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"))
+    known = {"orders": (table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey"), ("o_orderkey",))}
+    plans, _ = plan_rules(line, [Rule(1, rule("reference_value", reference_dataset="orders", reference_column="o_orderkey"), "l_orderkey")], known)
+    plans[1].small = False
+    return failing_rows(line, plans, "id").select("source_row_identifier")
+
+
 def _contracts(spark, sf_dir) -> DataFrame:
     """Orders with names in which the miner sees relationships."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
@@ -520,6 +532,25 @@ def upsert_load_counts(spark, sf_dir):
     return upsert_counts(table(spark, sf_dir, "orders"), _changed_orders(spark, sf_dir), "o_orderkey")
 
 
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_CHANGED}) UNION ALL SELECT * FROM {_CHANGED}")
+def upsert_partitions(spark, sf_dir):
+    """The same merge in a stored table whose rows are dealt by their key."""
+    store = Store(spark, files.scratch(spark, "store"))
+    store.write("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), key="o_orderkey")
+    store.upsert("orders", _changed_orders(spark, sf_dir), "o_orderkey")
+    return store.read("orders")
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_CHANGED}) UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus FROM {_CHANGED}")
+def upsert_stream(spark, sf_dir):
+    """The same merge by files that arrive in a folder, in two runs of a stream."""
+    store, folder, checkpoint = Store(spark, files.scratch(spark, "store")), files.scratch(spark, "in"), files.scratch(spark, "stream")
+    for rows in (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _changed_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus")):
+        rows.write.mode("append").csv(folder, header=True)
+        incremental.upsert_stream(store, incremental.watch(spark, folder, ["o_orderkey", "o_orderstatus"]), "orders", "o_orderkey", checkpoint).awaitTermination()
+    return store.read("orders").select("o_orderkey", "o_orderstatus")
+
+
 @query("SELECT r_regionkey, r_name, 'region.csv' AS _source_file, CAST(7 AS BIGINT) AS _load_run_id FROM region")
 def load_lineage(spark, sf_dir):
     return with_lineage(table(spark, sf_dir, "region"), "region.csv", 7).drop("_ingested_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -27,6 +28,12 @@ class FixedColumn:
     sequence: int = 0
 
 
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """One temporary folder of a local session, removed when Python ends."""
+    return tempfile.TemporaryDirectory(prefix="veridat-", ignore_cleanup_errors=True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that executors share, spark.checkpoint.dir; only a local
     session gets a temporary one where that is unset."""
@@ -34,7 +41,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise DataQualityError("spark.checkpoint.dir must name a folder that all executors share.")
-        folder = tempfile.mkdtemp(prefix="veridat-")
+        folder = _local_folder().name
     return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
