@@ -691,8 +691,7 @@ def load_history(spark, sf_dir):
 
 # ---------------------------------------------------------------- corrections
 
-_STATES = remediate.STATES
-_CITY_STATE, _CITY_ZIP, _STATE_ZIP = rf"^(.+?)[,\s]+({_STATES})\s*$", r"^(.+?)\s+(\d{5}(?:-\d{4})?)\s*$", rf"^({_STATES})[,\s-]+(\d{{5}}(?:-\d{{4}})?)\s*$"
+_CITY_STATE, _CITY_ZIP, _STATE_ZIP = (p.replace("\\A", "^").replace("\\z", "$") for p in (remediate.CITY_STATE, remediate.CITY_ZIP, remediate.STATE_ZIP))
 
 
 @query(rf"""
