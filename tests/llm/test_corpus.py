@@ -522,7 +522,7 @@ def test_queries_are_registered(name):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
