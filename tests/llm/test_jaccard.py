@@ -44,6 +44,26 @@ def test_overlaps_equal_sets():
         assert got.tolist() == want and any(want) and not all(want)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_blocks_are_few_and_lose_no_link(percent):
+    """A set of n is in no more blocks than the columns that a linking one may lack, and one."""
+    rng = np.random.default_rng(33)
+    linked = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        new = lambda most: rng.integers(1, 2**63, rng.integers(0, most), dtype=np.uint64)
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, len(a) - rng.integers(0, n // 8 + 2))], new(n // 8 + 2)]))
+        hot = np.sort(rng.permutation(a)[: int(rng.choice([0, 0.5, 1]) * len(a))].view(np.int64))
+        doc, key = op6_jaccard._block_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), percent, hot, rng.integers(2, 9, len(hot)))
+        assert all(np.count_nonzero(doc == i) <= (100 - percent) * len(x) // 100 + 1 for i, x in enumerate((a, b)))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (len(a) + len(b) - common):
+            assert set(key[doc == 0]) & set(key[doc == 1])
+            linked += 1
+    assert 100 < linked < 300
+
+
 def group_texts(rng, words=80):
     """A large group of near copies around each base, some texts that share long passages, copies."""
     vocabulary = [f"v{i}" for i in range(400)]

@@ -6,9 +6,9 @@ is formed in blocks, and only those that can hold such an overlap:
 
 1. Equal rows are one class. What follows works on classes, so a group of copies costs
    no more than one of them.
-2. Two rows that link differ in at most d columns, where d follows from the bound on their
-   sizes. The columns are dealt to more than d parts, so such rows are equal in at least
-   one of them: a block is what has the same columns in one part (see _block_keys).
+2. Two rows that link share so many columns that, with all columns in one order, the first
+   one they share is among the first few of each: a block is what has the same column
+   there (see _block_keys). Frequent columns come last.
 3. In each block all rows meet the block's least row. While blocks that aren't one component
    after that are large, all their rows meet a few more leaders of other components, chosen
    by hashes. A pair of rows that components join already needs no cell of the product.
@@ -30,9 +30,6 @@ from .common import HOT, Words, flat, free_name, fresh_path, kept, merged, mix,
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
-EMPTY, SPARE = 3, 16  # parts that a row may lack before it is dealt anew: three and one in so many of d
-CLASS_STEP = 1.6  # sizes of a class of rows: from its start to this times it
-DEALS = 3
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
 LARGE = 10  # pairs for each row of a block, from which on leaders come first
 TILE = 256  # rows of a tile
@@ -111,80 +108,22 @@ def _short_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _SHORT), F.lit(0))
 
 
-def _class_start(number: int) -> int:
-    """The least size in a class of sizes."""
-    at = 1
-    for _ in range(number):
-        at = max(at + 1, int(np.ceil(at * CLASS_STEP)))
-    return at
-
-
-_STARTS = np.array([_class_start(i) for i in range(60)], np.int64)
-
-
-def most_different(size: np.ndarray, percent: int) -> np.ndarray:
-    """In how many columns two linking rows can differ, the larger of ``size``:
-    (100 - p) / (100 + p) of the sum of their sizes."""
-    return (100 - percent) * 2 * size // (100 + percent)
-
-
-def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, key): the blocks that each set is in, so that sets that link share one.
 
-    For each class of sizes that the larger of a pair may be in, with at most d differences,
-    a set's columns are dealt by hash to d + 2 + e parts, the frequent ones all to part 0; the
-    key of each other part that isn't empty is a hash of its columns. Differences spoil at
-    most d parts and one is left out, so at least 1 + e are equal in both, and one of those
-    isn't empty unless both sets lack more than e parts. Sets that do are dealt again, by
-    other hashes and with no part left out; those that lack more than e each time share a
-    block for each of their first columns (prefix bound). e = EMPTY + d / SPARE."""
+    All columns have one order: by hash, the frequent ones (``hot``, sorted, with their ``times``)
+    behind the others and by how frequent they are. A set of n shares at least m of them with
+    any that it links with, so the first shared one is among its first n - m + 1: with all of
+    these behind it, at most m - 1 would be shared. Each of those columns is a key, and the
+    first shared one is a key of both sets."""
     size = np.diff(bounds)
-    n = len(size)
-    every = np.repeat(np.arange(n), size)
-    frequent = np.zeros(len(gram), bool)
+    every = np.repeat(np.arange(len(size)), size)
     if len(hot):
-        key = signed(gram)
-        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        frequent = hot[at] == key
-    docs, keys = [], []
-    largest = 100 * size // percent  # of a partner
-    low = np.searchsorted(_STARTS, size, "right") - 1
-    for ahead in range(3):
-        own = low + ahead
-        ok = (size > 0) & (own < len(_STARTS) - 1)
-        own = np.minimum(own, len(_STARTS) - 2)
-        ok &= _STARTS[own] <= largest
-        end = np.minimum(_STARTS[own + 1] - 1, np.where(ahead == 0, _STARTS[own + 1] - 1, largest))
-        d = most_different(_STARTS[own + 1] - 1, percent)
-        ok &= (d > 0) & (end >= size)
-        lack = EMPTY + d // SPARE
-        for deal in range(DEALS):
-            if not ok.any():
-                break
-            take = ok[every]
-            doc, value = every[take], gram[take]
-            parts = (d + 1 + lack + (deal == 0))[doc].astype(np.uint64)
-            h = mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (deal + 1) % 2**64))
-            part = ((h >> np.uint64(32)) * parts) >> np.uint64(32)
-            if deal == 0:
-                part = np.where(frequent[take], np.uint64(0), part)
-            order = np.lexsort((part, doc))
-            doc, part, h = doc[order], part[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            content = np.add.reduceat(mix(h), first) if len(first) else np.zeros(0, np.uint64)
-            doc, part = doc[first], part[first]
-            used = part > 0 if deal == 0 else np.ones(len(part), bool)
-            docs.append(doc[used])
-            keys.append(mix(content + part * np.uint64(0xD1342543DE82EF95) + (own[doc] * 8 + deal + 1).astype(np.uint64))[used])
-            filled = np.bincount(doc[used], minlength=n)
-            ok &= d + 1 + lack - filled > lack
-        if ok.any():
-            take = ok[every] & (np.arange(len(gram)) - bounds[:-1][every] <= (size - _least_shared(size, percent))[every])
-            docs.append(every[take])
-            keys.append(mix(gram[take] + (own[every[take]] * 8).astype(np.uint64)))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), signed(np.concatenate(keys))
+        at = np.minimum(np.searchsorted(hot, signed(gram)), len(hot) - 1)
+        rank = np.where(hot[at] == signed(gram), 1 if times is None else 1 + times[at], 0)
+        gram = gram[np.lexsort((rank, every))]  # stable: hashes ascend among equals
+    first = np.arange(len(gram)) - bounds[:-1][every] <= (size - _least_shared(size, percent))[every]
+    return every[first], signed(mix(gram[first]))
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -229,7 +168,7 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     rows = found.where("kind = 0")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
-    frequent = spark.sparkContext.broadcast(hot["key"].to_numpy())
+    frequent = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["n"].to_numpy()))
     classes = rows.where("n > 0").groupBy(F.col("key").alias("digest")).agg(
         F.first("n").alias("n"), F.min("content").alias("content"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT],
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"),
@@ -367,7 +306,7 @@ def _blocks(k: int, percent: int, frequent, seed: int):
                 bounds, gram = shingle_sets(text, k)
                 digest, _ = digests(bounds, gram, seed)
                 keep = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
-                doc, key = _block_keys(bounds, gram, percent, frequent.value)
+                doc, key = _block_keys(bounds, gram, percent, *frequent.value)
                 keep = keep[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(digest[doc[keep]])], ["key", "digest"])
 
