@@ -1,9 +1,11 @@
 """Large delimited files: the same rows as one task reads."""
 
+import hashlib
 import random
 
 import pytest
 
+from veridat.plans import registered
 from veridat.sources import files, records
 
 FIELDS = ["a", "", "two words", "x,y", 'say "hi"', "line\nend", 'both,"\n"', "\n", '"', "é日本", " padded ", "NA", "r\r\nn", "#no comment", "0" * 90]
@@ -66,3 +68,22 @@ def test_stray_quotes_and_short_rows(spark, tmp_path):
         assert rows_of(files.read_csv(spark, str(path))) == one and len(one) == 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_documents_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["en", None]), "".join(rng.choice(FIELDS) + rng.choice(" \n,") for _ in range(40))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(files, "scratch", lambda spark, name: str(tmp_path / name))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        found = registered.scan_csv_large(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(str(i), lang or "", hashlib.md5(text.replace("\r", " ").encode()).hexdigest()) for i, lang, text in rows]
+    assert sorted(map(tuple, found)) == sorted(want)
+    sizes = [p.stat().st_size for p in (tmp_path / "csv").glob("part-*")]
+    assert max(sizes) < sum(sizes) / 3

@@ -471,11 +471,12 @@ def scan_csv(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, md5(replace(replace(text, chr(13), ' '), chr(0), ' ')) AS text_md5 FROM documents WHERE text IS NOT NULL")
 def scan_csv_large(spark, sf_dir):
-    """Whole documents, line ends and quotes in them, as one delimited file that many tasks read."""
+    """Whole documents, line ends and quotes in them, as delimited files that many tasks write and
+    read: a file larger than a byte range is read by several."""
     path = files.scratch(spark, "csv")
     text = F.translate("text", "\r\x00", "  ")
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", F.concat(text, F.lit('"')).alias("text"))
-    rows.coalesce(1).write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     found = files.csv_records(spark, path, ["doc_id", "lang", "text"], files._CSV)
     return found.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.md5(F.expr("substring(text, 1, char_length(text) - 1)")).alias("text_md5"))
 
