@@ -3,8 +3,10 @@
 import collections
 import json
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veridat.operators import registry
@@ -337,3 +339,27 @@ def test_keys_of_no_rows(spark):
     df = spark.createDataFrame([], "k string")
     assert duplicates.possible(df, [F.col("k")], 0, 10).count() == 0
     assert evaluate_rule(definition("primary_key_unique", {"column": "k"}), df)[0] == "PASS"
+
+
+def test_a_task_holds_few_marks(spark):
+    """What a task keeps in Python doesn't follow its rows: three million take less than 48 MB."""
+
+    class Seen:
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    seen = Seen()
+    duplicates.shared_places(seen, [F.lit(1)], 28)
+    rng = np.random.default_rng(1)
+    batches = (pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 1 << 28, 100_000))], ["place"]) for _ in range(30))
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in seen.run(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and peak < 48e6

@@ -1,7 +1,7 @@
 """Which rows may repeat a key, from compact marks of all keys.
 
 Each key is hashed to one of about 64 places for each row. Tasks send the sorted places of
-their rows as compressed differences, one to two bytes a row instead of the keys; a place that
+their rows as compressed differences, about two bytes a row instead of the keys; a place that
 was seen before, in the same task or another, is shared. Rows whose place isn't shared have a
 key of their own, so only the others, few unless keys repeat, are looked at exactly.
 """
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PLACES = 64  # for each row
-RANGE_ROWS = 1 << 20  # rows whose places are compared in one group, about
-_HELD = 1 << 22  # rows that a task sorts at once
+RANGE_ROWS = 1 << 18  # rows whose places are compared in one group, about
+_HELD = 1 << 19  # rows that a task sorts at once, whatever the table's size
 _MARKS = "range long, places binary, again binary"
 
 
@@ -44,13 +44,15 @@ def shared_places(df: DataFrame, keys: list[Column], bits: int) -> DataFrame:
     def run(batches):
         def marks(held):
             at = np.concatenate(held).view(np.uint64)
-            own, n = np.unique(at, return_counts=True)
-            ranges = own >> np.uint64(low)
-            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(own)]
-            rows = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                within = own[a:b] & np.uint64((1 << low) - 1)
-                rows.append((int(ranges[a]), _packed(within), _packed(within[n[a:b] > 1])))
+            held.clear()
+            at.sort()
+            same = at[1:] == at[:-1]
+            own, again = at[np.append(True, ~same)], np.unique(at[1:][same])
+            found = np.unique(own >> np.uint64(low))
+            edges = found[1:] << np.uint64(low)
+            parts = zip(found.tolist(), np.split(own, np.searchsorted(own, edges)), np.split(again, np.searchsorted(again, edges)), strict=True)
+            within = np.uint64((1 << low) - 1)
+            rows = [(r, _packed(x & within), _packed(y & within)) for r, x, y in parts]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "places", "again"])
 
         held, size = [], 0
@@ -60,12 +62,13 @@ def shared_places(df: DataFrame, keys: list[Column], bits: int) -> DataFrame:
                 size += batch.num_rows
             if size >= _HELD:
                 yield marks(held)
-                held, size = [], 0
+                size = 0
         if held:
             yield marks(held)
 
     def compared(table: pa.Table) -> pa.Table:
-        own = np.sort(np.concatenate([_unpacked(x) for x in table["places"].to_pylist()]))
+        own = np.concatenate([_unpacked(x.as_py()) for x in table["places"]])
+        own.sort()
         again = [own[1:][own[1:] == own[:-1]], *(_unpacked(x) for x in table["again"].to_pylist())]
         found = np.unique(np.concatenate(again)) + (np.uint64(table["range"][0].as_py()) << np.uint64(low))
         return pa.table([pa.array(found.view(np.int64))], ["place"])
