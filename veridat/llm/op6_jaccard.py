@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Words, flat, free_name, fresh_path, kept, merged, mix, numbered, passing_folders, row_key, signed, slices, spread_join, written
+from .common import HOT, Words, counted, flat, free_name, fresh_path, kept, mix, numbered, passing_folders, row_key, signed, slices, spread_join, written
 from .graph import components
 
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
+SKETCH = 1 << 22  # places of each of the two tables that count a task's columns
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
 LARGE = 10  # pairs for each row of a block, from which on leaders come first
 TILE = 256  # rows of a tile
@@ -256,42 +257,62 @@ def _first_scan(source: DataFrame, k: int, seed: int) -> DataFrame:
     one in MOST_HOT of its entries. A frequent column is so in some partition."""
 
     def run(batches):
-        keys, ns, total = [], [], 0
+        often = Often()
         for batch in batches:
             for part in slices(batch):
                 text = flat(part.column(1))
                 bounds, gram = shingle_sets(text, k)
-                total += len(gram)
-                key, n = _count(signed(gram))
-                keys.append(key)
-                ns.append(n)
-                if sum(map(len, keys)) > 3_000_000:
-                    keys, ns = ([x] for x in merged(keys, ns))
+                often.add(*counted(np.sort(signed(gram))))
                 n_docs = text.n
                 lanes = parity_lanes(bounds, gram)
                 digest, check = digests(bounds, gram, seed)
                 short = [pa.array(x) for x in short_parity(bounds, gram).T.copy()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digest), pa.array(check), lanes, *short], _names)
-        if keys:
-            key, n = merged(keys, ns)
-            often = (n > 1) & (n * MOST_HOT >= total)
-            key, n = key[often], n[often]
-            if len(key):
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), none, pa.nulls(len(key), lanes.type), *[none] * 4], _names)
+        key, n = often.found()
+        if len(key):
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), none, pa.nulls(len(key), lanes.type), *[none] * 4], _names)
 
     _names = ["kind", "rid", "doc_id", "content", "n", "key", "check", "lanes", *_SHORT]
     return source.mapInArrow(run, "kind int, rid long, doc_id long, content long, n long, key long, check long, lanes array<long>, f0 long, f1 long, f2 long, f3 long")
 
 
-def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values that occur twice or more, with their counts."""
-    values = np.sort(values)
-    if len(values) < 2:
-        return values[:0], np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    n = np.diff(np.append(first, len(values)))
-    return values[first], n
+class Often:
+    """Keys that make up one in MOST_HOT of all that was added, in memory that doesn't grow.
+
+    A key counts in one place of each of two tables. The lesser of both is its count, or more
+    where others share both places: no frequent key is missed, and as a table has eight places
+    for each of MOST_HOT keys, what is found beside them is nearly as frequent."""
+
+    def __init__(self):
+        self.tables = np.zeros((2, SKETCH), np.int32)
+        self.total, self.keys, self.pending = 0, [], 0
+
+    def _places(self, keys: np.ndarray) -> list[np.ndarray]:
+        h = mix(keys.view(np.uint64))
+        return [((h >> np.uint64(32 * i)) & np.uint64(SKETCH - 1)).astype(np.int64) for i in range(2)]
+
+    def _frequent(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.minimum(*(table[at] for table, at in zip(self.tables, self._places(keys), strict=True))).astype(np.int64)
+        often = (n > 1) & (n * MOST_HOT >= self.total)
+        return keys[often], n[often]
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """``keys``, distinct, were seen ``n`` more times each."""
+        for table, at in zip(self.tables, self._places(keys), strict=True):
+            np.add.at(table, at, n.astype(np.int32))
+        self.total += int(n.sum())
+        new, _ = self._frequent(keys)  # a key that is frequent in the end is so when it comes last
+        self.keys.append(new)
+        self.pending += len(new)
+        if self.pending > MOST_HOT:
+            self.found()
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent keys with their counts."""
+        keys, n = self._frequent(np.unique(np.concatenate([np.zeros(0, np.int64), *self.keys])))
+        self.keys, self.pending = [keys], 0
+        return keys, n
 
 
 def _blocks(k: int, percent: int, frequent, seed: int):
