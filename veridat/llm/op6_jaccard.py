@@ -8,7 +8,9 @@ is formed in blocks, and only those that can hold such an overlap:
    no more than one of them.
 2. Two rows that link share so many columns that, with all columns in one order, the first
    one they share is among the first few of each: a block is what has the same column
-   there (see _block_keys). Frequent columns come last.
+   there (see _block_keys). Frequent columns come last. Sizes and the column's place in both
+   rows bound how much two rows can share from it on; a block is cut where no pair of rows
+   can link by that bound (see _places), and what is alone then leaves.
 3. In each block all rows meet the block's least row. While blocks that aren't one component
    after that are large, all their rows meet a few more leaders of other components, chosen
    by hashes. A pair of rows that components join already needs no cell of the product.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HOT, Words, counted, flat, free_name, fresh_path, kept, mix, numbered, passing_folders, row_key, signed, slices, spread_join, written
@@ -32,8 +34,9 @@ from .graph import components
 MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
 SKETCH = 1 << 22  # places of each of the two tables that count a task's columns
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
-LARGE = 10  # pairs for each row of a block, from which on leaders come first
+LARGE = 10  # pairs in open blocks for each row of any block, from which on leaders come first
 TILE = 256  # rows of a tile
+CODE = 10  # bits of the code of a size
 ROW_BLOCKS, BLOCK_ENTRIES = 12, 1 << 21  # at least so many row blocks; entries of one
 STEPS = 4  # parts of the columns, between which pairs leave
 _SHORT = ("f0", "f1", "f2", "f3")
@@ -127,6 +130,55 @@ def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndar
     return every[first], signed(mix(gram[first]))
 
 
+def _size_steps() -> np.ndarray:
+    """The sizes at which codes begin: each up to 100, then steps of two hundredths."""
+    steps = [1]
+    while steps[-1] < 1 << 31:
+        steps.append(max(steps[-1] + 1, steps[-1] + steps[-1] // 50))
+    return np.array(steps)
+
+
+SIZE_STEPS = _size_steps()
+
+
+def _places(doc: np.ndarray, key: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of _block_keys, their last 2 * CODE bits replaced by two codes of sizes.
+
+    Say a set of n has the column at place i of its order. With a set of x whose first shared
+    column it is, it shares n - i at most, and so can link only if x is (n - i) * (100 + p) / p - n
+    at most. The codes are those of n and of that bound; two sets can link by this block only if the
+    size of each is within the bound of the other (see _within). Larger sizes never have smaller
+    codes, so codes refuse no pair that sizes don't."""
+    n = size[doc]
+    at = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    most = (n - at) * (100 + percent) // percent - n
+    code = lambda x: np.searchsorted(SIZE_STEPS, np.maximum(x, 1), "right") - 1
+    return (key & -(1 << 2 * CODE)) | (code(n) << CODE) | code(most)
+
+
+def _within(a: str, b: str) -> Column:
+    """Whether the size of each of two rows of a block is within the bound of the other."""
+    return (F.col(f"{a}step") <= F.col(f"{b}reach")) & (F.col(f"{b}step") <= F.col(f"{a}reach"))
+
+
+def _members(blocks: DataFrame) -> DataFrame:
+    """(key, digest, step, reach, times, least, meets) of the blocks (place, digest) in which some rows
+    may link: codes of size and bound, the block's rows and least row, and whether bounds let both link.
+
+    In the order of sizes, a row that is beyond the bounds of all before begins a block of its own."""
+    code = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit((1 << CODE) - 1)).cast("int")
+    rows = blocks.repartition(F.shiftright("place", 2 * CODE)).select(F.shiftright("place", 2 * CODE).alias("key"), code(CODE).alias("step"), code(0).alias("reach"), "digest")
+    sized = Window.partitionBy("key").orderBy("step", "reach", "digest")
+    rows = rows.withColumns({"before": F.max("reach").over(sized.rowsBetween(Window.unboundedPreceding, -1)), "after": F.lead("step").over(sized)})
+    new = F.col("before").isNull() | (F.col("step") > F.col("before"))
+    last = F.col("after").isNull() | (F.col("after") > F.greatest("before", "reach"))
+    rows = rows.where(~(new & last)).withColumn("run", F.max(F.when(new, F.col("step"))).over(sized.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run, row = Window.partitionBy("key", "run"), F.struct("digest", "step", "reach")
+    rows = rows.select("key", "run", "digest", "step", "reach").distinct().withColumns({"low": F.min(row).over(run), "high": F.max(row).over(run), "times": F.count("*").over(run)})
+    rows = rows.where((F.col("low.digest") != F.col("high.digest")) & ((F.col("times") > 2) | _within("low.", "high.")))
+    return rows.select((F.shiftleft("key", CODE) + F.col("run")).alias("key"), "digest", "step", "reach", "times", F.col("low.digest").alias("least"), _within("", "low.").alias("meets"))
+
+
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with any set that a set of n can link with."""
     return -(-(percent * n) // 100)
@@ -179,13 +231,13 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
         return _linked(docs, k, percent, seed + 1)
 
     # blocks
-    blocks = source.select("text").mapInArrow(_blocks(k, percent, frequent, seed), "key long, digest long").repartition("key")
-    mixed = blocks.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").drop("most")
-    members = written(blocks.join(mixed, "key").distinct())
+    members = written(_members(source.select("text").mapInArrow(_blocks(k, percent, frequent, seed), "place long, digest long")))
 
     verify = _verifier(source, classes, k, percent, seed)
-    links = verify(members.where("digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct())
+    links = verify(members.where("digest <> least and meets").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct())
     joined = kept(components(links))
+    in_blocks = members.count()
+    members = members.where("times > 2")  # in a block of two, both have met
 
     short = classes.select("digest", "n", *_SHORT)
     again = lambda links: kept(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))  # noqa: E731  what is joined already counts as one link for each node
@@ -193,14 +245,14 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     for turn in range(ROUNDS + 1):
         placed, open_ = _open(members, joined)
         size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
+        if turn == ROUNDS or not size[0] or size[1] <= LARGE * in_blocks:
             break
         wide = written(placed.join(open_.where(F.col("size") > 2 * LARGE), "key").join(short, "digest"))
-        lead = wide.groupBy("key").agg(F.max("size").alias("size"), *[F.min_by(F.struct("digest", "component", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
+        lead = wide.groupBy("key").agg(F.max("size").alias("size"), *[F.min_by(F.struct("digest", "component", "step", "reach", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
         # the rows of a large block meet its leaders in several places
         places = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
         lead = lead.select("key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.array_distinct(F.array(*[f"x{i}" for i in range(LEADERS)])).alias("xs")).select("key", "place", F.explode("xs").alias("x"))
-        apart = (F.col("component") != F.col("x.component")) & _may_link(F.col("n"), F.col("x.n"), _short_bits("", "x."), percent)
+        apart = (F.col("component") != F.col("x.component")) & _within("", "x.") & _may_link(F.col("n"), F.col("x.n"), _short_bits("", "x."), percent)
         met = wide.withColumn("place", F.pmod(F.xxhash64("digest"), places).cast("int")).join(lead, ["key", "place"]).where(apart).select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
         met = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
@@ -231,7 +283,7 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
 
 def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``members`` with their components, and (key, size) of the blocks that have several."""
-    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "least", F.coalesce("component", "digest").alias("component"))
+    placed = members.join(joined, F.col("digest") == F.col("node"), "left").select("key", "digest", "step", "reach", "least", F.coalesce("component", "digest").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
     return placed, written(open_.select("key", "size"))
 
@@ -239,7 +291,7 @@ def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _cells(left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of open blocks that are in two components and pass the bounds.
 
-    ``left``: (key, size, digest, least, component, n, bits). Each block is cut into tiles; the
+    ``left``: (key, size, digest, step, reach, least, component, n, bits). Each block is cut into tiles; the
     rows of a tile go to one cell for each tile of the block."""
     tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
     cut = left.withColumn("own", F.pmod(F.xxhash64("digest"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -248,7 +300,7 @@ def _cells(left: DataFrame, percent: int) -> DataFrame:
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.digest") < F.col("b.digest"))
     apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.digest") != F.col("a.least")) & (F.col("b.digest") != F.col("b.least"))
-    met = a.join(b, same & once & apart & _may_link(F.col("a.n"), F.col("b.n"), _short_bits("a.", "b."), percent))
+    met = a.join(b, same & once & apart & _within("a.", "b.") & _may_link(F.col("a.n"), F.col("b.n"), _short_bits("a.", "b."), percent))
     return met.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
 
 
@@ -316,7 +368,7 @@ class Often:
 
 
 def _blocks(k: int, percent: int, frequent, seed: int):
-    """(key, digest) of the blocks of each document's class, once for each task: what many
+    """(place, digest) of the blocks of each document's class, once for each task: what many
     copies send to a block grows with the tasks, not with the copies."""
 
     def run(batches):
@@ -328,8 +380,8 @@ def _blocks(k: int, percent: int, frequent, seed: int):
                 digest, _ = digests(bounds, gram, seed)
                 keep = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
                 doc, key = _block_keys(bounds, gram, percent, *frequent.value)
-                keep = keep[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(digest[doc[keep]])], ["key", "digest"])
+                place, keep = _places(doc, key, np.diff(bounds), percent), keep[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(place[keep]), pa.array(digest[doc[keep]])], ["place", "digest"])
 
     return run
 
