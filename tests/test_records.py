@@ -58,6 +58,38 @@ def test_what_a_line_ends_in(line, inside, want):
     assert records.ends_inside(line, inside) == want
 
 
+def test_ranges_do_not_follow_the_files_that_a_scan_leaves(spark, tmp_path):
+    """Files of which no range ends inside quotes are left out of the scan of pieces; Spark then cuts the others elsewhere."""
+    rng = random.Random(5)
+    rows = [(str(i), rng.choice(FIELDS[2:]), "line\n" * 40 + "end") for i in range(300)]
+    plain = [(str(-i), "a", "b") for i in range(1, 3000)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", rows)
+    write(folder / "b.csv", plain)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        assert rows_of(records.csv_records(spark, str(folder), ["p", "q", "r"], files._CSV)) == sorted(rows + plain)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_ranges_do_not_follow_the_cores_of_the_moment(spark, tmp_path):
+    rows = [(str(i), "a", "line\n" * 40 + "end") for i in range(300)]
+    write(tmp_path / "a.csv", rows)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "5")
+        df = records.csv_records(spark, str(tmp_path / "a.csv"), ["p", "q", "r"], files._CSV)
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        assert rows_of(df) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_stray_quotes_and_short_rows(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('p,q,r\n5" tall,b\n6" wide,c,d,e\n\n\nlast,"x\ny",z\n')

@@ -41,6 +41,25 @@ def ends_inside(line: str, inside: bool) -> bool:
     return found is None or found.end() < len(line)
 
 
+def _pinned(spark: SparkSession, path: str) -> SparkSession:
+    """A session beside this one in which every scan of the files has the same byte ranges. Spark
+    sizes them anew for each scan, by the bytes of those files that its filters leave and by the
+    cores of that moment. With one partition asked for, ranges have the largest size, which is set
+    to what Spark would take now; where files that are left have less in all, each is one range."""
+    conf = spark._jsparkSession.sessionState().conf()
+    files, length = spark.read.format("binaryFile").load(path).agg(F.count("*"), F.sum("length")).first()
+    cores = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    share = ((length or 0) + files * conf.filesOpenCostInBytes()) // cores
+    size = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), share, 1))
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, value): each line with the file and byte range that it begins in; lines of
     a range come in order."""
@@ -140,7 +159,7 @@ def _glued(lines: DataFrame, ends: dict) -> DataFrame:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(record) of the files without their headers; a header has to end within the first byte
     range. Empty lines are no records."""
-    lines = _lines(spark, path)
+    lines = _lines(_pinned(spark, path), path)  # states and pieces have to be of the same ranges
     ends, open_files = _beginnings(range_states(lines).collect())  # a row for each range
     found = _glued(lines, ends).where(F.col("kind") == WHOLE).select("record")
     if open_files:  # few pieces: two a range at most
@@ -149,6 +168,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         numbered = pieces.withColumns({"n": F.sum(F.when(F.col("kind") == BEGUN, 1).otherwise(0)).over(order), "at": F.row_number().over(order)})
         parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "record"))), lambda x: x["record"])
         found = found.unionByName(numbered.groupBy("file", "n").agg(F.array_join(parts, "\n").alias("record")).select("record"))
+    found = spark.range(0).select(F.lit("").alias("record")).unionByName(found)  # a frame of the caller's session
     # a carriage return before the line end that ends a record is part of the line end
     return found.select(F.regexp_replace("record", r"\r\z", "").alias("record")).where("record <> ''")
 
