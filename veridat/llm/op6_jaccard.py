@@ -8,7 +8,7 @@ is formed in blocks, and only those that can hold such an overlap:
    no more than one of them.
 2. Two rows that link share so many columns that, with all columns in one order, the first
    one they share is among the first few of each: a block is what has the same column
-   there (see _block_keys). Frequent columns come last. Sizes and the column's place in both
+   there (see _block_keys). Frequent and repeated columns come last. Sizes and the column's place in both
    rows bound how much two rows can share from it on; a block is cut where no pair of rows
    can link by that bound (see _places), and what is alone then leaves.
 3. In each block all rows meet the block's least row. While blocks that aren't one component
@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from .common import HOT, Words, counted, flat, free_name, fresh_path, kept, mix, numbered, passing_folders, row_key, signed, slices, spread_join, written
 from .graph import components
 
-MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries
+MOST_HOT = 500_000  # columns known as frequent: those with more than one in so many of all entries; counted ones known as repeated
+REPEATED = 5  # sets from which on a counted column is repeated
+BUCKETS, REST = 1 << 10, 22  # of marks: by their first bits, and how many bits are left
+PENDING = 1 << 20  # marks that a task holds
 SKETCH = 1 << 22  # places of each of the two tables that count a task's columns
 LEADERS, ROUNDS, WORTH = 8, 2, 0.05
-LARGE = 10  # pairs in open blocks for each row of any block, from which on leaders come first
+LARGE = 10  # pairs in open blocks for each row of them, from which on leaders come first
 TILE = 256  # rows of a tile
 CODE = 10  # bits of the code of a size
 ROW_BLOCKS, BLOCK_ENTRIES = 12, 1 << 21  # at least so many row blocks; entries of one
@@ -112,24 +115,82 @@ def _short_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _SHORT), F.lit(0))
 
 
-def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _block_keys(bounds: np.ndarray, gram: np.ndarray, percent: int, hot: np.ndarray, times: np.ndarray | None = None, marks: np.ndarray | None = None, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, key): the blocks that each set is in, so that sets that link share one.
 
-    All columns have one order: by hash, the frequent ones (``hot``, sorted, with their ``times``)
-    behind the others and by how frequent they are. A set of n shares at least m of them with
+    All columns have one order: by hash, the frequent ones (``hot``, sorted, with their ``times``) and
+    the repeated ones (``marks``, likewise) behind the others and by how frequent they are. A set of n shares at least m of them with
     any that it links with, so the first shared one is among its first n - m + 1: with all of
     these behind it, at most m - 1 would be shared. Each of those columns is a key, and the
     first shared one is a key of both sets."""
     size = np.diff(bounds)
     every = np.repeat(np.arange(len(size)), size)
+    rank = np.zeros(len(gram), np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, signed(gram)), len(hot) - 1)
         rank = np.where(hot[at] == signed(gram), 1 if times is None else 1 + times[at], 0)
+    if marks is not None and len(marks):
+        low = np.flatnonzero(signed(gram) >= 0)
+        own = _marks(gram[low])
+        at = np.minimum(np.searchsorted(marks, own), len(marks) - 1)
+        rank[low] = np.maximum(rank[low], np.where(marks[at] == own, 1 + marked[at], 0))
+    if rank.any():
         gram = gram[np.lexsort((rank, every))]  # stable: hashes ascend among equals
     first = np.arange(len(gram)) - bounds[:-1][every] <= (size - _least_shared(size, percent))[every]
     return every[first], signed(mix(gram[first]))
 
 
+def _marks(gram: np.ndarray) -> np.ndarray:
+    """Marks of 32 bits of the columns in the lower half of hashes, ``gram``. These are counted, as the
+    first columns of a set are among them unless most of its columns are repeated. Columns that
+    share a mark count together, which moves them alike in the order of all sets."""
+    return (gram >> np.uint64(31)).astype(np.uint32)
+
+
+def _packed(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(bucket, number, blob) of ``marks``. A blob has the sorted rests of a bucket, the first byte of
+    all before the second of all, so that it compresses to about half."""
+    marks = np.sort(marks)
+    bucket, n = counted(marks >> np.uint32(REST))
+    ends = np.cumsum(n)
+    rest = (marks & np.uint32((1 << REST) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return bucket.astype(np.int64), n, [rest[a:b].T.tobytes() for a, b in zip(ends - n, ends, strict=True)]
+
+
+def _repeated(blobs: DataFrame) -> DataFrame:
+    """(mark, n) of the marks that at least REPEATED sets have, of blobs (bucket, marks). A task holds one bucket."""
+
+    def out(bucket, held):
+        rest = [np.frombuffer(x, np.uint8).reshape(3, -1).astype(np.uint32) for x in held]
+        mark, n = counted(np.sort(np.concatenate([x[0] | x[1] << np.uint32(8) | x[2] << np.uint32(16) for x in rest])))
+        often = n >= REPEATED
+        return pa.RecordBatch.from_arrays([pa.array((bucket << REST) + mark[often].astype(np.int64)), pa.array(n[often])], ["mark", "n"])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != at and held:
+                    yield out(at, held)
+                    held = []
+                at = bucket
+                held.append(blob.as_py())
+        if held:
+            yield out(at, held)
+
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "mark long, n long")
+
+
+def _most_repeated(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, times), sorted, of the most frequent ones, MOST_HOT at most."""
+    by_times = sorted(map(tuple, repeated.groupBy("n").count().collect()), reverse=True)
+    total = np.cumsum([0, *(c for _, c in by_times)])[1:]
+    fit = np.count_nonzero(total <= MOST_HOT)
+    chosen = repeated.where(F.col("n") >= by_times[fit - 1][0]) if fit else repeated.limit(0)
+    chosen = chosen.orderBy("mark").toArrow()
+    return chosen["mark"].to_numpy().astype(np.uint32), chosen["n"].to_numpy()
+
+
 def _size_steps() -> np.ndarray:
     """The sizes at which codes begin: each up to 100, then steps of two hundredths."""
     steps = [1]
@@ -221,7 +282,8 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     rows = found.where("kind = 0")
     entries = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * MOST_HOT >= entries).orderBy("key").toArrow()
-    frequent = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["n"].to_numpy()))
+    repeated = _most_repeated(written(_repeated(found.where("kind = 2").select(F.col("key").alias("bucket"), "marks"))))
+    frequent = spark.sparkContext.broadcast((hot["key"].to_numpy(), hot["n"].to_numpy(), *repeated))
     classes = rows.where("n > 0").groupBy(F.col("key").alias("digest")).agg(
         F.first("n").alias("n"), F.min("content").alias("content"), F.first("lanes").alias("lanes"), *[F.first(f).alias(f) for f in _SHORT],
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"),
@@ -236,7 +298,6 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     verify = _verifier(source, classes, k, percent, seed)
     links = verify(members.where("digest <> least and meets").select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct())
     joined = kept(components(links))
-    in_blocks = members.count()
     members = members.where("times > 2")  # in a block of two, both have met
 
     short = classes.select("digest", "n", *_SHORT)
@@ -245,7 +306,7 @@ def _linked(docs: DataFrame, k: int, percent: int, seed: int = 0) -> DataFrame:
     for turn in range(ROUNDS + 1):
         placed, open_ = _open(members, joined)
         size = open_.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        if turn == ROUNDS or not size[0] or size[1] <= LARGE * in_blocks:
+        if turn == ROUNDS or not size[0] or size[1] <= LARGE * size[0]:
             break
         wide = written(placed.join(open_.where(F.col("size") > 2 * LARGE), "key").join(short, "digest"))
         lead = wide.groupBy("key").agg(F.max("size").alias("size"), *[F.min_by(F.struct("digest", "component", "step", "reach", "n", *_SHORT), F.xxhash64("digest", F.lit(turn * LEADERS + i))).alias(f"x{i}") for i in range(LEADERS)])
@@ -306,10 +367,19 @@ def _cells(left: DataFrame, percent: int) -> DataFrame:
 
 def _first_scan(source: DataFrame, k: int, seed: int) -> DataFrame:
     """kind 0: a row for each document; kind 1: shingles that a partition has in more than
-    one in MOST_HOT of its entries. A frequent column is so in some partition."""
+    one in MOST_HOT of its entries (a frequent column is so in some partition); kind 2: marks
+    of the columns of each class, once for each task, by buckets."""
+
+    def beside(kind, n, key, kind_of_lanes, marks=None):
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), none, none, none, pa.array(n), pa.array(key), none, pa.nulls(len(key), kind_of_lanes), *[none] * 4, pa.array(marks, pa.binary()) if marks else pa.nulls(len(key), pa.binary())], _names)
+
+    def packed(held, kind_of_lanes):
+        bucket, n, blobs = _packed(np.concatenate(held))
+        return beside(2, n, bucket, kind_of_lanes, blobs)
 
     def run(batches):
-        often = Often()
+        often, seen, held, pending = Often(), set(), [], 0
         for batch in batches:
             for part in slices(batch):
                 text = flat(part.column(1))
@@ -319,14 +389,23 @@ def _first_scan(source: DataFrame, k: int, seed: int) -> DataFrame:
                 lanes = parity_lanes(bounds, gram)
                 digest, check = digests(bounds, gram, seed)
                 short = [pa.array(x) for x in short_parity(bounds, gram).T.copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digest), pa.array(check), lanes, *short], _names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n_docs, np.int32)), part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(digest), pa.array(check), lanes, *short, pa.nulls(n_docs, pa.binary())], _names)
+                new = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
+                marks = _marks(gram[np.repeat(new, np.diff(bounds)) & (signed(gram) >= 0)])
+                if len(marks):
+                    held.append(marks)
+                    pending += len(marks)
+                if pending >= PENDING:
+                    yield packed(held, lanes.type)
+                    held, pending = [], 0
+        if held:
+            yield packed(held, lanes.type)
         key, n = often.found()
         if len(key):
-            none = pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, pa.array(n), pa.array(key), none, pa.nulls(len(key), lanes.type), *[none] * 4], _names)
+            yield beside(1, n, key, lanes.type)
 
-    _names = ["kind", "rid", "doc_id", "content", "n", "key", "check", "lanes", *_SHORT]
-    return source.mapInArrow(run, "kind int, rid long, doc_id long, content long, n long, key long, check long, lanes array<long>, f0 long, f1 long, f2 long, f3 long")
+    _names = ["kind", "rid", "doc_id", "content", "n", "key", "check", "lanes", *_SHORT, "marks"]
+    return source.mapInArrow(run, "kind int, rid long, doc_id long, content long, n long, key long, check long, lanes array<long>, f0 long, f1 long, f2 long, f3 long, marks binary")
 
 
 class Often:
